@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup
+from . import bpe, decontaminate, exact_dedup, license_scan, line_dedup, sharding, simhash, sstable, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_decontaminate": decontaminate.query,
         "op2_line_dedup": line_dedup.query,
+        "op3_simhash": simhash.query,
+        "op4_license_scan": license_scan.query,
+        "op5_bpe": bpe.query,
+        "op6_sharding": sharding.query,
+        "op7_token_shards": sstable.query,
+        "op8_url_filter": url_filter.query,
+        "op9_toxicity": toxicity.query,
         "op10_exact_dedup": exact_dedup.query,
     }
 
