@@ -173,74 +173,102 @@ def matrix(lines: DataFrame, docs: DataFrame, candidates: DataFrame | None = Non
     )
 
 
-def side(lines: DataFrame, grid: DataFrame, direction: str, role: str, columns: list[str]) -> DataFrame:
-    """Lines with one cell's n, ids, amount and goods (null if the cell is empty)."""
-    own = grid.filter((F.col("direction") == direction) & (F.col("role") == role)).select("business_no", "n", "ids", "amount", "goods")
-    return lines.select("business_no", *columns).join(own, "business_no", "left")
+def wide(lines: DataFrame, docs: DataFrame) -> DataFrame:
+    """Lines with a struct for each checked cell (null if it's empty) and the numbers of candidates by role: one join, from which
+    R1 to R4 are projections."""
+    cell = F.struct("n", "ids", "amount", "goods", "n_extra", "extra_ids")
+    own = cells(docs).groupBy("business_no").agg(*[F.max(F.when((F.col("direction") == d) & (F.col("role") == r), cell)).alias(f"cell_{d}_{r}") for d, r in config.CHECKED_CELLS])
+    waiting = docs.filter("direction = 'unknown'").groupBy("business_no").agg(*[F.count_if(F.col("role") == r).alias(f"waiting_{r}") for r in config.ROLES])
+    return lines.join(own, "business_no", "left").join(waiting, "business_no", "left")
+
+
+def item(when: Column, rule: str, kind: str, severity: Column | str, direction: str, role: str, expected: Column | None = None, actual: Column | None = None, delta: Column | None = None, ids: Column | None = None) -> Column:
+    """A difference as a struct, or null unless the condition holds."""
+    c = lambda x: F.lit(x) if isinstance(x, str) else x
+    parts = [F.lit(rule), F.lit(kind), c(severity), F.lit(direction), F.lit(role), *[F.lit("") if x is None else x for x in (expected, actual, delta)], F.array().cast("array<string>") if ids is None else ids]
+    return F.when(when, F.struct(*[p.alias(n) for p, n in zip(parts, DIFF[1:], strict=True)]))
+
+
+def listed(rows: DataFrame, items: list[Column]) -> DataFrame:
+    return rows.select("business_no", F.inline(F.filter(F.array(*items), lambda x: x.isNotNull())))
 
 
 # Rules
 
 
+def completeness_items() -> list[Column]:
+    known = lambda a, b: F.coalesce(F.abs(F.col(a)) > money(TOL), F.lit(False)) | F.coalesce(F.abs(F.col(b)) > money(TOL), F.lit(False))
+    out = []
+    for d, r in config.CHECKED_CELLS:
+        cell = F.col(f"cell_{d}_{r}")
+        active = known("up_settlement", "pay_amount") if d == "up" else known("down_settlement", "receipt_amount")
+        severity = F.when((F.col(f"waiting_{r}") > 0) | F.lit(r == "payment_receipt") | ~active, "WARNING").otherwise("CRITICAL")
+        out += [
+            item(cell["n_extra"] > 0, "R1", "amount_mismatch", "INFO", d, r, F.lit("goods only"), cell["n_extra"].cast("string"), ids=cell["extra_ids"]),
+            item(cell.isNotNull() & cell["amount"].isNull(), "R1", "unparsed_amount", "WARNING", d, r, ids=cell["ids"]),
+            item(cell.isNull(), "R1", "missing_doc", severity, d, r, F.lit(">=1"), F.lit("0")),
+        ]
+    return out
+
+
+def amount_item(rule: str, direction: str, role: str, expected: str, under: str) -> Column:
+    """FN-58: CRITICAL, or `under` where the documents' amount is the smaller."""
+    e, cell = F.col(expected), F.col(f"cell_{direction}_{role}")
+    a = cell["amount"]
+    severity = F.when(a < e, under).otherwise("CRITICAL")
+    return item(off(a, e), rule, "amount_mismatch", severity, direction, role, amount_text(e), amount_text(a), amount_text(a - e), cell["ids"])
+
+
+def upstream_items() -> list[Column]:
+    s, p, cell = F.col("up_settlement"), F.col("pay_amount"), F.col("cell_up_payment_receipt")
+    covered = F.coalesce(cell["goods"], money())
+    severity = F.when(cell["goods"].isNull(), "INFO").when(covered > p, "CRITICAL").otherwise("WARNING")
+    return [
+        amount_item("R2", "up", "settlement", "up_settlement", "CRITICAL"),
+        amount_item("R2", "up", "invoice", "up_settlement", "WARNING"),
+        item(off(p, s), "R2", "amount_mismatch", "INFO", "up", "payment_receipt", amount_text(s), amount_text(p), amount_text(p - s)),
+        item(off(covered, p), "R2", "amount_mismatch", severity, "up", "payment_receipt", amount_text(p), amount_text(covered), amount_text(covered - p), F.coalesce(cell["ids"], F.array().cast("array<string>"))),
+    ]
+
+
+def downstream_items() -> list[Column]:
+    return [amount_item("R3", "down", "settlement", "down_settlement", "CRITICAL"), amount_item("R3", "down", "invoice", "down_settlement", "WARNING")]
+
+
+def interest_items() -> list[Column]:
+    up, down, r, s = F.col("up_settlement"), F.col("down_settlement"), F.col("interest_receivable"), F.col("interest_received")
+    gap = down - up
+    fits = F.coalesce(F.abs(gap - r) <= money(TOL), F.lit(False)) | F.coalesce(F.abs(gap - s) <= money(TOL), F.lit(False))
+    ref = F.coalesce(r, s)
+    known = gap.isNotNull()
+    return [
+        item(known & fits & off(r, s), "R4", "interest_mismatch", "INFO", "cross", "interest", amount_text(r), amount_text(s), amount_text(s - r)),
+        item(known & ~fits & ref.isNotNull(), "R4", "interest_mismatch", "CRITICAL", "cross", "interest", amount_text(gap), amount_text(ref), amount_text(ref - gap)),
+        item(known & ref.isNull() & (F.abs(gap) > money(TOL)), "R4", "interest_mismatch", "WARNING", "cross", "interest", amount_text(up), amount_text(down), amount_text(gap)),
+    ]
+
+
 def r1_completeness(lines: DataFrame, docs: DataFrame) -> DataFrame:
     """R1: cells with deposits or refunds (INFO), cells without a known amount (WARNING), and missing documents: WARNING if there are
     candidates, the ledger has no amount or it's a receipt, else CRITICAL (FN-57)."""
-    checked = F.array(*[F.struct(F.lit(d).alias("direction"), F.lit(r).alias("role")) for d, r in config.CHECKED_CELLS])
-    full = lines.select("business_no", "up_settlement", "pay_amount", "down_settlement", "receipt_amount", F.inline(checked))
-    full = full.join(cells(docs), ["business_no", "direction", "role"], "left")
-    waiting = docs.filter("direction = 'unknown'").groupBy("business_no", "role").agg(F.count("*").alias("candidates"))
-    full = full.join(waiting, ["business_no", "role"], "left")
-    known = lambda a, b: F.coalesce(F.abs(F.col(a)) > money(TOL), F.lit(False)) | F.coalesce(F.abs(F.col(b)) > money(TOL), F.lit(False))
-    active = F.when(F.col("direction") == "up", known("up_settlement", "pay_amount")).otherwise(known("down_settlement", "receipt_amount"))
-    severity = F.when(F.col("candidates") > 0, "WARNING").when(F.col("role") == "payment_receipt", "WARNING").when(active, "CRITICAL").otherwise("WARNING")
-    d, r = F.col("direction"), F.col("role")
-    extra = diff(full.filter("n_extra > 0"), "R1", "amount_mismatch", "INFO", d, r, F.lit("goods only"), F.col("n_extra").cast("string"), ids=F.col("extra_ids"))
-    unread = diff(full.filter("n > 0 AND amount IS NULL"), "R1", "unparsed_amount", "WARNING", d, r, ids=F.col("ids"))
-    missing = diff(full.filter("n IS NULL"), "R1", "missing_doc", severity, d, r, F.lit(">=1"), F.lit("0"))
-    return extra.unionByName(unread).unionByName(missing)
-
-
-def amount_diff(rows: DataFrame, rule: str, direction: str, role: str, expected: str, actual: str, under: str) -> DataFrame:
-    """FN-58: CRITICAL, or `under` where the actual amount is the smaller."""
-    e, a = F.col(expected), F.col(actual)
-    severity = F.when(a < e, under).otherwise("CRITICAL")
-    return diff(rows.filter(off(a, e)), rule, "amount_mismatch", severity, direction, role, amount_text(e), amount_text(a), amount_text(a - e), F.col("ids"))
+    return listed(wide(lines, docs), completeness_items())
 
 
 def r2_upstream(lines: DataFrame, docs: DataFrame) -> DataFrame:
     """R2: settlement documents and invoices against the ledger's settlement, the ledger's payment against it (INFO), and receipts
     against the payment: none is INFO, more is CRITICAL, less is WARNING."""
-    grid = cells(docs)
-    settled = amount_diff(side(lines, grid, "up", "settlement", ["up_settlement"]), "R2", "up", "settlement", "up_settlement", "amount", "CRITICAL")
-    invoiced = amount_diff(side(lines, grid, "up", "invoice", ["up_settlement"]), "R2", "up", "invoice", "up_settlement", "amount", "WARNING")
-    s, p = F.col("up_settlement"), F.col("pay_amount")
-    paid = diff(lines.filter(off(p, s)), "R2", "amount_mismatch", "INFO", "up", "payment_receipt", amount_text(s), amount_text(p), amount_text(p - s))
-    rows = side(lines, grid, "up", "payment_receipt", ["pay_amount"]).withColumn("covered", F.coalesce("goods", money()))
-    delta = F.col("covered") - p
-    severity = F.when(F.col("goods").isNull(), "INFO").when(delta > 0, "CRITICAL").otherwise("WARNING")
-    ids = F.coalesce("ids", F.array().cast("array<string>"))
-    receipts = diff(rows.filter(off(F.col("covered"), p)), "R2", "amount_mismatch", severity, "up", "payment_receipt", amount_text(p), amount_text(F.col("covered")), amount_text(delta), ids)
-    return settled.unionByName(invoiced).unionByName(paid).unionByName(receipts)
+    return listed(wide(lines, docs), upstream_items())
 
 
 def r3_downstream(lines: DataFrame, docs: DataFrame) -> DataFrame:
     """R3: settlement documents and invoices against the ledger's sale settlement."""
-    grid = cells(docs)
-    settled = amount_diff(side(lines, grid, "down", "settlement", ["down_settlement"]), "R3", "down", "settlement", "down_settlement", "amount", "CRITICAL")
-    return settled.unionByName(amount_diff(side(lines, grid, "down", "invoice", ["down_settlement"]), "R3", "down", "invoice", "down_settlement", "amount", "WARNING"))
+    return listed(wide(lines, docs), downstream_items())
 
 
 def r4_interest(lines: DataFrame) -> DataFrame:
     """R4: the settlements' gap is the interest receivable or received: if either fits, INFO if they differ; if neither, CRITICAL; if
     none is registered, WARNING for a gap."""
-    gap, r, s = F.col("down_settlement") - F.col("up_settlement"), F.col("interest_receivable"), F.col("interest_received")
-    fits = F.coalesce(F.abs(gap - r) <= money(TOL), F.lit(False)) | F.coalesce(F.abs(gap - s) <= money(TOL), F.lit(False))
-    rows = lines.filter(gap.isNotNull())
-    ref = F.coalesce(r, s)
-    late = diff(rows.filter(fits & off(r, s)), "R4", "interest_mismatch", "INFO", "cross", "interest", amount_text(r), amount_text(s), amount_text(s - r))
-    wrong = diff(rows.filter(~fits & ref.isNotNull()), "R4", "interest_mismatch", "CRITICAL", "cross", "interest", amount_text(gap), amount_text(ref), amount_text(ref - gap))
-    bare = diff(rows.filter(ref.isNull() & (F.abs(gap) > money(TOL))), "R4", "interest_mismatch", "WARNING", "cross", "interest", amount_text(F.col("up_settlement")), amount_text(F.col("down_settlement")), amount_text(gap))
-    return late.unionByName(wrong).unionByName(bare)
+    return listed(lines, interest_items())
 
 
 def r5_membership(lines: DataFrame, docs: DataFrame, numbers: list[str]) -> DataFrame:
@@ -295,7 +323,7 @@ def unclassified(docs: DataFrame) -> DataFrame:
 def differences(lines: DataFrame, docs: DataFrame, numbers: list[str]) -> DataFrame:
     """All rules; lines without documents have no differences (status no_data)."""
     parts = [
-        repeated(docs), r1_completeness(lines, docs), r2_upstream(lines, docs), r3_downstream(lines, docs), r4_interest(lines),
+        repeated(docs), listed(wide(lines, docs), [*completeness_items(), *upstream_items(), *downstream_items(), *interest_items()]),
         r5_membership(lines, docs, numbers), r6_dates(lines, docs), r7_invoices(docs), ledger_gaps(lines), unclassified(docs),
     ]
     if "multi" in docs.columns:
