@@ -122,8 +122,8 @@ def subset_sums(docs: DataFrame, lines: DataFrame, most: int = 8) -> DataFrame:
     the tolerance of an anchor, of equals the first by mask.  Returns document_id, business_no, direction.  Masks are bounded (255)."""
     open_ = docs.filter("direction = 'unknown' AND role <> 'other' AND amount IS NOT NULL")
     groups = open_.groupBy("business_no", "role").agg(F.array_sort(F.collect_list(F.struct("document_id", "amount"))).alias("own")).filter(F.size("own").between(2, most))
-    masks = F.sequence(F.lit(1), F.shiftleft(F.lit(1), F.size("own")) - 1)
-    picked = lambda m: F.filter(F.col("own"), lambda d, i: F.expr("1") == F.call_function("shiftright", m, i).bitwiseAND(1))
+    masks = F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), F.size("own")) - 1)
+    picked = lambda m: F.filter(F.col("own"), lambda d, i: F.call_function("shiftright", m, i).bitwiseAND(1) == 1)
     total = lambda m: F.aggregate(picked(m), F.lit(0).cast("decimal(28,2)"), lambda s, d: (s + d["amount"]).cast("decimal(28,2)"))
     sums = groups.select("business_no", "role", F.explode(F.transform(masks, lambda m: F.struct(m.alias("mask"), total(m).cast(MONEY).alias("amount"), picked(m).alias("set")))).alias("s")).select("business_no", "role", "s.*")
     hits = tolerance_join(sums, anchors(lines), "amount", "anchor", TOL, ["business_no"])
