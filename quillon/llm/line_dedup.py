@@ -92,8 +92,9 @@ def line_dedup(
         F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_ld_row"),
         F.col(text_col).alias("_ld_text"),
     )
-    cuts = sorted(set(slim.select(F.col("_ld_id").cast("double")).approxQuantile("_ld_id", [k / batches for k in range(1, batches)], 0.01)))
-    bounds = [None, *map(int, cuts), None]
+    shares = [k / batches for k in range(1, batches)]
+    cuts = sorted(set(slim.agg(F.percentile_approx("_ld_id", shares, 1000)).first()[0] or [])) if shares else []
+    bounds = [None, *cuts, None]
     runs, dropped = LineRuns(spark, min_chars, fanout), []
     for low, high in zip(bounds, bounds[1:], strict=False):
         batch = slim

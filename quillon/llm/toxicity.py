@@ -5,9 +5,10 @@ are disguised make a lattice of each suspicious token: digits and signs in place
 letters (l.o.s.e.r), letters repeated (looooser) and letters spaced out (l o s e r).  Viterbi decoding finds the
 most likely plain word; other tokens stay as they are.  The restored words are scored:
 
-* Lexicon: words whose share of toxic documents among the labelled ones is high beyond chance (log-likelihood
-  ratio over 2 ln of the number of words, odds over e^2) and that stand in as many different contexts as
-  they have places, roughly, so that words of one toxic text and its copies don't count.
+* Lexicon: words, and beginnings of words that stand several times in a text, whose share of toxic documents among
+  the labelled ones is high beyond chance (log-likelihood ratio over 2 ln of the number of words, odds over e^2)
+  and whose places in toxic texts have different neighbours (VARIED), so that words of one toxic text and its
+  copies don't count.
 * Score: logistic regression on the log of the summed weights of a text's lexicon words.
 
 The model is fitted on at most about `most_labelled` labelled rows, chosen by hash of the id; rows that the caller
@@ -16,7 +17,7 @@ letters and one for a word's border, so it has 28^3 counts at most, whatever the
 
 Null text counts as empty and gets the score of a text without lexicon words.  Null ids have no label; of several
 labels of one id the largest counts.  Repeated rows are scored each.  Columns besides id and text are not read.
-An empty table gives an empty result; without toxic labels every score is the share of toxic labels.
+An empty table gives an empty result; without toxic labels all scores are one low value.
 """
 
 from __future__ import annotations
@@ -31,6 +32,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CACHED = 300_000
+#: Different contexts that a lexicon word must have, as a share of its places in toxic texts.
+VARIED = 0.2
+#: Lengths of stems (the beginnings that words of the lexicon may share), and how often a text must have one for it to count.
+STEM, OFTEN = (4, 5, 6, 7), 3
 WORD = re.compile(r"[^\W\d_]+")
 #: What a sign may stand for.
 SIGNS = {
@@ -122,15 +127,21 @@ class Language:
         return own if own == [plain] else [plain, *own]
 
 
+def stems(word: str) -> list[str]:
+    """The beginnings of a word, of STEM letters, each with a star."""
+    return [word[:k] + "*" for k in STEM if k <= len(word)]
+
+
 class Restorer:
-    """Texts to restored words, with a cache of tokens."""
+    """Texts to restored words, or to those entries of a lexicon (words, and stems with a star) that they meet, with a cache of
+    tokens."""
 
     def __init__(self, language: Language, wanted: dict[str, float] | None = None):
         self.language, self.wanted, self.known = language, wanted, {}
 
     def of(self, chunk: str) -> tuple[str, ...]:
         found = self.language.restored(chunk)
-        found = tuple(found) if self.wanted is None else tuple(w for w in found if w in self.wanted)
+        found = tuple(found) if self.wanted is None else tuple(e for w in found for e in (w, *stems(w)) if e in self.wanted)
         if len(self.known) < CACHED and len(chunk) < 64:
             self.known[chunk] = found
         return found
@@ -194,7 +205,9 @@ def lexicon_of(sample: DataFrame, language: Language) -> dict[str, float]:
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 docs[toxic] += 1
-                seen[toxic].update(set(restorer.words(text or "")))
+                words = restorer.words(text or "")
+                begun = Counter(s for w in words for s in stems(w))
+                seen[toxic].update({*words, *(s for s, n in begun.items() if n >= OFTEN)})
             if len(seen[0]) + len(seen[1]) > CACHED:
                 yield out()
                 seen[0].clear()
@@ -215,7 +228,10 @@ def lexicon_of(sample: DataFrame, language: Language) -> dict[str, float]:
     least = 2 * math.log(max(2, counts.count()))
     found = counts.filter("word <> ''").filter((k >= 3) & (odds > 2) & (ratio > least)).orderBy(ratio.desc(), "word").limit(5000).select("word", odds.alias("weight")).collect()
     counts.unpersist()
-    wanted = {r.word: r.weight for r in found}
+    wanted: dict[str, float] = {}
+    for r in found:  # the strongest of entries that begin alike
+        if not any(related(r.word, w) for w in wanted):
+            wanted[r.word] = r.weight
     if not wanted:
         return {}
 
@@ -228,22 +244,31 @@ def lexicon_of(sample: DataFrame, language: Language) -> dict[str, float]:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if toxic:
                     words = ["", *restorer.words(text or ""), ""]
-                    rows += [(w, f"{words[i]} {words[i + 2]}") for i, w in enumerate(words[1:-1]) if w in wanted]
+                    rows += [(e, f"{words[i]} {words[i + 2]}") for i, w in enumerate(words[1:-1]) for e in (w, *stems(w)) if e in wanted]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], ["word", "context"])
 
     places = sample.mapInArrow(contexts, "word string, context string").groupBy("word", "context").agg(F.count("*").alias("n"))
-    varied = places.groupBy("word").agg((F.count("*") / F.sum("n")).alias("varied")).filter("varied >= 0.5").collect()
+    varied = places.groupBy("word").agg((F.count("*") / F.sum("n")).alias("varied")).filter(f"varied >= {VARIED}").collect()
     return {r.word: wanted[r.word] for r in varied}
 
 
-def feature(words: Iterable[str], lexicon: dict[str, float]) -> float:
-    return math.log1p(sum(lexicon.get(w, 0.0) for w in words))
+def related(a: str, b: str) -> bool:
+    """Whether two entries, one of them a stem, can stand for the same word."""
+    if a[-1] != "*" and b[-1] != "*":
+        return False
+    x, y = a.rstrip("*"), b.rstrip("*")
+    return (b[-1] == "*" and x.startswith(y)) or (a[-1] == "*" and y.startswith(x))
+
+
+def feature(entries: Iterable[str], lexicon: dict[str, float]) -> float:
+    met = Counter(entries)
+    return math.log1p(sum(lexicon[e] * n for e, n in met.items() if e[-1] != "*" or n >= OFTEN))
 
 
 def fitted(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Intercept and slope (not negative) of a logistic regression, slightly shrunk, by Newton's method."""
     if not len(y) or not y.any() or y.all():
-        share = (y.sum() + 0.5) / (len(y) + 1)
+        share = (y.sum() + 0.5) / (len(y) + 2)
         return math.log(share / (1 - share)), 0.0
     w, design = np.zeros(2), np.stack([np.ones(len(x)), x], axis=1)
     for _ in range(50):

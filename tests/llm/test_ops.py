@@ -182,7 +182,7 @@ def test_bpe_stream():
 
 
 def test_lookahead():
-    assert bpe.sufficient_lookahead([("a", "b"), ("ab", "c"), ("x", "abc")]) == 1 + 4
+    assert bpe.sufficient_lookahead([("a", "b"), ("ab", "c"), ("x", "abc")]) == 3 + 4
     assert bpe.sufficient_lookahead([("ab", "c"), ("a", "b")]) is None
 
 
