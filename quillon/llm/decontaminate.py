@@ -28,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 SHARD = 1 << 20
 BLOCK = 32 << 20
@@ -145,26 +146,43 @@ class Shard:
         self.words.append(words)
         self.size += len(words)
 
-    def judged(self, blocks) -> tuple[list, list[int], list[int], list[list[str]], list[int]]:
+    def layout(self) -> tuple[np.ndarray, np.ndarray, int]:
+        """Sizes and starts of the documents in the shard's numbers, and how many there are; a 0 ends each document."""
         sizes = np.array([len(w) for w in self.words], np.int64)
-        starts = np.cumsum(sizes + 1) - sizes - 1
-        total = int((sizes + 1).sum())
+        return sizes, np.cumsum(sizes + 1) - sizes - 1, int((sizes + 1).sum())
+
+    def numbers(self, q: Suffixes) -> np.ndarray:
+        _, starts, total = self.layout()
+        s = np.zeros(total + max(3, q.longest + 1), np.int32)
+        number = q.number.get
+        for start, words in zip(starts.tolist(), self.words, strict=True):
+            if words:
+                s[start : start + len(words)] = [number(w, 0) for w in words]
+        return s
+
+    def longest(self, q: Suffixes) -> tuple[np.ndarray, np.ndarray, list, np.ndarray]:
+        """For each suffix of the block its longest match in the shard, the number of its places, and document and word of the
+        first of them in the array."""
+        _, starts, _ = self.layout()
+        s = self.numbers(q)
+        array = suffix_array(s, q.longest)
+        length, places, at = (np.zeros(len(q.words), np.int64) for _ in range(3))
+        for suffix, low, high, depth in search(s, array, q):
+            if depth and len(suffix):
+                length[suffix], places[suffix], at[suffix] = depth, high - low, array[low]
+        doc = np.searchsorted(starts, at, "right") - 1
+        return length, places, [self.ids[d] for d in doc.tolist()], at - starts[doc]
+
+    def judged(self, blocks) -> tuple[list, list[int], list[int], list[list[str]]]:
+        sizes, starts, total = self.layout()
         hit = np.zeros(total + 1, bool)
         found: list[set] = [set() for _ in self.ids]
-        longest = np.zeros(len(self.ids), np.int64)
         for q in blocks:
-            s = np.zeros(total + max(3, q.longest + 1), np.int32)
-            number = q.number.get
-            for start, words in zip(starts.tolist(), self.words, strict=True):
-                if words:
-                    s[start : start + len(words)] = [number(w, 0) for w in words]
+            s = self.numbers(q)
             array = suffix_array(s, q.longest)
             marks = np.zeros(total + 1, np.int64)
             for suffix, low, high, depth in search(s, array, q):
-                if not len(suffix):
-                    continue
-                if depth:  # final: the longest match, at its first place of the array
-                    np.maximum.at(longest, np.searchsorted(starts, array[low], "right") - 1, depth)
+                if depth or not len(suffix):
                     continue
                 for at in range(0, len(suffix), 4096):
                     cut = slice(at, at + 4096)
@@ -179,7 +197,7 @@ class Shard:
             hit |= np.cumsum(marks) > 0
         before = np.concatenate([[0], np.cumsum(hit)])
         hits = before[starts + sizes] - before[starts]
-        return self.ids, sizes.tolist(), hits.tolist(), [sorted(f) for f in found], longest.tolist()
+        return self.ids, sizes.tolist(), hits.tolist(), [sorted(f) for f in found]
 
 
 def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> list:
@@ -200,8 +218,7 @@ def contamination(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
     item_text_col: str = "text", window: int = 13, least: float = 0.05,
 ) -> DataFrame:
-    """One row for each document: its id, n_words, n_hit, items (ids with windows in it, sorted), longest (words of the
-    longest verbatim match that was first in its shard's array), contaminated."""
+    """One row for each document: its id, n_words, n_hit, items (ids with windows in it, sorted), contaminated."""
     blocks = blocks_of(benchmark, item_col, item_text_col, window)
 
     def run(batches):
@@ -210,10 +227,10 @@ def contamination(
         kind = None
 
         def out(shard: Shard):
-            ids, sizes, hits, items, longest = shard.judged([b.value for b in blocks])
-            bad = [h > 0 and h >= least * n for n, h in zip(sizes, hits, strict=True)]
-            cols = [pa.array(ids, kind), pa.array(sizes, pa.int64()), pa.array(hits, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(longest, pa.int64()), pa.array(bad)]
-            return pa.RecordBatch.from_arrays(cols, [id_col, "n_words", "n_hit", "items", "longest", "contaminated"])
+            ids, sizes, hits, items = shard.judged([b.value for b in blocks])
+            bad = [h > 0 and h / n >= least for n, h in zip(sizes, hits, strict=True)]  # the quotient of equal shares is exact
+            cols = [pa.array(ids, kind), pa.array(sizes, pa.int64()), pa.array(hits, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(bad)]
+            return pa.RecordBatch.from_arrays(cols, [id_col, "n_words", "n_hit", "items", "contaminated"])
 
         shard = Shard()
         for batch in batches:
@@ -228,7 +245,57 @@ def contamination(
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, F.col(text_col).cast("binary")).mapInArrow(
-        run, f"`{id_col}` {kind}, n_words long, n_hit long, items array<string>, longest long, contaminated boolean"
+        run, f"`{id_col}` {kind}, n_words long, n_hit long, items array<string>, contaminated boolean"
+    )
+
+
+def longest_matches(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
+) -> DataFrame:
+    """One row for each word of each item that stands in a document: item, position, and the longest verbatim match from there on:
+    length in words, places, and doc_id and doc_position of one of them (the smallest id that a task has found first).  Each
+    task returns its best for each word of the benchmark."""
+    blocks = blocks_of(benchmark, item_col, item_text_col, 1)
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        import pyarrow as pa
+
+        best: list[dict] = [{} for _ in blocks]
+
+        def take(shard: Shard):
+            for own, b in zip(best, blocks, strict=True):
+                length, places, ids, at = shard.longest(b.value)
+                for k in np.flatnonzero(length).tolist():
+                    n, m, doc, p = own.get(k, (0, 0, None, 0))
+                    if length[k] > n:
+                        own[k] = (int(length[k]), int(places[k]), ids[k], int(at[k]))
+                    elif length[k] == n:
+                        first = min((doc, p), (ids[k], int(at[k])), key=lambda x: (x[0] is None, x))
+                        own[k] = (n, m + int(places[k]), *first)
+
+        shard, doc_type = Shard(), None
+        for batch in batches:
+            doc_type = batch.schema.field(0).type
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                shard.add(doc_id, text)
+                if shard.size >= SHARD or len(shard.ids) >= 50_000:
+                    take(shard)
+                    shard = Shard()
+        if shard.ids:
+            take(shard)
+        for own, b in zip(best, blocks, strict=True):
+            q = b.value
+            rows = [(q.items[q.item[k]], int(q.offset[k]), *v) for k, v in own.items()]
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), doc_type or pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["item", "position", "length", "places", id_col, "doc_position"])
+
+    found = docs.select(id_col, F.col(text_col).cast("binary")).mapInArrow(run, f"item string, position long, length long, places long, `{id_col}` {kind}, doc_position long")
+    longest = F.max("length").over(Window.partitionBy("item", "position"))
+    found = found.withColumn("_longest", longest).filter("length = _longest")
+    return found.groupBy("item", "position").agg(
+        F.max("length").alias("length"), F.sum("places").alias("places"), F.min_by(id_col, F.struct(id_col, "doc_position")).alias(id_col), F.min_by("doc_position", F.struct(id_col, "doc_position")).alias("doc_position")
     )
 
 
@@ -242,5 +309,5 @@ def query(spark, sf_dir: str) -> DataFrame:
     found = contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", "longest",
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
     )

@@ -28,7 +28,7 @@ def texts():
         out.append("\n".join(rng.choice(shared) if rng.random() < 0.4 else line() for _ in range(rng.randint(1, 8))))
     base = " ".join(rng.choices(vocabulary, k=400))
     out += [base, base + " ", base.replace(" ", "  "), base + " end", base.replace("ha", "he", 1), base.upper()]
-    out += [out[20], out[20], out[21], "word " * 30000, "x" * 70000, "\n".join(["same long line here"] * 50)]
+    out += [out[20], out[20], out[21], "word " * 3000, "x" * 70000, "\n".join(["same long line here"] * 50)]
     return out
 
 
@@ -66,6 +66,35 @@ def test_decontaminate(spark, docs, rows, none):
     assert kept.columns == docs.columns and kept.filter("doc_id IS NULL").count() == 2
 
 
+def test_share_is_exact(spark):
+    """Seven hit words of 140 are a twentieth."""
+    docs = spark.createDataFrame([(1, " ".join(["a b c d e f g"] + ["x"] * 133)), (2, " ".join(["a b c d e f g"] + ["x"] * 134))], "doc_id long, text string")
+    items_ = spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string")
+    assert [(r.n_hit, r.contaminated) for r in decontaminate.contamination(docs, items_).orderBy("doc_id").collect()] == [(7, True), (7, False)]
+
+
+def test_longest_matches(spark, docs, rows):
+    table, benchmark = items(spark, rows)
+    texts_ = [brute.words(t) for _, t in rows]
+    got = {(r.item, r.position): r for r in decontaminate.longest_matches(docs, benchmark).collect()}
+    for item, text in table:
+        w = brute.words(text)
+        for k in range(len(w)):
+            best, places = 0, 0
+            for t in texts_:
+                for p in range(len(t)):
+                    n = 0
+                    while k + n < len(w) and p + n < len(t) and t[p + n] == w[k + n]:
+                        n += 1
+                    best, places = (n, 1) if n > best else (best, places + (n == best))
+            r = got.get(("" if item is None else str(item), k))
+            assert (r is None) == (best == 0)
+            if r:
+                assert (r.length, r.places) == (best, places)
+                own = next(brute.words(t) for d, t in rows if d == r.doc_id and brute.words(t)[r.doc_position : r.doc_position + best] == w[k : k + best])
+                assert own
+
+
 def test_decontaminate_in_blocks(spark, docs, rows, monkeypatch):
     table, benchmark = items(spark, rows)
     monkeypatch.setattr(decontaminate, "BLOCK", 100)
