@@ -2,22 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import dashboard
 from ..sources import tables as t
+from ..sources.shared import new_path
 from ..streaming import jobs
 from .catalogue import query
 
 
 def place(spark) -> str:
     """A new checkpoint folder, in the folder that driver and executors share."""
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quillon-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return new_path(spark, "stream")
 
 
 def source(spark, d):
