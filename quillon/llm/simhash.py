@@ -29,7 +29,9 @@ from pyspark.sql.window import Window
 
 from .common import lookup, new_path, remove, written
 
-NODE = 1 << 14
+#: Fingerprints of a node of the dealing levels, roughly, and the number of these levels at least and at most: each
+#: fingerprint goes to as many blocks as there are nodes near its own (16 for 5 levels, growing as their square).
+NODE, LEVELS = 1 << 16, (5, 20)
 LAST = 9223372036854775807
 
 
@@ -137,7 +139,7 @@ def links(distinct: DataFrame, limit: int, n: int) -> DataFrame:
     """Edges src, dst (dst the smaller) that join all reps of linked fingerprints; distinct: bits, rep."""
     even = distinct.agg(*[F.sum(F.shiftright("bits", k).bitwiseAND(1)).alias(f"b{k}") for k in range(64)]).first()
     order = sorted(range(64), key=lambda k: abs(even[k] / n - 0.5))
-    depth = min(20, max(0, math.ceil(math.log2(max(1, n / NODE)))))
+    depth = min(LEVELS[1], max(LEVELS[0], math.ceil(math.log2(n / NODE))))
     masks = [0, *(1 << i for i in range(depth))]
     if limit >= 2:
         masks += [1 << i | 1 << j for i in range(depth) for j in range(i)]
