@@ -31,6 +31,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 CACHED = 300_000
 #: Different contexts that a lexicon word must have, as a share of its places in toxic texts.
 VARIED = 0.2
@@ -199,7 +201,7 @@ def lexicon_of(sample: DataFrame, language: Language) -> dict[str, float]:
 
         def out():
             words = [*seen[0].keys() | seen[1].keys()]
-            cols = [pa.array(words), pa.array([seen[0][w] for w in words], pa.int64()), pa.array([seen[1][w] for w in words], pa.int64())]
+            cols = [pa.array(words, pa.string()), pa.array([seen[0][w] for w in words], pa.int64()), pa.array([seen[1][w] for w in words], pa.int64())]
             return pa.RecordBatch.from_arrays(cols, ["word", "clean", "toxic"])
 
         for batch in batches:
@@ -213,7 +215,7 @@ def lexicon_of(sample: DataFrame, language: Language) -> dict[str, float]:
                 seen[0].clear()
                 seen[1].clear()
         yield out()
-        yield pa.RecordBatch.from_arrays([pa.array([""]), pa.array([docs[0]], pa.int64()), pa.array([docs[1]], pa.int64())], ["word", "clean", "toxic"])
+        yield pa.RecordBatch.from_arrays([pa.array([""], pa.string()), pa.array([docs[0]], pa.int64()), pa.array([docs[1]], pa.int64())], ["word", "clean", "toxic"])
 
     counts = sample.mapInArrow(counted, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).cache()
     total = counts.filter("word = ''").first()
@@ -291,12 +293,11 @@ def toxicity(
     if held_out is not None:
         usable = usable.filter(~held_out)
     usable = usable.groupBy(F.col(id_col).alias("_label")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
-    share = most_labelled / max(1, usable.count())
-    if share < 1:
-        usable = usable.filter(F.pmod(F.xxhash64("_label"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    sample = docs.join(usable, F.col(id_col) == F.col("_label")).select(F.col(text_col).alias("text"), "toxic").repartition(
-        max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    )
+    share = min(1.0, most_labelled / max(1, usable.count()))
+    taken = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 20)) < int(share * (1 << 20))
+    few = docs.filter(taken).select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))  # before texts are shuffled
+    sample = written(few.join(usable, F.col("_id") == F.col("_label")).select("text", "toxic"), "toxicity-sample")
+    sample = sample.repartition(max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     language = language_of(docs, text_col)
     lexicon = lexicon_of(sample, language)
 
