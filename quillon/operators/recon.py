@@ -19,6 +19,7 @@ from .. import config
 from ..functions.classify import cargo_receiver, diff_key
 from ..functions.money import MONEY, amount_text
 from ..functions.text import contract_variants, name_core, norm_text
+from ..sources.shared import written
 from .joins import containment_join, tolerance_join, unique_hits, variant_join
 
 DIFF = ["business_no", "rule", "type", "severity", "direction", "role", "expected", "actual", "delta", "document_ids"]
@@ -113,8 +114,8 @@ def bind(lines: DataFrame, docs: DataFrame, up_numbers: list[str], down_numbers:
             parts.append(by_cargo(rest, lines).withColumn("basis", F.lit("cargo")))
     single = unique_hits(reduce(DataFrame.unionByName, parts), "document_id").withColumn("multi", F.lit(False))
     guessed = rest.drop("direction").join(single, "document_id")
-    pool = rest.join(single.select("document_id"), "document_id", "left_anti")
-    return known.unionByName(guessed), pool
+    bound = written(known.unionByName(guessed), "bound")  # the rules read it many times
+    return bound, docs.join(bound.select("document_id"), "document_id", "left_anti")
 
 
 def subset_sums(docs: DataFrame, lines: DataFrame, most: int = 8) -> DataFrame:
