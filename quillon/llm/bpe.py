@@ -14,7 +14,7 @@ lengths.  Tokens that end before that reach are final, and since no merge crosse
 rest can be encoded without them.
 
 Texts pass in pieces; beyond a text itself, the state is one unfinished chunk between white space, a window
-of symbols and a bounded cache of chunks.  Null text counts as empty and has no tokens.  Invalid UTF-8
+of symbols and bounded caches of chunks and words, which a Python worker keeps from task to task.  Null text counts as empty and has no tokens.  Invalid UTF-8
 counts as replacement characters.  Columns besides id and text are not read; null ids and repeated rows
 pass through row by row.  An empty table gives an empty result.
 """
@@ -242,6 +242,24 @@ class Decoder:
         return out
 
 
+_OWN: dict[tuple, object] = {}
+
+
+def kept(kind: str, content: bytes, make: Callable[[], object]):
+    """What make() gives for a vocabulary file, kept for the later tasks of this Python worker; the last file alone."""
+    key = (kind, hashlib.sha1(content).digest())
+    if key not in _OWN:
+        for old in [k for k in _OWN if k[0] == kind]:
+            del _OWN[old]
+        _OWN[key] = make()
+    return _OWN[key]
+
+
+def transducer(content: bytes) -> tuple[Chunks, Decoder]:
+    vocabulary = Vocabulary(content)
+    return Chunks(Encoder(vocabulary).many), Decoder(vocabulary)
+
+
 def bpe(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
     """One row for each row of `docs`: its id, n_tokens, and ids (array of int) and decoded (string), or
     with `digest` the hex SHA-256 of both: ids_sha256 of the ids as little-endian 32-bit integers and
@@ -257,8 +275,8 @@ def bpe(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str
         import numpy as np
         import pyarrow as pa
 
-        vocabulary = Vocabulary(shared.value)
-        chunks, decoder = Chunks(Encoder(vocabulary).many), Decoder(vocabulary)
+        chunks, decoder = kept("transducer", shared.value, lambda: transducer(shared.value))
+        decoder.reset()
         for batch in batches:
             counts, first, second = [], [], []
             for text in batch.column(1).to_pylist():

@@ -26,13 +26,16 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import struct
+import sys
 import zlib
+from array import array
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import Chunks
+from .bpe import Chunks, kept
 from .common import new_path
 
 BLOCK, RESTART, BITS, PROBES = 1 << 16, 16, 10, 7
@@ -187,8 +190,16 @@ def opened(uri: str):
     return system, path
 
 
+#: A run of letters and then of signs, which the vocabulary's pattern always parts; an apostrophe may start a contraction.
+WORD_AND_SIGNS = re.compile(rb"([A-Za-z]+)([!-&(-/:-@\[-`{-~]*)")
+#: Chunks, and words below them, that the caches of a Python worker keep.
+CHUNKS, WORDS = 500_000, 1_000_000
+
+
 class LibraryIds:
-    """Chunks of text to ids with the tokenizers library, which sees each chunk once while the cache has room."""
+    """Chunks of text to ids with the tokenizers library.  A chunk of letters and signs is encoded as its word in lower
+    case and its signs, so the library sees each of these once while the caches have room; a Python worker keeps them
+    from task to task."""
 
     def __init__(self, content: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -198,12 +209,32 @@ class LibraryIds:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.wide = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.known: dict[bytes, bytes] = {b"": b""}
+
+    def encode(self, parts: list[bytes]) -> dict[bytes, bytes]:
+        found = self.tokenizer.encode_batch_fast([p.decode(errors="replace") for p in parts], add_special_tokens=False)
+        own = [array("I", e.ids) for e in found]
+        if sys.byteorder == "big":
+            for ids in own:
+                ids.byteswap()
+        return {p: ids.tobytes() for p, ids in zip(parts, own, strict=True)}
 
     def many(self, chunks: list[bytes]) -> list[bytes]:
-        import numpy as np
+        split, known = [], self.known
+        for chunk in chunks:
+            m = WORD_AND_SIGNS.fullmatch(chunk)
+            split.append((m[1].lower(), m[2]) if m else (chunk, b""))
+        missing = {part for pair in split for part in pair if part not in known}
+        new = self.encode(list(missing)) if missing else {}
+        if len(known) < WORDS:
+            known.update((p, i) for p, i in new.items() if len(p) < 64)
+        get = lambda p: known[p] if p in known else new[p]
+        return [get(a) + get(b) if b else get(a) for a, b in split]
+
 
-        found = self.tokenizer.encode_batch_fast([c.decode(errors="replace") for c in chunks], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+def library_chunks(content: bytes) -> tuple[LibraryIds, Chunks]:
+    library = LibraryIds(content)
+    return library, Chunks(library.many, CHUNKS)
 
 
 def write_shards(
@@ -221,8 +252,8 @@ def write_shards(
         import pyarrow as pa
         from pyspark import TaskContext
 
-        library = LibraryIds(content.value)
-        chunks, end = Chunks(library.many), np.array([end_id], "<u4").tobytes()
+        library, chunks = kept("library", content.value, lambda: library_chunks(content.value))
+        end = np.array([end_id], "<u4").tobytes()
         kind = f"<u{library.wide}"
         writer, first = None, b""
         context = TaskContext.get()
