@@ -44,6 +44,18 @@ def byte_symbols() -> list[str]:
     return [chr(b if b in shown else next(spare)) for b in range(256)]
 
 
+def word_pattern(spec: dict) -> str:
+    """The pattern of words of a vocabulary file.  Files that keep case or white space are refused: texts are cut
+    at white space before they are encoded."""
+    steps = (spec.get("normalizer") or {}).get("normalizers", [])
+    if [s["type"] for s in steps] != ["NFC", "Replace", "Lowercase"]:
+        raise ValueError("only the normalizers NFC, Replace and Lowercase are supported, in this order")
+    parts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    if [s["type"] for s in parts] != ["Split", "ByteLevel"] or parts[0]["behavior"] != "Removed" or not parts[0]["invert"]:
+        raise ValueError("only a Split that keeps what it finds and ByteLevel are supported")
+    return parts[0]["pattern"]["Regex"]
+
+
 class Vocabulary:
     def __init__(self, content: bytes):
         spec = json.loads(content)
@@ -55,13 +67,7 @@ class Vocabulary:
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.ranks = {p: k for k, p in enumerate(pairs)}
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        steps = (spec.get("normalizer") or {}).get("normalizers", [])
-        if [s["type"] for s in steps] != ["NFC", "Replace", "Lowercase"]:
-            raise ValueError("only the normalizers NFC, Replace and Lowercase are supported, in this order")
-        parts = spec["pre_tokenizer"]["pretokenizers"]
-        if [s["type"] for s in parts] != ["Split", "ByteLevel"] or parts[0]["behavior"] != "Removed" or not parts[0]["invert"]:
-            raise ValueError("only a Split that keeps what it finds and ByteLevel are supported")
-        self.pattern = parts[0]["pattern"]["Regex"]
+        self.pattern = word_pattern(spec)
         self.decoder = spec.get("decoder")
         self.texts = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.added.items()}
         self.longest = max(map(len, self.ids))
@@ -255,6 +261,15 @@ def kept(kind: str, content: bytes, make: Callable[[], object]):
     return _OWN[key]
 
 
+def vocabulary_file(path: str) -> bytes:
+    """Its content, read on the driver to be broadcast; at most 64 MB."""
+    with open(path, "rb") as f:
+        content = f.read(64 << 20 | 1)
+    if len(content) > 64 << 20:
+        raise ValueError("the vocabulary file is larger than 64 MB")
+    return content
+
+
 def transducer(content: bytes) -> tuple[Chunks, Decoder]:
     vocabulary = Vocabulary(content)
     return Chunks(Encoder(vocabulary).many), Decoder(vocabulary)
@@ -265,10 +280,7 @@ def bpe(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str
     with `digest` the hex SHA-256 of both: ids_sha256 of the ids as little-endian 32-bit integers and
     decoded_sha256 of the text in UTF-8.  The vocabulary file is read on the driver and broadcast; its size
     is checked."""
-    with open(vocab_path, "rb") as f:
-        content = f.read(64 << 20 | 1)
-    if len(content) > 64 << 20:
-        raise ValueError("the vocabulary file is larger than 64 MB")
+    content = vocabulary_file(vocab_path)
     shared = docs.sparkSession.sparkContext.broadcast(content)
 
     def run(batches):

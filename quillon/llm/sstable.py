@@ -25,6 +25,7 @@ folder; any file system that pyarrow.fs knows by URI will do.
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import re
 import struct
@@ -35,7 +36,7 @@ from array import array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import Chunks, kept
+from .bpe import Chunks, kept, vocabulary_file, word_pattern
 from .common import new_path
 
 BLOCK, RESTART, BITS, PROBES = 1 << 16, 16, 10, 7
@@ -192,10 +193,21 @@ def opened(uri: str):
 
 #: A run of letters and then of signs, which the vocabulary's pattern always parts; an apostrophe may start a contraction.
 WORD_AND_SIGNS = re.compile(rb"([A-Za-z]+)([!-&(-/:-@\[-`{-~]*)")
+PLAIN = re.compile(r"[A-Za-z]*[!-&(-/:-@\[-`{-~]*")
 #: Chunks, and words below them, that the caches of a Python worker keep.
 CHUNKS, WORDS = 500_000, 1_000_000
 
 
+def plain_words(spec: dict) -> None:
+    """Refuses a vocabulary file whose words or added tokens could reach over what WORD_AND_SIGNS parts."""
+    import regex
+
+    probe = "ab!#&(-/:@[_`{~"
+    added = [t["content"] for t in spec["added_tokens"]]
+    if regex.findall(word_pattern(spec), probe) != [probe[:2], probe[2:]] or any(PLAIN.fullmatch(t) for t in added):
+        raise ValueError("only vocabularies that part letters from signs are supported")
+
+
 class LibraryIds:
     """Chunks of text to ids with the tokenizers library.  A chunk of letters and signs is encoded as its word in lower
     case and its signs, so the library sees each of these once while the caches have room; a Python worker keeps them
@@ -243,8 +255,9 @@ def write_shards(
     """Encodes each text, appends the end id and writes the shards; the manifest, also a Parquet table in the
     folder: path, first, last (keys), n_docs, n_tokens and start (tokens before the shard)."""
     spark = docs.sparkSession
-    with open(vocab_path, "rb") as f:
-        content = spark.sparkContext.broadcast(f.read())
+    file_content = vocabulary_file(vocab_path)
+    plain_words(json.loads(file_content))
+    content = spark.sparkContext.broadcast(file_content)
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):

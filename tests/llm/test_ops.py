@@ -265,6 +265,14 @@ def test_token_shards(spark, docs, rows, none):
     assert sstable.read_shards(spark, empty).count() == 0
 
 
+def test_other_vocabularies_are_refused(docs):
+    """They would lose white space and case."""
+    other = P.path("byte_bpe_50k.json")
+    for encode in (lambda: bpe.Vocabulary(open(other, "rb").read()), lambda: sstable.write_shards(docs, "file:///none", other)):
+        with pytest.raises(ValueError):
+            encode()
+
+
 def test_token_shard_damage(spark, docs, tmp_path):
     import io
 
