@@ -17,7 +17,7 @@ def connection(folder):
 
 
 def cell(v):
-    if v is None or v != v or str(v) in ("NaT", "<NA>"):
+    if v is None or str(v) in ("NaT", "<NA>") or v != v:  # comparing NA has no truth value
         return "~"
     if isinstance(v, float) or type(v).__name__ == "Decimal":
         return f"{float(v):.9g}"
