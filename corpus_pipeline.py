@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, decontaminate, line_dedup, simhash, toxicity
+from quillon.llm import bpe, decontaminate, line_dedup, near_copies, simhash, toxicity
 from quillon.llm.common import written
 
 
@@ -32,9 +32,12 @@ def drop_lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id."""
-    found = simhash.near_duplicates(docs)
-    return without(docs, found.filter("doc_id <> component_id"))
+    """Of each group of near-duplicates the document with the smallest id.  Documents are linked if their fingerprints of
+    three words differ in two bits or fewer, or if 0.8 or more of their shingles of five words are the same."""
+    found = simhash.near_duplicates(docs).filter("doc_id <> component_id")
+    links = found.select(F.col("doc_id").alias("src"), F.col("component_id").alias("dst")).union(near_copies.near_links(docs))
+    groups = simhash.components(links.distinct()).filter("node <> component")
+    return without(docs, groups.select(F.col("node").alias("doc_id")))
 
 
 def drop_contaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
