@@ -7,8 +7,7 @@ most likely plain word; other tokens stay as they are.  The restored words are s
 
 * Lexicon: words, and beginnings of words that stand several times in a text, whose share of toxic documents among
   the labelled ones is high beyond chance (log-likelihood ratio over 2 ln of the number of words, odds over e^2)
-  and whose places in toxic texts have different neighbours (VARIED), so that words of one toxic text and its
-  copies don't count.
+  and which stand between CONTEXTS different pairs of neighbours in toxic texts.  Equal texts count once.
 * Score: logistic regression on the log of the summed weights of a text's lexicon words.
 
 The model is fitted on at most about `most_labelled` labelled rows, chosen by hash of the id; rows that the caller
@@ -34,8 +33,8 @@ from pyspark.sql import functions as F
 from .common import written
 
 CACHED = 300_000
-#: Different contexts that a lexicon word must have, as a share of its places in toxic texts.
-VARIED = 0.2
+#: Different contexts in toxic texts that a lexicon word must have.
+CONTEXTS = 3
 #: Lengths of stems (the beginnings that words of the lexicon may share), and how often a text must have one for it to count.
 STEM, OFTEN = (4, 5, 6, 7), 3
 WORD = re.compile(r"[^\W\d_]+")
@@ -228,14 +227,11 @@ def lexicon_of(sample: DataFrame, language: Language) -> dict[str, float]:
     ratio = 2 * (xlog(k, n * share) + xlog(n - k, n * (1 - share)))
     odds = F.log((k + 0.5) / (total.toxic + 1)) - F.log((n - k + 0.5) / (total.clean + 1))
     least = 2 * math.log(max(2, counts.count()))
-    found = counts.filter("word <> ''").filter((k >= 3) & (odds > 2) & (ratio > least)).orderBy(ratio.desc(), "word").limit(5000).select("word", odds.alias("weight")).collect()
+    found = counts.filter("word <> ''").filter((k >= 3) & (odds > 2) & (ratio > least)).orderBy(ratio.desc(), "word").select("word", odds.alias("weight")).collect()
     counts.unpersist()
-    wanted: dict[str, float] = {}
-    for r in found:  # the strongest of entries that begin alike
-        if not any(related(r.word, w) for w in wanted):
-            wanted[r.word] = r.weight
-    if not wanted:
+    if not found:
         return {}
+    wanted = {r.word for r in found}
 
     def contexts(batches):
         import pyarrow as pa
@@ -249,17 +245,21 @@ def lexicon_of(sample: DataFrame, language: Language) -> dict[str, float]:
                     rows += [(e, f"{words[i]} {words[i + 2]}") for i, w in enumerate(words[1:-1]) for e in (w, *stems(w)) if e in wanted]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], ["word", "context"])
 
-    places = sample.mapInArrow(contexts, "word string, context string").groupBy("word", "context").agg(F.count("*").alias("n"))
-    varied = places.groupBy("word").agg((F.count("*") / F.sum("n")).alias("varied")).filter(f"varied >= {VARIED}").collect()
-    return {r.word: wanted[r.word] for r in varied}
+    places = sample.mapInArrow(contexts, "word string, context string").distinct()
+    varied = {r.word for r in places.groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= CONTEXTS).collect()}
+    return strongest((r.word, r.weight) for r in found if r.word in varied)
 
 
-def related(a: str, b: str) -> bool:
-    """Whether two entries, one of them a stem, can stand for the same word."""
-    if a[-1] != "*" and b[-1] != "*":
-        return False
-    x, y = a.rstrip("*"), b.rstrip("*")
-    return (b[-1] == "*" and x.startswith(y)) or (a[-1] == "*" and y.startswith(x))
+def strongest(entries: Iterable[tuple[str, float]]) -> dict[str, float]:
+    """Without those entries that can stand for a word that an earlier one stands for, since one of both is a stem of the other."""
+    out: dict[str, float] = {}
+    begun: set[str] = set()
+    for entry, weight in entries:
+        own = stems(entry.rstrip("*"))
+        if not any(s in out for s in own) and entry not in begun:
+            out[entry] = weight
+            begun.update(own)
+    return out
 
 
 def feature(entries: Iterable[str], lexicon: dict[str, float]) -> float:
@@ -296,7 +296,9 @@ def toxicity(
     share = min(1.0, most_labelled / max(1, usable.count()))
     taken = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 20)) < int(share * (1 << 20))
     few = docs.filter(taken).select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))  # before texts are shuffled
-    sample = written(few.join(usable, F.col("_id") == F.col("_label")).select("text", "toxic"), "toxicity-sample")
+    few = few.join(usable, F.col("_id") == F.col("_label")).select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    once = few.groupBy(F.sha2("text", 256).alias("_hash")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
+    sample = written(once.select("text", "toxic"), "toxicity-sample")  # copies would outweigh other texts
     sample = sample.repartition(max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     language = language_of(docs, text_col)
     lexicon = lexicon_of(sample, language)
