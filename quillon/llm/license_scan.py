@@ -3,10 +3,12 @@
 Texts are lower-cased (A-Z); words are runs of 0-9, a-z and characters from U+0080 on, and stand apart by one
 space from then on.
 
-Phrases count wherever their words stand consecutively.  Each notice may be hit with at most `edits` insertions,
-deletions or substitutions of characters: split into edits + 1 pieces, one of them must then stand in the
-text unchanged (pigeonhole), so an Aho-Corasick search for all pieces finds every candidate, and the regex library's
-bounded-error matching verifies the text around it and gives the span and the edits.
+Phrases count wherever their words stand consecutively.  A notice may be hit with insertions, deletions and
+substitutions of characters, one for each SHARE characters of it and `edits` at most, but from the start of a word to
+the end of one, and with its own words (in braces, those that tell it from other notices) unchanged.  Split into
+edits + 1 pieces, one of them must then stand in the text unchanged (pigeonhole), so an Aho-Corasick search for all pieces
+finds every candidate, and the regex library's bounded-error matching verifies the text around it and gives the span
+and the edits.  Of notices whose spans overlap the one with the most text counts, less PENALTY characters for each edit.
 
 The score is 1 for a document with an exact phrase, else 1 less the share of edited characters of its best notice,
 or 0.  Null text counts as empty.  Null ids and repeated rows pass through row by row.  Columns besides id and text
@@ -15,50 +17,99 @@ are not read.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+import bisect
+import math
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .decontaminate import words_of
 
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Notices by label, as words; several for one label are alternatives.
+#: Notices by label, as words; several for one label are alternatives, words in braces must stand as they are.
 NOTICES = [
+    ("afl", "academic free license"),
+    ("agpl", "gnu affero general public license"),
     ("apache-2.0", "licensed under the apache license version 2 0"),
+    ("apache-2.0", "apache license version 2 0"),
+    ("artistic", "the artistic license"),
+    ("boost", "boost software license version 1 0"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd", "licensed under the {bsd} license"),
+    ("bsd", "released under the {bsd} license"),
     ("cc-by", "creative commons attribution"),
-    ("cc0", "no rights reserved"),
+    ("cc-by-nc", "creative commons attribution noncommercial"),
+    ("cc-by-nc", "creative commons attribution non commercial"),
+    ("cc-by-nd", "creative commons attribution noderivatives"),
+    ("cc-by-nd", "creative commons attribution no derivatives"),
+    ("cc-by-sa", "creative commons attribution sharealike"),
+    ("cc-by-sa", "creative commons attribution share alike"),
+    ("cc0", "{no} rights reserved"),
+    ("cc0", "creative commons {zero}"),
+    ("epl", "eclipse public license"),
+    ("gfdl", "gnu free documentation license"),
     ("gpl", "licensed under the gnu general public license"),
     ("gpl", "general public license"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose"),
     ("lgpl", "gnu lesser general public license"),
+    ("lgpl", "gnu library general public license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy"),
-    ("mit", "released under the mit license"),
+    ("mit", "licensed under the {mit} license"),
+    ("mit", "released under the {mit} license"),
     ("mpl", "mozilla public license"),
+    ("odbl", "open database license"),
+    ("ofl", "sil open font license"),
+    ("public-domain", "dedicated to the public domain"),
     ("reserved", "all rights reserved"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("zlib", "this software is provided as is without any express or implied warranty"),
 ]
+#: Characters of a notice for each edit that it may bear, and what an edit costs where notices overlap.
+SHARE, PENALTY = 9, 6
+#: Characters beyond a candidate in which the end of its last word is looked for.
+WORD = 32
+
+
+class Notice:
+    def __init__(self, label: str, marked: str, edits: int):
+        import regex
+
+        self.label, self.text = label, marked.replace("{", "").replace("}", "")
+        self.own = [f" {w} " for w in re.findall(r"\{(.*?)\}", marked)]
+        self.edits = min(edits, len(self.text) // SHARE)
+        self.pattern = regex.compile(f"(?b)(?<![^ ])(?:{regex.escape(self.text)}){{e<={self.edits}}}(?![^ ])")
+
+    def found(self, text: str, low: int, high: int) -> list[tuple[int, int, int]]:
+        """Start, end and edits of its places within text[low:high]."""
+        out, at = [], low
+        while m := self.pattern.search(text, at, high):
+            start, end = m.span()
+            own = f" {text[start:end]} "
+            if all(w in own for w in self.own) and text[end : end + 1] in ("", " "):
+                out.append((start, end, sum(m.fuzzy_counts)))
+                at = max(end, start + 1)
+            else:
+                at = start + 1
+        return out
 
 
 class Scanner:
     def __init__(self, phrases: dict[str, str], notices: list[tuple[str, str]], edits: int):
         import ahocorasick
-        import regex
 
         self.phrases = [(f" {p} ", label) for p, label in phrases.items()]
-        self.edits = edits
-        self.notices = []
-        seeds: dict[str, list[tuple[int, int, int]]] = {}
-        for k, (label, notice) in enumerate(notices):
-            if len(notice) <= edits:
-                raise ValueError(f"a notice of {len(notice)} characters can't bear {edits} edits")
-            pattern = regex.compile(f"(?b)(?:{regex.escape(notice)}){{e<={edits}}}")
-            self.notices.append((label, notice, pattern))
-            cuts = [len(notice) * i // (edits + 1) for i in range(edits + 2)]
+        self.notices = [Notice(label, marked, edits) for label, marked in notices]
+        seeds: dict[str, list[tuple[int, int]]] = {}
+        for k, notice in enumerate(self.notices):
+            cuts = [len(notice.text) * i // (notice.edits + 1) for i in range(notice.edits + 2)]
             for a, b in zip(cuts, cuts[1:], strict=False):
-                seeds.setdefault(notice[a:b], []).append((k, a, len(notice)))
+                seeds.setdefault(notice.text[a:b], []).append((k, a))
         self.seeds = ahocorasick.Automaton()
         for seed, uses in seeds.items():
             self.seeds.add_word(seed, (len(seed), uses))
-        self.seeds.make_automaton()
+        if seeds:
+            self.seeds.make_automaton()
 
     def exact(self, joined: bytes) -> list[tuple[int, str]]:
         """The first word and the label of each place of a phrase; joined: the words, with a space before, between and after."""
@@ -73,36 +124,32 @@ class Scanner:
         return out
 
     def fuzzy(self, text: str) -> list[tuple[str, int, int, int]]:
-        """Label, start, end and edits of each notice's places, the best of those that overlap."""
-        e, windows = self.edits, {}
-        for end, (size, uses) in self.seeds.iter(text):
-            for k, offset, length in uses:
-                start = end + 1 - size - offset
-                windows.setdefault(k, []).append((max(0, start - e), min(len(text), start + length + e)))
-        out = []
-        for k, spans in windows.items():
-            label, notice, pattern = self.notices[k]
-            found: list[tuple[int, int, int]] = []
-            at = -1
-            for low, high in sorted(set(spans)):
-                if low < at and high <= at:
+        """Label, start, end and edits of the notices' places; of those that overlap the best."""
+        seeds: dict[int, set[int]] = {}
+        for end, (size, uses) in self.seeds.iter(text) if len(self.seeds) else ():
+            for k, offset in uses:
+                seeds.setdefault(k, set()).add(end + 1 - size - offset)
+        found: dict[tuple[str, int, int], int] = {}
+        for k, starts in seeds.items():
+            n, done = self.notices[k], -math.inf
+            for start in sorted(starts):
+                if start + n.edits < done:  # within a place that was found
                     continue
-                m = pattern.search(text, low, high)
-                while m:
-                    edits = sum(m.fuzzy_counts)
-                    if found and m.start() < found[-1][1]:
-                        if edits < found[-1][2]:
-                            found[-1] = (m.start(), m.end(), edits)
-                    else:
-                        found.append((m.start(), m.end(), edits))
-                    at = m.end()
-                    m = pattern.search(text, max(m.end(), m.start() + 1), high)
-            out += [(label, *f) for f in found]
-        return sorted(out, key=lambda f: f[1:])
+                high = start + len(n.text) + n.edits
+                high = min(len(text), high + WORD if (space := text.find(" ", high, high + WORD)) < 0 else space)
+                for a, b, edits in n.found(text, max(0, start - n.edits), high):
+                    found[n.label, a, b] = min(edits, found.get((n.label, a, b), edits))
+                    done = b
+        taken: list[tuple[str, int, int, int]] = []
+        for label, start, end, edits in sorted(((*f, e) for f, e in found.items()), key=lambda f: (f[1] - f[2] + PENALTY * f[3], f[1], f[0])):
+            k = bisect.bisect([t[1] for t in taken], start)
+            if (not k or taken[k - 1][2] <= start) and (k == len(taken) or taken[k][1] >= end):
+                taken.insert(k, (label, start, end, edits))
+        return taken
 
 
 def license_scan(
-    docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: list[tuple[str, str]] = NOTICES, edits: int = 2,
+    docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: list[tuple[str, str]] = NOTICES, edits: int = 5,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """One row for each row of `docs`: its id, n_words, n_base, first_word, last_word, base_labels, labels, score and spans
