@@ -4,17 +4,17 @@ Texts are equal if they are identical without the characters [\\x20\\x09-\\x0D].
 the row with the most code points, then the smallest id.
 
 1. Local: the partial aggregation of each scan task joins the copies that the task has read.
-2. Salted: what the tasks found meets by digest, salt and full text; the salt is the scan task's number,
-   so the rows of a hot text are dealt over `salts` reducers and are one per scan task at most.
+2. Salted: what the tasks found meets by digest, salt and full text; the salt is the number of the task that
+   wrote the row, so the rows of a hot text are dealt over `salts` reducers and are one per scan task at most.
 3. Global: the at most `salts` winners of a text meet by digest and full text.
 
 The label of each class (digest, id that stays, size) then goes back to the rows by a lookup in which
 the classes that hold many rows are broadcast (common.lookup).
 
 Null text counts as empty, and all empty texts are one class.  A null id ranks behind all other ids and
-is kept only if nothing else can be.  Repeated rows are copies of one another: with the same id, each is
-the row that stays if that id stays.  Columns besides id and text are not read.  An empty table gives an
-empty result.
+is kept only if nothing else can be.  Exactly one row of a class stays: of rows with the same id and number of
+code points, the first by the number that it got when the rows were written.  Columns besides id and text are
+not read.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,35 +33,46 @@ def normalised(text):
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", "")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
-    """One row for each distinct text: digest (hex SHA-256 of the normalised text), keep_id, group_size."""
-    chars = F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("decimal(12,0)")
-    nearness = F.coalesce(F.lit(LAST).cast("decimal(20,0)") - F.col(id_col).cast("decimal(20,0)"), F.lit(-1).cast("decimal(20,0)"))
-    content = docs.select(
-        normalised(F.col(text_col)).alias("content"),
-        (chars * F.lit(SPAN).cast("decimal(20,0)") + nearness + F.lit(1).cast("decimal(20,0)")).cast("decimal(38,0)").alias("rank"),
-        F.pmod(F.spark_partition_id(), F.lit(salts)).alias("salt"),
-    ).withColumn("digest", F.sha2("content", 256))
-    salted = content.groupBy("digest", "salt", "content").agg(F.max("rank").alias("rank"), F.count("*").alias("n"))
+def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """content (the normalised text), digest (its SHA-256 in hex), chars of the text, and row, a number for each row."""
+    chars = F.char_length(F.coalesce(F.col(text_col), F.lit("")))
+    content = docs.select(F.col(id_col).cast("long").alias("id"), normalised(F.col(text_col)).alias("content"), chars.alias("chars"))
+    return content.withColumn("digest", F.sha2("content", 256)).withColumn("row", F.monotonically_increasing_id())
+
+
+def classes(rows: DataFrame, salts: int = 16) -> DataFrame:
+    """One row for each distinct text of what numbered() gives: digest, keep_id, keep_chars, group_size."""
+    wide = lambda c, n: F.col(c).cast(f"decimal({n},0)") if isinstance(c, str) else c.cast(f"decimal({n},0)")
+    nearness = F.coalesce(wide(F.lit(LAST), 20) - wide("id", 20), wide(F.lit(-1), 20))
+    ranked = rows.select(
+        "content", "digest",
+        (wide("chars", 12) * wide(F.lit(SPAN), 20) + nearness + wide(F.lit(1), 20)).cast("decimal(38,0)").alias("rank"),
+        F.pmod(F.shiftright("row", 33), F.lit(salts)).alias("salt"),
+    )
+    salted = ranked.groupBy("digest", "salt", "content").agg(F.max("rank").alias("rank"), F.count("*").alias("n"))
     best = salted.groupBy("digest", "content").agg(F.max("rank").alias("rank"), F.sum("n").alias("group_size"))
-    near = F.col("rank") % F.lit(SPAN).cast("decimal(38,0)")
-    keep = F.when(near > 0, (F.lit(LAST).cast("decimal(38,0)") + F.lit(1).cast("decimal(38,0)") - near).cast("long"))
-    return best.select("digest", keep.alias("keep_id"), "group_size")
+    near, span = F.col("rank") % wide(F.lit(SPAN), 38), wide(F.lit(SPAN), 38)
+    keep = F.when(near > 0, (wide(F.lit(LAST), 38) + wide(F.lit(1), 38) - near).cast("long"))
+    return best.select("digest", keep.alias("keep_id"), F.floor((F.col("rank") - near) / span).cast("int").alias("keep_chars"), "group_size")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
     """One row for each row of `docs`: its id, keep_id, group_size, kept, text_sha256."""
-    rows = written(
-        docs.select(F.col(id_col), F.sha2(normalised(F.col(text_col)), 256).alias("text_sha256")), "exact-rows"
-    )
-    found = written(classes(docs, id_col, text_col, salts).withColumnRenamed("digest", "text_sha256"), "exact-classes")
-    labelled = lookup(rows, found, "text_sha256", "group_size", rows.count(), id_col)
+    rows = written(numbered(docs, id_col, text_col), "exact-rows")
+    best = classes(rows, salts)
+    slim = rows.drop("content")
+    again = slim.groupBy("digest", "id", "chars").agg(F.min("row").alias("keep_row"), F.count("*").alias("times")).filter("times > 1")
+    again = again.select("keep_row", F.col("digest").alias("d"), F.col("id").alias("i"), F.col("chars").alias("c"))
+    same = (F.col("digest") == F.col("d")) & F.col("keep_id").eqNullSafe(F.col("i")) & (F.col("keep_chars") == F.col("c"))
+    found = written(best.join(again, same, "left").drop("d", "i", "c"), "exact-classes")
+    labelled = lookup(slim, found, "digest", "group_size", slim.count(), "row")
+    first = F.coalesce(F.col("row") == F.col("keep_row"), F.lit(True))
     return labelled.select(
-        id_col,
+        F.col("id").cast(docs.schema[id_col].dataType).alias(id_col),
         "keep_id",
         F.col("group_size").cast("long").alias("group_size"),
-        F.col(id_col).eqNullSafe(F.col("keep_id")).alias("kept"),
-        "text_sha256",
+        (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("chars") == F.col("keep_chars")) & first).alias("kept"),
+        F.col("digest").alias("text_sha256"),
     )
 
 

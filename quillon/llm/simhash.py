@@ -25,7 +25,6 @@ import math
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import lookup, new_path, remove, written
 
@@ -213,23 +212,30 @@ def links(distinct: DataFrame, limit: int, n: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and component (its smallest node) for each node of the edges (src, dst)."""
+    """node and component (its smallest node) for each node of the edges (src, dst).  A node's least neighbour is an aggregate
+    that is looked up again, so that the node with the most neighbours is no task of its own."""
     spark = edges.sparkSession
     before, path = None, new_path(spark, "edges")
     edges.select("src", "dst").write.parquet(path)
+
+    def with_least(rows: DataFrame) -> DataFrame:
+        least = rows.groupBy("src").agg(F.min("dst").alias("m"), F.count("*").alias("degree"))
+        return lookup(rows, least, "src", "degree", rows.count(), "dst")
+
     while True:
         edges = spark.read.schema("src long, dst long").parquet(path)
         both = edges.union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        by_src = Window.partitionBy("src")
-        large = both.withColumn("m", F.least("src", F.min("dst").over(by_src))).filter("dst > src")
-        large = large.select(F.col("dst").alias("src"), F.col("m").alias("dst")).filter("src <> dst").distinct()
-        small = large.withColumn("m", F.min("dst").over(by_src))
+        large = with_least(both).withColumn("m", F.least("src", "m")).filter("dst > src")
+        large_path = new_path(spark, "edges")
+        large.select(F.col("dst").alias("src"), F.col("m").alias("dst")).filter("src <> dst").distinct().write.parquet(large_path)
+        small = with_least(spark.read.schema("src long, dst long").parquet(large_path))
         small = small.select("src", F.col("m").alias("dst")).union(
             small.filter("dst <> m").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
         )
         old, path = path, new_path(spark, "edges")
         small.distinct().write.parquet(path)
         remove(spark, old)
+        remove(spark, large_path)
         now = spark.read.schema("src long, dst long").parquet(path)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(20,0)"))).first()
         if state == before:

@@ -9,7 +9,7 @@ The longest rule that fits a page's host or a parent of it and starts its path g
 
 A null url, or one without ://, has empty host and path; all those pages are one host.  A label counts
 for each page of its id; of several labels of one id the worst counts; null ids have no label.  Repeated rows count
-each.  Columns besides id and url pass through.  An empty table gives an empty result; without labels
+each.  Columns besides id and url pass through, but for those that are named like a column of the result.  An empty table gives an empty result; without labels
 every host is allowed unless a rule blocks it.
 """
 
@@ -101,23 +101,25 @@ def url_filter(
     """The rows of `pages` with host, path, rule, verdict, n_labelled and bound (the posterior's lower bound).  bad: a
     condition on `labels`, that a page's outcome was bad; low quality by default."""
     bad = F.col("quality") == 0 if bad is None else bad
-    host, path = host_and_path(F.col(url_col))
-    outcome = labels.filter(F.col(label_id).isNotNull()).groupBy(F.col(label_id).alias("_label")).agg(F.max(bad.cast("int")).alias("bad"))
-    split = pages.select(F.col(id_col).alias("id"), host.alias("host"))
-    known = written(reputations(split.join(outcome, F.col("id") == F.col("_label"), "left").select("host", "bad")), "reputations")
-    known = known.select(F.col("host").alias("_uf_host"), F.struct("n", (F.col("mean") - z * F.col("sd")).alias("bound")).alias("_uf_host_value"), "n_pages")
-    full = pages.drop("host", "path", "rule", "verdict", "n_labelled", "bound").withColumns({"_uf_host": host, "_uf_path": path})
-    full = lookup(full, known, "_uf_host", "n_pages", pages.count(), id_col)
-    text, verdict = rule_of(F.col("_uf_host"), F.col("_uf_path"), rules)
-    own = F.col("_uf_host_value")
+    host, path = host_and_path(F.col(f"`{url_col}`"))
+    outcome = labels.filter(F.col(label_id).isNotNull()).groupBy(F.col(label_id).alias("label")).agg(F.max(bad.cast("int")).alias("bad"))
+    split = pages.select(F.col(f"`{id_col}`").alias("id"), host.alias("host"))
+    known = written(reputations(split.join(outcome, F.col("id") == F.col("label"), "left").select("host", "bad")), "reputations")
+    made = ["host", "path", "rule", "verdict", "n_labelled", "bound"]
+    others = [c for c in pages.columns if c not in made]
+    # the page's own columns as one, so that no name can clash
+    full = pages.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("page"), F.col(f"`{id_col}`").alias("id"), host.alias("host"), path.alias("path"))
+    known = known.select("host", F.struct("n", (F.col("mean") - z * F.col("sd")).alias("bound")).alias("own"), "n_pages")
+    full = lookup(full, known, "host", "n_pages", full.count(), "id")
+    text, verdict = rule_of(F.col("host"), F.col("path"), rules)
     return full.select(
-        *[c for c in full.columns if not c.startswith("_uf_") and c != "n_pages"],
-        F.col("_uf_host").alias("host"),
-        F.col("_uf_path").alias("path"),
+        *[F.col("page")[c].alias(c) for c in others],
+        "host",
+        "path",
         text.alias("rule"),
-        F.coalesce(verdict, F.when(own["bound"] > most, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),
-        own["n"].alias("n_labelled"),
-        own["bound"].alias("bound"),
+        F.coalesce(verdict, F.when(F.col("own")["bound"] > most, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),
+        F.col("own")["n"].alias("n_labelled"),
+        F.col("own")["bound"].alias("bound"),
     )
 
 

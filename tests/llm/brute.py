@@ -86,14 +86,13 @@ def components(docs):
 
 def exact(docs):
     groups = defaultdict(list)
-    for doc_id, text in docs:
-        groups[re.sub(r"[\x20\x09-\x0D]+", "", text or "")].append((-len(text or ""), float("inf") if doc_id is None else doc_id))
+    for k, (doc_id, text) in enumerate(docs):
+        groups[re.sub(r"[\x20\x09-\x0D]+", "", text or "")].append((-len(text or ""), float("inf") if doc_id is None else doc_id, k))
     out = []
-    for doc_id, text in docs:
+    for k, (doc_id, text) in enumerate(docs):
         norm = re.sub(r"[\x20\x09-\x0D]+", "", text or "")
-        keep = min(groups[norm])[1]
-        keep = None if keep == float("inf") else keep
-        out.append((doc_id, keep, len(groups[norm]), doc_id == keep, sha(norm)))
+        _, keep, row = min(groups[norm])
+        out.append((doc_id, None if keep == float("inf") else keep, len(groups[norm]), k == row, sha(norm)))
     return out
 
 
