@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +26,32 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: the rows as a Parquet table in the shared folder, which outlives any executor."""
-    path = new_path(df.sparkSession, name)
+    return written_to(df, new_path(df.sparkSession, name))
+
+
+def written_to(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a table that written() or the like has made and nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Gives a written() whose tables are deleted at the end; what is returned from within must be written otherwise."""
+    made: list[str] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        made.append(new_path(spark, name))
+        return written_to(df, made[-1])
+
+    try:
+        yield keep
+    finally:
+        for path in made:
+            remove(spark, path)
