@@ -15,8 +15,9 @@ from quillon.llm.common import written
 
 
 def without(docs: DataFrame, bad: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id isn't in bad."""
-    return docs.join(bad.select(F.col("doc_id").alias("_bad")).distinct(), F.col("doc_id") == F.col("_bad"), "left_anti")
+    """The rows of docs whose doc_id isn't in bad; rows whose id is null stay."""
+    name = "bad-" + "-".join(docs.columns)  # no column of docs has this name
+    return docs.join(bad.select("doc_id").distinct().toDF(name), F.col("doc_id") == F.col(f"`{name}`"), "left_anti")
 
 
 def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
