@@ -13,8 +13,11 @@ of ascending rank in which each right part starts with the previous left part, w
 lengths.  Tokens that end before that reach are final, and since no merge crosses a token's border, the
 rest can be encoded without them.
 
-Texts pass in pieces; beyond a text itself, the state is one unfinished chunk between white space, a window
-of symbols and bounded caches of chunks and words, which a Python worker keeps from task to task.  Null text counts as empty and has no tokens.  Invalid UTF-8
+Texts pass in pieces of PIECE bytes.  A run without white space that is longer goes through a Transducer, whose state is
+bounded whatever the length: an unfinished character, the start of an added token, what follows the last character
+that normalization can't reach over (in texts that write letters; a run of combining marks is held whole), the start of a
+literal of the pattern, and a window of symbols of the open word.  Caches of chunks and words are bounded, and a
+Python worker keeps them from task to task.  Null text counts as empty and has no tokens.  Invalid UTF-8
 counts as replacement characters.  Columns besides id and text are not read; null ids and repeated rows
 pass through row by row.  An empty table gives an empty result.
 """
@@ -22,10 +25,14 @@ pass through row by row.  An empty table gives an empty result.
 from __future__ import annotations
 
 import codecs
+import functools
 import hashlib
 import heapq
 import json
+import re
+import sys
 import unicodedata
+from array import array
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
@@ -35,6 +42,7 @@ from pyspark.sql import functions as F
 PIECE = 1 << 16
 #: Chunks that a cache keeps.
 CACHED = 500_000
+SPACE = re.compile(rb"\s")
 
 
 def byte_symbols() -> list[str]:
@@ -44,6 +52,36 @@ def byte_symbols() -> list[str]:
     return [chr(b if b in shown else next(spare)) for b in range(256)]
 
 
+def alternatives(pattern: str) -> list[str]:
+    """The alternatives of a pattern of literals, classes and repeated classes; other patterns are refused."""
+    import regex
+
+    parts = regex.findall(r"(?:\[(?:[^\]\\]|\\.)*\]\+?|[^|\[\]])+", pattern)
+    plain = r"(?:[^\\.^$*+?{}\[\]|()]|\\[^\w\s])+|\[(?:[^\]\\]|\\.)*\]\+?"
+    if "|".join(parts) != pattern or not all(regex.fullmatch(plain, p) for p in parts):
+        raise ValueError("only patterns of literals and classes are supported")
+    return parts
+
+
+@functools.cache
+def reached() -> frozenset[str]:
+    """Characters that normalization may join with what is before them."""
+    out = {chr(c) for c in [*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)]}
+    for c in map(chr, range(0x300, 0x30000)):
+        way = unicodedata.decomposition(c)
+        if way and way[0] != "<" and " " in way:
+            out.add(chr(int(way.split()[1], 16)))
+    return frozenset(out)
+
+
+def border(c: str) -> bool:
+    """Whether normalization can't reach from before a character to it or beyond."""
+    if c < "\x80":
+        return True
+    first = unicodedata.normalize("NFD", c)[0]
+    return all(not unicodedata.combining(x) and x not in reached() for x in (c, first))
+
+
 def word_pattern(spec: dict) -> str:
     """The pattern of words of a vocabulary file.  Files that keep case or white space are refused: texts are cut
     at white space before they are encoded."""
@@ -68,6 +106,10 @@ class Vocabulary:
         self.ranks = {p: k for k, p in enumerate(pairs)}
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.pattern = word_pattern(spec)
+        parts = alternatives(self.pattern)
+        #: Patterns that match runs of any length; more characters than any other alternative may match.
+        self.runs = [p for p in parts if p.endswith("]+")]
+        self.margin = 1 + max(len(p) for p in parts if p[0] != "[") if any(p[0] != "[" for p in parts) else 2
         self.decoder = spec.get("decoder")
         self.texts = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.added.items()}
         self.longest = max(map(len, self.ids))
@@ -154,6 +196,19 @@ class Encoder:
         rest[-1] += self.v.end
         yield from self.merged(rest)
 
+    def plain(self, text: str) -> str:
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text)
+        return text.lower() if "Σ" not in text else "".join(map(str.lower, text))
+
+    def known(self, word: str) -> list[int]:
+        if (own := self.seen.get(word)) is None:
+            ids = self.v.ids
+            own = [ids[t] for t in self.word(word) if t in ids]
+            if len(self.seen) < CACHED // 2 and len(word) < 64:
+                self.seen[word] = own
+        return own
+
     def chunk(self, chunk: bytes) -> bytes:
         """The ids, as little-endian unsigned 32-bit integers, of text without white space in it."""
         text, out = chunk.decode(errors="replace"), []
@@ -164,31 +219,106 @@ class Encoder:
                 parts += [(text[at : m.start()], None), ("", self.v.added[m[0]])]
                 at = m.end()
             parts.append((text[at:], None))
-        ids = self.v.ids
         for part, special in parts:
             if special is not None:
                 out.append(special)
                 continue
-            if not part.isascii():
-                part = unicodedata.normalize("NFC", part)
-            part = part.lower() if "Σ" not in part else "".join(map(str.lower, part))
+            part = self.plain(part)
             for word in self.words.findall(part) if len(part) < PIECE else (m[0] for m in self.words.finditer(part)):
-                if (own := self.seen.get(word)) is None:
-                    own = [ids[t] for t in self.word(word) if t in ids]
-                    if len(self.seen) < CACHED // 2 and len(word) < 64:
-                        self.seen[word] = own
-                out += own
+                out += self.known(word)
         return b"".join(i.to_bytes(4, "little") for i in out)
 
     def many(self, chunks: list[bytes]) -> list[bytes]:
         return [self.chunk(c) for c in chunks]
 
 
+class Transducer:
+    """Encodes a run of text without white space, a piece at a time."""
+
+    def __init__(self, encoder: Encoder):
+        import regex
+
+        self.e, self.v = encoder, encoder.v
+        self.bytes = codecs.getincrementaldecoder("utf-8")(errors="replace")
+        self.runs = [regex.compile(p) for p in self.v.runs]
+        self.raw = self.held = self.rest = ""
+        self.run, self.symbols = None, []
+
+    def feed(self, piece: bytes, last: bool = False) -> bytes:
+        """The ids that are stable by now."""
+        text, out, at = self.raw + self.bytes.decode(piece, last), [], 0
+        for m in self.e.special.finditer(text) if self.e.special else ():
+            out += self.normal(text[at : m.start()], True)
+            out.append(self.v.added[m[0]])
+            at = m.end()
+        end = len(text)
+        if not last:  # the longest start of an added token waits
+            end -= max((k for t in self.v.added for k in range(1, min(len(t), len(text) - at + 1)) if text.endswith(t[:k])), default=0)
+        self.raw = text[end:]
+        out += self.normal(text[at:end], last)
+        return array("I", out).tobytes() if sys.byteorder == "little" else b"".join(i.to_bytes(4, "little") for i in out)
+
+    def normal(self, text: str, last: bool) -> list[int]:
+        text = self.held + text
+        end = len(text) if last else next((k for k in range(len(text) - 1, -1, -1) if border(text[k])), 0)
+        self.held = text[end:]
+        return self.split(self.e.plain(text[:end]), last)
+
+    def split(self, text: str, last: bool) -> list[int]:
+        """Words of the pattern; the last may be open, and then its symbols go on to the merges as they come."""
+        text, out, at = self.rest + text, [], 0
+        self.rest = ""
+        if self.run is not None:
+            m = self.run.match(text)
+            at = m.end() if m else 0
+            out += self.grown(text[:at])
+            if at == len(text) and not last:
+                return out
+            out += self.closed()
+        while m := self.e.words.search(text, at):
+            at = m.start()
+            if not last:
+                if len(text) - at < self.v.margin:
+                    break
+                if m.end() == len(text) and self.e.window:
+                    self.run = next((r for r in self.runs if (x := r.match(text, at)) and x.end() == m.end()), None)
+                    if self.run is not None:
+                        return out + self.grown(m[0])
+                if m.end() == len(text):
+                    break
+            out += self.e.known(m[0])
+            at = m.end()
+        else:
+            at = len(text) if last else max(at, len(text) - self.v.margin)
+        self.rest = text[at:]
+        return out
+
+    def grown(self, part: str) -> list[int]:
+        """The stable tokens of the open word, which goes on."""
+        self.symbols += [self.e.symbols[b] for b in part.encode()]
+        start, out, ids = 0, [], self.v.ids
+        while len(self.symbols) - start > self.e.window:
+            stable = start + self.e.window - self.v.reach
+            for token in self.e.merged(self.symbols[start : start + self.e.window]):
+                if start + len(token) > stable:
+                    break
+                start += len(token)
+                if token in ids:
+                    out.append(ids[token])
+        del self.symbols[:start]
+        return out
+
+    def closed(self) -> list[int]:
+        self.run, rest, self.symbols = None, self.symbols, []
+        rest[-1] += self.v.end
+        return [self.v.ids[t] for t in self.e.merged(rest) if t in self.v.ids]
+
+
 class Chunks:
     """Splits texts at white space, and keeps the ids of the chunks that came first."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[bytes]], most: int = CACHED):
-        self.encode, self.most, self.known = encode, most, {}
+    def __init__(self, encode: Callable[[list[bytes]], list[bytes]], most: int = CACHED, long: Callable[[], Transducer] | None = None):
+        self.encode, self.most, self.known, self.long = encode, most, {}, long
 
     def ids(self, chunks: list[bytes]) -> bytes:
         known = self.known
@@ -201,17 +331,31 @@ class Chunks:
         return b"".join([known.get(c) or new.get(c, b"") for c in chunks])
 
     def stream(self, text: bytes) -> Iterator[bytes]:
-        """The ids of a text, piece by piece; a chunk that a piece cuts waits for the next piece."""
+        """The ids of a text, piece by piece; a chunk that a piece cuts waits for the next piece, unless it is long."""
         if len(text) <= PIECE:
             yield self.ids(text.split())
             return
-        held = b""
+        held, open_ = b"", None
         for at in range(0, len(text), PIECE):
             piece = held + text[at : at + PIECE] if held else text[at : at + PIECE]
+            held = b""
+            if open_ is not None:
+                space = SPACE.search(piece)
+                end = space.start() if space else len(piece)
+                yield open_.feed(piece[:end], space is not None)
+                if space is None:
+                    continue
+                open_, piece = None, piece[end:]
             chunks = piece.split()
             held = chunks.pop() if chunks and not piece[-1:].isspace() else b""
             yield self.ids(chunks)
-        if held:
+            if len(held) >= PIECE and self.long:
+                open_ = self.long()
+                yield open_.feed(held)
+                held = b""
+        if open_ is not None:
+            yield open_.feed(b"", True)
+        elif held:
             yield self.ids([held])
 
 
@@ -272,7 +416,8 @@ def vocabulary_file(path: str) -> bytes:
 
 def transducer(content: bytes) -> tuple[Chunks, Decoder]:
     vocabulary = Vocabulary(content)
-    return Chunks(Encoder(vocabulary).many), Decoder(vocabulary)
+    encoder = Encoder(vocabulary)
+    return Chunks(encoder.many, long=lambda: Transducer(encoder)), Decoder(vocabulary)
 
 
 def bpe(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:

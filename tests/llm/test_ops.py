@@ -198,7 +198,8 @@ def test_bpe_stream():
     from tokenizers import Tokenizer
 
     tokenizer, vocabulary = Tokenizer.from_file(VOCAB), bpe.Vocabulary(open(VOCAB, "rb").read())
-    chunks, decoder = bpe.Chunks(bpe.Encoder(vocabulary).many, 500), bpe.Decoder(vocabulary)
+    encoder = bpe.Encoder(vocabulary)
+    chunks, decoder = bpe.Chunks(encoder.many, 500, lambda: bpe.Transducer(encoder)), bpe.Decoder(vocabulary)
     rng = random.Random(1)
     alphabet = ["a", "th", "in", "ing", "1", "é", "é", "Σ", "ß", "İ", " ", "\x1c", "\x85", "\xa0", "<|endoftext|>", "<|startoftext|>", "'s", "'", "!", "日", "😀", "\n", "\x0b", "\ufeff", "K", "́", "²", "\x00"]
     cases = ["".join(rng.choices(alphabet, k=rng.randint(0, 40))) for _ in range(400)]
