@@ -28,6 +28,8 @@ from .common import lookup, written
 BANDS, ROWS = 24, 5
 #: Nodes and bytes of a part of a band, at most (a larger set is a part of its own).
 PART, BYTES = 2048, 16 << 20
+#: Rows whose sets are held at once.
+SLICE = 500
 _SEEDS = np.random.Generator(np.random.PCG64(42)).integers(1, 1 << 64, (2, BANDS * ROWS), np.uint64, endpoint=False)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -39,7 +41,7 @@ class Hashes(defaultdict):
         import xxhash
 
         found = xxhash.xxh64_intdigest(word, 42)
-        if len(self) < 300_000:
+        if len(self) < 100_000:
             self[word] = found
         return found
 
@@ -84,7 +86,7 @@ def sets(docs: DataFrame, words: int, banded: bool) -> DataFrame:
         import xxhash
 
         hashes = Hashes()
-        for batch in batches:
+        for batch in (b.slice(k, SLICE) for b in batches for k in range(0, len(b), SLICE)):
             found = [shingles(t or b"", words, hashes) for t in batch.column(1).to_pylist()]
             keys = np.array([xxhash.xxh64_intdigest(g.tobytes(), 42) for g in found], np.uint64).view(np.int64)
             if banded:

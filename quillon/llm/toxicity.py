@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-CACHED = 300_000
+CACHED = 150_000
 #: Different contexts in toxic texts that a lexicon word must have.
 CONTEXTS = 3
 #: Lengths of stems (the beginnings that words of the lexicon may share), and how often a text must have one for it to count.
