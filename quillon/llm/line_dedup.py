@@ -5,28 +5,40 @@ that hold a key of at least `min_chars` code points, the one with the smallest i
 key; the others lose theirs.
 
 Documents come in batches by ascending id.  LineRuns holds the keys of earlier batches as runs: tables of
-128-bit hashes sorted by hash.  A batch's own first holders are merge-anti-joined with the runs of all
-levels; what is left is the batch's new run at level 0.  Once a level has `fanout` runs, they are merged
-into one run of the next level, so n batches leave at most fanout * log(n) runs.  A line stays if its
-key and id are in the batch's new run; the other lines are dropped, found by an anti-join on key and id,
-which no frequent line can make uneven.
+128-bit hashes, bucketed and sorted by hash.  A batch's own first holders are merge-anti-joined with one run after
+another, which need neither a shuffle nor a sort for it; what is left is the batch's new run at level 0.  Once a level
+has `fanout` runs, they are merged bucket by bucket into one run of the next level, so n batches leave at most
+fanout * log(n) runs.  A line stays if its key and id are in the batch's new run; the other lines are dropped, found
+by an anti-join on key and id, which no frequent line can make uneven.  The hashed lines of a batch are written once.
+
+Runs are external tables in the shared folder, in the session's current database under names of their own; they and the
+lines are deleted in the end.
 
 Null text counts as empty: one empty line.  A null id counts as larger than all others.  Rows of the same
-id are one document: each keeps the lines that the id may keep.  Columns besides id and text pass through;
-names of such columns can't clash, for inner columns start with _ld_.  An empty table gives an empty result.
+id are one document: each keeps the lines that the id may keep.  Columns besides id and text pass through, whatever
+their names.  Ids are integers; others are cast, and fail if they can't be.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+from contextlib import contextmanager
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import written_to
 from .common import ascii_lower, new_path, remove
 
 SPACE = " \t\n\x0b\x0c\r"
 LAST = 9223372036854775807
 
 
+#: Bytes of text of a batch, at most, if there are more than four batches.
+BATCH = 1 << 40
+
+
 class LineRuns:
     """The keys that were seen so far, as levelled sorted runs in the shared folder."""
 
@@ -34,6 +46,8 @@ class LineRuns:
         self.spark, self.min_chars, self.fanout = spark, min_chars, fanout
         self.levels: list[list[str]] = []
         self.root = new_path(spark, "line-runs")
+        self.name = "line_run_" + self.root[-32:]
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.made = 0
 
     def lines(self, docs: DataFrame) -> DataFrame:
@@ -46,26 +60,31 @@ class LineRuns:
             "_ld_id", "_ld_row", "_ld_pos", F.xxhash64("_ld_key").alias("_ld_h1"), F.xxhash64(F.lit("line"), "_ld_key").alias("_ld_h2")
         )
 
-    def read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema("_ld_h1 long, _ld_h2 long, _ld_first long").parquet(*paths)
-
     def write(self, keys: DataFrame) -> str:
+        """A run of keys that are dealt by hash already, so that each bucket is one file."""
         self.made += 1
-        path = f"{self.root}/run-{self.made:06d}"
-        keys.sortWithinPartitions("_ld_h1", "_ld_h2").write.parquet(path)
-        return path
+        run = f"{self.name}_{self.made}"
+        out = keys.write.format("parquet").bucketBy(self.buckets, "_ld_h1", "_ld_h2").sortBy("_ld_h1", "_ld_h2")
+        out.option("path", f"{self.root}/{run}").saveAsTable(run)
+        return run
+
+    def drop(self, run: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {run}")
+        remove(self.spark, f"{self.root}/{run}")
 
     def add(self, docs: DataFrame) -> str:
         """Takes a batch (_ld_id, _ld_row, _ld_text) whose ids are larger than all before; the path of its dropped lines."""
-        lines = self.lines(docs)
+        path = f"{self.root}/lines-{self.made + 1:06d}"
+        lines = written_to(self.lines(docs), path)
         fresh = lines.groupBy("_ld_h1", "_ld_h2").agg(F.min("_ld_id").alias("_ld_first"))
-        if runs := [path for level in self.levels for path in level]:
-            fresh = fresh.join(self.read(runs).drop("_ld_first").hint("merge"), ["_ld_h1", "_ld_h2"], "left_anti")
+        for run in (run for level in self.levels for run in level):
+            fresh = fresh.join(self.spark.table(run).drop("_ld_first").hint("merge"), ["_ld_h1", "_ld_h2"], "left_anti")
         run = self.write(fresh)
-        own = self.read([run]).withColumnRenamed("_ld_first", "_ld_id")
+        own = self.spark.table(run).withColumnRenamed("_ld_first", "_ld_id")
         dropped = lines.join(own.hint("merge"), ["_ld_h1", "_ld_h2", "_ld_id"], "left_anti")
         out = f"{self.root}/dropped-{self.made:06d}"
         dropped.select("_ld_id", "_ld_row", "_ld_pos").write.parquet(out)
+        remove(self.spark, path)
         self.keep(run, 0)
         return out
 
@@ -76,49 +95,75 @@ class LineRuns:
         self.levels[level].append(run)
         if len(self.levels[level]) >= self.fanout:
             old, self.levels[level] = self.levels[level], []
-            merged = self.write(self.read(old).repartition("_ld_h1", "_ld_h2"))
-            for path in old:
-                remove(self.spark, path)
+            # a union of tables that are bucketed alike is dealt as they are, and no key is in two runs
+            all_ = reduce(DataFrame.unionByName, map(self.spark.table, old))
+            merged = self.write(all_.groupBy("_ld_h1", "_ld_h2").agg(F.min("_ld_first").alias("_ld_first")))
+            for run in old:
+                self.drop(run)
             self.keep(merged, level + 1)
 
+    def close(self) -> None:
+        for run in (run for level in self.levels for run in level):
+            self.drop(run)
+
+
+@contextmanager
+def sorted_buckets(spark: SparkSession):
+    """Lets plans rely on the order of buckets of one file each."""
+    key = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
 
 def line_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, batches: int = 4, fanout: int = 3
-) -> DataFrame:
-    """The rows of `docs` with the lines that stay as their text, and n_lines (before) and n_dropped."""
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, batches: int | None = None, fanout: int = 3,
+    counts: bool = True,
+) -> DataFrame:
+    """The rows of `docs` with the lines that stay as their text, and with `counts` n_lines (before) and n_dropped, which take
+    the place of columns of the same name.  `batches`: four, or more so that none holds over BATCH bytes."""
     spark = docs.sparkSession
     slim = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("_ld_id"),
         F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_ld_row"),
         F.col(text_col).alias("_ld_text"),
     )
+    if batches is None:
+        batches = max(4, math.ceil((slim.agg(F.sum(F.octet_length("_ld_text"))).first()[0] or 0) / BATCH))
     shares = [k / batches for k in range(1, batches)]
-    cuts = sorted(set(slim.agg(F.percentile_approx("_ld_id", shares, 1000)).first()[0] or [])) if shares else []
+    cuts = sorted(set(slim.agg(F.percentile_approx("_ld_id", shares, 10 * batches + 1000)).first()[0] or [])) if shares else []
     bounds = [None, *cuts, None]
     runs, dropped = LineRuns(spark, min_chars, fanout), []
-    for low, high in zip(bounds, bounds[1:], strict=False):
-        batch = slim
-        if low is not None:
-            batch = batch.filter(F.col("_ld_id") >= low)
-        if high is not None:
-            batch = batch.filter(F.col("_ld_id") < high)
-        dropped.append(runs.add(batch))
+    with sorted_buckets(spark):
+        for low, high in zip(bounds, bounds[1:], strict=False):
+            batch = slim
+            if low is not None:
+                batch = batch.filter(F.col("_ld_id") >= low)
+            if high is not None:
+                batch = batch.filter(F.col("_ld_id") < high)
+            dropped.append(runs.add(batch))
+        runs.close()
     lost = spark.read.schema("_ld_id long, _ld_row long, _ld_pos int").parquet(*dropped)
     lost = lost.groupBy("_ld_id", "_ld_row").agg(F.collect_set("_ld_pos").alias("_ld_lost"))
-    full = docs.withColumns(
-        {
-            "_ld_id": F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)),
-            "_ld_row": F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))),
-        }
+    others = [c for c in docs.columns if not counts or c not in ("n_lines", "n_dropped")]
+    full = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in others]).alias("_ld_own"),
+        F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("_ld_id"),
+        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_ld_row"),
     ).join(lost, ["_ld_id", "_ld_row"], "left")
-    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
+    text = F.coalesce(F.col("_ld_own")[text_col], F.lit(""))
+    lines = F.split(text, "\n", -1)
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_ld_lost"))
     full = full.withColumn("_ld_lines", lines).withColumn("_ld_stay", F.when(F.col("_ld_lost").isNotNull(), stay))
+    n_lines = F.size("_ld_lines").cast("long").alias("n_lines")
+    n_dropped = F.coalesce(F.size("_ld_lines") - F.size("_ld_stay"), F.lit(0)).cast("long").alias("n_dropped")
     kept = F.array_join(F.transform("_ld_stay", lambda k: F.get("_ld_lines", k)), "\n")
     return full.select(
-        *[F.coalesce(kept, F.col(text_col), F.lit("")).alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")],
-        F.size("_ld_lines").cast("long").alias("n_lines"),
-        F.coalesce(F.size("_ld_lines") - F.size("_ld_stay"), F.lit(0)).cast("long").alias("n_dropped"),
+        *[F.coalesce(kept, text).alias(c) if c == text_col else F.col("_ld_own")[c].alias(c) for c in others],
+        *([n_lines, n_dropped] if counts else []),
     )
 
 

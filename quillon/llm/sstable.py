@@ -11,13 +11,15 @@ A shard is one immutable file of documents in ascending order of their ids:
     block   entries, the offsets of the restarts (unsigned 32-bit) and their number
 
 A key is the id as eight bytes, big-endian with the sign bit flipped, so bytes sort as numbers; a null id has
-the empty key and sorts first.  Equal ids stay apart, in the order of their texts.  Null text counts as empty:
+the empty key and sorts first.  Equal ids stay apart, in the order of the XXH64 of their texts and then of the texts,
+and may lie in several shards.  Null text counts as empty:
 its only id is the end id.  Columns besides id and text are not read.  An empty table makes no shard and
 gives an empty result.
 
-Writing: documents are range-partitioned by id, and each task streams its partition to a file of its own
+Writing: documents are range-partitioned by id and XXH64 of the text, so that no id is one task, into shards of about
+SHARD[0] to SHARD[1] bytes of text, and each task streams its partition to a file of its own
 name and moves it to its place, so a task that runs again leaves the same file.  The manifest has a row for each
-shard (at most `shards`).  Reading and lookup() are tasks over shards: the Bloom filter says no, or binary
+shard, 200,000 of them over 100 TB.  Reading and lookup() are tasks over shards: the Bloom filter says no, or binary
 search over the block index and then over a block's restarts finds the entry.  Files lie in the shared
 folder; any file system that pyarrow.fs knows by URI will do.
 """
@@ -26,6 +28,7 @@ from __future__ import annotations
 
 import bisect
 import json
+import math
 import os
 import re
 import struct
@@ -40,7 +43,9 @@ from .bpe import Chunks, kept, vocabulary_file, word_pattern
 from .common import new_path
 
 BLOCK, RESTART, BITS, PROBES = 1 << 16, 16, 10, 7
-MAGIC = b"TOKSST01"
+MAGIC = b"TOKSST02"
+#: Bytes of text of a shard, from small inputs to large ones, and the number of shards at which they start to grow.
+SHARD, SHARDS = (16 << 20, 512 << 20), 4096
 FOOTER = struct.Struct("<QQQQQQII8s")
 
 
@@ -72,20 +77,24 @@ def read_varint(data: bytes, at: int) -> tuple[int, int]:
         shift += 7
 
 
-def probes(key: bytes, bits: int) -> list[int]:
+def hashed(key: bytes) -> int:
     import xxhash
 
-    a, b = xxhash.xxh64_intdigest(key, 1), xxhash.xxh64_intdigest(key, 2) | 1
+    return xxhash.xxh64_intdigest(key, 1)
+
+
+def probes(h: int, bits: int) -> list[int]:
+    a, b = h & 0xFFFFFFFF, h >> 32 | 1
     return [(a + k * b) % bits for k in range(PROBES)]
 
 
 class Writer:
-    """Takes entries in ascending order; holds one block, the index and the keys' hashes."""
+    """Takes entries in ascending order; holds one block, the index and eight bytes a key for the filter."""
 
     def __init__(self, file, width: int):
         self.file, self.width = file, width
         self.block, self.restarts, self.in_block = bytearray(), [], 0
-        self.last, self.at, self.index, self.keys = b"", 0, bytearray(), []
+        self.last, self.at, self.index, self.hashes = b"", 0, bytearray(), array("Q")
         self.docs = self.tokens = 0
 
     def add(self, key: bytes, value: bytes) -> None:
@@ -95,8 +104,9 @@ class Writer:
         else:
             shared = len(os.path.commonprefix([self.last, key]))
         self.block += varint(shared) + varint(len(key) - shared) + varint(len(value)) + key[shared:] + value
+        if not self.docs or key != self.last:
+            self.hashes.append(hashed(key))
         self.last, self.in_block = key, self.in_block + 1
-        self.keys.append(key)
         self.docs, self.tokens = self.docs + 1, self.tokens + len(value) // self.width
         if len(self.block) >= BLOCK:
             self.flush()
@@ -112,10 +122,10 @@ class Writer:
 
     def close(self) -> None:
         self.flush()
-        bits = max(64, len(self.keys) * BITS)
+        bits = max(64, len(self.hashes) * BITS)
         bloom = bytearray((bits + 7) // 8)
-        for key in self.keys:
-            for p in probes(key, bits):
+        for h in self.hashes:
+            for p in probes(h, bits):
                 bloom[p >> 3] |= 1 << (p & 7)
         index, bloom = bytes(self.index), bytes(bloom)
         self.file.write(index + bloom)
@@ -169,7 +179,7 @@ class Reader:
 
     def get(self, key: bytes) -> list[bytes]:
         """The values of all entries of a key."""
-        if not all(self.bloom[p >> 3] >> (p & 7) & 1 for p in probes(key, self.bits)):
+        if not all(self.bloom[p >> 3] >> (p & 7) & 1 for p in probes(hashed(key), self.bits)):
             return []
         out = []
         for k in range(bisect.bisect_left(self.lasts, key), len(self.blocks)):
@@ -258,7 +268,9 @@ def write_shards(
     file_content = vocabulary_file(vocab_path)
     plain_words(json.loads(file_content))
     content = spark.sparkContext.broadcast(file_content)
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if shards is None:
+        size = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
+        shards = max(1, math.ceil(size / min(max(SHARD[0], size // SHARDS), SHARD[1])))
 
     def run(batches):
         import numpy as np
@@ -270,7 +282,7 @@ def write_shards(
         kind = f"<u{library.wide}"
         writer, first = None, b""
         context = TaskContext.get()
-        name = f"shard-{context.partitionId():06d}.sst"
+        name = f"shard-{context.partitionId():08d}.sst"
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 key = key_of(doc_id)
@@ -293,7 +305,8 @@ def write_shards(
             )
 
     placed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    placed = placed.repartitionByRange(shards, "id").sortWithinPartitions("id", "text")
+    placed = placed.withColumn("hash", F.xxhash64("text"))  # the samples for the ranges hold no texts
+    placed = placed.repartitionByRange(shards, "id", "hash").sortWithinPartitions("id", "hash", "text").select("id", "text")
     made = placed.mapInArrow(run, "path string, first binary, last binary, n_docs long, n_tokens long").collect()
     start, rows = 0, []
     for r in sorted(made, key=lambda r: (bytes(r.first), bytes(r.last), r.path)):

@@ -121,6 +121,27 @@ def capacity(sizes, shards):
     return low
 
 
+def divided(sizes, shards):
+    """The smallest capacity of a partition whose parts of several atoms keep to it."""
+
+    def parts(most):
+        n, own = 0, None
+        for s in sizes:
+            if s > most:
+                n, own = n + 1, None
+            elif own is None or own + s > most:
+                n, own = n + 1, s
+            else:
+                own += s
+        return n
+
+    low, high = 1, sum(sizes)
+    while low < high:
+        mid = (low + high) // 2
+        low, high = (low, mid) if parts(mid) <= shards else (mid + 1, high)
+    return low
+
+
 def crc(data):
     return zlib.crc32(data)
 

@@ -15,7 +15,7 @@ from quillon.llm import bpe, common, decontaminate, exact_dedup, license_scan, l
 
 P = pytest.importorskip("public_tokenizers")
 VOCAB = P.path("word_bpe_49k.json")
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, bits string, rep int, pos int, digest string, `_key` string, size string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, bits string, rep int, pos int, digest string, `_key` string, size string, `_ld_id` string, `_bad` int"
 
 
 def texts():
@@ -41,7 +41,7 @@ def rows():
 
 @pytest.fixture(scope="module")
 def docs(spark, rows):
-    return spark.createDataFrame([(i, t, "en", "s", None, "x", 1, 2, "d", "k", "z") for i, t in rows], SCHEMA).repartition(5)
+    return spark.createDataFrame([(i, t, "en", "s", None, "x", 1, 2, "d", "k", "z", "l", 7) for i, t in rows], SCHEMA).repartition(5)
 
 
 @pytest.fixture(scope="module")
@@ -110,7 +110,7 @@ def test_suffix_array_is_sorted():
     assert sorted(array) == np.flatnonzero(s).tolist() and all(tail(a) <= tail(b) for a, b in zip(array, array[1:], strict=False))
 
 
-@pytest.mark.parametrize("batches", [1, 4])
+@pytest.mark.parametrize("batches", [1, None, 7])
 def test_line_dedup(docs, rows, none, batches):
     got = line_dedup.line_dedup(docs, batches=batches, fanout=2)
     assert got.columns == [*docs.columns, "n_lines", "n_dropped"]
@@ -237,15 +237,44 @@ def test_minimax(spark, monkeypatch, seed):
     monkeypatch.setattr(sharding, "SEGMENTS", 8)
     monkeypatch.setattr(sharding, "REFINE", 4)
     rng = random.Random(seed)
-    sizes = [rng.choice([1, 5, 30, 31, 200]) for _ in range(300)]
-    ordered = spark.createDataFrame([((k // 100 << sharding.PART) + k % 100, s) for k, s in enumerate(sizes)], "`order` long, size long")
+    sizes = [rng.choice([1, 5, 30, 31, 200 if seed < 4 else 9000]) for _ in range(300)]
+    if seed == 5:
+        sizes = [20] * 120 + [90_000] + [20] * 60
+    order = [(k // 100 << sharding.PART) + k % 100 for k in range(len(sizes))]
+    ordered = spark.createDataFrame(list(zip(order, sizes, strict=True)), "`order` long, size long")
     cuts = sharding.cut_points(ordered, 7)
-    order = [(k // 100 << sharding.PART) + k % 100 for k in range(300)]
-    loads = [sum(s for o, s in zip(order, sizes, strict=True) if a <= o < b) for a, b in zip(cuts, [*cuts[1:], 1 << 62], strict=True)]
-    assert len(cuts) <= 7 and sum(loads) == sum(sizes) and max(loads) == brute.capacity(sizes, 7)
+    parts = [[s for o, s in zip(order, sizes, strict=True) if a <= o < b] for a, b in zip(cuts, [*cuts[1:], 1 << 62], strict=True)]
+    assert len(cuts) <= 7 and sum(map(len, parts)) == len(sizes) and max(map(sum, parts)) == brute.capacity(sizes, 7)
+    assert max((sum(p) for p in parts if len(p) > 1), default=0) <= brute.divided(sizes, 7)
+
+
+def test_the_last_shard_is_not_short():
+    """Cuts keep the capacity and come near to even shares."""
+    sizes = np.random.default_rng(1).integers(10, 60, 4000)
+    rows = np.stack([np.arange(4000), sizes, sizes, np.ones(4000), np.ones(4000)], axis=1).astype(np.int64)
+    segments = sharding.Segments(rows, 40)
+    cuts = [*segments.spread(segments.solve()[0]), 4000]
+    loads = [int(sizes[a:b].sum()) for a, b in zip(cuts, cuts[1:], strict=False)]
+    assert max(loads) <= brute.capacity(sizes.tolist(), 40) and min(loads) > 0.95 * sum(loads) / 40
+
+
+def test_shards_of_a_whole_table(spark):
+    """The loads of the query are those of the minimax partition of all groups in order."""
+    got = sharding.query(spark, "/root/testdata/sf0.01").select("doc_id", "size", "shard").collect()
+    texts_ = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    groups, load = {}, {}
+    for r in sorted(got, key=lambda r: r.doc_id):
+        groups.setdefault(texts_[r.doc_id], [0, set()])[0] += r["size"]
+        groups[texts_[r.doc_id]][1].add(r.shard)
+        load[r.shard] = load.get(r.shard, 0) + r["size"]
+    sizes = [g[0] for g in groups.values()]
+    assert all(len(g[1]) == 1 for g in groups.values()) and max(load.values()) == brute.capacity(sizes, 40)
+    in_order = [min(g[1]) for g in groups.values()]
+    assert in_order == sorted(in_order)
 
 
 def test_token_shards(spark, docs, rows, none):
+    import xxhash
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(VOCAB)
@@ -253,7 +282,8 @@ def test_token_shards(spark, docs, rows, none):
     manifest = sstable.write_shards(docs, folder, VOCAB, shards=3)
     ids = {t: np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], "<u4") for _, t in rows}
     start, want = 0, []
-    for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, (r[1] is not None, (r[1] or "").encode()))):
+    signed = lambda t: int(np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).astype(np.int64)) if t is not None else 42
+    for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, signed(r[1]), (r[1] is not None, (r[1] or "").encode()))):
         want.append((doc_id, start, len(ids[text]), brute.crc(ids[text].tobytes())))
         start += len(ids[text])
     brute.same(sstable.read_shards(spark, folder, digest=True).collect(), want, ["doc_id", "start", "n_tokens", "ids_crc32"])
@@ -266,6 +296,18 @@ def test_token_shards(spark, docs, rows, none):
     assert sstable.read_shards(spark, empty).count() == 0
 
 
+def test_one_id_in_several_shards(spark):
+    docs = spark.createDataFrame([(None, f"text {k}") for k in range(400)] + [(5, f"a {k}") for k in range(400)] + [(9, "b")], "doc_id long, text string").repartition(4)
+    folder = common.new_path(spark, "test-shards")
+    manifest = sstable.write_shards(docs, folder, VOCAB, shards=7).collect()
+    assert max(r.n_docs for r in manifest) < 300 and sum(r.n_docs for r in manifest) == 801
+    got = sstable.read_shards(spark, folder, digest=True).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None] * 400 + [5] * 400 + [9]
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:], strict=False))
+    found = sstable.lookup(spark, folder, spark.createDataFrame([(None,), (5,), (9,), (6,)], "doc_id long")).groupBy("doc_id").count().collect()
+    assert {r.doc_id: r["count"] for r in found} == {None: 400, 5: 400, 9: 1}
+
+
 def test_other_vocabularies_are_refused(docs):
     """They would lose white space and case."""
     other = P.path("byte_bpe_50k.json")
