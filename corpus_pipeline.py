@@ -29,7 +29,7 @@ def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each line of at least ten code points only in the first document that holds it; n_chars follows the text."""
-    return line_dedup.line_dedup(docs).drop("n_lines", "n_dropped").withColumn("n_chars", F.char_length("text").cast("long"))
+    return line_dedup.line_dedup(docs, counts=False).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def drop_near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
