@@ -129,3 +129,9 @@ TEMPLATE_NAMES = {
 }
 DEFAULT_TEMPLATE = "{日期}_{类型}_{公司}_{编号}"
 FIELD_ORDER = ["company", "seller", "date", "contract_no", "contract_suffix", "order_no", "invoice_no", "amount", "summary", "vessel", "material", "quantity"]
+#: Fixed values (FLT-17): a name that holds one of these is no company.
+NOT_COMPANIES = [
+    "盖章", "电子章", "签字", "签名", "日期", "金额", "数量", "单价", "合计", "备注", "编号", "合同号",
+    "船名", "物料", "品种", "规格", "交货", "结算", "发票", "税号", "地址", "电话", "传真", "开户",
+    "账号", "邮编", "单位", "部门", "经办人", "审核", "批准", "同意", "确认", "收到", "交付", "验收",
+]

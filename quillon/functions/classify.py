@@ -74,13 +74,15 @@ def rule_confidence(n: Column, score: Column, priority_hits: Column) -> Column:
 
 
 def fused(sources: dict[str, Column], weights: dict[str, float] = config.WEIGHTS) -> Column:
-    """AGG-29: the weighted mean of the sources that aren't null, each clamped to 0..1; 0 if there is none."""
-    clamped = {k: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c.cast("double"))) for k, c in sources.items()}
-    clamped = {k: F.when(sources[k].isNotNull(), c) for k, c in clamped.items()}
-    zero = F.lit(0.0)
-    total = reduce(lambda a, b: a + b, [F.when(c.isNotNull(), weights[k]).otherwise(zero) for k, c in clamped.items()])
-    value = reduce(lambda a, b: a + b, [F.coalesce(c * weights[k], zero) for k, c in clamped.items()])
-    return F.when(total > 0, F.round((value / total).cast("decimal(12,8)"), 4)).otherwise(F.lit(0)).cast("decimal(6,4)")
+    """AGG-29: the weighted mean of the sources that aren't null, each clamped to 0..1; 0 if there is none.  Sources count to eight
+    decimals, weights to two, and the quotient is rounded half up to four, in whole numbers."""
+    zero = F.lit(0).cast("long")
+    scaled = {k: F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c.cast("double"))) * 1e8).cast("long") for k, c in sources.items()}
+    weight = {k: F.lit(round(100 * weights[k])).cast("long") for k in sources}
+    total = reduce(lambda a, b: a + b, [F.when(c.isNotNull(), weight[k]).otherwise(zero) for k, c in sources.items()])
+    value = reduce(lambda a, b: a + b, [F.when(c.isNotNull(), scaled[k] * weight[k]).otherwise(zero) for k, c in sources.items()])
+    quotient = F.call_function("div", value * 2 + total * 10_000, total * 20_000)  # in ten-thousandths
+    return F.when(total > 0, (quotient.cast("decimal(10,0)") / F.lit(10_000).cast("decimal(5,0)"))).otherwise(F.lit(0)).cast("decimal(6,4)")
 
 
 def decide(score: Column, auto: float = config.AUTO, review: float = config.REVIEW) -> Column:

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .. import config
 from ..functions.hashing import as_bits
+from ..sources.shared import written
+from .skew import group_counts
 
 
-def valid_company(name: Column, stop: list[str] = ()) -> Column:
+def valid_company(name: Column, stop: list[str] = config.NOT_COMPANIES) -> Column:
     """FLT-17: four characters or more, none of the stop substrings, and not digits and signs alone."""
     own = F.trim(F.coalesce(name, F.lit("")))
     ok = (F.char_length(own) >= 4) & ~own.rlike(r"(?U)^[\d\s\W]+$")
@@ -28,55 +30,84 @@ def cascading_groups(docs: DataFrame, key: str, contract: Column, kind: Column,
     done = F.when(F.col("_no") != "", F.concat(F.lit("contract:"), F.col("_no")))
     rows = rows.withColumn("_done", done)
 
+    rows = written(rows, "grouping")
+
     def step(rows: DataFrame, by: list[str], ok: Column, least: int, label: Column) -> DataFrame:
         open_ = F.col("_done").isNull() & ok
-        n = F.count_if(open_).over(Window.partitionBy(*by))
-        return rows.withColumn("_n", n).withColumn("_done", F.coalesce("_done", F.when(open_ & (F.col("_n") >= least), label))).drop("_n")
+        keyed = rows.withColumn("_by", F.concat_ws("\x00", *by) if len(by) > 1 else F.col(by[0]))
+        counted = group_counts(keyed, "_by", key, open_)
+        return counted.withColumn("_done", F.coalesce("_done", F.when(open_ & (F.col("_n") >= least), label))).drop("_n", "_by")
 
     rows = step(rows, ["_type"], (F.col("_type") != "") & ~F.col("_type").isin(*unnamed), 2, F.concat(F.lit("type:"), F.col("_type")))
     rows = rows.withColumn("_done", F.coalesce("_done", F.when(F.col("_ok"), F.concat(F.lit("company:"), F.col("_firm")))))
-    rows = step(rows, ["_type", "_body"], F.col("_body") != "", 2, F.concat(F.lit("tpl:"), F.col("_type"), F.lit(":"), F.substring("_body", 1, 6)))
+    rows = step(written(rows, "grouping"), ["_type", "_body"], F.col("_body") != "", 2, F.concat(F.lit("tpl:"), F.col("_type"), F.lit(":"), F.substring("_body", 1, 6)))
     return rows.select(key, F.coalesce("_done", F.concat(F.lit("single:"), F.col(key).cast("string"))).alias("group_key"))
 
 
-def near_pairs(prints: DataFrame, key: str, fingerprint: str, limit: int = config.SIMHASH_LIMIT) -> DataFrame:
-    """Pairs (a < b) of ids whose 64-bit hex fingerprints differ in `limit` bits or fewer, with their distance.  Equal
-    fingerprints meet once, as one row each; by the pigeonhole principle two others share at least one of limit + 1
-    chunks.  Returns links between the smallest ids of distinct fingerprints."""
-    rows = prints.select(F.col(key).alias("id"), as_bits(F.col(fingerprint)).alias("bits")).filter("bits IS NOT NULL")
-    rows = rows.groupBy("bits").agg(F.min("id").alias("id"))
-    cuts = [64 * k // (limit + 1) for k in range(limit + 2)]
-    chunks = F.array(*[F.struct(F.lit(k).alias("chunk"), F.shiftrightunsigned("bits", a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("part")) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))])
-    banded = rows.select("id", "bits", F.inline(chunks))
-    left, right = banded.alias("l"), banded.alias("r")
-    pairs = left.join(right, (F.col("l.chunk") == F.col("r.chunk")) & (F.col("l.part") == F.col("r.part")) & (F.col("l.id") < F.col("r.id")))
-    distance = F.bit_count(F.col("l.bits").bitwiseXOR(F.col("r.bits")))
-    return pairs.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), distance.alias("distance")).filter(F.col("distance") <= limit).distinct()
+#: Candidates that a fingerprint may expect in a key, before keys of more bits are taken.
+MEET = 8
 
 
-def leader_clusters(prints: DataFrame, key: str, layout: str, fingerprint: str, block: str, limit: int = config.SIMHASH_LIMIT) -> DataFrame:
+def near_pairs(prints: DataFrame, key: str, fingerprint: str, limit: int = config.SIMHASH_LIMIT, most_blocks: int = 4) -> DataFrame:
+    """Pairs (a < b) of ids whose 64-bit hex fingerprints differ in `limit` bits or fewer, with their distance.  Equal
+    fingerprints meet once, as one row each.  Cut into limit + t blocks, two others are equal in at least t of them, so each
+    choice of t blocks is a key; t grows with the number of fingerprints, as longer keys leave fewer candidates.  Returns
+    links between the smallest ids of distinct fingerprints."""
+    rows = prints.select(F.col(key).alias("id"), as_bits(F.col(fingerprint)).alias("bits")).filter("bits IS NOT NULL")
+    rows = written(rows.groupBy("bits").agg(F.min("id").alias("id")), "prints")
+    n, t = rows.count(), 1
+    while t < most_blocks and n / 2 ** (64 * t / (limit + t)) > MEET:
+        t += 1
+    cuts = [64 * k // (limit + t) for k in range(limit + t + 1)]
+    block = [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:], strict=False)]
+    signed = lambda m: m - (1 << 64) if m >= 1 << 63 else m
+    masks = [signed(sum(own)) for own in combinations(block, t)]
+    keys = F.array(*[F.struct(F.lit(k).alias("k"), F.col("bits").bitwiseAND(F.lit(m)).alias("part")) for k, m in enumerate(masks)])
+    keyed = rows.select("id", "bits", F.inline(keys))
+    left, right = keyed.alias("l"), keyed.alias("r")
+    pairs = left.join(right, (F.col("l.k") == F.col("r.k")) & (F.col("l.part") == F.col("r.part")) & (F.col("l.id") < F.col("r.id")))
+    apart = F.col("l.bits").bitwiseXOR(F.col("r.bits"))
+    # a pair counts at its first key alone
+    first = F.coalesce(*[F.when(apart.bitwiseAND(F.lit(m)) == 0, F.lit(k)) for k, m in enumerate(masks)])
+    pairs = pairs.filter((F.bit_count(apart) <= limit) & (first == F.col("l.k")))
+    return pairs.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), F.bit_count(apart).alias("distance"))
+
+
+def leader_clusters(prints: DataFrame, key: str, layout: str, fingerprint: str, limit: int = config.SIMHASH_LIMIT) -> DataFrame:
     """JON-26: by ascending id a document joins the first leader with its layout hash or within `limit` bits, or leads a new
-    cluster.  That order matters, so a block (a set of documents that can't meet others, such as a type) is folded in one
-    task; a block holds the documents that wait for review, not the library."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        leaders: list[tuple[str, int, int]] = []
-        by_layout: dict[str, int] = {}
-        out = []
-        for r in rows.sort_values("id").itertuples():
-            bits = int(r.print, 16) if r.print and len(r.print) == 16 else None
-            hits = [i for (_, b, i) in leaders if bits is not None and b is not None and (bits ^ b).bit_count() <= limit]
-            if r.layout and r.layout in by_layout:
-                hits.append(by_layout[r.layout])
-            leader = min(hits) if hits else r.id
-            if not hits:
-                leaders.append((r.layout, bits, r.id))
-                by_layout.setdefault(r.layout, r.id)
-            out.append((r.id, leader))
-        return pd.DataFrame(out, columns=["id", "leader"])
-
-    rows = prints.select(F.col(key).cast("long").alias("id"), F.col(layout).alias("layout"), F.col(fingerprint).alias("print"), F.col(block).alias("block"))
-    return rows.groupBy("block").applyInPandas(fold, "id long, leader long")
+    cluster.  So it leads unless a neighbour of a smaller id does: in each round the documents lead that have no smaller open
+    neighbour, and their neighbours are closed.  Documents of the same layout and fingerprint are one node, and a layout is
+    a node's group, never a list of pairs."""
+    rows = prints.select(F.col(key).cast("long").alias("id"), F.nullif(F.col(layout), F.lit("")).alias("layout"), F.when(F.char_length(fingerprint) == 16, F.col(fingerprint)).alias("print"))
+    lone = F.col("layout").isNull() & F.col("print").isNull()
+    # nodes without layout and fingerprint are by themselves
+    named = rows.filter(~lone).select("id", F.concat_ws("/", F.coalesce("layout", F.lit("-")), F.coalesce("print", F.lit("-"))).alias("own"), "layout", "print")
+    nodes = written(named.groupBy("own").agg(F.min("id").alias("node"), F.first("layout").alias("layout"), F.first("print").alias("print")), "nodes")
+    prints_ = nodes.filter("print IS NOT NULL").select(F.col("node").alias("id"), "print")
+    reps = prints_.groupBy("print").agg(F.min("id").alias("rep"))
+    links = near_pairs(prints_, "id", "print", limit).select("a", "b")
+    links = links.union(links.select("b", "a")).union(reps.select("rep", "rep"))
+    of = prints_.join(reps, "print").select("id", "rep")
+    edges = links.join(of.withColumnsRenamed({"id": "u", "rep": "a"}), "a").join(of.withColumnsRenamed({"id": "v", "rep": "b"}), "b")
+    edges = written(edges.filter("u < v").select("u", "v"), "edges")
+    open_, leaders = nodes.select("node", "layout"), nodes.select("node", "layout").limit(0)
+    while not open_.isEmpty():
+        waits = edges.join(open_.select(F.col("node").alias("u")), "u").join(open_.select(F.col("node").alias("v")), "v").select("v").distinct()
+        least = open_.filter("layout IS NOT NULL").groupBy("layout").agg(F.min("node").alias("first"))
+        new = open_.join(waits.withColumnRenamed("v", "node"), "node", "left_anti").join(least, "layout", "left")
+        new = written(new.filter("layout IS NULL OR node = first").select("node", "layout"), "leaders")
+        closed = edges.join(new.select(F.col("node").alias("u")), "u").select(F.col("v").alias("node"))
+        left = open_.join(closed.union(new.select("node")).distinct(), "node", "left_anti")
+        led = new.filter("layout IS NOT NULL").select("layout", F.col("node").alias("first"))
+        left = left.join(led, "layout", "left").filter("first IS NULL OR node < first").select("node", "layout")
+        open_, leaders = written(left, "open"), leaders.union(new)
+    leaders = written(leaders, "leaders")
+    by_print = edges.join(leaders.select(F.col("node").alias("u")), "u").select(F.col("v").alias("node"), F.col("u").alias("leader"))
+    first = leaders.filter("layout IS NOT NULL").groupBy("layout").agg(F.min("node").alias("leader"))
+    by_layout = nodes.select("node", "layout").join(first, "layout").filter("leader < node").select("node", "leader")
+    found = leaders.select("node", F.col("node").alias("leader")).union(by_print.union(by_layout).join(leaders.select("node"), "node", "left_anti"))
+    found = found.groupBy("node").agg(F.min("leader").alias("leader")).join(nodes.select("node", "own"), "node")
+    return named.join(found, "own").select("id", "leader").union(rows.filter(lone).select("id", F.col("id").alias("leader")))
 
 
 def same_image(a: DataFrame, key: str, limit: int = config.DHASH_LIMIT, tolerance: str = config.TOLERANCE) -> DataFrame:

@@ -35,7 +35,7 @@ def column_map(headers: list[str], aliases: dict[str, list[str]] = config.COLUMN
     prices = [i for i, h in enumerate(norm) if h == norm_header("单价")]
     if len(prices) > 1:
         found["unit_price"], found["unit_price_sale"] = prices[0], prices[1]
-    for field, names in {"unit_price_sale": ["销售单价"], "amount_sale": ["销售合同金额", "销售结算金额"], "date_sale": ["销售合同签订日期"]}.items():
+    for field, names in {"unit_price_sale": ["销售单价"], "amount_sale": ["销售合同金额", "销售结算金额", "销售金额"], "date_sale": ["销售合同签订日期", "销售日期"]}.items():
         for name in map(norm_header, names):
             if name in norm and found.get(field.removesuffix("_sale")) != norm.index(name):
                 found.setdefault(field, norm.index(name))

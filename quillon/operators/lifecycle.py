@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .skew import ranked
+
 REVERSIBLE = ["archive", "rename", "review", "recycle"]
 
 
@@ -81,12 +83,13 @@ def archive(docs: DataFrame, folder: str, by: list[str]) -> None:
 
 
 def unique_names(docs: DataFrame, folder: Column, name: Column, key: str = "id") -> DataFrame:
-    """FN-21: file names that are unique in their directory: the second of a name gets _001, and so on, by id."""
-    rows = docs.select(key, folder.alias("directory"), name.alias("_name"))
-    n = F.row_number().over(Window.partitionBy("directory", "_name").orderBy(key)) - 1
+    """FN-21: file names that are unique in their directory: the second of a name gets _001, and so on, by id; beyond 999 the
+    number is as long as it must be."""
+    rows = ranked(docs.select(key, folder.alias("directory"), name.alias("_name")), ["directory", "_name"], [key], "_n")
+    n = F.col("_n").cast("string")
     stem, ext = F.regexp_extract("_name", r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract("_name", r"^(.*?)(\.[^.]*)?$", 2)
-    numbered = F.concat(stem, F.lit("_"), F.lpad(n.cast("string"), 3, "0"), ext)
-    return rows.select(key, "directory", F.when(n > 0, numbered).otherwise(F.col("_name")).alias("filename"))
+    numbered = F.concat(stem, F.lit("_"), F.when(F.col("_n") < 1000, F.lpad(n, 3, "0")).otherwise(n), ext)
+    return rows.select(key, "directory", F.when(F.col("_n") > 0, numbered).otherwise(F.col("_name")).alias("filename"))
 
 
 def export_tables(status: DataFrame, diffs: DataFrame, unlinked: DataFrame) -> dict[str, DataFrame]:

@@ -132,6 +132,24 @@ def subset_sums(docs: DataFrame, lines: DataFrame, most: int = 8) -> DataFrame:
     return best.select("business_no", F.explode("b.set").alias("d"), F.col("b.direction").alias("direction")).select(F.col("d.document_id").alias("document_id"), "business_no", "direction")
 
 
+def assign(lines: DataFrame, docs: DataFrame) -> DataFrame:
+    """Step 1 of the rules, for documents of a line whose side isn't known: by an anchor of their line, then by its parties, then
+    two to eight of a role by their sum.  Adds nothing but direction (and basis, if there is one)."""
+    waiting = docs.filter("direction = 'unknown' AND role <> 'other'")
+    single = by_amount(waiting.filter("amount IS NOT NULL"), lines, ["business_no"]).withColumn("_basis", F.lit("amount"))
+    if {"supplier", "customer"} <= set(lines.columns) and {"seller", "company"} <= set(docs.columns):
+        party = by_party(waiting, lines).join(waiting.select("document_id", "business_no"), ["document_id", "business_no"], "left_semi")
+        party = party.join(single.select("document_id", "business_no"), ["document_id", "business_no"], "left_anti")
+        single = single.unionByName(party.withColumn("_basis", F.lit("party")))
+    single = written(single, "assigned")
+    rest = waiting.join(single.select("document_id", "business_no"), ["document_id", "business_no"], "left_anti")
+    every = single.unionByName(subset_sums(rest, lines).withColumn("_basis", F.lit("sum"))).withColumnRenamed("direction", "_direction")
+    out = docs.join(every, ["document_id", "business_no"], "left").withColumn("direction", F.coalesce("_direction", "direction"))
+    if "basis" in docs.columns:
+        out = out.withColumn("basis", F.coalesce("_basis", "basis"))
+    return written(out.select(*docs.columns), "assigned")  # the rules and their readers take it many times
+
+
 # Cells
 
 
@@ -322,7 +340,10 @@ def unclassified(docs: DataFrame) -> DataFrame:
 
 
 def differences(lines: DataFrame, docs: DataFrame, numbers: list[str]) -> DataFrame:
-    """All rules; lines without documents have no differences (status no_data)."""
+    """All rules; lines without documents have no differences (status no_data).  What the rules read of the documents is
+    written once."""
+    read = ["document_id", "business_no", "direction", "role", "nature", "amount", "doc_date", "invoice_no", "contract_no", "multi"]
+    docs = written(docs.select(*[c for c in read if c in docs.columns]), "line-documents")
     parts = [
         repeated(docs), listed(wide(lines, docs), [*completeness_items(), *upstream_items(), *downstream_items(), *interest_items()]),
         r5_membership(lines, docs, numbers), r6_dates(lines, docs), r7_invoices(docs), ledger_gaps(lines), unclassified(docs),

@@ -6,8 +6,11 @@ projection, so that no document is joined with a rule and each pattern is compil
 
 from __future__ import annotations
 
-import re
+from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,9 +34,11 @@ def driver_rows(rules: DataFrame | list[dict]) -> list[dict]:
 
 
 def valid_pattern(pattern: str) -> bool:
+    """Whether the engine's own regular expressions take a pattern."""
+    jvm = SparkContext._active_spark_context._jvm
     try:
-        re.compile(pattern)
-    except re.error:
+        jvm.java.util.regex.Pattern.compile(pattern)
+    except (Py4JJavaError, PySparkException):
         return False
     return True
 
@@ -50,27 +55,27 @@ def matches(text: Column, kind: str, keyword: str) -> Column:
 
 def rule_scores(docs: DataFrame, rules: DataFrame | list[dict], key: str, text: str) -> DataFrame:
     """JON-23, AGG-22: for each document and category with a hit: score, matched_keywords (by priority, then weight, both
-    descending), n_keywords and priority_hits."""
+    descending), n_keywords and priority_hits.  Each rule is one boolean of a first projection; the rest are sums over these."""
     rows = [r for r in driver_rows(rules) if r.get("enabled", True)]
     rows.sort(key=lambda r: (-r["priority"], -r["weight"]))
-    by_category: dict[str, list[dict]] = {}
-    for r in rows:
-        by_category.setdefault(r["category"], []).append(r)
+    hits = docs.select(F.col(key), *[matches(F.col(text), r["match_type"], r["keyword"]).alias(f"_hit{k}") for k, r in enumerate(rows)])
+    by_category: dict[str, list[int]] = {}
+    for k, r in enumerate(rows):
+        by_category.setdefault(r["category"], []).append(k)
+    nothing = F.struct(F.lit(None).cast("string").alias("category"), F.lit(None).cast("decimal(22,3)").alias("score"), F.lit(None).cast("array<string>").alias("matched_keywords"), F.lit(None).cast("int").alias("priority_hits"))
     scored = []
     for category, own in by_category.items():
-        hits = F.filter(
-            F.array(*[F.struct(matches(F.col(text), r["match_type"], r["keyword"]).alias("hit"), F.lit(r["keyword"]).alias("keyword"), F.lit(float(r["weight"])).cast("decimal(12,3)").alias("weight"), F.lit(int(r["priority"] >= config.HIGH_PRIORITY)).alias("high")) for r in own]),
-            lambda h: h["hit"],
+        when = lambda k, v, none: F.when(F.col(f"_hit{k}"), v).otherwise(none)
+        weights = [when(k, F.lit(float(rows[k]["weight"])).cast("decimal(12,3)"), F.lit(0).cast("decimal(12,3)")) for k in own]
+        high = [F.col(f"_hit{k}").cast("int") for k in own if rows[k]["priority"] >= config.HIGH_PRIORITY]
+        found = F.struct(
+            F.lit(category).alias("category"),
+            reduce(lambda a, b: (a + b).cast("decimal(22,3)"), weights).cast("decimal(22,3)").alias("score"),
+            F.array_compact(F.array(*[when(k, F.lit(rows[k]["keyword"]), None) for k in own])).alias("matched_keywords"),
+            reduce(lambda a, b: a + b, high, F.lit(0)).alias("priority_hits"),
         )
-        scored.append(
-            F.struct(
-                F.lit(category).alias("category"),
-                F.aggregate(hits, F.lit(0).cast("decimal(22,3)"), lambda s, h: (s + h["weight"]).cast("decimal(22,3)")).alias("score"),
-                F.transform(hits, lambda h: h["keyword"]).alias("matched_keywords"),
-                F.aggregate(hits, F.lit(0), lambda s, h: s + h["high"]).alias("priority_hits"),
-            )
-        )
-    long = docs.select(F.col(key), F.inline(F.filter(F.array(*scored), lambda s: F.size(s["matched_keywords"]) > 0)))
+        scored.append(F.when(reduce(lambda a, b: a | b, [F.col(f"_hit{k}") for k in own]), found))
+    long = hits.select(F.col(key), F.inline(F.array_compact(F.array(*(scored or [F.when(F.lit(False), nothing)])))))
     return long.withColumn("n_keywords", F.size("matched_keywords"))
 
 
@@ -84,7 +89,8 @@ def best_rule(scores: DataFrame, key: str) -> DataFrame:
 def filename_rule(docs: DataFrame, rules: DataFrame | list[dict], key: str, name: str) -> DataFrame:
     """FLT-13: the first file-name rule that matches (case aside) by priority descending, then id; null if none does."""
     rows = sorted((r for r in driver_rows(rules) if r.get("enabled", True) and valid_pattern(r["pattern"])), key=lambda r: (-r["priority"], r["id"]))
-    found = F.coalesce(*[F.when(F.col(name).rlike("(?i)" + r["pattern"]), F.struct(F.lit(r["id"]).cast("long").alias("id"), F.lit(r["category"]).alias("category"))) for r in rows])
+    nothing = F.lit(None).cast("struct<id: bigint, category: string>")
+    found = F.coalesce(nothing, *[F.when(F.col(name).rlike("(?i)" + r["pattern"]), F.struct(F.lit(r["id"]).cast("long").alias("id"), F.lit(r["category"]).alias("category"))) for r in rows])
     return docs.select(key, found["id"].alias("rule_id"), found["category"].alias("category"))
 
 
@@ -105,9 +111,9 @@ def simulate(predicted: DataFrame, key: str, truth: str, guess: str, newest: int
 def bigrams(docs: DataFrame, keys: list[str], text: str, letters: str = r"[\x{4e00}-\x{9fff}]", stop: str = config.STOP_CHARS, least: int = 2, most: int = 200) -> DataFrame:
     """AGG-30: neighbouring letters of the given kind, without stop characters, by number; the `most` frequent of each
     group that come `least` times or more."""
-    chars = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(letters), F.lit(0))
-    pairs = F.zip_with(F.slice(chars, F.lit(1), F.greatest(F.size(chars) - 1, F.lit(0))), F.slice(chars, F.lit(2), F.greatest(F.size(chars) - 1, F.lit(0))), lambda a, b: F.concat(a, b))
-    grams = docs.select(*keys, F.explode(pairs).alias("gram")).filter(~F.col("gram").rlike(f"[{stop}]")) if stop else docs.select(*keys, F.explode(pairs).alias("gram"))
+    bare = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), f"[^{letters[1:-1]}]+", "")
+    pair = f"(?=([{letters[1:-1]}&&[^{stop}]]{{2}}))." if stop else f"(?=({letters}{{2}}))."  # each place, as the next one starts within this pair
+    grams = docs.select(*keys, F.explode(F.regexp_extract_all(bare, F.lit(pair), F.lit(1))).alias("gram"))
     counts = grams.groupBy(*keys, "gram").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
     w = Window.partitionBy(*keys).orderBy(F.desc("n"), "gram")
     return counts.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= most).drop("_rank")
@@ -130,6 +136,8 @@ def sample_scores(docs: DataFrame, samples: list[dict], key: str, text: str, fie
         a, b, c = (F.lit(str(w)).cast("decimal(4,2)") for w in config.SAMPLE_WEIGHTS)
         score = F.round(share(s.get("labels", {})) * a + share(s.get("grams", {})) * b + anchor * c, 4).cast("decimal(6,4)")
         scored.append(F.struct(score.alias("score"), F.lit(-k).alias("first"), F.lit(s["id"]).alias("sample_id")))
+    if not scored:
+        return docs.select(key, F.lit(0).cast("decimal(6,4)").alias("score"), F.lit(None).cast("int").alias("sample_id"))
     best = F.array_max(F.array(*scored))
     return docs.select(key, best["score"].alias("score"), F.when(best["score"] >= config.SAMPLE_THRESHOLD, best["sample_id"]).alias("sample_id"))
 

@@ -87,13 +87,11 @@ def eav_filter_range(spark, d):
 
 @query("date_or_filter", f"""{with_(FIELDS)} SELECT o_orderkey AS id FROM orders WHERE o_orderkey IN
  (SELECT document_id FROM fields WHERE field_name IN ('date') AND field_value >= '1996-01-01' AND field_value <= '1996-06-30')
- OR strftime(o_orderdate, '%Y-%m-%d') >= '1998-01-01' OR strftime(o_orderdate, '%Y-%m-%d') <= '1993-01-31'""")
+ OR (o_orderkey % 3 = 0 AND (strftime(o_orderdate, '%Y-%m-%d') >= '1996-01-01' OR strftime(o_orderdate, '%Y-%m-%d') <= '1996-06-30'))""")
 def date_or_filter(spark, d):
-    docs = t.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("created_at"))
-    hits = eav.matching(t.fields(spark, d), ["date"], start="1996-01-01", end="1996-06-30").withColumnRenamed("document_id", "_hit")
-    found = docs.join(hits, docs["id"] == hits["_hit"], "left")
-    day_ = F.date_format("created_at", "yyyy-MM-dd")
-    return found.filter(F.col("_hit").isNotNull() | (day_ >= "1998-01-01") | (day_ <= "1993-01-31")).select("id")
+    """Two thirds of the documents don't say when they were created, so only their fields count."""
+    docs = t.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderdate")).alias("created_at"))
+    return eav.date_search(docs, t.fields(spark, d), ["date"], "1996-01-01", "1996-06-30").select("id")
 
 
 @query("log_filter", f"{with_(OPS)} SELECT id, operation_type, result FROM ops WHERE operation_type = 'error' ORDER BY id DESC LIMIT 100 OFFSET 20")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.classify import diff_key
-from ..operators import joins, ledger, lifecycle, recon
+from ..operators import joins, ledger, lifecycle, recon, reports
 from ..sources import tables as t
 from .catalogue import LEDGER, LINES, query, with_
 
@@ -69,15 +69,20 @@ STATUSES = """status_ AS (SELECT l.business_no, coalesce(n_docs, 0) AS n_docs, c
  LEFT JOIN (SELECT business_no, count(*) AS n_diffs, max(CASE severity WHEN 'CRITICAL' THEN 2 WHEN 'WARNING' THEN 1 ELSE 0 END) AS worst FROM every_ GROUP BY 1) USING (business_no))"""
 
 
-@query("matrix", f"""{with_(*ALL)}, g AS (SELECT business_no, direction, role FROM ledger, (VALUES ('up'), ('down')) a(direction), (VALUES ('contract'), ('settlement'), ('invoice'), ('cargo_right'), ('payment_receipt')) b(role))
- SELECT business_no, direction, role, coalesce(n, 0) AS n, coalesce(CASE WHEN role = 'payment_receipt' THEN goods ELSE amount END, 0) AS amount, 0 AS candidates FROM g LEFT JOIN cells USING (business_no, direction, role)""")
+@query("matrix", f"""{with_(*ALL)}, g AS (SELECT business_no, direction, role FROM ledger, (VALUES ('up'), ('down')) a(direction), (VALUES ('contract'), ('settlement'), ('invoice'), ('cargo_right'), ('payment_receipt')) b(role)),
+ w AS (SELECT business_no, role, count(*) AS candidates FROM lines WHERE nature = 'deposit' GROUP BY 1, 2)
+ SELECT business_no, direction, role, coalesce(n, 0) AS n, coalesce(CASE WHEN role = 'payment_receipt' THEN goods ELSE amount END, 0) AS amount, coalesce(candidates, 0) AS candidates FROM g LEFT JOIN cells USING (business_no, direction, role) LEFT JOIN w USING (business_no, role)""")
 def matrix(spark, d):
-    return recon.matrix(*both(spark, d))
+    lines, docs = both(spark, d)
+    return recon.matrix(lines, docs, docs.filter("nature = 'deposit'"))
 
 
-@query("cell_dedup", f"{with_(LINES, UNIQ)} SELECT document_id, kept AS kept_id FROM u WHERE kept <> document_id")
+@query("cell_dedup", f"""{with_(LINES)}, r AS (SELECT document_id, business_no, direction, role, CAST(floor(amount / 20000) * 20000 AS DECIMAL(18,2)) AS amount, CAST(date_trunc('year', doc_date) AS DATE) AS doc_date FROM lines),
+ k AS (SELECT *, first_value(document_id) OVER (PARTITION BY business_no, direction, role, amount, doc_date ORDER BY document_id) AS kept FROM r WHERE amount IS NOT NULL AND doc_date IS NOT NULL) SELECT document_id, kept AS kept_id FROM k WHERE kept <> document_id""")
 def cell_dedup(spark, d):
-    return recon.unique_in_cell(t.line_documents(spark, d)).filter("kept_id <> document_id").select("document_id", "kept_id")
+    """Amounts in steps and days in years, so that documents of a cell repeat."""
+    docs = t.line_documents(spark, d).withColumns({"amount": (F.floor(F.col("amount") / 20000) * 20000).cast("decimal(18,2)"), "doc_date": F.to_date(F.date_trunc("year", "doc_date"))})
+    return recon.unique_in_cell(docs).filter("kept_id <> document_id").select("document_id", "kept_id")
 
 
 @query("r1_missing", f"{with_(*ALL, R1)} SELECT * FROM r1")
@@ -100,12 +105,13 @@ def r4_interest(spark, d):
     return flat(recon.r4_interest(t.ledger(spark, d)))
 
 
-@query("r5_membership", f"""{with_(LINES)} SELECT {d_('R5', 'chain_break', "'WARNING'", 'direction', 'role', actual="CASE WHEN direction = 'up' THEN 'cg' ELSE 'xs' END || '（DD） -' || business_no", ids='document_id')} FROM lines WHERE direction = 'down'""")
+@query("r5_membership", f"""{with_(LEDGER, LINES)} SELECT {d_('R5', 'chain_break', "CASE WHEN CAST(business_no AS BIGINT) % 2 = 0 THEN 'INFO' ELSE 'WARNING' END", 'direction', 'role', actual="CASE WHEN direction = 'up' THEN 'cg' ELSE 'xs' END || '（DD） -' || business_no", ids='document_id')} FROM lines JOIN ledger USING (business_no) WHERE direction = 'down'""")
 def r5_membership(spark, d):
+    """Only the upstream number counts here, so each downstream document breaks the chain; those of every other line have its amount."""
     lines, docs = both(spark, d)
-    # only the upstream number counts here, and lines have no amounts, so each downstream document breaks the chain
-    bare = lines.select("business_no", "up_contract_no", *[F.lit(None).cast("decimal(18,2)").alias(c) for c in ("up_contract_amount", "up_settlement")])
-    return flat(recon.r5_membership(bare, docs, ["up_contract_no"]))
+    even = F.col("business_no").cast("long") % 2 == 0
+    own = docs.join(lines.select("business_no", "up_settlement"), "business_no").withColumn("amount", F.when(even, F.col("up_settlement")))
+    return flat(recon.r5_membership(lines, own.drop("up_settlement"), ["up_contract_no"]))
 
 
 @query("r6_dates", f"{with_(LEDGER, LINES, R6)} SELECT * FROM r6")
@@ -128,14 +134,91 @@ def recon_diffs(spark, d):
     return flat(found(spark, d)[2])
 
 
-@query("status_rollup", f"{with_(*EVERY, DIFFS, STATUSES)} SELECT * FROM status_")
+#: Loose documents, bound by number, amount, party or cargo: names of one shape hold one another only if they are equal.
+LOOSE = """anchor AS (SELECT business_no, k, d, CAST(v AS DECIMAL(18,2)) AS v FROM (
+  SELECT business_no, unnest([0, 1, 2, 4, 5, 6, 7, 8]) AS k, unnest(['up', 'up', 'up', 'down', 'down', 'down', 'down', 'down']) AS d,
+   unnest([up_contract_amount, up_settlement, pay_amount, down_settlement, receipt_amount, interest_received, receipt_amount + interest_received, down_settlement + interest_received]) AS v FROM ledger) WHERE v > 0),
+ fresh AS (SELECT * FROM anchor a WHERE NOT EXISTS (SELECT 1 FROM anchor b WHERE b.business_no = a.business_no AND b.k < a.k AND abs(a.v - b.v) <= 0.01)),
+ item AS (SELECT concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS document_id, CAST(l_orderkey AS VARCHAR) AS own, (l_orderkey * 7 + l_linenumber) % 5 AS kind,
+  CASE WHEN l_linestatus = 'O' THEN 'up' ELSE 'down' END AS side, CASE WHEN (l_orderkey * 7 + l_linenumber) % 5 = 4 THEN 'cargo_right' WHEN l_returnflag = 'R' THEN 'payment_receipt' WHEN l_linenumber % 2 = 0 THEN 'invoice' ELSE 'settlement' END AS role,
+  CASE WHEN l_tax >= 0.08 THEN 'deposit' ELSE 'payment' END AS nature,
+  CASE (l_orderkey * 7 + l_linenumber) % 5 WHEN 0 THEN CASE WHEN l_discount < 0.095 THEN CAST(l_extendedprice AS DECIMAL(18,2)) END WHEN 1 THEN CAST(o_totalprice AS DECIMAL(18,2)) WHEN 2 THEN CAST(CAST(o_totalprice AS DECIMAL(18,2)) + 1000 AS DECIMAL(18,2)) END AS amount,
+  CAST(l_shipdate AS DATE) AS doc_date, 'INV' || l_partkey AS invoice_no FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+ hit AS (SELECT document_id, business_no, arg_min(d, k) AS direction FROM item JOIN fresh ON amount >= v - 0.01 AND amount <= v + 0.01 WHERE kind IN (1, 2) GROUP BY 1, 2),
+ one AS (SELECT document_id, min(business_no) AS business_no, min(direction) AS direction FROM hit GROUP BY 1 HAVING count(*) = 1),
+ lines AS (SELECT document_id, CASE WHEN kind IN (1, 2) THEN one.business_no ELSE own END AS business_no, CASE kind WHEN 0 THEN side WHEN 3 THEN 'up' WHEN 4 THEN 'down' ELSE one.direction END AS direction,
+  CASE kind WHEN 0 THEN 'number' WHEN 3 THEN 'party' WHEN 4 THEN 'cargo' ELSE 'amount' END AS basis, kind = 0 AS numbered, role, nature, amount, doc_date, invoice_no
+  FROM item LEFT JOIN one USING (document_id) WHERE kind NOT IN (1, 2) OR one.business_no IS NOT NULL)"""
+LOOSE_UNIQ = UNIQ.replace("CASE WHEN amount IS NOT NULL", "CASE WHEN numbered AND amount IS NOT NULL").replace("PARTITION BY business_no", "PARTITION BY numbered, business_no")
+FROM_LOOSE = [LEDGER, LOOSE, LOOSE_UNIQ, CELLS, DUP, R1, R2, R3, R4, R6, R7]
+NUMBERS = ["up_contract_no", "down_contract_no"]
+
+
+def bound_documents(spark, d):
+    lines = t.named_ledger(spark, d)
+    bound, pool = recon.bind(lines, t.loose_documents(spark, d), ["up_contract_no"], ["down_contract_no"])
+    return lines, recon.assign(lines, bound), pool
+
+
+def reconciled(spark, d):
+    """From documents that nothing binds yet to differences: binding, sides, all rules."""
+    lines, docs, _ = bound_documents(spark, d)
+    return lines, docs, recon.differences(lines, docs, NUMBERS)
+
+
+@query("bind_documents", f"{with_(LEDGER, LOOSE)} SELECT document_id, business_no, direction, basis FROM lines")
+def bind_documents(spark, d):
+    return bound_documents(spark, d)[1].select("document_id", "business_no", "direction", "basis")
+
+
+@query("document_pool", f"{with_(LEDGER, LOOSE)} SELECT document_id FROM item WHERE document_id NOT IN (SELECT document_id FROM lines)")
+def document_pool(spark, d):
+    return bound_documents(spark, d)[2].select("document_id")
+
+
+@query("subset_sum", """WITH a AS (SELECT CAST(l_orderkey AS VARCHAR) AS business_no, sum(CASE WHEN l_linenumber <= 3 THEN CAST(l_extendedprice AS DECIMAL(18,2)) END) AS pay FROM lineitem GROUP BY 1),
+ g AS (SELECT CAST(l_orderkey AS VARCHAR) AS business_no, list({'id': concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber), 'amount': CAST(l_extendedprice AS DECIMAL(18,2))} ORDER BY concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber)) AS own FROM lineitem GROUP BY 1 HAVING count(*) BETWEEN 2 AND 8),
+ m AS (SELECT business_no, own, unnest(range(1, CAST(pow(2, len(own)) AS BIGINT))) AS mask FROM g), s AS (SELECT business_no, mask, list_filter(own, lambda x, i: (mask >> (i - 1)) & 1 = 1) AS own FROM m),
+ h AS (SELECT business_no, arg_min(own, (-len(own), mask)) AS own FROM s JOIN a USING (business_no) WHERE pay > 0 AND abs(list_sum(list_transform(own, lambda x: x.amount)) - pay) <= 0.01 GROUP BY 1)
+ SELECT business_no, unnest(own).id AS document_id, 'up' AS direction FROM h""")
+def subset_sum(spark, d):
+    lines, docs = t.split_payments(spark, d)
+    return recon.subset_sums(docs, lines).select("business_no", "document_id", "direction")
+
+
+@query("assign_sides", f"""WITH p AS (SELECT CAST(o_orderkey AS VARCHAR) AS business_no, CAST(o_totalprice AS DECIMAL(18,2)) AS pay FROM orders), x AS (SELECT concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS document_id, CAST(l_orderkey AS VARCHAR) AS business_no, l_linenumber AS n FROM lineitem)
+ SELECT document_id, business_no, CASE WHEN n % 3 = 0 AND pay > 0 THEN 'up' ELSE 'unknown' END AS direction FROM x JOIN p USING (business_no)""")
+def assign_sides(spark, d):
+    """Documents of known lines: a third has the line's payment as amount, the others none."""
+    lines = t.ledger(spark, d).select("business_no", F.col("up_settlement").alias("pay_amount"))
+    docs = t.line_documents(spark, d).select("document_id", "business_no", F.lit("unknown").alias("direction"), F.lit("settlement").alias("role"), F.element_at(F.split("document_id", "-"), -1).cast("int").alias("n"))
+    docs = docs.join(lines, "business_no").withColumn("amount", F.when(F.col("n") % 3 == 0, F.col("pay_amount"))).drop("pay_amount")
+    return recon.assign(lines, docs).select("document_id", "business_no", "direction")
+
+
+@query("status_rollup", f"{with_(*FROM_LOOSE, DIFFS, STATUSES)} SELECT * FROM status_")
 def status_rollup(spark, d):
-    return recon.statuses(*found(spark, d))
+    return recon.statuses(*reconciled(spark, d))
+
 
+@query("recon_report", f"""{with_(*FROM_LOOSE, DIFFS, STATUSES)}, n AS (SELECT business_no, count(*) FILTER (severity = 'CRITICAL') AS n_critical, count(*) FILTER (severity = 'WARNING') AS n_warning, count(*) FILTER (severity = 'INFO') AS n_info, string_agg(DISTINCT rule, ',' ORDER BY rule) AS rules FROM every_ GROUP BY 1)
+ SELECT business_no, status, n_docs, coalesce(n_critical, 0) AS n_critical, coalesce(n_warning, 0) AS n_warning, coalesce(n_info, 0) AS n_info, coalesce(rules, '') AS rules FROM status_ LEFT JOIN n USING (business_no)""")
+def recon_report(spark, d):
+    lines, docs, diffs = reconciled(spark, d)
+    made = reports.encode(recon.statuses(lines, docs, diffs), diffs)
+    return reports.detail(made).select("business_no", "status", "n_docs", "n_critical", "n_warning", "n_info", F.array_join("rules", ",").alias("rules"))
 
-@query("run_summary", f"{with_(*EVERY, DIFFS, STATUSES)} SELECT status, count(*) AS n_lines, CAST(sum(n_diffs) AS BIGINT) AS n_diffs FROM status_ GROUP BY 1")
+
+@query("export_diffs", f"{with_(*FROM_LOOSE, DIFFS)} SELECT business_no, rule, type, severity, document_ids, {KEY} AS key FROM every_")
+def export_diffs(spark, d):
+    lines, docs, diffs = reconciled(spark, d)
+    sheets = lifecycle.export_tables(recon.statuses(lines, docs, diffs), diffs, docs.limit(0))
+    return sheets["differences"].select("business_no", "rule", "type", "severity", "document_ids", "key")
+
+
+@query("run_summary", f"{with_(*FROM_LOOSE, DIFFS, STATUSES)} SELECT status, count(*) AS n_lines, CAST(sum(n_diffs) AS BIGINT) AS n_diffs FROM status_ GROUP BY 1")
 def run_summary(spark, d):
-    return recon.statuses(*found(spark, d)).groupBy("status").agg(F.count("*").alias("n_lines"), F.sum("n_diffs").alias("n_diffs"))
+    return recon.statuses(*reconciled(spark, d)).groupBy("status").agg(F.count("*").alias("n_lines"), F.sum("n_diffs").alias("n_diffs"))
 
 
 @query("urge_list", f"""{with_(*ALL, R1)} SELECT business_no, count(*) AS n_missing, string_agg(direction || '/' || role, ',' ORDER BY direction || '/' || role) AS missing FROM r1 WHERE type = 'missing_doc' GROUP BY 1""")
@@ -260,3 +343,26 @@ def settlement_sums(spark, d):
         money(F.lit(1)).alias("tail"), F.lit(None).cast("decimal(18,2)").alias("tail_invoice"), money(F.col("l_tax") * 100).alias("sale"), F.lit(None).cast("decimal(18,2)").alias("interest"),
     )
     return ledger.settlement_sums(rows, "no")
+
+
+@query("payment_sums", """SELECT upper(l_returnflag) || l_linenumber AS contract_key, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS pay_amount, sum(coalesce(CASE WHEN l_linenumber > 2 THEN CAST(l_quantity AS DECIMAL(18,2)) END, 0)) AS receipt_amount,
+ CAST(sum(CAST(l_tax * 100 AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS interest_receivable, CAST(0 AS DECIMAL(18,2)) AS interest_received,
+ arg_min(l_shipmode, l_orderkey * 1000000 + l_partkey * 10 + l_linenumber) FILTER (l_shipmode <> 'AIR') AS up_contract_no, min(CAST(l_shipdate AS DATE)) AS invoice_date FROM (SELECT *, CASE l_partkey % 3 WHEN 0 THEN 'AIR' ELSE 'N' || l_suppkey END AS l_shipmode FROM lineitem) GROUP BY 1""")
+def payment_sums(spark, d):
+    money = lambda c: c.cast("decimal(18,2)")
+    rows = t.table(spark, d, "lineitem").select(
+        F.concat(F.lower("l_returnflag"), F.col("l_linenumber").cast("string"), F.lit(")")).alias("no"), money(F.col("l_extendedprice")).alias("pay_amount"), F.when(F.col("l_linenumber") > 2, money(F.col("l_quantity"))).alias("receipt_amount"),
+        money(F.col("l_tax") * 100).alias("interest_receivable"), F.lit(None).cast("decimal(18,2)").alias("interest_received"), F.when(F.col("l_partkey") % 3 == 0, "").otherwise(F.concat(F.lit("N"), F.col("l_suppkey").cast("string"))).alias("up_contract_no"),
+        F.to_date("l_shipdate").alias("invoice_date"), (F.col("l_orderkey") * 1000000 + F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("pos"),
+    )
+    return ledger.payment_sums(rows, "no", "pos")
+
+
+@query("containment_join", """WITH w AS (SELECT DISTINCT r_name AS word FROM region UNION SELECT n_name FROM nation UNION SELECT unnest(['the', 'de', 'x', 'rights', 'a b']))
+ SELECT doc_id, word FROM documents, w WHERE contains(coalesce(text, ''), word)""")
+def containment_join(spark, d):
+    """Whole texts of all documents against names and short words, equal texts compared once."""
+    names = t.table(spark, d, "region").select(F.col("r_name").alias("word")).union(t.table(spark, d, "nation").select("n_name"))
+    words = names.union(spark.createDataFrame([("the",), ("de",), ("x",), ("rights",), ("a b",)], "word string"))
+    docs = t.table(spark, d, "documents").select("doc_id", "text")
+    return docs.join(joins.containment_join(docs, words, "text", "word"), "text").select("doc_id", "word")

@@ -116,8 +116,9 @@ def best_rule(spark, d):
 
 
 @query("confidence_fusion", """WITH c AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(l_discount * 10 AS DECIMAL(6,2)) AS rule, CASE WHEN l_linenumber % 2 = 0 THEN CAST(l_tax * 10 AS DECIMAL(6,2)) END AS field, CASE WHEN l_linenumber % 3 = 0 THEN least(1.0, l_quantity / 25) END AS ai FROM lineitem),
- s AS (SELECT *, (rule * 0.4 + coalesce(field * 0.2, 0) + coalesce(CAST(ai AS DECIMAL(12,8)) * 0.25, 0)) / (0.4 + CASE WHEN field IS NULL THEN 0 ELSE 0.2 END + CASE WHEN ai IS NULL THEN 0 ELSE 0.25 END) AS v FROM c)
- SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round(CAST(v AS DOUBLE), 2) AS score, CASE WHEN round(CAST(v AS DOUBLE), 4) >= 0.85 THEN 'auto' WHEN round(CAST(v AS DOUBLE), 4) >= 0.6 THEN 'review' ELSE 'reject' END AS decision FROM s WHERE abs(v * 100 - floor(v * 100) - 0.5) > 0.02 AND abs(v - 0.85) > 0.001 AND abs(v - 0.6) > 0.001""")
+ n AS (SELECT *, CAST(least(1, rule) * 100000000 AS BIGINT) * 40 + coalesce(CAST(least(1, field) * 100000000 AS BIGINT) * 20, 0) + coalesce(CAST(round(ai * 1e8) AS BIGINT) * 25, 0) AS v, 40 + CASE WHEN field IS NULL THEN 0 ELSE 20 END + CASE WHEN ai IS NULL THEN 0 ELSE 25 END AS w FROM c),
+ s AS (SELECT *, (v * 2 + w * 10000) // (w * 20000) AS score FROM n)
+ SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(score AS DECIMAL(10,4)) / 10000 AS score, CASE WHEN score >= 8500 THEN 'auto' WHEN score >= 6000 THEN 'review' ELSE 'reject' END AS decision FROM s""")
 def confidence_fusion(spark, d):
     items = t.table(spark, d, "lineitem")
     n = F.col("l_linenumber")
@@ -125,11 +126,14 @@ def confidence_fusion(spark, d):
     key = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
     rows = items.select(*key, (F.col("l_discount") * 10).cast("decimal(6,2)").alias("rule"), F.when(n % 2 == 0, (F.col("l_tax") * 10).cast("decimal(6,2)")).alias("field"), F.when(n % 3 == 0, F.least(F.lit(1.0), F.col("l_quantity") / 25)).alias("ai"))
     score = classify.fused(sources)
-    out = rows.select(*key, score.alias("s"), classify.decide(score).alias("decision"))
-    v = F.col("s").cast("double")
-    # rows whose exact value lies on a rounding edge are left out of the comparison, on either side
-    edge = (F.abs(v * 100 - F.floor(v * 100) - 0.5) > 0.02) & (F.abs(v - 0.85) > 0.001) & (F.abs(v - 0.6) > 0.001)
-    return out.filter(edge).select(*key, F.round(v, 2).alias("score"), "decision")
+    return rows.select(*key, score.cast("double").alias("score"), classify.decide(score).alias("decision"))
+
+
+@query("rule_confidence", f"""WITH x AS (SELECT l_orderkey, l_linenumber AS n, CAST(l_linenumber + l_quantity AS DECIMAL(20,6)) AS score, l_suppkey % 4 AS high FROM lineitem)
+ SELECT DISTINCT l_orderkey, n, score, high, CAST(round(least(0.98, CAST(CASE n WHEN 1 THEN 0.6 WHEN 2 THEN 0.75 WHEN 3 THEN 0.85 ELSE least(0.95, 0.85 + 0.03 * (n - 3)) END AS DECIMAL(20,6)) + least(0.05, greatest(0, (score - n) * 0.02)) + 0.04 * least(2, high)), 4) AS DOUBLE) AS confidence FROM x""")
+def rule_confidence(spark, d):
+    rows = t.table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("n"), (F.col("l_linenumber") + F.col("l_quantity")).cast("decimal(20,6)").alias("score"), (F.col("l_suppkey") % 4).alias("high")).distinct()
+    return rows.withColumn("confidence", classify.rule_confidence(F.col("n"), F.col("score"), F.col("high")).cast("double"))
 
 
 @query("rule_simulation", f"""{HITS}, b AS (SELECT id, category, row_number() OVER (PARTITION BY id ORDER BY score DESC, high DESC, category) AS r FROM s),
@@ -171,7 +175,7 @@ def trade_fields(spark, d):
 def field_conflicts(spark, d):
     own = F.sort_array(F.collect_set("field_value"), asc=False)
     rows = t.fields(spark, d).groupBy("document_id").agg(own.alias("v"))
-    return rows.select("document_id", F.get("v", F.lit(0)).alias("chosen"), F.array_join(F.slice("v", 2, 100), "|").alias("others"))
+    return rows.select("document_id", F.get("v", F.lit(0)).alias("chosen"), F.array_join(F.slice("v", F.lit(2), F.size("v")), "|").alias("others"))
 
 
 @query("bigram_profile", f"""{with_(DOCS)}, c AS (SELECT document_type, regexp_extract_all(extracted_text, '[a-z]') AS l FROM docs), p AS (SELECT document_type, unnest(list_transform(range(1, len(l)), lambda i: l[i] || l[i + 1])) AS gram FROM c),
@@ -221,15 +225,18 @@ def near_dup_pairs(spark, d):
 
 @query("leader_clusters")
 def leader_clusters(spark, d):
-    prints = simhash(spark, d).select("conv_id", F.lit(None).cast("string").alias("layout"), "simhash", F.lit("all").alias("block"))
-    return cluster.leader_clusters(prints, "conv_id", "layout", "simhash", "block")
+    """Conversations by fingerprint; a fifth of them share layouts."""
+    layout = F.when(F.crc32(F.col("conv_id").cast("string").cast("binary")) % 5 == 0, F.concat(F.lit("L"), (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 50).cast("string")))
+    prints = simhash(spark, d).select("conv_id", layout.alias("layout"), "simhash")
+    return cluster.leader_clusters(prints, "conv_id", "layout", "simhash")
 
 
-@query("same_image", """WITH p AS (SELECT l_partkey AS id, l_size AS w, h, amount FROM (SELECT p_partkey AS l_partkey, p_size AS l_size, CAST('0x' || substr(md5(p_brand), 1, 15) || substr('01234567', 1 + p_partkey % 8, 1) AS UBIGINT) AS h, CAST(p_retailprice AS DECIMAL(18,2)) AS amount FROM part))
- SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON a.id < b.id AND a.w = b.w WHERE bit_count(xor(a.h, b.h)) <= 1 AND abs(a.amount - b.amount) < 0.01""")
+@query("same_image", """WITH p AS (SELECT p_partkey AS id, p_size AS w, CAST('0x' || substr(md5(p_brand), 1, 15) || substr('01234567', 1 + p_partkey % 8, 1) AS UBIGINT) AS h, CASE WHEN p_partkey % 3 > 0 THEN CAST(floor(p_retailprice / 500) AS DECIMAL(18,2)) END AS amount FROM part)
+ SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON a.id < b.id AND a.w = b.w WHERE bit_count(xor(a.h, b.h)) <= 1 AND NOT coalesce(abs(a.amount - b.amount) >= 0.01, false)""")
 def same_image(spark, d):
     digit = F.substring(F.lit("01234567"), (F.col("p_partkey") % 8 + 1).cast("int"), F.lit(1))
-    rows = t.table(spark, d, "part").select("p_partkey", F.concat(F.substring(F.md5(F.col("p_brand").cast("binary")), 1, 15), digit).alias("phash"), F.col("p_size").alias("img_w"), F.col("p_size").alias("img_h"), F.col("p_retailprice").cast("decimal(18,2)").alias("amount"))
+    amount = F.when(F.col("p_partkey") % 3 > 0, F.floor(F.col("p_retailprice") / 500).cast("decimal(18,2)"))
+    rows = t.table(spark, d, "part").select("p_partkey", F.concat(F.substring(F.md5(F.col("p_brand").cast("binary")), 1, 15), digit).alias("phash"), F.col("p_size").alias("img_w"), F.col("p_size").alias("img_h"), amount.alias("amount"))
     return cluster.same_image(rows, "p_partkey")
 
 
@@ -284,10 +291,23 @@ def role_direction_nature(spark, d):
     return rows.select("id", classify.infer_role(c("role"), c("type"), c("name")).alias("role"), classify.infer_direction(c("role"), F.lit("")).alias("direction"), classify.infer_nature(c("name"), c("summary"), c("type")).alias("nature"))
 
 
-@query("seed_rules", f"""{with_(values(TEXTS, "id, v, name"))} SELECT id, count(*) AS n FROM x, (VALUES ('合同编号'), ('甲方'), ('乙方'), ('结算单'), ('结算金额'), ('磅单'), ('增值税专用发票'), ('发票号码'), ('价税合计'), ('货权转移'), ('提货'), ('放货通知'), ('银行电子回单'), ('付款人'), ('收款人')) k(w) WHERE contains(v, w) GROUP BY 1""")
+SEEDS = ", ".join(f"({k}, '{c}', '{w}')" for k, (c, w) in enumerate((c, w) for c, ws in seeds.KEYWORD_RULES.items() for w in ws))
+
+
+@query("seed_rules", f"""{with_(values(TEXTS, "id, v, name"))}, d AS (SELECT o_orderkey, v || ' ' || o_orderkey || name AS v FROM orders JOIN x ON id = 1 + o_orderkey % 5)
+ SELECT o_orderkey, c AS category, count(*) AS n, string_agg(w, '|' ORDER BY k) AS keywords FROM d, (VALUES {SEEDS}) r(k, c, w) WHERE contains(v, w) GROUP BY 1, 2""")
 def seed_rules(spark, d):
-    s = rules.rule_scores(literal(spark, TEXTS, "id int, v string, name string"), seeds.keyword_rules(), "id", "v")
-    return s.groupBy("id").agg(F.sum("n_keywords").alias("n"))
+    """A fixture text for each order, by the rules that a new installation has."""
+    x = literal(spark, TEXTS, "id int, v string, name string")
+    docs = t.table(spark, d, "orders").withColumn("id", (F.col("o_orderkey") % 5 + 1).cast("int")).join(F.broadcast(x), "id").select("o_orderkey", F.concat("v", F.lit(" "), F.col("o_orderkey").cast("string"), "name").alias("v"))
+    s = rules.rule_scores(docs, seeds.keyword_rules(), "o_orderkey", "v")
+    return s.select("o_orderkey", "category", F.col("n_keywords").cast("long").alias("n"), F.array_join("matched_keywords", "|").alias("keywords"))
+
+
+@query("seed_categories", "SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{p}/{c}')" if c else f"(NULL, '{p}')" for p, cs in seeds.CATEGORY_TREE.items() for c in ["", *cs]) + ") v(parent, path)")
+def seed_categories(spark, d):
+    rows = seeds.categories(spark)
+    return rows.join(rows.select(F.col("id").alias("parent_id"), F.col("path").alias("parent")), "parent_id", "left").select("parent", "path")
 
 
 @query("fuzzy_guard")

@@ -112,6 +112,51 @@ def line_documents(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def named_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """The ledger with names of parties and a vessel that are each line's own."""
+    key = F.col("business_no")
+    return ledger(spark, folder).withColumns({"supplier": F.concat(F.lit("Works-"), key, F.lit(" Ltd")), "customer": F.concat(F.lit("Client-"), key, F.lit(" Ltd")), "vessel": F.concat(F.lit("MV"), key, F.lit("X"))})
+
+
+def loose_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that aren't bound to lines, from lineitem: a fifth each has a contract number, the purchase's or the sale's
+    amount, the seller's name alone, or is a cargo document that names vessel and receiver."""
+    total = table(spark, folder, "orders").select(F.col("o_orderkey").cast("string").alias("business_no"), F.col("o_totalprice").cast(MONEY).alias("_total"))
+    parts = F.split("document_id", "-")
+    number = F.pmod(parts[0].cast("long") * 7 + parts[3].cast("long"), F.lit(5))
+    kind, key = F.col("_kind"), F.col("business_no")
+    rows = line_documents(spark, folder).withColumn("_kind", number).join(total, "business_no")
+    ship = F.concat(F.lit("船名 MV"), key, F.lit("X，货物转移给Client-"), key, F.lit("有限公司。"))
+    return rows.select(
+        "document_id",
+        F.when(kind == 0, F.col("contract_no")).alias("contract_no"),
+        F.lit("unknown").alias("direction"),
+        F.when(kind == 4, "cargo_right").otherwise(F.col("role")).alias("role"),
+        "nature",
+        F.when(kind == 0, F.col("amount")).when(kind == 1, F.col("_total")).when(kind == 2, (F.col("_total") + 1000).cast(MONEY)).alias("amount"),
+        "doc_date",
+        "invoice_no",
+        F.when(kind == 3, F.concat(F.lit("Works-"), key, F.lit(" Ltd"))).alias("seller"),
+        F.lit(None).cast("string").alias("company"),
+        F.when(kind == 4, ship).alias("text"),
+        "filename",
+    )
+
+
+def split_payments(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Lines whose payment is the sum of their first three numbers, and their receipts, of unknown side."""
+    items = table(spark, folder, "lineitem").select(
+        F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")]).alias("document_id"),
+        F.col("l_orderkey").cast("string").alias("business_no"),
+        F.lit("unknown").alias("direction"),
+        F.lit("payment_receipt").alias("role"),
+        F.col("l_extendedprice").cast(MONEY).alias("amount"),
+        "l_linenumber",
+    )
+    lines = items.groupBy("business_no").agg(F.sum(F.when(F.col("l_linenumber") <= 3, F.col("amount"))).cast(MONEY).alias("pay_amount"))
+    return lines, items.drop("l_linenumber")
+
+
 def details(spark: SparkSession, folder: str) -> DataFrame:
     """External details from lineitem: id, batch_no, business_no, occurred_on, amount, kind."""
     key = F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")])

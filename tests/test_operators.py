@@ -139,7 +139,7 @@ def test_rules(spark):
     got = {(r.id, r.category): (float(r.score), r.matched_keywords, r.priority_hits) for r in rules.rule_scores(rows, table, "id", "t").collect()}
     assert got == {(1, "销售合同"): (3.0, ["销售合同", "合同编号"], 1), (2, "发票"): (1.5, ["发票号码", "NOTES"], 0)}
     names = spark.createDataFrame([(1, "hsycxs-1.pdf"), (2, "x")], "id int, n string")
-    assert [r.category for r in rules.filename_rule(names, seeds.filename_rules(), "id", "n").orderBy("id").collect()] == ["合同", None]
+    assert [r.category for r in rules.filename_rule(names, seeds.filename_rules(), "id", "n").orderBy("id").collect()] == ["合同/销售合同", None]
 
 
 def test_leader_and_pairs(spark):
