@@ -116,7 +116,7 @@ def best_rule(spark, d):
 
 
 @query("confidence_fusion", """WITH c AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(l_discount * 10 AS DECIMAL(6,2)) AS rule, CASE WHEN l_linenumber % 2 = 0 THEN CAST(l_tax * 10 AS DECIMAL(6,2)) END AS field, CASE WHEN l_linenumber % 3 = 0 THEN least(1.0, l_quantity / 25) END AS ai FROM lineitem),
- n AS (SELECT *, CAST(least(1, rule) * 100000000 AS BIGINT) * 40 + coalesce(CAST(least(1, field) * 100000000 AS BIGINT) * 20, 0) + coalesce(CAST(round(ai * 1e8) AS BIGINT) * 25, 0) AS v, 40 + CASE WHEN field IS NULL THEN 0 ELSE 20 END + CASE WHEN ai IS NULL THEN 0 ELSE 25 END AS w FROM c),
+ n AS (SELECT *, CAST(least(1, rule) * 100000000 AS BIGINT) * 40 + CASE WHEN field IS NULL THEN 0 ELSE CAST(least(1, field) * 100000000 AS BIGINT) * 20 END + coalesce(CAST(round(ai * 1e8) AS BIGINT) * 25, 0) AS v, 40 + CASE WHEN field IS NULL THEN 0 ELSE 20 END + CASE WHEN ai IS NULL THEN 0 ELSE 25 END AS w FROM c),
  s AS (SELECT *, (v * 2 + w * 10000) // (w * 20000) AS score FROM n)
  SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(score AS DECIMAL(10,4)) / 10000 AS score, CASE WHEN score >= 8500 THEN 'auto' WHEN score >= 6000 THEN 'review' ELSE 'reject' END AS decision FROM s""")
 def confidence_fusion(spark, d):

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon import config
-from quillon.operators import cluster, dossier, eav, joins, ledger, lifecycle, recon, rules
+from quillon.operators import cluster, dossier, eav, joins, ledger, lifecycle, recon, reports, rules
 from quillon.sources import files, seeds
 from quillon.streaming import jobs
 
@@ -143,11 +143,95 @@ def test_rules(spark):
 
 
 def test_leader_and_pairs(spark):
-    rows = spark.createDataFrame([(1, "L1", "1" * 16, "b"), (2, "L1", "f" * 16, "b"), (3, "L2", "1" * 15 + "3", "b"), (4, "L3", None, "b")], "id long, l string, p string, b string")
-    assert {r.id: r.leader for r in cluster.leader_clusters(rows, "id", "l", "p", "b").collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
+    rows = spark.createDataFrame([(1, "L1", "1" * 16), (2, "L1", "f" * 16), (3, "L2", "1" * 15 + "3"), (4, "L3", None)], "id long, l string, p string")
+    assert {r.id: r.leader for r in cluster.leader_clusters(rows, "id", "l", "p").collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
     assert [(r.a, r.b, r.distance) for r in cluster.near_pairs(rows, "id", "p").collect()] == [(1, 3, 1)]
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_leaders_in_order_of_ids(spark, seed):
+    """Against the loop over documents in the order of their ids."""
+    import random
+
+    rng = random.Random(seed)
+    base = [rng.getrandbits(64) for _ in range(4)]
+    rows = []
+    for i in range(120):
+        bits = rng.choice(base)
+        for _ in range(rng.randint(0, 5)):
+            bits ^= 1 << rng.randint(0, 11)
+        rows.append((i, rng.choice([None, "", "A", "B"] + [f"L{i}"] * 8), rng.choice([f"{bits:016x}"] * 9 + [None])))
+    leaders, want = [], {}
+    for i, layout, print_ in rows:
+        near = [j for j, x, y in leaders if (layout and x == layout) or (print_ and y and (int(print_, 16) ^ int(y, 16)).bit_count() <= 5)]
+        want[i] = min(near, default=i)
+        if not near:
+            leaders.append((i, layout, print_))
+    table = spark.createDataFrame(rows, "id long, l string, p string").repartition(3)
+    assert {r.id: r.leader for r in cluster.leader_clusters(table, "id", "l", "p").collect()} == want
+
+
+@pytest.mark.parametrize("blocks", [1, 2, 3])
+def test_near_pairs_miss_nothing(spark, monkeypatch, blocks):
+    import random
+
+    monkeypatch.setattr(cluster, "MEET", 0)
+    rng = random.Random(blocks)
+    base = [rng.getrandbits(64) for _ in range(5)]
+    prints = [rng.choice(base) ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 4))) for _ in range(80)]
+    first = {p: i for i, p in reversed(list(enumerate(prints)))}
+    want = {(min(first[a], first[b]), max(first[a], first[b])) for a in first for b in first if a != b and (a ^ b).bit_count() <= 5}
+    rows = spark.createDataFrame([(i, f"{p:016x}") for i, p in enumerate(prints)], "id long, p string")
+    got = cluster.near_pairs(rows, "id", "p", most_blocks=blocks).collect()
+    assert len(got) == len(want) and {(r.a, r.b) for r in got} == want
+
+
+def test_many_equal_names(spark):
+    docs = spark.range(1200).withColumns({"d": F.lit("x"), "n": F.lit("a.txt")}).union(spark.createDataFrame([(5000, "y", "a.txt"), (5001, "x", "b")], "id long, d string, n string"))
+    names = [(r.directory, r.filename) for r in lifecycle.unique_names(docs, F.col("d"), F.col("n")).orderBy("id").collect()]
+    assert len(set(names)) == 1202 and names[0] == ("x", "a.txt") and names[7] == ("x", "a_007.txt") and names[1199] == ("x", "a_1199.txt")
+
+
+def test_rules_that_do_not_work(spark):
+    docs = spark.createDataFrame([(1, "aab"), (2, None)], "id long, t string")
+    odd = [{"category": "c", "keyword": k, "match_type": "regex", "priority": 1, "weight": 1.0} for k in ("(?P<n>a)", "(", "a{2}")]
+    assert [(r.id, r.matched_keywords) for r in rules.rule_scores(docs, odd, "id", "t").collect()] == [(1, ["a{2}"])]
+    assert rules.rule_scores(docs, [], "id", "t").count() == 0 and rules.best_rule(rules.rule_scores(docs, [], "id", "t"), "id").count() == 0
+    assert [r.rule_id for r in rules.filename_rule(docs, [], "id", "t").collect()] == [None, None]
+    assert [r.sample_id for r in rules.sample_scores(docs, [], "id", "t").collect()] == [None, None]
+
+
+def test_containment_of_long_texts(spark):
+    text = " ".join(str(k) for k in range(20_000))  # over 100,000 characters
+    got = joins.containment_join(spark.createDataFrame([(text,), ("19999",)], "t string"), spark.createDataFrame([("19998 19999",), ("1",), ("zz",)], "w string"), "t", "w")
+    assert sorted((len(r.t), r.w) for r in got.collect()) == sorted([(len(text), "19998 19999"), (len(text), "1"), (5, "1")])
+
+
+def test_company_names(spark):
+    rows = spark.createDataFrame([("山西宏达钢铁有限公司",), ("签字盖章处理",), ("1234-5",), ("abc",)], "n string")
+    assert [r[0] for r in rows.select(cluster.valid_company(F.col("n"))).collect()] == [True, False, False, False]
+
+
+def test_assignment_by_sums(spark):
+    """A receipt by its amount, two more by their sum."""
+    lines = line(spark, pay_amount=D(100), receipt_amount=D(70))
+    open_ = docs(spark, *[dict(document_id=k, direction="unknown", role="payment_receipt", amount=D(a)) for k, a in (("a", 60), ("b", 40), ("c", 70))]).withColumn("business_no", F.lit("Y1"))
+    assert {r.document_id: r.direction for r in recon.assign(lines, open_).collect()} == {"a": "up", "b": "up", "c": "down"}
+
+
+def test_reports(spark):
+    status = spark.createDataFrame([("1", "ok", 1), ("2", "error", 2), ("3", "no_data", 0)], "business_no string, status string, n_docs long")
+    diffs = spark.createDataFrame([("2", "R1", "missing_doc", "CRITICAL", "up", "invoice", "k2"), ("2", "R2", "amount_mismatch", "INFO", "up", "invoice", "k1")], "business_no string, rule string, type string, severity string, direction string, role string, key string")
+    got = {r.business_no: r for r in reports.detail(reports.encode(status, diffs)).collect()}
+    assert [d.key for d in got["2"].diffs] == ["k1", "k2"] and got["2"].n_critical == 1 and got["1"].rules == []
+    assert [r.business_no for r in reports.page(status.withColumn("id", F.col("business_no")), order="id").collect()] == ["2", "1", "3"]
+    assert [r.business_no for r in reports.page(status.withColumn("id", F.col("business_no")), keyword="ER", columns=("status",)).collect()] == ["2"]
+    old = status.withColumn("urges", F.lit(None).cast("array<struct<at: timestamp, note: string>>"))
+    once = reports.urged(old, spark.createDataFrame([("2",), ("9",)], "business_no string"), F.lit("please"), F.lit("2026-01-01"))
+    twice = {r.business_no: r.urges for r in reports.urged(once, spark.createDataFrame([("2",)], "business_no string"), F.lit("again"), F.lit("2026-01-02")).collect()}
+    assert [u.note for u in twice["2"]] == ["please", "again"] and twice["1"] is None
+
+
 def test_ledger(spark):
     headers = ["销售合同编号OA", "船 名", "单价", "数量", "单价", "销售合同金额"]
     assert ledger.column_map(headers) == {"contract_no": 0, "vessel": 1, "unit_price": 2, "unit_price_sale": 4, "quantity": 3, "amount": 5}
