@@ -4,8 +4,8 @@ Texts are equal if they are identical without the characters [\\x20\\x09-\\x0D].
 the row with the most code points, then the smallest id.
 
 1. Local: the partial aggregation of each scan task joins the copies that the task has read.
-2. Salted: what the tasks found meets by digest, salt and full text; the salt is the number of the task that
-   wrote the row, so the rows of a hot text are dealt over `salts` reducers and are one per scan task at most.
+2. Salted: what the tasks found meets by digest, salt and full text; the salt is the scan task's number,
+   so the rows of a hot text are dealt over `salts` reducers and are one per scan task at most.
 3. Global: the at most `salts` winners of a text meet by digest and full text.
 
 The label of each class (digest, id that stays, size) then goes back to the rows by a lookup in which
@@ -34,21 +34,22 @@ def normalised(text):
 
 
 def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """content (the normalised text), digest (its SHA-256 in hex), chars of the text, and row, a number for each row."""
+    """id, digest (SHA-256 of the normalised text, in hex), chars of the text, and row, a number for each row."""
     chars = F.char_length(F.coalesce(F.col(text_col), F.lit("")))
-    content = docs.select(F.col(id_col).cast("long").alias("id"), normalised(F.col(text_col)).alias("content"), chars.alias("chars"))
-    return content.withColumn("digest", F.sha2("content", 256)).withColumn("row", F.monotonically_increasing_id())
-
-
-def classes(rows: DataFrame, salts: int = 16) -> DataFrame:
-    """One row for each distinct text of what numbered() gives: digest, keep_id, keep_chars, group_size."""
-    wide = lambda c, n: F.col(c).cast(f"decimal({n},0)") if isinstance(c, str) else c.cast(f"decimal({n},0)")
-    nearness = F.coalesce(wide(F.lit(LAST), 20) - wide("id", 20), wide(F.lit(-1), 20))
-    ranked = rows.select(
-        "content", "digest",
-        (wide("chars", 12) * wide(F.lit(SPAN), 20) + nearness + wide(F.lit(1), 20)).cast("decimal(38,0)").alias("rank"),
-        F.pmod(F.shiftright("row", 33), F.lit(salts)).alias("salt"),
-    )
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.sha2(normalised(F.col(text_col)), 256).alias("digest"), chars.alias("chars"))
+    return slim.withColumn("row", F.monotonically_increasing_id())
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
+    """One row for each distinct text: digest, keep_id, keep_chars, group_size."""
+    wide = lambda c, n: c.cast(f"decimal({n},0)")
+    chars = F.char_length(F.coalesce(F.col(text_col), F.lit("")))
+    nearness = F.coalesce(wide(F.lit(LAST), 20) - wide(F.col(id_col), 20), wide(F.lit(-1), 20))
+    ranked = docs.select(
+        normalised(F.col(text_col)).alias("content"),
+        (wide(chars, 12) * wide(F.lit(SPAN), 20) + nearness + wide(F.lit(1), 20)).cast("decimal(38,0)").alias("rank"),
+        F.pmod(F.spark_partition_id(), F.lit(salts)).alias("salt"),
+    ).withColumn("digest", F.sha2("content", 256))
     salted = ranked.groupBy("digest", "salt", "content").agg(F.max("rank").alias("rank"), F.count("*").alias("n"))
     best = salted.groupBy("digest", "content").agg(F.max("rank").alias("rank"), F.sum("n").alias("group_size"))
     near, span = F.col("rank") % wide(F.lit(SPAN), 38), wide(F.lit(SPAN), 38)
@@ -58,9 +59,8 @@ def classes(rows: DataFrame, salts: int = 16) -> DataFrame:
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
     """One row for each row of `docs`: its id, keep_id, group_size, kept, text_sha256."""
-    rows = written(numbered(docs, id_col, text_col), "exact-rows")
-    best = classes(rows, salts)
-    slim = rows.drop("content")
+    slim = written(numbered(docs, id_col, text_col), "exact-rows")
+    best = classes(docs, id_col, text_col, salts)
     again = slim.groupBy("digest", "id", "chars").agg(F.min("row").alias("keep_row"), F.count("*").alias("times")).filter("times > 1")
     again = again.select("keep_row", F.col("digest").alias("d"), F.col("id").alias("i"), F.col("chars").alias("c"))
     same = (F.col("digest") == F.col("d")) & F.col("keep_id").eqNullSafe(F.col("i")) & (F.col("keep_chars") == F.col("c"))
