@@ -7,13 +7,23 @@ take the marks away.
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import config
 
-FULL_WIDTH = "".join(map(chr, range(0xFF01, 0xFF5F))) + "　"
-HALF_WIDTH = "".join(map(chr, range(0x21, 0x7F))) + " "
+def _compatible() -> dict[str, str]:
+    """The characters of the basic plane that NFKC writes otherwise."""
+    return {c: n for c in map(chr, range(0xA0, 0x10000)) if not "\ud800" <= c <= "\udfff" and (n := unicodedata.normalize("NFKC", c)) != c}
+
+
+COMPATIBLE = _compatible()
+#: Those that become one character, and the characters of keys that become several.
+ONE = {c: n for c, n in COMPATIBLE.items() if len(n) == 1}
+SEVERAL = {c: n for c, n in COMPATIBLE.items() if len(n) > 1 and re.fullmatch(r"[A-Za-z0-9.()/]+", n)}
 CJK = r"\x{4e00}-\x{9fa5}"
 A, B = "\u0001", "\u0002"
 
@@ -35,19 +45,35 @@ def contract_variants(c: Column) -> Column:
     return F.array_distinct(F.filter(F.array(base, F.regexp_replace(base, r"\([^)]*\)", "")), lambda v: v != ""))
 
 
-def half_width(c: Column) -> Column:
-    """Full-width ASCII and the ideographic space to their narrow forms: the part of NFKC that keys need."""
-    return F.translate(c, FULL_WIDTH, HALF_WIDTH)
+def compatible(c: Column) -> Column:
+    """NFKC of full-width forms, circled and raised digits, units, ligatures and the like: characters that become one are
+    translated, those that become several letters and digits are looked for only where a text holds one."""
+    one = F.translate(c, "".join(ONE), "".join(ONE.values()))
+    some = "[" + "".join(f"\\x{{{ord(x):x}}}" for x in SEVERAL) + "]"
+    table = F.create_map(*[F.lit(x) for pair in SEVERAL.items() for x in pair])
+    letters = F.transform(F.split(one, ""), lambda x: F.coalesce(F.try_element_at(table, x), x))
+    return F.when(one.rlike(some), F.array_join(letters, "")).otherwise(one)
 
 
 def norm_column(c: Column) -> Column:
     """FN-04: a spreadsheet header."""
-    return F.lower(F.regexp_replace(half_width(F.coalesce(c, F.lit(""))), r"(?U)[\s()\[\]【】\-_/\\.:,;、]", ""))
+    return F.lower(F.regexp_replace(compatible(F.coalesce(c, F.lit(""))), r"(?U)[\s()\[\]【】\-_/\\.:,;、]", ""))
 
 
 def lookup_key(c: Column) -> Column:
     """FN-05."""
-    return F.upper(F.regexp_replace(half_width(F.coalesce(c, F.lit(""))), r"(?U)\s", ""))
+    return F.upper(F.regexp_replace(compatible(F.coalesce(c, F.lit(""))), r"(?U)\s", ""))
+
+
+def cell_text(c: Column, kind: str) -> Column:
+    """FN-08: a cell as text: days as yyyy-MM-dd, whole numbers without a fraction, other values trimmed; null is ''."""
+    if kind in ("date", "timestamp"):
+        out = F.date_format(c, "yyyy-MM-dd")
+    elif kind in ("double", "float"):
+        out = F.when(c == F.floor(c), F.floor(c).cast("string")).otherwise(c.cast("string"))
+    else:
+        out = F.trim(c.cast("string"))
+    return F.coalesce(out, F.lit(""))
 
 
 def norm_quantity(c: Column) -> Column:
@@ -62,7 +88,7 @@ def alnum(c: Column) -> Column:
 
 def business_no(c: Column) -> Column:
     """FN-09."""
-    bare = F.regexp_replace(F.upper(half_width(F.coalesce(c, F.lit("")))), r"(?U)[\s_]+", "")
+    bare = F.regexp_replace(F.upper(compatible(F.coalesce(c, F.lit("")))), r"(?U)[\s_]+", "")
     return F.regexp_replace(bare, "-+", "-")
 
 

@@ -103,12 +103,12 @@ def suggestions(docs: DataFrame, fields: DataFrame, keyword: str, values: int =
 
 
 def tree(categories: DataFrame) -> DataFrame:
-    """JON-32: id, path and depth of each category, by a recursive query."""
-    view = "_categories"
-    categories.createOrReplaceTempView(view)
+    """JON-32: id, path and depth of each category, by a recursive query; deeper trees than the session's limit of recursion
+    (spark.sql.cteRecursionLevelLimit, 100 by default) are an error."""
     return categories.sparkSession.sql(
-        f"WITH RECURSIVE t(id, path, depth) AS (SELECT id, name, 0 FROM {view} WHERE parent_id IS NULL UNION ALL "
-        f"SELECT c.id, concat(t.path, '/', c.name), t.depth + 1 FROM {view} c JOIN t ON c.parent_id = t.id) SELECT * FROM t"
+        "WITH RECURSIVE t(id, path, depth) AS (SELECT id, name, 0 FROM {c} WHERE parent_id IS NULL UNION ALL "
+        "SELECT c.id, concat(t.path, '/', c.name), t.depth + 1 FROM {c} c JOIN t ON c.parent_id = t.id) SELECT * FROM t",
+        c=categories,
     )
 
 
@@ -122,10 +122,3 @@ def duplicates(docs: DataFrame, settled: list[str] = ("archived", "need_review",
 def new_files(found: DataFrame, settled: DataFrame, keys: list[str]) -> DataFrame:
     """SRC-16, SET-03, STR-06: files whose path and hash aren't settled yet; null keys are never settled."""
     return found.join(settled.select(*keys).distinct(), keys, "left_anti")
-
-
-def relocated(missing: DataFrame, files: DataFrame) -> DataFrame:
-    """JON-33: for each missing document the file that bears its current, else its original name; by path if several do."""
-    names = missing.select("id", F.inline(F.array(F.struct(F.lit(0).alias("rank"), F.col("current_filename").alias("name")), F.struct(F.lit(1), F.col("original_filename")))))
-    hits = names.join(files.select("name", "path"), "name")
-    return missing.select("id").join(hits.groupBy("id").agg(F.min_by("path", F.struct("rank", "path")).alias("found_path")), "id", "left")

@@ -1,4 +1,4 @@
 """The engine's query catalogue."""
 
-from . import core, linking, streams, texts  # noqa: F401
+from . import core, linking, lists, streams, texts  # noqa: F401
 from .catalogue import QUERIES, SQL  # noqa: F401
