@@ -50,13 +50,16 @@ def first_link(files: DataFrame, entity: str = "document_id") -> DataFrame:
 def fuzzy_guard(asked: DataFrame, known: DataFrame, number: str, key: str, block: int = 6, least: float = config.FUZZY_LEAST, gap: float = config.FUZZY_GAP) -> DataFrame:
     """JON-20, WIN-09: exact number (linked), else the same normal form (linked), else the most similar number: `similar` if it's at
     least .75 like it (a person decides), `ambiguous` if the next is less than .08 behind, else `new` if it's a valid business number.
-    Similar numbers are compared within blocks of the same first characters: prefixes and year, which recognition gets right."""
+    Similar numbers are compared if their first, second or last `block` characters are the same, so numbers of three times that
+    length meet all that differ in two characters or in one of these parts; pairs that differ in all three aren't compared."""
     norm = business_no(F.col(number))
-    a = asked.select(F.col(key), F.col(number).alias("_no"), norm.alias("_norm"), F.substring(norm, 1, block).alias("_block"))
-    k = known.select(F.col(number).alias("known_no"), norm.alias("_known"), F.substring(norm, 1, block).alias("_block")).distinct()
+    a = asked.select(F.col(key), F.col(number).alias("_no"), norm.alias("_norm"))
+    k = known.select(F.col(number).alias("known_no"), norm.alias("_known")).distinct()
+    ends = lambda c: F.array_distinct(F.array(F.concat(F.lit("<"), F.substring(c, 1, block)), F.concat(F.lit("|"), F.substring(c, block + 1, block)), F.concat(F.lit(">"), F.right(F.col(c), F.lit(block)))))
     exact = a.join(k, a["_norm"] == k["_known"]).groupBy(key).agg(F.min_by("known_no", F.struct((F.col("known_no") != F.col("_no")), "known_no")).alias("known_no"))
     rest = a.join(exact.select(key), key, "left_anti")
-    scored = rest.join(k, "_block").withColumn("score", ratio("_norm", "_known"))
+    pairs = rest.withColumn("_end", F.explode(ends("_norm"))).join(k.withColumn("_end", F.explode(ends("_known"))), "_end")
+    scored = pairs.select(key, "_norm", "known_no", "_known").distinct().withColumn("score", ratio("_norm", "_known"))
     w = Window.partitionBy(key).orderBy(F.desc("score"), "known_no")
     best = scored.withColumn("next", F.lead("score").over(w)).withColumn("_n", F.row_number().over(w)).filter((F.col("_n") == 1) & (F.col("score") >= least))
     near = best.select(key, F.when(F.col("score") - F.coalesce("next", F.lit(0.0)) < gap, "ambiguous").otherwise("similar").alias("outcome"), "known_no", "score")

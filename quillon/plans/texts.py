@@ -69,16 +69,43 @@ def clean_text(spark, d):
     return t.documents(spark, d).select("id", F.sha2(text.clean_text(F.col("extracted_text")), 256).alias("cleaned"))
 
 
-@query("ocr_line_filter")
+KEY, CUSTOMER = F.col("o_orderkey"), F.col("c_custkey")
+
+
+def keyed(spark, d, *choices, table="orders", key="o_orderkey"):
+    """id and a text for each order (or row of another table): one of the choices (columns) by its key."""
+    k = F.pmod(F.col(key), F.lit(len(choices)))
+    own = choices[-1]
+    for i, c in enumerate(choices[:-1]):
+        own = F.when(k == i, c).otherwise(own)
+    return t.table(spark, d, table).select(F.col(key).alias("id"), own.alias("v"))
+
+
+def text_of(*parts):
+    """Literals and columns, one after the other; keys as text."""
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
+
+@query("clean_amounts", """SELECT o_orderkey AS id, '甲方 于2026-06-' || lpad(CAST(1 + o_orderkey % 28 AS VARCHAR), 2, '0') || ' 付款1' || lpad(CAST(o_orderkey % 1000 AS VARCHAR), 3, '0') || '000.00！！！' AS text FROM orders""")
+def clean_amounts(spark, d):
+    """FN-30 to FN-33 on a Chinese sentence for each order."""
+    v = text_of("\r\n 甲方　 于2026年6月", 1 + KEY % 28, "日\t付款人民币1,", F.lpad((KEY % 1000).cast("string"), 3, "0"), ",000.00元！！！！！　\n")
+    return keyed(spark, d, v).select("id", text.clean_text(F.col("v")).alias("text"))
+
+
+@query("ocr_line_filter", """SELECT o_orderkey AS id, '销售合同' || chr(10) || '编号 1' || lpad(CAST(o_orderkey AS VARCHAR), 8, '0') || chr(10) || '正文' AS text FROM orders""")
 def ocr_line_filter(spark, d):
-    return literal(spark, TEXTS, "id int, v string, name string").select("id", text.clean_ocr(F.col("v")).alias("text"))
+    v = text_of("第 1 页\n12345\n销\n售\n合\n同\n编号 1", F.lpad(KEY.cast("string"), 8, "0"), "\nDRAFT copy\n- 3 -\n\n正文\n2/7")
+    return keyed(spark, d, v).select("id", text.clean_ocr(F.col("v")).alias("text"))
 
 
-@query("scan_repair")
+@query("scan_repair", """SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN '¥100,550.00 元 #' || o_orderkey WHEN 1 THEN '日期 2026-06-08 和 2026-08-04 和 2026-08-14 #' || o_orderkey ELSE '发票号码：263320000001' || lpad(CAST(o_orderkey AS VARCHAR), 8, '0') END AS text,
+ CASE o_orderkey % 3 WHEN 0 THEN 2 ELSE 1 END AS corrections FROM orders""")
 def scan_repair(spark, d):
-    rows = [(1, "¥ 1O0,5S0.00 元"), (2, "日期 2026年6月8日 和 26-8-4 和 20260814"), (3, "发票号码：2633200OOOO123456789"), (4, None)]
+    """FN-36 to FN-39: misread amounts, dates of four forms, misread invoice numbers."""
+    rows = keyed(spark, d, text_of("¥ 1O0,5S0.00 元 #", KEY), text_of("日期 2026年6月8日 和 26-8-4 和 20260814 #", KEY), text_of("发票号码：2633200OOOO1", F.lpad(KEY.cast("string"), 8, "0")))
     fixed = text.clean_scan(F.col("v"))
-    return literal(spark, rows).select("id", fixed["text"].alias("text"), F.size(fixed["corrections"]).alias("corrections"))
+    return rows.select("id", fixed["text"].alias("text"), F.size(fixed["corrections"]).alias("corrections"))
 
 
 RULES = [
@@ -165,9 +192,27 @@ def field_extract(spark, d):
     return t.documents(spark, d).select("id", F.inline(F.filter(rows, lambda r: r["value"].isNotNull())))
 
 
-@query("trade_fields")
+FOUND = {
+    0: [("company", "'上海华山贸易有限公司'", 0.9, "company_context"), ("date", "'2026-06-08'", 0.95, "date_context"), ("contract_no", "'HSYCXS（DD）-2026-' || n4", 0.85, "contract_context"), ("amount", "CAST(1000000 + k % 1000000 AS VARCHAR) || '.00'", 0.75, "amount_context"),
+        ("vessel", "'伦敦勇士号'", 0.85, "vessel_context"), ("material", "'PB粉'", 0.8, "material_context"), ("quantity", "'10000'", 0.85, "quantity_context")],
+    1: [("company", "'山西宏达钢铁有限公司'", 0.7, "company_generic"), ("seller", "'上海华山贸易有限公司'", 0.9, "seller_context"), ("date", "'2026-06-18'", 0.95, "date_context"), ("invoice_no", "'26332000000' || n9", 0.95, "invoice_no_anchor"),
+        ("amount", "'81250.00'", 0.95, "invoice_amount_yuan"), ("quantity", "'100'", 0.9, "invoice_quantity_math")],
+    2: [("company", "'山西宏达钢铁有限公司'", 0.9, "company_context"), ("date", "'2026-07-01'", 0.95, "date_context"), ("amount", "CAST(1000000 + k % 1000000 AS VARCHAR) || '.00'", 0.96, "receipt_amount_small"), ("summary", "'货款'", 0.85, "receipt_summary")],
+    3: [("contract_no", "'SJWLCG（DD）-2026-' || n4", 0.6, "filename_contract"), ("vessel", "'海兴168'", 0.55, "filename_vessel"), ("material", "'铁矿粉'", 0.55, "filename_material")],
+}
+FOUND_SQL = " UNION ALL ".join(f"SELECT k AS id, '{field}' AS field, {value} AS value, {confidence} AS confidence, '{rule}' AS rule FROM o WHERE k % 4 = {kind}" for kind, rows in FOUND.items() for field, value, confidence, rule in rows)
+
+
+@query("trade_fields", f"WITH o AS (SELECT c_custkey AS k, lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') AS n4, lpad(CAST(c_custkey % 1000000000 AS VARCHAR), 9, '0') AS n9 FROM customer) {FOUND_SQL}")
 def trade_fields(spark, d):
-    return extract.extract(literal(spark, TEXTS, "id int, v string, name string"), "id", "v", "name").withColumn("conflicts", F.array_join("conflicts", "|"))
+    """FX-01 to FX-14: a contract, an invoice, a receipt or a file name alone for each customer, with numbers and amounts of its own."""
+    four, nine = F.lpad((CUSTOMER % 10000).cast("string"), 4, "0"), F.lpad((CUSTOMER % 1_000_000_000).cast("string"), 9, "0")
+    amount = F.format_number((1_000_000 + CUSTOMER % 1_000_000).cast("decimal(18,2)"), 2)
+    fill = lambda body, old, new: F.replace(F.lit(body), F.lit(old), new)
+    contract = F.replace(fill(CONTRACT, "2026-0027", text_of("2026-", four)), F.lit("8,500,000.00"), amount)
+    rows = keyed(spark, d, contract, fill(INVOICE, "26332000000123456789", text_of("26332000000", nine)), fill(RECEIPT, "1,500,000.00", amount), F.lit(""), table="customer", key="c_custkey")
+    name = F.when(F.col("id") % 4 == 3, text_of("SJWLCG（DD）-2026-", F.lpad((F.col("id") % 10000).cast("string"), 4, "0"), "_海兴168船_铁矿粉.pdf")).otherwise("a.pdf")
+    return extract.extract(rows.withColumn("name", name), "id", "v", "name").select("id", "field", "value", "confidence", "rule")
 
 
 @query("field_conflicts", f"""{with_(FIELDS)}, c AS (SELECT document_id, field_name, field_value, row_number() OVER (PARTITION BY document_id ORDER BY field_value DESC, id) AS r FROM fields)
@@ -310,15 +355,20 @@ def seed_categories(spark, d):
     return rows.join(rows.select(F.col("id").alias("parent_id"), F.col("path").alias("parent")), "parent_id", "left").select("parent", "path")
 
 
-@query("fuzzy_guard")
+@query("fuzzy_guard", """SELECT s_suppkey AS id, CASE s_suppkey % 4 WHEN 2 THEN 'ambiguous' WHEN 3 THEN 'invalid' ELSE 'linked' END AS outcome, CASE WHEN s_suppkey % 4 < 3 THEN 'HSYCXS-2026-' || lpad(CAST(s_suppkey AS VARCHAR), 6, '0') END AS known_no,
+ CASE s_suppkey % 4 WHEN 2 THEN CAST(17 AS DOUBLE) / 18 WHEN 3 THEN NULL ELSE 1.0 END AS score FROM supplier""")
 def fuzzy_guard(spark, d):
-    asked = literal(spark, [(1, "HSYCXS-2026-0027"), (2, "hsycxs－2026－0028"), (3, "HSYCXS-2026-0O29"), (4, "SJWLCG-2026-1111"), (5, "SDJZ-SXJG2026")], "id int, no string")
-    known = literal(spark, [(1, "HSYCXS-2026-0027"), (2, "HSYCXS-2026-0028"), (3, "HSYCXS-2026-0029")], "id int, no string")
-    return dossier.fuzzy_guard(asked, known, "no", "id")
+    """Numbers of all suppliers, asked for as they are, in full width, with a misread prefix (others are almost as near), or not at all."""
+    k = F.col("s_suppkey")
+    no = F.concat(F.lit("-2026-"), F.lpad(k.cast("string"), 6, "0"))
+    asked = F.when(k % 4 == 0, F.concat(F.lit("HSYCXS"), no)).when(k % 4 == 1, F.translate(F.concat(F.lit("hsycxs"), no), "-2", "－２")).when(k % 4 == 2, F.concat(F.lit("H5YCXS"), no)).otherwise("SDJZ-SXJG2026")
+    rows = t.table(spark, d, "supplier")
+    return dossier.fuzzy_guard(rows.select(k.alias("id"), asked.alias("no")), rows.select(k.alias("id"), F.concat(F.lit("HSYCXS"), no).alias("no")), "no", "id")
 
 
-@query("company_fix")
+@query("company_fix", """WITH n AS (SELECT n_name || '钢铁贸易有限公' AS stem, length(replace(replace(n_name, ' ', ''), '_', '')) + 8 AS n FROM nation) SELECT stem || '可' AS candidate, stem || '司' AS best, (n - 1.0) / n AS score FROM n WHERE (n - 1.0) / n >= 0.85""")
 def company_fix(spark, d):
-    names = literal(spark, [(1, "山西宏达钢铁有限公司"), (2, "山西宏达铜铁有限公司"), (3, "上海华山贸易有限公可")])
-    known = literal(spark, [(1, "山西宏达钢铁有限公司"), (2, "上海华山贸易有限公司")])
-    return dossier.company_fix(names, known, "v", "v")
+    """A company for each nation, its last character misread."""
+    stem = F.concat("n_name", F.lit("钢铁贸易有限公"))
+    rows = t.table(spark, d, "nation")
+    return dossier.company_fix(rows.select(F.concat(stem, F.lit("可")).alias("v")), rows.select(F.concat(stem, F.lit("司")).alias("v")), "v", "v")
