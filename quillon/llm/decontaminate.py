@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import written
+from .common import scratch, written
 
 SHARD = 1 << 20
 BLOCK = 8 << 20
@@ -405,12 +405,14 @@ def contamination(
     """One row for each document: its id, n_words, n_hit, n_items and items (ids with windows in it, sorted; with `digest`
     items_sha256, of the ids joined by commas), contaminated, and its longest match with any item: longest (words),
     longest_at (its first place) and longest_item (the first of the items that match there)."""
-    passes = []
-    for block, n in blocks_of(benchmark, item_col, item_text_col, window):
-        found = judge(docs, block, id_col, text_col, "spans" if n > 1 else "digest" if digest else "items")
-        passes.append(written(found.dropDuplicates([id_col, "_dc_text"]), "hits") if n > 1 else found)
-    if len(passes) > 1:
-        joined = written(merged(passes, id_col).withColumnRenamed(id_col, "_dc_id"), "hits")
+    passes, joined = [], None
+    with scratch(docs.sparkSession) as keep:
+        for block, n in blocks_of(benchmark, item_col, item_text_col, window):
+            found = judge(docs, block, id_col, text_col, "spans" if n > 1 else "digest" if digest else "items")
+            passes.append(keep(found.dropDuplicates([id_col, "_dc_text"]), "hits") if n > 1 else found)
+        if len(passes) > 1:
+            joined = written(merged(passes, id_col).withColumnRenamed(id_col, "_dc_id"), "hits")
+    if joined is not None:
         own = docs.select(id_col, F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)).alias("_dc_own"))
         same = F.col(id_col).eqNullSafe(F.col("_dc_id")) & (F.col("_dc_own") == F.col("_dc_text"))
         found = own.join(joined, same).drop("_dc_id", "_dc_own", "_dc_text")

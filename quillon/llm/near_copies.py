@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup, written
+from .common import lookup, scratch, written
 
 #: Bands, and minima in each.
 BANDS, ROWS = 24, 5
@@ -176,27 +176,28 @@ def cross_links(live: DataFrame, nodes: DataFrame, grams: DataFrame, fifths: int
         return pa.table({"key": pa.array([x for x, _ in found], pa.int64()), "lead": pa.array([y for _, y in found], pa.int64())})
 
     blocks = rows.select("key", "name", "band", "u", "w", "left", "sketch", "bands", "v")
-    return written(blocks.groupBy("band", "u", "w").applyInArrow(join, "key long, lead long"), "near-cross")
+    return blocks.groupBy("band", "u", "w").applyInArrow(join, "key long, lead long")
 
 
 def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, fifths: int = 4) -> DataFrame:
     """Edges src, dst between rows of `docs` whose sets are equal or similar, which join all that are."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL")
-    prints = written(sets(rows, words, True), "near-rows")
-    nodes = prints.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("v").alias("v"), F.first("sketch").alias("sketch"))
-    nodes = written(nodes, "near-nodes")
-    own = lookup(prints.select("id", F.col("key").cast("string").alias("name")), nodes.select(F.col("key").cast("string").alias("name"), "rep", "n"), "name", "n", prints.count(), "id")
-    edges = own.filter("id <> rep").select(F.col("id").alias("src"), F.col("rep").alias("dst")).distinct()
-    live = nodes.select("key", F.explode(F.col("v").cast("array<string>")).alias("band"))
-    leads = live.groupBy("band").agg(F.count("*").alias("size"), F.min("key").alias("lead")).filter("size > 1")
-    live = lookup(live, leads, "band", "size", BANDS * nodes.count(), "key").filter("size > 1")
-    live = written(live.select("key", "band", "lead"), "near-live")  # a band of one is of no use
-    texts = rows.join(nodes.join(live.select("key").distinct(), "key", "left_semi").select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
-    grams = sets(texts, words, False).select("key", "v").join(live.select("key").distinct(), "key", "left_semi")
-    grams = written(grams.dropDuplicates(["key"]), "near-grams")
-    good = written(similar(live.filter("key <> lead").select("key", "lead").distinct(), grams, fifths), "near-good")
-    live = live.join(good.groupBy("key").agg(F.min("lead").alias("name")), "key", "left").select("key", "band", F.coalesce("name", "key").alias("name"))
-    links = good.union(cross_links(written(live, "near-named"), nodes, grams, fifths))
-    rep = nodes.select("key", "rep")
-    links = links.join(rep, "key").select("lead", F.col("rep").alias("src")).join(rep.withColumnRenamed("key", "lead"), "lead").select("src", F.col("rep").alias("dst"))
-    return edges.union(links.filter("src <> dst")).distinct()
+    with scratch(docs.sparkSession) as keep:
+        rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL")
+        prints = keep(sets(rows, words, True), "near-rows")
+        nodes = prints.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("v").alias("v"), F.first("sketch").alias("sketch"))
+        nodes = keep(nodes, "near-nodes")
+        own = lookup(prints.select("id", F.col("key").cast("string").alias("name")), nodes.select(F.col("key").cast("string").alias("name"), "rep", "n"), "name", "n", prints.count(), "id")
+        edges = own.filter("id <> rep").select(F.col("id").alias("src"), F.col("rep").alias("dst")).distinct()
+        live = nodes.select("key", F.explode(F.col("v").cast("array<string>")).alias("band"))
+        leads = live.groupBy("band").agg(F.count("*").alias("size"), F.min("key").alias("lead")).filter("size > 1")
+        live = lookup(live, leads, "band", "size", BANDS * nodes.count(), "key").filter("size > 1")
+        live = keep(live.select("key", "band", "lead"), "near-live")  # a band of one is of no use
+        texts = rows.join(nodes.join(live.select("key").distinct(), "key", "left_semi").select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+        grams = sets(texts, words, False).select("key", "v").join(live.select("key").distinct(), "key", "left_semi")
+        grams = keep(grams.dropDuplicates(["key"]), "near-grams")
+        good = keep(similar(live.filter("key <> lead").select("key", "lead").distinct(), grams, fifths), "near-good")
+        live = live.join(good.groupBy("key").agg(F.min("lead").alias("name")), "key", "left").select("key", "band", F.coalesce("name", "key").alias("name"))
+        links = good.union(cross_links(keep(live, "near-named"), nodes, grams, fifths))
+        rep = nodes.select("key", "rep")
+        links = links.join(rep, "key").select("lead", F.col("rep").alias("src")).join(rep.withColumnRenamed("key", "lead"), "lead").select("src", F.col("rep").alias("dst"))
+        return written(edges.union(links.filter("src <> dst")).distinct(), "near-links")

@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import scratch
 
 CACHED = 150_000
 #: Different contexts in toxic texts that a lexicon word must have.
@@ -283,6 +283,20 @@ def fitted(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), max(0.0, float(w[1]))
 
 
+def features_of(sample: DataFrame, language: Language, lexicon: dict[str, float]) -> list:
+    """x, the feature, and toxic of each text of the sample."""
+
+    def features(batches):
+        import pyarrow as pa
+
+        restorer = Restorer(language, lexicon)
+        for batch in batches:
+            found = [feature(restorer.words(t or ""), lexicon) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.float64()), batch.column(1)], ["x", "toxic"])
+
+    return sample.mapInArrow(features, "x double, toxic int").collect()  # about most_labelled rows
+
+
 def toxicity(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
     held_out: Column | None = None, most_labelled: int = 20_000,
@@ -298,20 +312,13 @@ def toxicity(
     few = docs.filter(taken).select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))  # before texts are shuffled
     few = few.join(usable, F.col("_id") == F.col("_label")).select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
     once = few.groupBy(F.sha2("text", 256).alias("_hash")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
-    sample = written(once.select("text", "toxic"), "toxicity-sample")  # copies would outweigh other texts
-    sample = sample.repartition(max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     language = language_of(docs, text_col)
-    lexicon = lexicon_of(sample, language)
-
-    def features(batches):
-        import pyarrow as pa
-
-        restorer = Restorer(language, lexicon)
-        for batch in batches:
-            found = [feature(restorer.words(t or ""), lexicon) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.float64()), batch.column(1)], ["x", "toxic"])
+    with scratch(docs.sparkSession) as keep:
+        sample = keep(once.select("text", "toxic"), "toxicity-sample")  # copies would outweigh other texts
+        sample = sample.repartition(max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+        lexicon = lexicon_of(sample, language)
+        rows = features_of(sample, language, lexicon)
 
-    rows = sample.mapInArrow(features, "x double, toxic int").collect()  # about most_labelled rows
     bias, slope = fitted(np.array([r.x for r in rows]), np.array([r.toxic for r in rows]))
 
     def scored(batches):

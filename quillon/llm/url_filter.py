@@ -15,10 +15,12 @@ every host is allowed unless a rule blocks it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, lookup, written
+from .common import ascii_lower, lookup, scratch, written
 
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 #: Second-level registries, under which a registered domain has three parts.
@@ -67,8 +69,8 @@ def strength(children: DataFrame) -> float:
     return min(1e4, max(2.0, chance / between - 1)) if between > 1e-9 else 1e4
 
 
-def reputations(pages: DataFrame) -> DataFrame:
-    """For each host: n_pages, n (labelled), bad, mean and bound; pages: host and bad (0, 1 or null)."""
+def reputations(pages: DataFrame, written: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """For each host: n_pages, n (labelled), bad, mean and bound; pages: host and bad (0, 1 or null); written writes a table."""
     suffix, domain = suffix_and_domain(F.col("host"))
     counts = [F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.count("*").alias("children")]
     hosts = pages.groupBy("host").agg(F.count("*").alias("n_pages"), F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
@@ -104,7 +106,8 @@ def url_filter(
     host, path = host_and_path(F.col(f"`{url_col}`"))
     outcome = labels.filter(F.col(label_id).isNotNull()).groupBy(F.col(label_id).alias("label")).agg(F.max(bad.cast("int")).alias("bad"))
     split = pages.select(F.col(f"`{id_col}`").alias("id"), host.alias("host"))
-    known = written(reputations(split.join(outcome, F.col("id") == F.col("label"), "left").select("host", "bad")), "reputations")
+    with scratch(pages.sparkSession) as keep:
+        known = written(reputations(split.join(outcome, F.col("id") == F.col("label"), "left").select("host", "bad"), keep), "reputations")
     made = ["host", "path", "rule", "verdict", "n_labelled", "bound"]
     others = [c for c in pages.columns if c not in made]
     # the page's own columns as one, so that no name can clash
