@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions.hashing import as_bits
-from ..sources.shared import written
+from ..sources.shared import scratch, written
 from .skew import group_counts
 
 
@@ -78,36 +78,38 @@ def leader_clusters(prints: DataFrame, key: str, layout: str, fingerprint: str,
     cluster.  So it leads unless a neighbour of a smaller id does: in each round the documents lead that have no smaller open
     neighbour, and their neighbours are closed.  Documents of the same layout and fingerprint are one node, and a layout is
     a node's group, never a list of pairs."""
-    rows = prints.select(F.col(key).cast("long").alias("id"), F.nullif(F.col(layout), F.lit("")).alias("layout"), F.when(F.char_length(fingerprint) == 16, F.col(fingerprint)).alias("print"))
-    lone = F.col("layout").isNull() & F.col("print").isNull()
-    # nodes without layout and fingerprint are by themselves
-    named = rows.filter(~lone).select("id", F.concat_ws("/", F.coalesce("layout", F.lit("-")), F.coalesce("print", F.lit("-"))).alias("own"), "layout", "print")
-    nodes = written(named.groupBy("own").agg(F.min("id").alias("node"), F.first("layout").alias("layout"), F.first("print").alias("print")), "nodes")
-    prints_ = nodes.filter("print IS NOT NULL").select(F.col("node").alias("id"), "print")
-    reps = prints_.groupBy("print").agg(F.min("id").alias("rep"))
-    links = near_pairs(prints_, "id", "print", limit).select("a", "b")
-    links = links.union(links.select("b", "a")).union(reps.select("rep", "rep"))
-    of = prints_.join(reps, "print").select("id", "rep")
-    edges = links.join(of.withColumnsRenamed({"id": "u", "rep": "a"}), "a").join(of.withColumnsRenamed({"id": "v", "rep": "b"}), "b")
-    edges = written(edges.filter("u < v").select("u", "v"), "edges")
-    open_, leaders = nodes.select("node", "layout"), nodes.select("node", "layout").limit(0)
-    while not open_.isEmpty():
-        waits = edges.join(open_.select(F.col("node").alias("u")), "u").join(open_.select(F.col("node").alias("v")), "v").select("v").distinct()
-        least = open_.filter("layout IS NOT NULL").groupBy("layout").agg(F.min("node").alias("first"))
-        new = open_.join(waits.withColumnRenamed("v", "node"), "node", "left_anti").join(least, "layout", "left")
-        new = written(new.filter("layout IS NULL OR node = first").select("node", "layout"), "leaders")
-        closed = edges.join(new.select(F.col("node").alias("u")), "u").select(F.col("v").alias("node"))
-        left = open_.join(closed.union(new.select("node")).distinct(), "node", "left_anti")
-        led = new.filter("layout IS NOT NULL").select("layout", F.col("node").alias("first"))
-        left = left.join(led, "layout", "left").filter("first IS NULL OR node < first").select("node", "layout")
-        open_, leaders = written(left, "open"), leaders.union(new)
-    leaders = written(leaders, "leaders")
-    by_print = edges.join(leaders.select(F.col("node").alias("u")), "u").select(F.col("v").alias("node"), F.col("u").alias("leader"))
-    first = leaders.filter("layout IS NOT NULL").groupBy("layout").agg(F.min("node").alias("leader"))
-    by_layout = nodes.select("node", "layout").join(first, "layout").filter("leader < node").select("node", "leader")
-    found = leaders.select("node", F.col("node").alias("leader")).union(by_print.union(by_layout).join(leaders.select("node"), "node", "left_anti"))
-    found = found.groupBy("node").agg(F.min("leader").alias("leader")).join(nodes.select("node", "own"), "node")
-    return named.join(found, "own").select("id", "leader").union(rows.filter(lone).select("id", F.col("id").alias("leader")))
+    with scratch(prints.sparkSession) as keep:
+        rows = prints.select(F.col(key).cast("long").alias("id"), F.nullif(F.col(layout), F.lit("")).alias("layout"), F.when(F.char_length(fingerprint) == 16, F.col(fingerprint)).alias("print"))
+        lone = F.col("layout").isNull() & F.col("print").isNull()
+        # nodes without layout and fingerprint are by themselves
+        named = rows.filter(~lone).select("id", F.concat_ws("/", F.coalesce("layout", F.lit("-")), F.coalesce("print", F.lit("-"))).alias("own"), "layout", "print")
+        nodes = keep(named.groupBy("own").agg(F.min("id").alias("node"), F.first("layout").alias("layout"), F.first("print").alias("print")), "nodes")
+        prints_ = nodes.filter("print IS NOT NULL").select(F.col("node").alias("id"), "print")
+        reps = prints_.groupBy("print").agg(F.min("id").alias("rep"))
+        links = near_pairs(prints_, "id", "print", limit).select("a", "b")
+        links = links.union(links.select("b", "a")).union(reps.select("rep", "rep"))
+        of = prints_.join(reps, "print").select("id", "rep")
+        edges = links.join(of.withColumnsRenamed({"id": "u", "rep": "a"}), "a").join(of.withColumnsRenamed({"id": "v", "rep": "b"}), "b")
+        edges = keep(edges.filter("u < v").select("u", "v"), "edges")
+        open_, leaders = nodes.select("node", "layout"), nodes.select("node", "layout").limit(0)
+        while not open_.isEmpty():
+            waits = edges.join(open_.select(F.col("node").alias("u")), "u").join(open_.select(F.col("node").alias("v")), "v").select("v").distinct()
+            least = open_.filter("layout IS NOT NULL").groupBy("layout").agg(F.min("node").alias("first"))
+            new = open_.join(waits.withColumnRenamed("v", "node"), "node", "left_anti").join(least, "layout", "left")
+            new = keep(new.filter("layout IS NULL OR node = first").select("node", "layout"), "leaders")
+            closed = edges.join(new.select(F.col("node").alias("u")), "u").select(F.col("v").alias("node"))
+            left = open_.join(closed.union(new.select("node")).distinct(), "node", "left_anti")
+            led = new.filter("layout IS NOT NULL").select("layout", F.col("node").alias("first"))
+            left = left.join(led, "layout", "left").filter("first IS NULL OR node < first").select("node", "layout")
+            open_, leaders = keep(left, "open"), leaders.union(new)
+        leaders = keep(leaders, "leaders")
+        by_print = edges.join(leaders.select(F.col("node").alias("u")), "u").select(F.col("v").alias("node"), F.col("u").alias("leader"))
+        first = leaders.filter("layout IS NOT NULL").groupBy("layout").agg(F.min("node").alias("leader"))
+        by_layout = nodes.select("node", "layout").join(first, "layout").filter("leader < node").select("node", "leader")
+        found = leaders.select("node", F.col("node").alias("leader")).union(by_print.union(by_layout).join(leaders.select("node"), "node", "left_anti"))
+        found = found.groupBy("node").agg(F.min("leader").alias("leader")).join(nodes.select("node", "own"), "node")
+        out = named.join(found, "own").select("id", "leader").union(rows.filter(lone).select("id", F.col("id").alias("leader")))
+        return written(out, "leaders")
 
 
 def same_image(a: DataFrame, key: str, limit: int = config.DHASH_LIMIT, tolerance: str = config.TOLERANCE) -> DataFrame:

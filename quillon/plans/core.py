@@ -260,13 +260,13 @@ def recycled(spark, d):
     return now.groupBy("status").agg(F.count("*").alias("n"), F.sum("file_size").alias("bytes"))
 
 
-@query("batch_status", f"""{with_(DOCS)}, a AS (SELECT unnest(range(0, 2000, 3)) AS id)
+@query("batch_status", f"""{with_(DOCS)}, a AS (SELECT DISTINCT o_orderkey * 3 AS id FROM orders)
  SELECT a.id, CASE WHEN status IS NULL THEN 'not_found' WHEN status = 'need_review' THEN 'ok' ELSE 'wrong_status' END AS result FROM a LEFT JOIN docs ON docs.id = a.id""")
 def batch_status(spark, d):
-    return lifecycle.set_status(t.documents(spark, d), spark.range(0, 2000, 3), "archived", ["need_review"])[1]
+    return lifecycle.set_status(t.documents(spark, d), t.table(spark, d, "orders").select((F.col("o_orderkey") * 3).alias("id")), "archived", ["need_review"])[1]
 
 
 @query("unique_names", f"""{with_(DOCS)}, n AS (SELECT id, document_type AS directory, source || '.txt' AS name, row_number() OVER (PARTITION BY document_type, source ORDER BY id) - 1 AS k FROM docs)
- SELECT id, directory, CASE WHEN k > 0 THEN regexp_extract(name, '^(.*?)\\.txt$', 1) || '_' || substr(CAST(1000 + k AS VARCHAR), 2) || '.txt' ELSE name END AS filename FROM n""")
+ SELECT id, directory, CASE WHEN k > 0 THEN regexp_extract(name, '^(.*?)\\.txt$', 1) || '_' || CASE WHEN k < 1000 THEN lpad(CAST(k AS VARCHAR), 3, '0') ELSE CAST(k AS VARCHAR) END || '.txt' ELSE name END AS filename FROM n""")
 def unique_names(spark, d):
     return lifecycle.unique_names(t.documents(spark, d), F.col("document_type"), F.concat("source", F.lit(".txt")))
