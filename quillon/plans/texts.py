@@ -15,8 +15,6 @@ from .catalogue import DOCS, FIELDS, query, with_
 
 #: Literals: id, text.
 NUMBERS = [(1, "HSYCXS（DD）-2026-0027"), (2, " hsycxs（dd）-01 "), (3, "SJWLCG (DD)-2026-YC0453）"), (4, "HSYC-TZS-2026-05-12）"), (5, None), (6, "　XS　2026 ")]
-AMOUNTS = [(1, "￥1,234.50"), (2, "人民币 1,234.50 元"), (3, ""), (4, "(120.5)"), (5, "1,018,000.00元"), (6, None), (7, "¥ 7"), (8, "-3.456"), (9, "-")]
-DAYS = [(1, "2026-08-20"), (2, "2026/5/14"), (3, "2026.5.4"), (4, "20260514"), (5, "45000"), (6, "2026-08-20 10:11:12"), (7, ""), (8, None), (9, "2026年5月14日"), (10, "2026-02-30")]
 CONTRACT = "销售合同\n合同编号：HSYCXS（DD）-2026-0027\n甲方：上海华山贸易有限公司\n乙方：山西宏达钢铁有限公司\n签订日期：2026年6月8日\n船名：伦敦勇士号\n品名：PB粉\n数量：10000 吨\n合同金额：8,500,000.00元\n"
 INVOICE = "电子发票（增值税专用发票）\n发票号码：26332000000123456789\n开票日期：2026年06月18日\n购买方信息 名称：山西宏达钢铁有限公司\n销售方信息 名称：上海华山贸易有限公司\n*矿产品*PB粉 吨 100 812.5000 81250.00\n¥71902.65 ¥9347.35\n价税合计（小写）¥81250.00\n"
 RECEIPT = "银行电子回单\n付款人：山西宏达钢铁有限公司\n收款人：上海华山贸易有限公司\n金额（小写）\n1,500,000.00\n摘要：货款\n交易日期：2026-07-01\n"
@@ -35,33 +33,70 @@ def values(rows, names="id, v"):
 BARE = "regexp_replace(translate(coalesce(v, ''), '（）', '()'), '[\\s\\x{3000}]+', '', 'g')"
 
 
-@query("key_norm", f"""{with_(values(NUMBERS))}, n AS (SELECT id, lower({BARE}) AS text, upper(regexp_replace({BARE}, '\\)+$', '')) AS no FROM x),
+KEY, CUSTOMER = F.col("o_orderkey"), F.col("c_custkey")
+
+
+def keyed(spark, d, *choices, table="orders", key="o_orderkey"):
+    """id and a text for each order (or row of another table): one of the choices (columns) by its key."""
+    k = F.pmod(F.col(key), F.lit(len(choices)))
+    own = choices[-1]
+    for i, c in enumerate(choices[:-1]):
+        own = F.when(k == i, c).otherwise(own)
+    return t.table(spark, d, table).select(F.col(key).alias("id"), own.alias("v"))
+
+
+def text_of(*parts):
+    """Literals and columns, one after the other; keys as text."""
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
+
+def case_of(*choices):
+    """The SQL of keyed()."""
+    cases = " ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(choices))
+    return f"x AS (SELECT o_orderkey AS id, CASE o_orderkey % {len(choices)} {cases} END AS v FROM orders)"
+
+
+@query("key_norm", f"""{with_(case_of(*["NULL" if v is None else f"o_orderkey || '{v}'" for _, v in NUMBERS]))}, n AS (SELECT id, lower({BARE}) AS text, upper(regexp_replace({BARE}, '\\)+$', '')) AS no FROM x),
  w AS (SELECT *, regexp_replace(no, '\\([^)]*\\)', '', 'g') AS bare FROM n)
  SELECT id, text, no, CASE WHEN no = '' THEN '' WHEN bare = no OR bare = '' THEN no ELSE no || '|' || bare END AS variants FROM w""")
 def key_norm(spark, d):
+    """Each order's key before a contract number."""
     v = F.col("v")
-    return literal(spark, NUMBERS).select("id", text.norm_text(v).alias("text"), text.norm_no(v).alias("no"), F.array_join(text.contract_variants(v), "|").alias("variants"))
+    rows = keyed(spark, d, *[F.lit(None).cast("string") if x is None else text_of(KEY, x) for _, x in NUMBERS])
+    return rows.select("id", text.norm_text(v).alias("text"), text.norm_no(v).alias("no"), F.array_join(text.contract_variants(v), "|").alias("variants"))
 
 
 MONEY_SQL = "regexp_replace(translate(v, ',，¥￥元　 ', ''), '^\\((.*)\\)$', '-\\1')"
 
 
-@query("money_parse", f"""{with_(values(AMOUNTS))}, n AS (SELECT id, CASE WHEN regexp_matches({MONEY_SQL}, '^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)$') THEN {MONEY_SQL} END AS s FROM x)
+FMT = "format('{:,.2f}', o_totalprice)"
+AMOUNT_CASES = case_of(f"'￥' || {FMT}", f"' ' || {FMT} || ' 元'", f"'(' || {FMT} || ')'", f"'人民币 ' || {FMT}", "''", "NULL", f"'-' || replace({FMT}, ',', '')", "'-'", "'¥ ' || o_orderkey")
+
+
+@query("money_parse", f"""{with_(AMOUNT_CASES)}, n AS (SELECT id, CASE WHEN regexp_matches({MONEY_SQL}, '^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)$') THEN {MONEY_SQL} END AS s FROM x)
  SELECT id, TRY_CAST(s AS DECIMAL(18,2)) AS amount, coalesce(TRY_CAST(s AS DECIMAL(18,2)), 0) AS or_zero, coalesce(CAST(TRY_CAST(s AS DECIMAL(18,2)) AS VARCHAR), '') AS text FROM n""")
 def money_parse(spark, d):
+    """Each order's price as people write amounts."""
+    price = F.format_number("o_totalprice", 2)
+    rows = keyed(spark, d, text_of("￥", price), text_of(" ", price, " 元"), text_of("(", price, ")"), text_of("人民币 ", price), F.lit(""), F.lit(None).cast("string"), text_of("-", F.replace(price, F.lit(","), F.lit(""))), F.lit("-"), text_of("¥ ", KEY))
     a = money.to_money(F.col("v"))
-    return literal(spark, AMOUNTS).select("id", a.alias("amount"), money.money_or_zero(F.col("v")).alias("or_zero"), money.amount_text(a).alias("text"))
+    return rows.select("id", a.alias("amount"), money.money_or_zero(F.col("v")).alias("or_zero"), money.amount_text(a).alias("text"))
 
 
-@query("date_parse", f"""{with_(values(DAYS))}, s AS (SELECT id, trim(split_part(trim(v), ' ', 1)) AS s FROM x), z AS (SELECT id, s, regexp_replace(s, '^(\\d{{4}})年(\\d{{1,2}})月(\\d{{1,2}})日?$', '\\1-\\2-\\3') AS c FROM s),
+DAY_CASES = case_of(*[f"strftime(o_orderdate, '{f}')" for f in ("%Y-%m-%d", "%Y/%-m/%-d", "%Y.%-m.%-d", "%Y%m%d")], "CAST(40000 + o_orderkey % 5000 AS VARCHAR)", "strftime(o_orderdate, '%Y-%m-%d') || ' 10:11:12'", "''", "NULL", "strftime(o_orderdate, '%Y年%-m月%-d日')", "'2026-02-30'")
+
+
+@query("date_parse", f"""{with_(DAY_CASES)}, s AS (SELECT id, trim(split_part(trim(v), ' ', 1)) AS s FROM x), z AS (SELECT id, s, regexp_replace(s, '^(\\d{{4}})年(\\d{{1,2}})月(\\d{{1,2}})日?$', '\\1-\\2-\\3') AS c FROM s),
  p AS (SELECT id, s, CASE WHEN regexp_matches(s, '^\\d{{5}}$') THEN DATE '1899-12-30' + CAST(s AS INTEGER) WHEN regexp_matches(s, '^\\d{{8}}$') THEN CAST(try_strptime(s, '%Y%m%d') AS DATE)
    WHEN regexp_matches(s, '^\\d{{4}}[-/.]\\d{{1,2}}[-/.]\\d{{1,2}}$') THEN CAST(try_strptime(translate(s, '/.', '--'), '%Y-%m-%d') AS DATE) END AS day,
    CASE WHEN regexp_matches(c, '^\\d{{5}}$') THEN DATE '1899-12-30' + CAST(c AS INTEGER) WHEN regexp_matches(c, '^\\d{{8}}$') THEN CAST(try_strptime(c, '%Y%m%d') AS DATE)
    WHEN regexp_matches(c, '^\\d{{4}}[-/.]\\d{{1,2}}[-/.]\\d{{1,2}}$') THEN CAST(try_strptime(translate(c, '/.', '--'), '%Y-%m-%d') AS DATE) END AS detail FROM z)
  SELECT p.id, day, detail, coalesce(strftime(detail, '%Y-%m-%d'), trim(v), '') AS text FROM p JOIN x ON x.id = p.id""")
 def date_parse(spark, d):
-    v = F.col("v")
-    return literal(spark, DAYS).select("id", money.to_day(v).alias("day"), money.detail_day(v).alias("detail"), money.day_text(v).alias("text"))
+    """Each order's day as people write days."""
+    day, v = lambda f: F.date_format("o_orderdate", f), F.col("v")
+    rows = keyed(spark, d, day("yyyy-MM-dd"), day("yyyy/M/d"), day("yyyy.M.d"), day("yyyyMMdd"), (40_000 + KEY % 5000).cast("string"), F.concat(day("yyyy-MM-dd"), F.lit(" 10:11:12")), F.lit(""), F.lit(None).cast("string"), day("yyyy年M月d日"), F.lit("2026-02-30"))
+    return rows.select("id", money.to_day(v).alias("day"), money.detail_day(v).alias("detail"), money.day_text(v).alias("text"))
 
 
 @query("clean_text")
@@ -69,23 +104,6 @@ def clean_text(spark, d):
     return t.documents(spark, d).select("id", F.sha2(text.clean_text(F.col("extracted_text")), 256).alias("cleaned"))
 
 
-KEY, CUSTOMER = F.col("o_orderkey"), F.col("c_custkey")
-
-
-def keyed(spark, d, *choices, table="orders", key="o_orderkey"):
-    """id and a text for each order (or row of another table): one of the choices (columns) by its key."""
-    k = F.pmod(F.col(key), F.lit(len(choices)))
-    own = choices[-1]
-    for i, c in enumerate(choices[:-1]):
-        own = F.when(k == i, c).otherwise(own)
-    return t.table(spark, d, table).select(F.col(key).alias("id"), own.alias("v"))
-
-
-def text_of(*parts):
-    """Literals and columns, one after the other; keys as text."""
-    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
-
-
 @query("clean_amounts", """SELECT o_orderkey AS id, '甲方 于2026-06-' || lpad(CAST(1 + o_orderkey % 28 AS VARCHAR), 2, '0') || ' 付款1' || lpad(CAST(o_orderkey % 1000 AS VARCHAR), 3, '0') || '000.00！！！' AS text FROM orders""")
 def clean_amounts(spark, d):
     """FN-30 to FN-33 on a Chinese sentence for each order."""
@@ -326,12 +344,14 @@ def archive_paths(spark, d):
 ROLES = [(1, "", "采购结算单", "a.pdf", ""), (2, "contract_up", "x", "y", ""), (3, "", "", "业财对账.xlsx", ""), (4, "", "增值税专用发票", "", ""), (5, "", "", "bank receipt.pdf", "保证金"), (6, "", "货权转移单", "", "退款"), (7, None, None, None, None), (8, "", "协议", "回单", "货款")]
 
 
-@query("role_direction_nature", f"""{with_(values(ROLES, "id, role, type, name, summary"))}, z AS (SELECT id, lower(trim(coalesce(role, ''))) AS role, lower(coalesce(type, '') || ' ' || coalesce(name, '')) AS t, coalesce(name, '') || ' ' || coalesce(summary, '') || ' ' || coalesce(type, '') AS s FROM x)
+@query("role_direction_nature", f"""{with_(values(ROLES, "k, role, type, name, summary"))}, z AS (SELECT o_orderkey AS id, lower(trim(coalesce(role, ''))) AS role, lower(coalesce(type, '') || ' ' || coalesce(name, '')) AS t, coalesce(name, '') || ' ' || coalesce(summary, '') || ' ' || coalesce(type, '') AS s FROM orders JOIN x ON k = 1 + o_orderkey % 8)
  SELECT id, CASE WHEN role IN ('contract_up', 'contract_down', 'contract') THEN 'contract' WHEN contains(t, '对账') AND NOT contains(t, '结算单') THEN 'other' WHEN regexp_matches(t, '回单|水单|付款凭证|收款凭证|银行|payment|receipt') THEN 'payment_receipt'
  WHEN regexp_matches(t, '出库|货权|提单|放货|入库|cargo|waybill') THEN 'cargo_right' WHEN regexp_matches(t, '发票|invoice') THEN 'invoice' WHEN regexp_matches(t, '结算|对账|磅单|settlement') THEN 'settlement' WHEN regexp_matches(t, '合同|协议|contract|agreement') THEN 'contract' ELSE 'other' END AS role,
  CASE role WHEN 'contract_up' THEN 'up' WHEN 'contract_down' THEN 'down' ELSE 'unknown' END AS direction, CASE WHEN regexp_matches(s, '保证金|押金|定金|订金|履约金') THEN 'deposit' WHEN regexp_matches(s, '退款|退回|退还|返还|退货款') THEN 'refund' ELSE 'payment' END AS nature FROM z""")
 def role_direction_nature(spark, d):
-    rows = literal(spark, ROLES, "id int, role string, type string, name string, summary string")
+    """One of the cases for each order."""
+    cases = literal(spark, ROLES, "k long, role string, type string, name string, summary string")
+    rows = t.table(spark, d, "orders").select(KEY.alias("id"), (KEY % 8 + 1).alias("k")).join(F.broadcast(cases), "k")
     c = F.col
     return rows.select("id", classify.infer_role(c("role"), c("type"), c("name")).alias("role"), classify.infer_direction(c("role"), F.lit("")).alias("direction"), classify.infer_nature(c("name"), c("summary"), c("type")).alias("nature"))
 
