@@ -18,9 +18,8 @@ from .text import clean_ocr, clean_scan
 
 N = r"[\x{4e00}-\x{9fa5}A-Za-z0-9（）()]"
 #: The patterns by which fields are found.
-PARTY = r"(?:甲方|乙方|采购方|销售方|供应商|供货方|买方|卖方|付款人|收款人|开票方|购方)[:：]?\s*"
 FIRM = r"(?:有限公司|有限责任公司|股份有限公司|公司|集团|厂)"
-COMPANY_CONTEXT = rf"{PARTY}({N}{{2,40}}?{FIRM})"
+COMPANY_CONTEXT = rf"(?:甲方|乙方|采购方|销售方|供应商|供货方|买方|卖方|付款人|收款人|开票方|购方)[:：]?\s*({N}{{2,40}}?{FIRM})"
 COMPANY_GENERIC = rf"({N}{{2,30}}(?:有限公司|有限责任公司|股份有限公司|集团有限公司|集团|公司|工厂|商行|事务所|合作社|医院|学校))"
 SELLER_CONTEXT = rf"(?:销售方|销方|卖方|供货方|供应商)(?:信息)?[\s\S]{{0,50}}?名称[:：]?\s*({N}{{2,40}}?{FIRM})"
 NOT_BANK = r"(?<!开户银行[\s\S]{0,20})(?![\s\S]{0,24}开户银行)"
@@ -208,5 +207,5 @@ def extract(docs: DataFrame, key: str, text: str, filename: str | None = None, f
     long = rows.select(key, F.inline(F.array(*every)))
     chosen = F.when(F.size("own") > 0, F.get("own", F.lit(0))).otherwise(F.get("spare", F.lit(0)))
     out = long.withColumn("_best", chosen).filter(F.col("_best").isNotNull())
-    rest = F.transform(F.slice("own", 2, 100), lambda c: c["value"])
+    rest = F.transform(F.slice("own", F.lit(2), F.greatest(F.size("own") - 1, F.lit(0))), lambda c: c["value"])
     return out.select(key, "field", "_best.value", "_best.confidence", "_best.priority", "_best.rule", "_best.source", rest.alias("conflicts"), "position")

@@ -115,3 +115,20 @@ def new_dossiers(documents: DataFrame, known: DataFrame, number: str = "contract
     rows = rows.join(known.select(business_no(F.col("business_no")).alias("_no")), "_no", "left_anti")
     return rows.groupBy("_no").agg(F.min_by(number, "document_id").alias("business_no"), F.min_by("vessel", F.when(F.col("vessel").isNotNull(), F.col("document_id"))).alias("ship_name"), F.count("*").alias("n_documents")).drop("_no")
 
+
+
+def unlinked(files: DataFrame, pairs: DataFrame) -> DataFrame:
+    """DML-04: the links without those asked for (business_id, document_id)."""
+    return files.join(pairs.select("business_id", "document_id").distinct(), ["business_id", "document_id"], "left_anti")
+
+
+def dissolved(records: DataFrame, files: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """DML-04: records and links without the dossiers asked for; their documents stay."""
+    gone = ids.select("id").distinct()
+    return records.join(gone, "id", "left_anti"), files.join(gone.withColumnRenamed("id", "business_id"), "business_id", "left_anti")
+
+
+def documents_of(files: DataFrame, docs: DataFrame, records: DataFrame) -> DataFrame:
+    """JON-02, JON-03: each link with its record's number and its document's columns."""
+    own = files.join(records.select(F.col("id").alias("business_id"), "business_no"), "business_id")
+    return own.join(docs.withColumnRenamed("id", "document_id"), "document_id")

@@ -159,3 +159,12 @@ def template_match(docs: DataFrame, templates: DataFrame, key: str, kind: str, f
 def learned(old: Column, new: Column) -> Column:
     """SET-05: the sorted union of field names."""
     return F.array_sort(F.array_union(F.coalesce(old, F.array().cast("array<string>")), F.coalesce(new, F.array().cast("array<string>"))))
+
+
+def learned_sample(docs: DataFrame, key: str, text: str, words: list[str] = config.LABEL_WORDS, letters: str = r"[\x{4e00}-\x{9fff}]", stop: str = config.STOP_CHARS, most: int = 200) -> DataFrame:
+    """UDF-10: what a sample document teaches: its label words and its frequent grams with their numbers, as maps for sample_scores()."""
+    of = lambda name, k: F.map_from_entries(F.array_sort(F.collect_list(F.struct(k, F.col("n").cast("int"))))).alias(name)
+    labels = label_counts(docs, key, text, words).groupBy(key).agg(of("labels", "word"))
+    grams = bigrams(docs, [key], text, letters, stop, 2, most).groupBy(key).agg(of("grams", "gram"))
+    empty = F.create_map().cast("map<string,int>")
+    return docs.select(key).join(labels, key, "left").join(grams, key, "left").select(key, F.coalesce("labels", empty).alias("labels"), F.coalesce("grams", empty).alias("grams"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import classify, money, text
-from ..operators import eav, ledger, lifecycle, recon, rules
+from ..operators import dossier, eav, ledger, lifecycle, recon, rules
 from ..sources import tables as t
 from .catalogue import DOCS, LEDGER, OPS, query, with_
 from .linking import LOOSE
@@ -181,3 +181,36 @@ def resolved_diffs(spark, d):
 def written_fields(spark, d):
     rows = orders(spark, d).select("id", F.lit("amount").alias("field"), F.col("o_custkey").cast("string").alias("value"), F.lit(0.5).alias("confidence"), F.lit("RULE").alias("source"), F.col("o_orderpriority").alias("category"))
     return eav.field_rows(rows, "id", "category").select("document_id", "field_name", "field_value")
+
+
+def links(spark, d):
+    """Lines as links of an order's dossier with a part's document, each once."""
+    return t.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("business_id"), F.col("l_partkey").alias("document_id")).distinct()
+
+
+@query("unlinked_files", "SELECT DISTINCT l_orderkey AS business_id, l_partkey AS document_id FROM lineitem WHERE l_partkey % 4 > 0 OR l_orderkey % 2 = 0")
+def unlinked_files(spark, d):
+    files = links(spark, d)
+    return dossier.unlinked(files, files.filter("document_id % 4 = 0 AND business_id % 2 = 1"))
+
+
+@query("dissolved_dossiers", "SELECT 'record' AS kind, count(*) AS n FROM orders WHERE o_orderstatus <> 'F' UNION ALL SELECT 'link', count(*) FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'))")
+def dissolved_dossiers(spark, d):
+    rows = orders(spark, d)
+    records, files = dossier.dissolved(rows.select("id"), links(spark, d), rows.filter("o_orderstatus = 'F'").select("id"))
+    return records.agg(F.count("*").alias("n")).select(F.lit("record").alias("kind"), "n").union(files.agg(F.count("*").alias("n")).select(F.lit("link"), "n"))
+
+
+@query("dossier_documents", "SELECT DISTINCT l_orderkey AS business_id, l_partkey AS document_id, 'B' || l_orderkey AS business_no, p_name FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey")
+def dossier_documents(spark, d):
+    records = orders(spark, d).select("id", F.concat(F.lit("B"), F.col("id").cast("string")).alias("business_no"))
+    docs = t.table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_name")
+    return dossier.documents_of(links(spark, d), docs, records)
+
+
+@query("learned_samples", """WITH c AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[a-z]') AS l FROM documents), p AS (SELECT doc_id, unnest(list_transform(range(1, len(l)), lambda i: l[i] || l[i + 1])) AS gram FROM c), n AS (SELECT doc_id, gram, count(*) AS n FROM p GROUP BY 1, 2 HAVING count(*) >= 2),
+ g AS (SELECT doc_id, count(*) AS grams FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, gram) AS r FROM n) WHERE r <= 50 GROUP BY 1)
+ SELECT d.doc_id, coalesce(grams, 0) AS grams, CASE WHEN contains(coalesce(text, ''), 'the') THEN CAST((length(text) - length(replace(text, 'the', ''))) / 3 AS INTEGER) END AS the FROM documents d LEFT JOIN g USING (doc_id)""")
+def learned_samples(spark, d):
+    got = rules.learned_sample(t.table(spark, d, "documents"), "doc_id", "text", ["the", "de"], "[a-z]", "", 50)
+    return got.select("doc_id", F.size("grams").cast("long").alias("grams"), F.try_element_at("labels", F.lit("the")).alias("the"))
