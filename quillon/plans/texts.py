@@ -33,7 +33,12 @@ def values(rows, names="id, v"):
 BARE = "regexp_replace(translate(coalesce(v, ''), '（）', '()'), '[\\s\\x{3000}]+', '', 'g')"
 
 
-KEY, CUSTOMER = F.col("o_orderkey"), F.col("c_custkey")
+def order_key():
+    return F.col("o_orderkey")
+
+
+def customer_key():
+    return F.col("c_custkey")
 
 
 def keyed(spark, d, *choices, table="orders", key="o_orderkey"):
@@ -62,7 +67,7 @@ def case_of(*choices):
 def key_norm(spark, d):
     """Each order's key before a contract number."""
     v = F.col("v")
-    rows = keyed(spark, d, *[F.lit(None).cast("string") if x is None else text_of(KEY, x) for _, x in NUMBERS])
+    rows = keyed(spark, d, *[F.lit(None).cast("string") if x is None else text_of(order_key(), x) for _, x in NUMBERS])
     return rows.select("id", text.norm_text(v).alias("text"), text.norm_no(v).alias("no"), F.array_join(text.contract_variants(v), "|").alias("variants"))
 
 
@@ -78,7 +83,7 @@ AMOUNT_CASES = case_of(f"'￥' || {FMT}", f"' ' || {FMT} || ' 元'", f"'(' || {F
 def money_parse(spark, d):
     """Each order's price as people write amounts."""
     price = F.format_number("o_totalprice", 2)
-    rows = keyed(spark, d, text_of("￥", price), text_of(" ", price, " 元"), text_of("(", price, ")"), text_of("人民币 ", price), F.lit(""), F.lit(None).cast("string"), text_of("-", F.replace(price, F.lit(","), F.lit(""))), F.lit("-"), text_of("¥ ", KEY))
+    rows = keyed(spark, d, text_of("￥", price), text_of(" ", price, " 元"), text_of("(", price, ")"), text_of("人民币 ", price), F.lit(""), F.lit(None).cast("string"), text_of("-", F.replace(price, F.lit(","), F.lit(""))), F.lit("-"), text_of("¥ ", order_key()))
     a = money.to_money(F.col("v"))
     return rows.select("id", a.alias("amount"), money.money_or_zero(F.col("v")).alias("or_zero"), money.amount_text(a).alias("text"))
 
@@ -95,7 +100,7 @@ DAY_CASES = case_of(*[f"strftime(o_orderdate, '{f}')" for f in ("%Y-%m-%d", "%Y/
 def date_parse(spark, d):
     """Each order's day as people write days."""
     day, v = lambda f: F.date_format("o_orderdate", f), F.col("v")
-    rows = keyed(spark, d, day("yyyy-MM-dd"), day("yyyy/M/d"), day("yyyy.M.d"), day("yyyyMMdd"), (40_000 + KEY % 5000).cast("string"), F.concat(day("yyyy-MM-dd"), F.lit(" 10:11:12")), F.lit(""), F.lit(None).cast("string"), day("yyyy年M月d日"), F.lit("2026-02-30"))
+    rows = keyed(spark, d, day("yyyy-MM-dd"), day("yyyy/M/d"), day("yyyy.M.d"), day("yyyyMMdd"), (40_000 + order_key() % 5000).cast("string"), F.concat(day("yyyy-MM-dd"), F.lit(" 10:11:12")), F.lit(""), F.lit(None).cast("string"), day("yyyy年M月d日"), F.lit("2026-02-30"))
     return rows.select("id", money.to_day(v).alias("day"), money.detail_day(v).alias("detail"), money.day_text(v).alias("text"))
 
 
@@ -107,13 +112,13 @@ def clean_text(spark, d):
 @query("clean_amounts", """SELECT o_orderkey AS id, '甲方 于2026-06-' || lpad(CAST(1 + o_orderkey % 28 AS VARCHAR), 2, '0') || ' 付款1' || lpad(CAST(o_orderkey % 1000 AS VARCHAR), 3, '0') || '000.00！！！' AS text FROM orders""")
 def clean_amounts(spark, d):
     """FN-30 to FN-33 on a Chinese sentence for each order."""
-    v = text_of("\r\n 甲方　 于2026年6月", 1 + KEY % 28, "日\t付款人民币1,", F.lpad((KEY % 1000).cast("string"), 3, "0"), ",000.00元！！！！！　\n")
+    v = text_of("\r\n 甲方　 于2026年6月", 1 + order_key() % 28, "日\t付款人民币1,", F.lpad((order_key() % 1000).cast("string"), 3, "0"), ",000.00元！！！！！　\n")
     return keyed(spark, d, v).select("id", text.clean_text(F.col("v")).alias("text"))
 
 
 @query("ocr_line_filter", """SELECT o_orderkey AS id, '销售合同' || chr(10) || '编号 1' || lpad(CAST(o_orderkey AS VARCHAR), 8, '0') || chr(10) || '正文' AS text FROM orders""")
 def ocr_line_filter(spark, d):
-    v = text_of("第 1 页\n12345\n销\n售\n合\n同\n编号 1", F.lpad(KEY.cast("string"), 8, "0"), "\nDRAFT copy\n- 3 -\n\n正文\n2/7")
+    v = text_of("第 1 页\n12345\n销\n售\n合\n同\n编号 1", F.lpad(order_key().cast("string"), 8, "0"), "\nDRAFT copy\n- 3 -\n\n正文\n2/7")
     return keyed(spark, d, v).select("id", text.clean_ocr(F.col("v")).alias("text"))
 
 
@@ -121,7 +126,7 @@ def ocr_line_filter(spark, d):
  CASE o_orderkey % 3 WHEN 0 THEN 2 ELSE 1 END AS corrections FROM orders""")
 def scan_repair(spark, d):
     """FN-36 to FN-39: misread amounts, dates of four forms, misread invoice numbers."""
-    rows = keyed(spark, d, text_of("¥ 1O0,5S0.00 元 #", KEY), text_of("日期 2026年6月8日 和 26-8-4 和 20260814 #", KEY), text_of("发票号码：2633200OOOO1", F.lpad(KEY.cast("string"), 8, "0")))
+    rows = keyed(spark, d, text_of("¥ 1O0,5S0.00 元 #", order_key()), text_of("日期 2026年6月8日 和 26-8-4 和 20260814 #", order_key()), text_of("发票号码：2633200OOOO1", F.lpad(order_key().cast("string"), 8, "0")))
     fixed = text.clean_scan(F.col("v"))
     return rows.select("id", fixed["text"].alias("text"), F.size(fixed["corrections"]).alias("corrections"))
 
@@ -224,8 +229,8 @@ FOUND_SQL = " UNION ALL ".join(f"SELECT k AS id, '{field}' AS field, {value} AS
 @query("trade_fields", f"WITH o AS (SELECT c_custkey AS k, lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') AS n4, lpad(CAST(c_custkey % 1000000000 AS VARCHAR), 9, '0') AS n9 FROM customer) {FOUND_SQL}")
 def trade_fields(spark, d):
     """FX-01 to FX-14: a contract, an invoice, a receipt or a file name alone for each customer, with numbers and amounts of its own."""
-    four, nine = F.lpad((CUSTOMER % 10000).cast("string"), 4, "0"), F.lpad((CUSTOMER % 1_000_000_000).cast("string"), 9, "0")
-    amount = F.format_number((1_000_000 + CUSTOMER % 1_000_000).cast("decimal(18,2)"), 2)
+    four, nine = F.lpad((customer_key() % 10000).cast("string"), 4, "0"), F.lpad((customer_key() % 1_000_000_000).cast("string"), 9, "0")
+    amount = F.format_number((1_000_000 + customer_key() % 1_000_000).cast("decimal(18,2)"), 2)
     fill = lambda body, old, new: F.replace(F.lit(body), F.lit(old), new)
     contract = F.replace(fill(CONTRACT, "2026-0027", text_of("2026-", four)), F.lit("8,500,000.00"), amount)
     rows = keyed(spark, d, contract, fill(INVOICE, "26332000000123456789", text_of("26332000000", nine)), fill(RECEIPT, "1,500,000.00", amount), F.lit(""), table="customer", key="c_custkey")
@@ -351,7 +356,7 @@ ROLES = [(1, "", "采购结算单", "a.pdf", ""), (2, "contract_up", "x", "y", "
 def role_direction_nature(spark, d):
     """One of the cases for each order."""
     cases = literal(spark, ROLES, "k long, role string, type string, name string, summary string")
-    rows = t.table(spark, d, "orders").select(KEY.alias("id"), (KEY % 8 + 1).alias("k")).join(F.broadcast(cases), "k")
+    rows = t.table(spark, d, "orders").select(order_key().alias("id"), (order_key() % 8 + 1).alias("k")).join(F.broadcast(cases), "k")
     c = F.col
     return rows.select("id", classify.infer_role(c("role"), c("type"), c("name")).alias("role"), classify.infer_direction(c("role"), F.lit("")).alias("direction"), classify.infer_nature(c("name"), c("summary"), c("type")).alias("nature"))
 
