@@ -255,12 +255,36 @@ def test_lifecycle(spark):
 
 
 def test_dossier_guard(spark):
-    from quillon.plans import texts
-
-    assert {r.id: r.outcome for r in texts.fuzzy_guard(spark, "").collect()} == {1: "linked", 2: "linked", 3: "ambiguous", 4: "new", 5: "invalid"}
+    asked = spark.createDataFrame([(1, "HSYCXS-2026-0027"), (2, "hsycxs－2026－0028"), (3, "HSYCXS-2026-0O29"), (4, "SJWLCG-2026-1111"), (5, "SDJZ-SXJG2026"), (6, "H5YCXS-2026-0027")], "id int, no string")
+    known = spark.createDataFrame([(1, "HSYCXS-2026-0027"), (2, "HSYCXS-2026-0028"), (3, "HSYCXS-2026-0029")], "id int, no string")
+    got = {r.id: (r.outcome, r.known_no) for r in dossier.fuzzy_guard(asked, known, "no", "id").collect()}
+    assert {k: v[0] for k, v in got.items()} == {1: "linked", 2: "linked", 3: "ambiguous", 4: "new", 5: "invalid", 6: "ambiguous"} and got[6][1] == "HSYCXS-2026-0027"
     assert config.EXPECTED_ROLES and dossier.fuzzy_types("合童", spark.createDataFrame([("合同",), ("发票",)], "type string")).first().type == "合同"
 
 
+@pytest.mark.parametrize("misread", [1, 2])
+def test_guard_against_all_pairs(spark, misread):
+    """Numbers of eighteen characters with one or two of them misread: the best of all known ones is found."""
+    import difflib
+    import random
+
+    rng = random.Random(misread)
+    known = [f"HSYCXS-2026-{rng.randrange(10**6):06d}" for _ in range(30)]
+    asked = []
+    for k, no in enumerate(rng.choices(known, k=25)):
+        chars = list(no)
+        for at in rng.sample(range(18), misread):
+            chars[at] = rng.choice("ABCXYZ789")
+        asked.append((k, "".join(chars)))
+    got = {r.id: r for r in dossier.fuzzy_guard(spark.createDataFrame(asked, "id int, no string"), spark.createDataFrame([(n,) for n in known], "no string"), "no", "id").collect()}
+    for k, no in asked:
+        score = sorted((difflib.SequenceMatcher(None, no, n).ratio() for n in known), reverse=True)
+        if got[k].outcome in ("similar", "ambiguous"):
+            assert got[k].score == pytest.approx(score[0])
+        else:
+            assert no in known or got[k].outcome == "linked" or score[0] < 0.75
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes("金额：128,500.00 元".encode("gb18030"))
     (tmp_path / "b.csv").write_text('客户名称;编号\n"A;B 公司";DD001\n;\n', encoding="utf-8")
