@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,11 +29,11 @@ def group_counts(rows: DataFrame, key: str, row_id: str, open_: Column) -> DataF
     return out.withColumn("_n", F.coalesce("_hot_n", "_n", F.lit(0))).drop("_hot", "_hot_n", "_key", "_dealt")
 
 
-def ranked(rows: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
-    """rows with the place (from 0) of each within its group.  Rows are range-partitioned by group and order, so a large group
+def ranked(rows: DataFrame, group: list[str], order: list[str | Column], name: str, keep: Callable[[DataFrame, str], DataFrame] = written) -> DataFrame:
+    """rows with the place (from 0) of each within its group; `keep` writes them.  Rows are range-partitioned by group and order, so a large group
     spans partitions; what stands before a partition's part of a group is a count for each such part."""
     placed = rows.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order)
-    placed = written(placed.withColumn("_row", F.monotonically_increasing_id()), "ranked").withColumn("_part", F.shiftright("_row", PART))
+    placed = keep(placed.withColumn("_row", F.monotonically_increasing_id()), "ranked").withColumn("_part", F.shiftright("_row", PART))
     parts = placed.groupBy(*group, "_part").agg(F.min("_row").alias("_first"), F.count("*").alias("_size"))
     before = F.sum("_size").over(Window.partitionBy(*group).orderBy("_part")) - F.col("_size")  # a row for each part of a group
     parts = parts.select(*[F.col(g).alias(f"_g{k}") for k, g in enumerate(group)], F.col("_part").alias("_p"), (before - F.col("_first")).alias("_shift"))
