@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, collocations, decontaminate, exact_dedup, filter_audit, license_scan, line_dedup, sharding, simhash, sstable, toxicity, url_filter
+from . import bpe, byte_bpe, collocations, decontaminate, exact_dedup, filter_audit, license_scan, line_dedup, sharding, simhash, sstable, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_url_filter": url_filter.query,
         "op9_toxicity": toxicity.query,
         "op10_exact_dedup": exact_dedup.query,
+        "op11_byte_bpe": byte_bpe.query,
         "op12_collocations": collocations.query,
         "op13_filter_audit": filter_audit.query,
     }
