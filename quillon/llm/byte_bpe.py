@@ -6,6 +6,7 @@
    From there on they split alike, since a match depends on what follows alone.  The left chunk's borders there are those of
    the whole text, because a run of letters or digits has ended in it before (such a run ends in a border wherever
    splitting began), and because matches that could have gone on or looked past the chunk's end are left out.
+   A stitch follows no white space, whose matches look one character further, so that a piece splits as it does in its text.
 3. What lies between two stitches is a piece, which is split again and encoded, each match by itself.  Chunks that no
    stitch parts are one piece, so nothing is lost where a run spans an overlap, or a chunk has no run at all.
 4. Digests and decoded bytes follow the pieces of a text in their order, one after another.
@@ -49,7 +50,7 @@ class Codec:
         pairs = [line.split() for line in content.splitlines() if line.strip()]
         self.ranks = {base64.b64decode(token): int(rank) for token, rank in pairs}
         self.tokens = {rank: token for token, rank in self.ranks.items()}
-        self.words, self.runs = regex.compile(pattern), regex.compile(RUNS)
+        self.words, self.runs, self.space = regex.compile(pattern), regex.compile(RUNS), regex.compile(r"\s")
         self.joined = np.zeros(1 << 16, bool)
         self.joined[[a << 8 | b for token in self.ranks for a, b in zip(token, token[1:], strict=False)]] = True
         self.known: dict[str, bytes] = {}
@@ -106,10 +107,10 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
     def borders(self, text: str, last: bool, size: int, overlap: int) -> tuple[list[int], list[int], bool]:
-        """The borders in the first `overlap` characters of a chunk, those in its overlap with the next chunk, counted from there,
+        """The borders after no white space in the first `overlap` characters of a chunk, those in its overlap with the next chunk, counted from there,
         and whether they are those of the whole text."""
         ends = [m.end() for m in self.words.finditer(text)]
-        head = [e for e in ends if e <= overlap]
+        head = [e for e in ends if e <= overlap and not self.space.match(text, e - 1)]
         tail = [] if last else [e - size for e in ends if size < e <= len(text) - GUARD]
         run = self.runs.search(text)
         return head, tail, run is not None and run.end() <= size
