@@ -82,14 +82,26 @@ def archive(docs: DataFrame, folder: str, by: list[str]) -> None:
     docs.repartition(*by).write.mode("append").partitionBy(*by).parquet(folder)
 
 
-def unique_names(docs: DataFrame, folder: Column, name: Column, key: str = "id") -> DataFrame:
+def unique_names(docs: DataFrame, folder: Column, name: Column, key: str = "id", taken: DataFrame | None = None) -> DataFrame:
     """FN-21: file names that are unique in their directory: the second of a name gets _001, and so on, by id; beyond 999 the
-    number is as long as it must be."""
+    number is as long as it must be.  Numbers that names of the directory have already, among the documents or in `taken` (directory,
+    filename), aren't given again: a name goes on behind the largest."""
     rows = ranked(docs.select(key, folder.alias("directory"), name.alias("_name")), ["directory", "_name"], [key], "_n")
-    n = F.col("_n").cast("string")
-    stem, ext = F.regexp_extract("_name", r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract("_name", r"^(.*?)(\.[^.]*)?$", 2)
-    numbered = F.concat(stem, F.lit("_"), F.when(F.col("_n") < 1000, F.lpad(n, 3, "0")).otherwise(n), ext)
-    return rows.select(key, "directory", F.when(F.col("_n") > 0, numbered).otherwise(F.col("_name")).alias("filename"))
+    split = r"^(.*?)(\.[^.]*)?$"
+    stem, ext = F.regexp_extract("_name", split, 1), F.regexp_extract("_name", split, 2)
+    there = rows.select("directory", F.col("_name").alias("_there"), F.lit(0).alias("_taken")).distinct()
+    if taken is not None:
+        there = there.union(taken.select("directory", "filename", F.lit(1)))
+    own, suffix = F.regexp_extract("_there", split, 1), F.regexp_extract("_there", r"_(\d{3,18})(\.[^.]*)?$", 1)
+    numbers = there.filter(suffix != "").select("directory", F.concat(F.regexp_replace(own, r"_\d{3,18}$", ""), F.regexp_extract("_there", split, 2)).alias("_name"), suffix.cast("long").alias("_number"))
+    plain = there.filter("_taken = 1").select("directory", F.col("_there").alias("_name"), F.lit(None).cast("long").alias("_number"))
+    first = numbers.withColumn("_plain", F.lit(0)).union(plain.withColumn("_plain", F.lit(1))).groupBy("directory", "_name").agg(F.max("_number").alias("_number"), F.max("_plain").alias("_plain"))
+    rows = rows.join(first.select(F.col("directory").alias("_d"), F.col("_name").alias("_p"), "_number", "_plain"), F.col("directory").eqNullSafe(F.col("_d")) & (F.col("_name") == F.col("_p")), "left")
+    n = F.col("_n") + F.coalesce("_plain", F.lit(0))
+    number = n + F.coalesce("_number", F.lit(0))
+    text = number.cast("string")
+    numbered = F.concat(stem, F.lit("_"), F.when(number < 1000, F.lpad(text, 3, "0")).otherwise(text), ext)
+    return rows.select(key, "directory", F.when(n > 0, numbered).otherwise(F.col("_name")).alias("filename"))
 
 
 def export_tables(status: DataFrame, diffs: DataFrame, unlinked: DataFrame) -> dict[str, DataFrame]:
