@@ -61,7 +61,7 @@ def cells_of(spark: SparkSession, folder: str, **options: str) -> DataFrame:
 def workbook_texts(cells: DataFrame, most: int = 500) -> DataFrame:
     """SRC-06: the text of each workbook, sheet by sheet, and its tables: rows that aren't blank, of each sheet's first 500, and a line
     that says so if there are more."""
-    inside = cells.filter(F.exists("cells", lambda c: F.trim(c) != "")).withColumn("cells", F.transform("cells", F.trim))
+    inside = cells.filter(F.exists("cells", lambda c: F.trim(c) != "")).withColumn("cells", F.transform("cells", lambda c: F.trim(c)))
     sheets = cells.groupBy("path", "place", "sheet").agg(F.max("row").alias("_last"))
     rows = inside.filter(F.col("row") <= most).groupBy("path", "place").agg(F.sort_array(F.collect_list(F.struct("row", "cells"))).alias("_rows"))
     rows = sheets.join(rows, ["path", "place"], "left").withColumn("table", F.coalesce(F.transform("_rows", lambda r: r["cells"]), F.array().cast("array<array<string>>")))

@@ -29,8 +29,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return written_to(df, new_path(df.sparkSession, name))
 
 
-def written_to(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
+def written_to(df: DataFrame, path: str, **options: int | str) -> DataFrame:
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -41,17 +41,31 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+class Scratch:
+    """A written() whose tables can be deleted one by one."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.made = spark, {}
+
+    def __call__(self, df: DataFrame, name: str, **options: int | str) -> DataFrame:
+        path = new_path(self.spark, name)
+        self.made[path] = None  # so that a write that fails is deleted as well
+        self.made[path] = written_to(df, path, **options)
+        return self.made[path]
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes tables that nothing reads any more."""
+        for path in [p for p, df in self.made.items() if any(df is t for t in tables)]:
+            remove(self.spark, path)
+            del self.made[path]
+
+
 @contextmanager
 def scratch(spark: SparkSession):
     """Gives a written() whose tables are deleted at the end; what is returned from within must be written otherwise."""
-    made: list[str] = []
-
-    def keep(df: DataFrame, name: str) -> DataFrame:
-        made.append(new_path(spark, name))
-        return written_to(df, made[-1])
-
+    own = Scratch(spark)
     try:
-        yield keep
+        yield own
     finally:
-        for path in made:
+        for path in own.made:
             remove(spark, path)

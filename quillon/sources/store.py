@@ -48,6 +48,12 @@ def write(uri: str, folders: bool = True) -> IO[bytes]:
     return store.open_output_stream(path)
 
 
+def put(uri: str, content: bytes) -> None:
+    """A whole file, in place of what is there."""
+    with write(uri) as f:
+        f.write(content)
+
+
 def make(uri: str, above: bool = True) -> None:
     """A folder; without `above` the folder above it must be there."""
     store, path = opened(uri)

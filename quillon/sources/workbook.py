@@ -1,12 +1,14 @@
-"""Workbooks as rows that a provider has read: sheets by name, the contract sheet, uploads (SRC-10, SRC-11, SRC-14)."""
+"""What the cells of workbooks mean: sheets by name, the contract sheet, sheets by their header, uploads (SRC-10 to SRC-12, SRC-14)."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.money import to_day, to_money
 from ..functions.text import norm_no
+from ..operators.ledger import column_map, header_row, norm_header
 
 # Headers of the contract sheet by field, in order of preference; the header of other numbers, and those that end its search.
 HEADERS = {
@@ -38,20 +40,19 @@ def sheet_named(names: list[str], wanted: str) -> str | None:
 
 def contract_columns(headers: list[str]) -> dict[str, int]:
     """SRC-11: the position of each field, the leftmost column that has one of its headers; up_alt_no and down_alt_no are the nearest
-    column of other numbers to the right of the contract number's."""
+    column of other numbers to the right of the contract number's, unless a column that ends the search is nearer."""
     own = [norm(h) for h in headers]
     found = {}
     for field, names in HEADERS.items():
         wanted = {norm(n) for n in names}
         if (at := next((i for i, h in enumerate(own) if h in wanted), None)) is not None:
             found[field] = at
-    for field, anchor in (("up_alt_no", "up_contract_no"), ("down_alt_no", "down_contract_no")):
-        for i in range(found.get(anchor, len(own)) + 1, len(own)):
-            if own[i] == OTHER_NUMBER:
-                found[field] = i
-                break
-            if own[i] in ENDS:
-                break
+    others, ends = [i for i, h in enumerate(own) if h == OTHER_NUMBER], [i for i, h in enumerate(own) if h in ENDS]
+    for side in ("up", "down"):
+        if (anchor := found.get(f"{side}_contract_no")) is not None:
+            behind = lambda places: min((i for i in places if i > anchor), default=len(own))  # noqa: B023, E731
+            if behind(others) < behind(ends):
+                found[f"{side}_alt_no"] = behind(others)
     return found
 
 
@@ -70,6 +71,35 @@ def contract_lines(rows: DataFrame, headers: list[str], cells: str = "cells") ->
     return out.filter("business_no <> ''")
 
 
+def sheet_headers(cells: DataFrame, within: int = 10) -> DataFrame:
+    """SRC-12, SRC-13: of each sheet (path, sheet) whose first rows have a header: its row, the column of each standard field, and the
+    columns of contract numbers.  A sheet's first ten rows are all that is looked at."""
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        own = [[str(c or "") for c in r] for r in rows.sort_values("row")["cells"]]
+        at = header_row(own, within=within)
+        if at is None:
+            return pd.DataFrame([], columns=["path", "sheet", "header", "fields", "contracts"])
+        names = [norm_header(h) for h in own[at]]
+        contracts = [k for k, n in enumerate(names) if "合同" in n and ("编号" in n or n.endswith("合同号"))]
+        return pd.DataFrame([(rows["path"].iloc[0], rows["sheet"].iloc[0], rows["row"].sort_values().iloc[at], column_map(own[at]), contracts)], columns=["path", "sheet", "header", "fields", "contracts"])
+
+    first = cells.filter(F.col("row") <= within).select("path", "sheet", "row", "cells")
+    return first.groupBy("path", "sheet").applyInPandas(one, "path string, sheet string, header int, fields map<string,int>, contracts array<int>")
+
+
+def configured_rows(cells: DataFrame) -> DataFrame:
+    """SRC-12: path, sheet, row, fields (text of each standard field that isn't empty) and contracts (all contract numbers in the order of
+    their columns) of the rows below a sheet's header; rows without either are none.  Days lose their time."""
+    heads = sheet_headers(cells).select(F.col("path").alias("_p"), F.col("sheet").alias("_s"), "header", F.col("fields").alias("_at"), F.col("contracts").alias("_numbers"))
+    rows = cells.join(heads, (F.col("path") == F.col("_p")) & (F.col("sheet") == F.col("_s"))).filter(F.col("row") > F.col("header"))
+    text = lambda k: F.regexp_extract(F.trim(F.coalesce(F.get("cells", k), F.lit(""))), r"(?s)^(\d{4}-\d\d-\d\d)(?= \d\d:\d\d:\d\d$)|^(.*)$", 0)
+    fields = F.map_filter(F.transform_values("_at", lambda _, k: text(k)), lambda _, v: v != "")
+    contracts = F.filter(F.transform("_numbers", lambda k: text(k)), lambda v: v != "")
+    out = rows.select("path", "sheet", "row", fields.alias("fields"), contracts.alias("contracts"))
+    return out.filter((F.size("fields") > 0) | (F.size("contracts") > 0))
+
+
 def uploaded(known: DataFrame, new: DataFrame) -> DataFrame:
     """SRC-14: the sources after an upload (name, content_hash, sheet_config): a content that is known already isn't taken again; one
     of a known name takes its place and keeps its sheet configuration."""
