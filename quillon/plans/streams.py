@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import dashboard
 from ..sources import tables as t
 from ..sources.shared import new_path
-from ..streaming import jobs
+from ..streaming import jobs, state
 from .catalogue import query
 
 
@@ -63,3 +63,26 @@ def stream_recon_foreach_batch(spark, d):
     jobs.by_batch(source(spark, d), step, f"{out}/checkpoint")
     rows = spark.read.parquet(f"{out}/rows")
     return rows.groupBy("job_id").agg(F.sum("total").alias("total"), F.sum("success").alias("success"), F.sum("failed").alias("failed"), F.min("started_at").alias("started_at"), F.max("finished_at").alias("finished_at"))
+
+
+@query("stream_once", "SELECT DISTINCT user_id, props FROM events")
+def stream_once(spark, d):
+    """STR-02: users and what they sent, each once, with the ids that came before as state."""
+    rows = source(spark, d).select("user_id", "props")
+    return jobs.run(state.once(rows, "user_id", ["props"]), "append", place(spark))
+
+
+@query("stream_breaker", """WITH RECURSIVE e AS (SELECT user_id, event_id, ts, event_type IN ('error', 'view') AS bad, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+ r AS (SELECT user_id, event_id, k, ms, bad, CASE WHEN bad THEN 1 ELSE 0 END AS failures, CAST(0 AS BIGINT) AS until, CASE WHEN bad THEN 'failed' ELSE 'ok' END AS outcome FROM e WHERE k = 1
+  UNION ALL SELECT e.user_id, e.event_id, e.k, e.ms, e.bad,
+   CASE WHEN r.failures >= 3 AND e.ms < r.until THEN r.failures WHEN NOT e.bad THEN 0 WHEN r.failures >= 3 THEN 1 ELSE r.failures + 1 END,
+   CASE WHEN r.failures = 2 AND e.bad THEN e.ms + 43200000 ELSE r.until END,
+   CASE WHEN r.failures >= 3 AND e.ms < r.until THEN 'refused' WHEN e.bad THEN 'failed' ELSE 'ok' END
+  FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)
+ SELECT CAST(user_id AS VARCHAR) AS provider, event_id AS call, ms, outcome FROM r
+ UNION ALL SELECT CAST(user_id AS VARCHAR), NULL, ms + 43200000, 'closed' FROM r WHERE failures = 3 AND outcome = 'failed' AND ms + 43200000 <= (SELECT max(epoch_us(ts) // 1000) - 60000 FROM events)""")
+def stream_breaker(spark, d):
+    """STR-04: each user's calls through a breaker that opens for twelve hours; errors and views count as failures."""
+    calls = source(spark, d).select(F.col("user_id").alias("provider"), F.col("event_id").alias("call"), F.col("ts").alias("at"), (~F.col("event_type").isin("error", "view")).alias("ok"))
+    rows = jobs.run(state.guarded(calls, wait=12 * 3_600_000), "append", place(spark))
+    return rows.select("provider", "call", F.unix_millis("at").alias("ms"), "outcome")

@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import state
+
 
 def events(spark: SparkSession, folder: str, pattern: str = "events.parquet*", files: int = 1) -> DataFrame:
     """STR-01: a table's file or folder as a stream of files."""
@@ -68,23 +70,9 @@ def folders(spark: SparkSession, path: str) -> list[str]:
 
 def by_batch(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
     """STR-03: calls a batch pipeline for each micro-batch of what there is; the step must bear to see a batch again."""
-    query = stream.writeStream.outputMode(mode).foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    with state.kept_by_rocksdb(stream.sparkSession):
+        query = stream.writeStream.outputMode(mode).foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     try:
         query.awaitTermination()
     finally:
         query.stop()
-
-
-class Breaker:
-    """STR-04: a circuit breaker for a provider, on the driver: open for `wait` seconds after `most` failures in a row."""
-
-    def __init__(self, most: int = 3, wait: float = 60.0):
-        self.most, self.wait, self.failures, self.until = most, wait, 0, 0.0
-
-    def allows(self, now: float) -> bool:
-        return now >= self.until
-
-    def record(self, ok: bool, now: float) -> None:
-        self.failures = 0 if ok else self.failures + 1
-        if self.failures >= self.most:
-            self.until, self.failures = now + self.wait, 0

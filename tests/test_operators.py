@@ -316,11 +316,3 @@ def test_stream_dedupe_equals_batch(spark, sf, tmp_path):
     got = jobs.run(stream, "append", str(tmp_path / "c")).select("user_id").collect()
     want = spark.read.parquet(f"{sf}/events.parquet").select("user_id").distinct().collect()
     assert sorted(got) == sorted(want)
-
-
-def test_breaker():
-    b = jobs.Breaker(most=2, wait=10)
-    b.record(False, 0)
-    assert b.allows(0)
-    b.record(False, 1)
-    assert not b.allows(5) and b.allows(11)
