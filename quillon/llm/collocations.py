@@ -4,12 +4,13 @@ A level replaces the frequent (k-1)-grams of the corpus by numbers.  The k-grams
 frequent pair gets a number by a join over the whole corpus.  Its two halves (the first k-1 words and the last k-1) are
 the parents that it points to: what a cut leaves on either side, and the phrases that it holds, are found by these pointers.
 
-The texts lie in parts of about PART bytes.  A part's words are numbers of its own in an array, place by place, so
-that the texts never move as rows of words: a part asks for each distinct pair that it holds, with its count,
-and is answered with the global numbers of the frequent ones.  Pairs are counted by partial aggregates; a pair that every part
-holds is one row of each part, and the join of questions and answers is an ordinary one, whose large keys Spark splits.
-Texts longer than SEGMENT bytes are cut between words into several segments, each with the three words that follow it as a
-context in which nothing is counted, so a part is bounded whatever the length of a text (a single word excepted).
+The tasks that read the texts make parts of about PART bytes of them.  A part's words are numbers of its own in an array, place by
+place, so that texts never move as rows of words: a part asks for each distinct pair that it holds, with its count, and is
+answered with the global numbers of the frequent ones.  Questions meet by their pair, once: the sum of the counts tells whether it is
+frequent, and the smallest question is its number.  As a part asks for a pair once at most, no pair has more of
+the questions than one of each part, however often it occurs.  Texts longer than SEGMENT bytes are cut between words into
+segments, each with the three words that follow it as a context in which nothing is counted, so a part is bounded whatever
+the length of a text (a single word excepted).
 
 Null text counts as empty, a null group as `und`.  Repeated rows count again.  Other columns are not read.  An empty table
 gives an empty result.  Invalid UTF-8 is kept byte by byte until phrases are shown.
@@ -21,12 +22,13 @@ import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators.skew import ranked
 from .common import new_path, scratch
 
 #: Bytes of text in a part, and the most bytes of a segment without its context.
-PART, SEGMENT = 4 << 20, 1 << 18
+PART, SEGMENT = 8 << 20, 1 << 18
 #: Words of a phrase at most.
 LONGEST = 4
 #: What ends a piece becomes \n, tabs become spaces and A-Z a-z; no other byte changes.
@@ -34,8 +36,8 @@ MAPPED = bytes.maketrans(b".,;:!?\x0b\x0c\r\t" + bytes(range(65, 91)), b"\n" * 9
 CONTEXT = re.compile(rb"(?: +[^ \n]+){0,%d}" % (LONGEST - 1))
 BORDER = re.compile(rb"[ \n]")
 
-LEVEL = "part int, lang string, word binary, n long, local int, state binary"
-PAIRS = "part int, left long, right long, n long, local int, state binary"
+#: A question is numbered by its part and, in as many bits, by its place among the part's questions.
+LOCAL = 24
 
 
 def segments(text: bytes, most: int):
@@ -65,18 +67,20 @@ class Numbers(dict):
         return number
 
 
-def packed(state) -> bytes:
+def packed(state, ids) -> bytes:
+    """An array with twice the number at each place, plus one if it counts, or -1 between runs, and the global ids of the numbers."""
     import pyarrow as pa
 
-    return len(state).to_bytes(8, "little") + pa.compress(state.tobytes(), codec="zstd", asbytes=True)
+    return len(state).to_bytes(8, "little") + len(ids).to_bytes(8, "little") + pa.compress(state.tobytes() + ids.tobytes(), codec="zstd", asbytes=True)
 
 
-def unpacked(state: bytes):
+def unpacked(data: bytes):
     import numpy as np
     import pyarrow as pa
 
-    n = int.from_bytes(state[:8], "little")
-    return np.frombuffer(pa.decompress(state[8:], decompressed_size=4 * n, codec="zstd", asbytes=True), np.int32)
+    n, m = int.from_bytes(data[:8], "little"), int.from_bytes(data[8:16], "little")
+    raw = pa.decompress(data[16:], decompressed_size=4 * n + 8 * m, codec="zstd", asbytes=True)
+    return np.frombuffer(raw, np.int32, n), np.frombuffer(raw, np.int64, m, 4 * n)
 
 
 def numbered(langs: list[str], texts: list[bytes], contexts: list[int]):
@@ -103,102 +107,114 @@ def numbered(langs: list[str], texts: list[bytes], contexts: list[int]):
     return names, np.bincount(counted, minlength=len(names)), state
 
 
-def paired(state, local, ids):
-    """Of a state and the global ids of its local numbers: the ids of each distinct pair of neighbours that have one, its
-    count, and the state of the pairs."""
+def paired(state):
+    """The distinct pairs of neighbours in a state: their numbers, their counts, and the state of the pairs."""
     import numpy as np
 
-    size = max(int(state.max(initial=0)) >> 1, int(local.max(initial=0))) + 1
-    known = np.full(size, -1, np.int64)
-    known[local] = ids
-    place = np.where(state >= 0, state >> 1, 0)
-    there = (state >= 0) & (known[place] >= 0)
+    there = state >= 0
     both = there[:-1] & there[1:]
-    left, right, counts = place[:-1][both].astype(np.int64), place[1:][both].astype(np.int64), (state[:-1][both] & 1).astype(np.int64)
+    size = (int(state.max(initial=0)) >> 1) + 1
+    left, right, counts = (state[:-1][both] >> 1).astype(np.int64), (state[1:][both] >> 1).astype(np.int64), state[:-1][both] & 1
     pairs, of = np.unique(left * size + right, return_inverse=True)
-    n = np.bincount(of, weights=counts, minlength=len(pairs)).astype(np.int64)
     out = np.full(len(both), -1, np.int32)
-    out[both] = of.astype(np.int32) * 2 + counts.astype(np.int32)
+    out[both] = of.astype(np.int32) * 2 + counts
+    return pairs // size, pairs % size, np.bincount(of, weights=counts, minlength=len(pairs)).astype(np.int64), out
+
+
+def answered(state, local, ids):
+    """A state without what has no answer, numbered anew, and the ids of its numbers."""
+    import numpy as np
+
+    new = np.full(max(int(state.max(initial=0)) >> 1, int(local.max(initial=0))) + 1, -1, np.int32)
+    new[local] = np.arange(len(local), dtype=np.int32)
+    number = np.where(state >= 0, new[np.where(state >= 0, state >> 1, 0)], -1)
+    out = np.where(number >= 0, number * 2 + (state & 1), -1).astype(np.int32)
     kept = out >= 0
     kept[1:] |= out[:-1] >= 0  # one -1 stays after each run
-    return known[pairs // size], known[pairs % size], n, out[kept]
+    return out[kept], ids
 
 
-def counted_words(docs: DataFrame, text_col: str, group_col: str, part_bytes: int, segment_bytes: int) -> DataFrame:
-    """Rows of LEVEL: a part's distinct words with their counts, and its state."""
-    total = docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0
-    parts = total // part_bytes + 1
+def word_questions(docs: DataFrame, text_col: str, group_col: str, part_bytes: int, segment_bytes: int) -> DataFrame:
+    """For each part a row of each distinct word (lang, word, n, at), and one with its state."""
 
-    def cut(batches):
+    def level(batches):
+        import numpy as np
         import pyarrow as pa
         from pyspark import TaskContext
 
-        place = TaskContext.get().partitionId() * 1_000_003
-        for batch in batches:
-            rows: list[tuple] = []
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for piece, context in segments(text.translate(MAPPED), segment_bytes) if text else ():
-                    place += 1
-                    rows.append((place % parts, lang, piece, context))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.string(), pa.binary(), pa.int32()))], ["part", "lang", "words", "context"])
-
-    def level(table):
-        import pyarrow as pa
+        part, size, held = TaskContext.get().partitionId() << 16, 0, []
+
+        def closed():
+            names, counts, state = numbered(*map(list, zip(*held, strict=True)))
+            n = len(names) - 1
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([part] * (n + 1), pa.int64()),
+                    pa.array([*(lang for lang, _ in names[1:]), None], pa.string()),
+                    pa.array([*(word for _, word in names[1:]), None], pa.binary()),
+                    pa.array([*counts[1:].tolist(), None], pa.int64()),
+                    pa.array([*range(part << LOCAL | 1, (part << LOCAL) + n + 1), None], pa.int64()),
+                    pa.array([None] * n + [packed(state, np.zeros(0, np.int64))], pa.binary()),
+                ],
+                ["part", "lang", "word", "n", "at", "state"],
+            )
 
-        names, counts, state = numbered(*[table.column(c).to_pylist() for c in ("lang", "words", "context")])
-        part, n = table.column("part")[0].as_py(), len(names) - 1
-        return pa.Table.from_arrays(
-            [
-                pa.array([part] * (n + 1), pa.int32()),
-                pa.array([lang for lang, _ in names[1:]] + [None], pa.string()),
-                pa.array([word for _, word in names[1:]] + [None], pa.binary()),
-                pa.array([*counts[1:].tolist(), None], pa.int64()),
-                pa.array([*range(1, n + 1), None], pa.int32()),
-                pa.array([None] * n + [packed(state)], pa.binary()),
-            ],
-            ["part", "lang", "word", "n", "local", "state"],
-        )
+        for batch in batches:
+            for lang, text in zip(batch.column(0), batch.column(1), strict=True):
+                for piece, context in segments((text.as_py() or b"").translate(MAPPED), segment_bytes):
+                    held.append((lang.as_py(), piece, context))
+                    size += len(piece)
+                    if size >= part_bytes:
+                        yield closed()
+                        part, size, held = part + 1, 0, []
+        if held:
+            yield closed()
 
     texts = docs.select(F.coalesce(F.col(group_col), F.lit("und")).alias("lang"), F.col(text_col).cast("binary").alias("text"))
-    cuts = texts.mapInArrow(cut, "part int, lang string, words binary, context int")
-    return cuts.groupBy("part").applyInArrow(level, LEVEL)
+    return texts.mapInArrow(level, "part long, lang string, word binary, n long, at long, state binary")
 
 
-def counted_pairs(before: DataFrame, names: DataFrame, by: list[str], last: bool) -> DataFrame:
-    """The next level of `before`, whose questions are answered by `names` (id and the columns in `by`)."""
+def pair_questions(states: DataFrame) -> DataFrame:
+    """For each part a row of each distinct pair of neighbours: left, right, n, at."""
 
-    def level(states, answers):
+    def level(batches):
         import numpy as np
         import pyarrow as pa
 
-        none = pa.Table.from_arrays([pa.array([], t) for t in (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())], ["part", "left", "right", "n", "local", "state"])
-        if not len(answers) or not len(states):
-            return none
-        state = unpacked(states.column("state")[0].as_py())
-        left, right, counts, after = paired(state, answers.column("local").to_numpy().astype(np.int64), answers.column("id").to_numpy())
-        part, n = states.column("part")[0].as_py(), len(left)
-        own = 0 if last else 1
-        return pa.Table.from_arrays(
-            [
-                pa.array(np.full(n + own, part), pa.int32()),
-                pa.array([*left.tolist()] + [None] * own, pa.int64()),
-                pa.array([*right.tolist()] + [None] * own, pa.int64()),
-                pa.array([*counts.tolist()] + [None] * own, pa.int64()),
-                pa.array([*range(n)] + [None] * own, pa.int32()),
-                pa.array([None] * n + [packed(after)] * own, pa.binary()),
-            ],
-            none.column_names,
-        )
-
-    states = before.filter("state IS NOT NULL").select("part", "state")
-    answers = before.filter("state IS NULL").join(names.select("id", *by), by).select(F.col("part").alias("to"), "local", "id")
-    return states.groupBy("part").cogroup(answers.groupBy("to")).applyInArrow(level, PAIRS)
-
-
-def frequent(level: DataFrame, by: list[str], least: int) -> DataFrame:
-    """id, the columns in `by`, and f, of what the corpus holds at least that often."""
-    counts = level.filter("state IS NULL").groupBy(*by).agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
-    return counts.withColumn("id", F.monotonically_increasing_id())
+        for batch in batches:
+            for part, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                state, ids = unpacked(data.as_py())
+                left, right, counts, _ = paired(state)
+                at = np.arange(len(left), dtype=np.int64) + (part << LOCAL)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids[left], ids[right], counts, at)], ["left", "right", "n", "at"])
+
+    return states.select("part", "state").mapInArrow(level, "left long, right long, n long, at long")
+
+
+def frequent(questions: DataFrame, by: list[str], least: int) -> DataFrame:
+    """The questions whose counts are `least` in all, with that sum, f, and the number that they share, id."""
+    same = Window.partitionBy(*by)
+    return questions.withColumn("f", F.sum("n").over(same)).withColumn("id", F.min("at").over(same)).filter(F.col("f") >= least).drop("n")
+
+
+def answers_to(states: DataFrame, asked: DataFrame, pairs: bool) -> DataFrame:
+    """The states of the next level: of the words or pairs of `states`, those that `asked` has numbered."""
+
+    def level(before, answers):
+        import pyarrow as pa
+
+        out = []
+        for part, data in zip(before.column("part").to_pylist(), before.column("state"), strict=True):
+            if len(answers):
+                state, _ = unpacked(data.as_py())
+                state = paired(state)[3] if pairs else state
+                local, ids = (answers.column(c).combine_chunks().flatten().to_numpy() for c in ("local", "id"))
+                out.append((part, packed(*answered(state, local, ids))))
+        return pa.Table.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.binary())], ["part", "state"])
+
+    # A part's answers travel in lists, which are shorter than rows.
+    answers = asked.groupBy(F.shiftright("at", LOCAL).alias("to")).agg(F.collect_list(F.col("at").bitwiseAND((1 << LOCAL) - 1).cast("int")).alias("local"), F.collect_list("id").alias("id"))
+    return states.select("part", "state").groupBy("part").cogroup(answers.groupBy("to")).applyInArrow(level, "part long, state binary")
 
 
 def grown(names: DataFrame, parents: DataFrame) -> DataFrame:
@@ -240,19 +256,19 @@ def collocations(docs: DataFrame, text_col: str = "text", group_col: str = "lang
     """lang, rank, phrase, a, l, r, n, score of the `most` best phrases of each group.  The rows are a written table."""
     spark = docs.sparkSession
     with scratch(spark) as written:
-        level = written(counted_words(docs, text_col, group_col, part_bytes, segment_bytes), "phrases-words")
-        totals = level.filter("state IS NULL").groupBy("lang").agg(F.sum("n").alias("n"))
-        names = written(frequent(level, ["lang", "word"], least), "phrases-names")
-        none = F.array().cast("array<long>")
-        word = F.col("word").cast("string")
-        known = [names.select("id", "lang", "f", word.alias("phrase"), word.alias("last_word"), none.alias("heads"), none.alias("tails"))]
-        by = ["lang", "word"]
+        words = written(word_questions(docs, text_col, group_col, part_bytes, segment_bytes), "phrases-words")
+        totals = words.filter("state IS NULL").groupBy("lang").agg(F.sum("n").alias("n"))
+        asked = written(frequent(words.filter("state IS NULL").drop("part", "state"), ["lang", "word"], least), "phrases-words-asked")
+        word, none = F.col("word").cast("string"), F.array().cast("array<long>")
+        known = [asked.filter("at = id").select("id", "lang", "f", word.alias("phrase"), word.alias("last_word"), none.alias("heads"), none.alias("tails"))]
+        totals, known[0] = written(totals, "phrases-totals"), written(known[0], "phrases-1-known")
+        before = words
         for k in range(2, LONGEST + 1):
-            level = written(counted_pairs(level, names, by, k == LONGEST), f"phrases-{k}")
-            by = ["left", "right"]
-            names = frequent(level, by, least)
-            names = written(names, f"phrases-names-{k}")
-            known.append(written(grown(names, known[-1]), f"phrases-known-{k}"))
+            states = written(answers_to(before.filter("state IS NOT NULL"), asked, k > 2), f"phrases-{k}")
+            written.drop(before, asked)
+            asked = written(frequent(pair_questions(states), ["left", "right"], least), f"phrases-{k}-asked")
+            known.append(written(grown(asked.filter("at = id"), known[-1]), f"phrases-{k}-known"))
+            before = states
         found = [scored(p, known[k + 1] if k + 1 < len(known) else None) for k, p in enumerate(known) if k]
         rows = found[0]
         for more in found[1:]:
