@@ -40,6 +40,20 @@ LONG = 1 << 16
 RUNS = r"\p{L}(?!\p{L})|\p{N}(?!\p{N})"
 
 
+class Known(dict):
+    """The ids of words; those that came first are kept."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.encode(word)
+        if len(self) < CACHED and len(word) < 64:
+            self[word] = ids
+        return ids
+
+
 class Codec:
     """Ranks of tokens in a file of lines `base64 rank`, and the pattern whose matches are encoded each by itself."""
 
@@ -53,7 +67,7 @@ class Codec:
         self.words, self.runs, self.space = regex.compile(pattern), regex.compile(RUNS), regex.compile(r"\s")
         self.joined = np.zeros(1 << 16, bool)
         self.joined[[a << 8 | b for token in self.ranks for a, b in zip(token, token[1:], strict=False)]] = True
-        self.known: dict[str, bytes] = {}
+        self.known = Known(self.word)
 
     def merged(self, data: bytes) -> list[int]:
         """Always the pair whose joined bytes have the lowest rank, of these the leftmost."""
@@ -91,15 +105,11 @@ class Codec:
     def word(self, word: str) -> bytes:
         data = word.encode()
         own = [self.ranks[data]] if data in self.ranks else [i for part in self.parts(data) for i in self.merged(part)]
-        ids = b"".join(i.to_bytes(4, "little") for i in own)
-        if len(self.known) < CACHED and len(word) < 64:
-            self.known[word] = ids
-        return ids
+        return b"".join(i.to_bytes(4, "little") for i in own)
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        known = self.known
-        return b"".join([known.get(w) or self.word(w) for w in self.words.findall(text)])
+        return b"".join(map(self.known.__getitem__, self.words.findall(text)))
 
     def decode(self, ids: bytes) -> bytes:
         import numpy as np
@@ -207,10 +217,12 @@ def byte_bpe(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_
         own, last, held, kinds = codec(), None, [], None
 
         def closed():
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*last, own.encode("".join(held))), kinds, strict=True)], ["row", "id", "piece", "ids"])
+            ids = own.encode("".join(held))
+            values = (*last, len(ids), pa.compress(ids, codec="zstd", asbytes=True))
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, kinds, strict=True)], ["row", "id", "piece", "size", "ids"])
 
         for batch in batches:
-            kinds = [batch.column(0).type, batch.column(1).type, batch.column(2).type, pa.binary()]
+            kinds = [batch.column(0).type, batch.column(1).type, batch.column(2).type, pa.int32(), pa.binary()]
             for *key, text in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 if last is not None and key != last:
                     yield closed()
@@ -227,7 +239,8 @@ def byte_bpe(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_
         one = lambda: measured([pa.array([name], kind), *([v] for v in sums.values())], digest, "id")
         for batch in batches:
             kind = batch.column(1).type
-            for r, i, ids in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for r, i, length, data in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                ids = pa.decompress(data, decompressed_size=length, codec="zstd", asbytes=True)
                 if r != row:
                     if row is not None:
                         yield one()
@@ -240,25 +253,29 @@ def byte_bpe(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_
     single = texts.filter(F.col("chars") <= size + overlap).select("id", "text").mapInArrow(whole, out)
     with scratch(spark) as written:
         dealt = texts.filter(F.col("chars") > size + overlap).select("id", "text").mapInArrow(chunks, f"row long, id {kind}, k int, last boolean, chunk string")
-        dealt = written(dealt.repartition("row", "k"), "byte-bpe-chunks")
+        dealt = written(dealt, "byte-bpe-chunks", maxRecordsPerFile=2048)  # files that several tasks can read
         found = dealt.select("row", "k", "last", "chunk").mapInArrow(borders, "row long, k int, head array<int>, tail array<int>, sure boolean")
         text = Window.partitionBy("row").orderBy("k")  # a row for each chunk, and a text has at most 2 GB
         before = F.lag(F.when(F.col("sure") | (F.col("k") == 0), F.col("tail"))).over(text)
         cut = F.when(F.col("k") == 0, 0).otherwise(F.array_min(F.array_intersect(before, F.col("head"))))
+        after = F.lead("cut").over(text)
         cuts = found.select("row", "k", cut.alias("cut")).select(
             F.col("row").alias("r"),
             F.col("k").alias("c"),
             F.coalesce("cut", F.lit(0)).alias("start"),
-            (F.coalesce(F.lead("cut").over(text), F.lit(0)) + size).alias("end"),
+            (F.coalesce(after, F.lit(0)) + size).alias("end"),
             F.count("cut").over(text.rowsBetween(Window.unboundedPreceding, 0)).alias("piece"),
+            (F.col("cut").isNotNull() & (after.isNotNull() | F.lead("k").over(text).isNull())).alias("alone"),
         )
         end = F.when(F.col("last"), size + overlap).otherwise(F.col("end"))
-        parts = dealt.join(cuts, (F.col("row") == F.col("r")) & (F.col("k") == F.col("c"))).select("row", "id", "piece", "k", F.substring("chunk", F.col("start") + 1, end - F.col("start")).alias("part"))
-        # The parts of a piece stand together and in order; nearly all pieces are one part.
-        parts = parts.repartition("row", "piece").sortWithinPartitions("row", "piece", "k").select("row", "id", "piece", "part")
-        ids = parts.mapInArrow(encoded, f"row long, id {kind}, piece long, ids binary").repartition("row").sortWithinPartitions("row", "piece")
+        part = F.substring("chunk", F.col("start") + 1, end - F.col("start")).alias("part")
+        parts = dealt.join(cuts, (F.col("row") == F.col("r")) & (F.col("k") == F.col("c"))).select("row", "id", "piece", "k", "alone", part)
+        # Nearly all pieces are one part.  The parts of the others are brought together, in their order.
+        several = parts.filter("NOT alone").repartition("row", "piece").sortWithinPartitions("row", "piece", "k")
+        ids = [p.select("row", "id", "piece", "part").mapInArrow(encoded, f"row long, id {kind}, piece long, size int, ids binary") for p in (parts.filter("alone"), several)]
+        ids = ids[0].union(ids[1]).repartition("row").sortWithinPartitions("row", "piece")
         path = new_path(spark, "byte-bpe")
-        long = ids.select("row", "id", "ids").mapInArrow(gathered, out)
+        long = ids.select("row", "id", "size", "ids").mapInArrow(gathered, out)
         long.write.parquet(path)
     rows = single.union(spark.read.schema(long.schema).parquet(path))
     return rows.select(F.col("id").alias(id_col), *rows.columns[1:])
