@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -116,12 +118,17 @@ def write_export(tables: dict[str, DataFrame], folder: str, kind: str = "csv") -
         df.write.mode("overwrite").option("header", True).format(kind).save(f"{folder}/{name}")
 
 
+def counted(rows: DataFrame, write: Callable[[DataFrame], None], **metrics: Column) -> dict:
+    """AGG-27, AGG-38, STR-05: writes the rows and returns aggregates of them, which the job that writes observes on its way."""
+    seen = Observation()
+    write(rows.observe(seen, *[c.alias(name) for name, c in metrics.items()]))
+    return seen.get
+
+
 def backup(tables: dict[str, DataFrame], folder: str) -> dict[str, int]:
-    """SNK-06, AGG-38: a snapshot of tables, and their numbers of rows."""
-    for name, df in tables.items():
-        df.write.mode("errorifexists").parquet(f"{folder}/{name}")
-    spark = next(iter(tables.values())).sparkSession
-    return {name: spark.read.parquet(f"{folder}/{name}").count() for name in tables}
+    """SNK-06, AGG-38: a snapshot of tables, and their numbers of rows, counted while they are written."""
+    put = lambda name: lambda df: df.write.mode("errorifexists").parquet(f"{folder}/{name}")
+    return {name: counted(df, put(name), n=F.count("*"))["n"] for name, df in tables.items()}
 
 
 def restored(spark: SparkSession, folder: str, names: list[str]) -> dict[str, DataFrame]:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import cell_text, lookup_key
-from ..operators import cluster, library, recon, reports
+from ..operators import cluster, dashboard, library, lifecycle, recon, reports
 from ..sources import tables as t
+from ..sources.shared import new_path, written
 from .catalogue import DETAILS, DOCS, FIELDS, LEDGER, LINES, OPS, query, with_
 
 STATUS = "CASE o_orderkey % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'error' WHEN 2 THEN 'no_data' ELSE 'warning' END"
@@ -204,3 +205,31 @@ def compatible_keys(spark, d):
     """Full-width letters, circled digits, units and ligatures before a number."""
     forms = F.element_at(F.array(*map(F.lit, ["Ａｂ－", "①②", "㎡", "ﬁ", "⑴"])), (F.col("o_orderkey") % 5 + 1).cast("int"))
     return t.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), lookup_key(F.concat(forms, F.lit("　"), F.col("o_orderkey").cast("string"))).alias("key"))
+
+
+@query("observed_counters", f"""{with_(OPS)} SELECT count(*) AS total, count(*) FILTER (result = 'ok') AS success, count(*) FILTER (result = 'failed') AS failed, count(DISTINCT job_id) AS jobs, min(created_at) AS started_at, max(created_at) AS finished_at FROM ops""")
+def observed_counters(spark, d):
+    """AGG-27, STR-05: counters of all operations, observed by the job that writes the counters of each job."""
+    result, at = F.col("result"), F.col("created_at")
+    ops = t.operations(spark, d)
+    kept: list = []
+    counts = lifecycle.counted(
+        ops, lambda rows: kept.append(written(dashboard.job_counters(rows), "job-counters")),
+        total=F.count("*"), success=F.count_if(result == "ok"), failed=F.count_if(result == "failed"), started_at=F.min(at), finished_at=F.max(at),
+    )
+    jobs = kept[0].agg(F.count("*").alias("jobs"))
+    return jobs.select(*[F.lit(v).alias(k) for k, v in counts.items()], "jobs")
+
+
+@query("backup_counts", "SELECT 'orders' AS name, count(*) AS n FROM orders UNION ALL SELECT 'events', count(*) FROM events")
+def backup_counts(spark, d):
+    """SNK-06, AGG-38."""
+    tables = {name: t.table(spark, d, name) for name in ("orders", "events")}
+    folder = new_path(spark, "backup")
+    counts = lifecycle.backup(tables, folder)
+    back = lifecycle.restored(spark, folder, list(tables))
+    out = None
+    for name, df in back.items():  # the restored rows must be as many as were counted
+        one = df.agg(F.count("*").alias("n")).filter(F.col("n") == counts[name]).select(F.lit(name).alias("name"), "n")
+        out = one if out is None else out.union(one)
+    return out

@@ -311,6 +311,40 @@ def test_eav(spark):
     assert [r.document_id for r in eav.matching(rows, ["amount", "金额"], least=5.5).collect()] == [7]
 
 
+def test_guard_within_one_prefix_and_year(spark):
+    """Two thousand known numbers of one prefix and year, asked for with misreadings, insertions and losses, and strangers: the outcome is
+    that of comparing all."""
+    import difflib
+    import random
+
+    rng = random.Random(8)
+    known = [f"HSYCXS-2026-{rng.randrange(10**6):06d}" for _ in range(2000)] + ["SJWLCG-2025-1", "HSYCXS-2026"]
+    asked = []
+    for k in range(90):
+        chars = list(rng.choice(known))
+        for _ in range(rng.randint(1, 4)):
+            at = rng.randrange(len(chars))
+            chars[at : at + rng.randint(0, 1)] = [rng.choice("ABCXYZ0123456789")] * rng.choice([0, 1, 1, 2])
+        asked.append((k, "".join(chars)))
+    asked += [(100, "QQQQ"), (101, ""), (102, "-"), (103, "HSYCXS-2026-" + "9" * 60), (104, None), (105, asked[0][1])]
+    got = {r.id: r for r in dossier.fuzzy_guard(spark.createDataFrame(asked, "id int, no string"), spark.createDataFrame([(n,) for n in known], "no string"), "no", "id").collect()}
+    assert len(got) == len(asked)
+    for k, no in asked:
+        if (no or "") in known:
+            assert got[k].outcome == "linked"
+            continue
+        two = sorted((-difflib.SequenceMatcher(None, no, n).ratio(), n) for n in set(known))[:2] if no else [(0.0, ""), (0.0, "")]
+        if -two[0][0] < 0.75:
+            assert got[k].outcome in ("new", "invalid"), (no, two)
+        else:
+            assert (got[k].outcome, got[k].known_no, got[k].score) == ("ambiguous" if two[1][0] - two[0][0] < 0.08 else "similar", two[0][1], -two[0][0]), (no, two)
+
+
+def test_what_is_left_without_characters(spark):
+    got = spark.range(1).select(dossier.without(F.lit("abcd"), 2).alias("v"), dossier.without(F.lit("a"), 2).alias("w"), dossier.without(F.lit(""), 1).alias("x")).first()
+    assert set(got.v) == {"abcd", "bcd", "acd", "abd", "abc", "ab", "ac", "ad", "bc", "bd", "cd"} and got.w == ["a", ""] and got.x == [""]
+
+
 def test_stream_dedupe_equals_batch(spark, sf, tmp_path):
     stream = jobs.deduplicated(jobs.events(spark, sf), ["user_id"], "3650 days")
     got = jobs.run(stream, "append", str(tmp_path / "c")).select("user_id").collect()
