@@ -6,11 +6,12 @@ the parents that it points to: what a cut leaves on either side, and the phrases
 
 The tasks that read the texts make parts of about PART bytes of them.  A part's words are numbers of its own in an array, place by
 place, so that texts never move as rows of words: a part asks for each distinct pair that it holds, with its count, and is
-answered with the global numbers of the frequent ones.  Questions meet by their pair, once: the sum of the counts tells whether it is
-frequent, and the smallest question is its number.  As a part asks for a pair once at most, no pair has more of
-the questions than one of each part, however often it occurs.  Texts longer than SEGMENT bytes are cut between words into
-segments, each with the three words that follow it as a context in which nothing is counted, so a part is bounded whatever
-the length of a text (a single word excepted).
+answered with the global numbers of the frequent ones.  Questions meet by the hash of their pair, in as many buckets as the data
+need for about BUCKET questions each: the sum of the counts tells whether a pair is frequent, and its smallest question is its
+number.  As a part asks for a pair once at most, no pair has more of the questions than one of each part, however often it
+occurs.  Questions of a part for a bucket travel packed, and so do the answers.  Texts longer than SEGMENT bytes are cut
+between words into segments, each with the three words that follow it as a context in which nothing is counted, so a part is
+bounded whatever the length of a text (a single word excepted).
 
 Null text counts as empty, a null group as `und`.  Repeated rows count again.  Other columns are not read.  An empty table
 gives an empty result.  Invalid UTF-8 is kept byte by byte until phrases are shown.
@@ -19,10 +20,10 @@ gives an empty result.  Invalid UTF-8 is kept byte by byte until phrases are sho
 from __future__ import annotations
 
 import re
+import zlib
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..operators.skew import ranked
 from .common import new_path, scratch
@@ -36,6 +37,8 @@ MAPPED = bytes.maketrans(b".,;:!?\x0b\x0c\r\t" + bytes(range(65, 91)), b"\n" * 9
 CONTEXT = re.compile(rb"(?: +[^ \n]+){0,%d}" % (LONGEST - 1))
 BORDER = re.compile(rb"[ \n]")
 
+#: Bytes of text, and pairs, for each bucket of questions.
+BUCKET_TEXT, BUCKET = 4 << 20, 1 << 19
 #: A question is numbered by its part and, in as many bits, by its place among the part's questions.
 LOCAL = 24
 
@@ -67,20 +70,36 @@ class Numbers(dict):
         return number
 
 
-def packed(state, ids) -> bytes:
-    """An array with twice the number at each place, plus one if it counts, or -1 between runs, and the global ids of the numbers."""
+def packed(*arrays, tail: bytes = b"") -> bytes:
+    """Arrays of numbers, and bytes, in few bytes: numbers lie by their first, second.. bytes, of which most are zeros."""
+    import numpy as np
     import pyarrow as pa
 
-    return len(state).to_bytes(8, "little") + len(ids).to_bytes(8, "little") + pa.compress(state.tobytes() + ids.tobytes(), codec="zstd", asbytes=True)
+    body = b"".join(np.asarray(a).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes() for a in arrays) + tail
+    sizes = np.array([len(body), len(arrays), *map(len, arrays)], "<i8")
+    return sizes.tobytes() + pa.compress(body, codec="zstd", asbytes=True)
 
 
-def unpacked(data: bytes):
+def unpacked(data: bytes) -> list:
+    """The arrays, and the bytes behind them."""
     import numpy as np
     import pyarrow as pa
 
-    n, m = int.from_bytes(data[:8], "little"), int.from_bytes(data[8:16], "little")
-    raw = pa.decompress(data[16:], decompressed_size=4 * n + 8 * m, codec="zstd", asbytes=True)
-    return np.frombuffer(raw, np.int32, n), np.frombuffer(raw, np.int64, m, 4 * n)
+    size, count = np.frombuffer(data, "<i8", 2).tolist()
+    lengths = np.frombuffer(data, "<i8", count, 16).tolist()
+    body = pa.decompress(data[16 + 8 * count :], decompressed_size=size, codec="zstd", asbytes=True)
+    out, at = [], 0
+    for n in lengths:
+        out.append(np.ascontiguousarray(np.frombuffer(body, np.uint8, 8 * n, at).reshape(8, n).T).view("<i8").ravel())
+        at += 8 * n
+    return [*out, body[at:]]
+
+
+def steps(ascending):
+    """Differences instead of ascending numbers; np.cumsum() takes them back."""
+    import numpy as np
+
+    return np.diff(ascending, prepend=0)
 
 
 def numbered(langs: list[str], texts: list[bytes], contexts: list[int]):
@@ -108,7 +127,7 @@ def numbered(langs: list[str], texts: list[bytes], contexts: list[int]):
 
 
 def paired(state):
-    """The distinct pairs of neighbours in a state: their numbers, their counts, and the state of the pairs."""
+    """The distinct pairs of neighbours in a state, in their order: their numbers, their counts, and the state of the pairs."""
     import numpy as np
 
     there = state >= 0
@@ -122,20 +141,35 @@ def paired(state):
 
 
 def answered(state, local, ids):
-    """A state without what has no answer, numbered anew, and the ids of its numbers."""
+    """A state without what has no answer, numbered anew in the order of the ids, and the ids of its numbers."""
     import numpy as np
 
+    order = np.argsort(ids)
     new = np.full(max(int(state.max(initial=0)) >> 1, int(local.max(initial=0))) + 1, -1, np.int32)
-    new[local] = np.arange(len(local), dtype=np.int32)
+    new[local[order]] = np.arange(len(local), dtype=np.int32)
     number = np.where(state >= 0, new[np.where(state >= 0, state >> 1, 0)], -1)
     out = np.where(number >= 0, number * 2 + (state & 1), -1).astype(np.int32)
     kept = out >= 0
     kept[1:] |= out[:-1] >= 0  # one -1 stays after each run
-    return out[kept], ids
+    return out[kept], ids[order]
+
 
+def state_row(state, ids) -> bytes:
+    return packed(state.astype("<i8") + 1, steps(ids))
 
-def word_questions(docs: DataFrame, text_col: str, group_col: str, part_bytes: int, segment_bytes: int) -> DataFrame:
-    """For each part a row of each distinct word (lang, word, n, at), and one with its state."""
+
+def state_of(data: bytes):
+    import numpy as np
+
+    state, ids, _ = unpacked(data)
+    return (state - 1).astype(np.int32), np.cumsum(ids)
+
+
+def word_questions(docs: DataFrame, text_col: str, group_col: str, part_bytes: int, segment_bytes: int, bucket_bytes: int) -> DataFrame:
+    """For each part and bucket its words of a language (data: numbers, counts, words), with the sum of the counts, n; and one row with its
+    state, whose bucket is null, and n the places in it."""
+    total = docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0
+    buckets = total // bucket_bytes + 1
 
     def level(batches):
         import numpy as np
@@ -146,18 +180,13 @@ def word_questions(docs: DataFrame, text_col: str, group_col: str, part_bytes: i
 
         def closed():
             names, counts, state = numbered(*map(list, zip(*held, strict=True)))
-            n = len(names) - 1
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([part] * (n + 1), pa.int64()),
-                    pa.array([*(lang for lang, _ in names[1:]), None], pa.string()),
-                    pa.array([*(word for _, word in names[1:]), None], pa.binary()),
-                    pa.array([*counts[1:].tolist(), None], pa.int64()),
-                    pa.array([*range(part << LOCAL | 1, (part << LOCAL) + n + 1), None], pa.int64()),
-                    pa.array([None] * n + [packed(state, np.zeros(0, np.int64))], pa.binary()),
-                ],
-                ["part", "lang", "word", "n", "at", "state"],
-            )
+            by: dict[tuple[int, str], list[int]] = {}
+            for k, (lang, word) in enumerate(names[1:], 1):
+                by.setdefault((zlib.crc32(word) % buckets, lang), []).append(k)
+            rows = [(part, b, lang, int(counts[own].sum()), packed(steps(own), counts[own], tail=b"\n".join(names[k][1] for k in own))) for (b, lang), own in by.items()]
+            rows.append((part, None, None, len(state), state_row(state, np.zeros(0, np.int64))))
+            kinds = (pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["part", "bucket", "lang", "n", "data"])
 
         for batch in batches:
             for lang, text in zip(batch.column(0), batch.column(1), strict=True):
@@ -171,11 +200,13 @@ def word_questions(docs: DataFrame, text_col: str, group_col: str, part_bytes: i
             yield closed()
 
     texts = docs.select(F.coalesce(F.col(group_col), F.lit("und")).alias("lang"), F.col(text_col).cast("binary").alias("text"))
-    return texts.mapInArrow(level, "part long, lang string, word binary, n long, at long, state binary")
+    return texts.mapInArrow(level, "part long, bucket int, lang string, n long, data binary")
 
 
-def pair_questions(states: DataFrame) -> DataFrame:
-    """For each part a row of each distinct pair of neighbours: left, right, n, at."""
+def pair_questions(states: DataFrame, bucket: int) -> DataFrame:
+    """For each part and bucket its distinct pairs of neighbours (data: their numbers, left and right ids, counts)."""
+    places = states.agg(F.sum("n")).first()[0] or 0
+    buckets = places // bucket + 1
 
     def level(batches):
         import numpy as np
@@ -183,38 +214,104 @@ def pair_questions(states: DataFrame) -> DataFrame:
 
         for batch in batches:
             for part, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                state, ids = unpacked(data.as_py())
+                state, ids = state_of(data.as_py())
                 left, right, counts, _ = paired(state)
-                at = np.arange(len(left), dtype=np.int64) + (part << LOCAL)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids[left], ids[right], counts, at)], ["left", "right", "n", "at"])
+                left, right = ids[left], ids[right]
+                mixed = left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ right.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+                of = ((mixed ^ mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(of, kind="stable")
+                names, starts = np.unique(of[order], return_index=True)
+                rows = [(b, packed(steps(own), steps(left[own]), right[own], counts[own])) for b, own in zip(names.tolist(), np.split(order, starts[1:]), strict=True)] if len(order) else []
+                yield pa.RecordBatch.from_arrays([pa.array([part] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["part", "bucket", "data"])
 
-    return states.select("part", "state").mapInArrow(level, "left long, right long, n long, at long")
+    return states.select("part", "data").mapInArrow(level, "part long, bucket int, data binary")
 
 
-def frequent(questions: DataFrame, by: list[str], least: int) -> DataFrame:
-    """The questions whose counts are `least` in all, with that sum, f, and the number that they share, id."""
-    same = Window.partitionBy(*by)
-    return questions.withColumn("f", F.sum("n").over(same)).withColumn("id", F.min("at").over(same)).filter(F.col("f") >= least).drop("n")
+def answers(at, ids) -> list[tuple[int, bytes]]:
+    """(part, data: numbers of the questions, ids) of the questions `at` with an answer."""
+    import numpy as np
+
+    order = np.argsort(at)
+    at, ids = at[order], ids[order]
+    parts, starts = np.unique(at >> LOCAL, return_index=True)
+    local = at & (1 << LOCAL) - 1
+    return [(p, packed(steps(k), i)) for p, k, i in zip(parts.tolist(), np.split(local, starts[1:]), np.split(ids, starts[1:]), strict=True)] if len(at) else []
+
+
+def frequent_words(questions: DataFrame, least: int) -> DataFrame:
+    """The words with at least that many places in all, f, each with a number, id; and rows (to, data) of answers."""
+
+    def bucket(table):
+        import numpy as np
+        import pyarrow as pa
+
+        asked: dict[tuple[str, bytes], list] = {}
+        for part, lang, data in zip(*(table.column(c).to_pylist() for c in ("part", "lang", "data")), strict=True):
+            local, counts, words = unpacked(data)
+            for k, n, word in zip(np.cumsum(local).tolist(), counts.tolist(), words.split(b"\n"), strict=True):
+                own = asked.setdefault((lang, word), [0])
+                own[0] += n
+                own.append(part << LOCAL | k)
+        good = [(lang, word, own[0], own[1:]) for (lang, word), own in asked.items() if own[0] >= least]
+        at = np.array([a for g in good for a in g[3]], np.int64)
+        back = answers(at, np.repeat([min(g[3]) for g in good], [len(g[3]) for g in good]).astype(np.int64))
+        none, m = [None] * len(good), [None] * len(back)
+        columns = [
+            pa.array([*none, *(r[0] for r in back)], pa.int64()), pa.array([*none, *(r[1] for r in back)], pa.binary()), pa.array([*(min(g[3]) for g in good), *m], pa.int64()),
+            pa.array([*(g[0] for g in good), *m], pa.string()), pa.array([*(g[1] for g in good), *m], pa.binary()), pa.array([*(g[2] for g in good), *m], pa.int64()),
+        ]
+        return pa.Table.from_arrays(columns, ["to", "data", "id", "lang", "word", "f"])
+
+    own = questions.select("part", "bucket", "lang", "data")
+    return own.groupBy("bucket").applyInArrow(bucket, "to long, data binary, id long, lang string, word binary, f long")
+
+
+def frequent_pairs(questions: DataFrame, least: int) -> DataFrame:
+    """The same of pairs: id, left, right and f; and rows (to, data) of answers."""
+
+    def bucket(table):
+        import numpy as np
+        import pyarrow as pa
+
+        found: list[list] = [[], [], [], []]
+        for part, data in zip(table.column("part").to_pylist(), table.column("data"), strict=True):
+            local, left, right, counts, _ = unpacked(data.as_py())
+            for own, new in zip(found, (np.cumsum(local) + (part << LOCAL), np.cumsum(left), right, counts), strict=True):
+                own.append(new)
+        at, left, right, counts = map(np.concatenate, found)
+        order = np.lexsort((at, right, left))
+        at, left, right, counts = at[order], left[order], right[order], counts[order]
+        first = np.flatnonzero(np.concatenate([[True], (left[1:] != left[:-1]) | (right[1:] != right[:-1])]))
+        f = np.add.reduceat(counts, first)
+        sizes = np.diff(first, append=len(at))
+        good = f >= least
+        back = answers(at[np.repeat(good, sizes)], np.repeat(at[first], sizes)[np.repeat(good, sizes)])
+        n, m = int(good.sum()), [None] * len(back)
+        whole = lambda x: pa.array([*x[good].tolist(), *m], pa.int64())
+        columns = [pa.array([None] * n + [r[0] for r in back], pa.int64()), pa.array([None] * n + [r[1] for r in back], pa.binary()), *map(whole, (at[first], left[first], right[first], f))]
+        return pa.Table.from_arrays(columns, ["to", "data", "id", "left", "right", "f"])
+
+    return questions.groupBy("bucket").applyInArrow(bucket, "to long, data binary, id long, left long, right long, f long")
 
 
 def answers_to(states: DataFrame, asked: DataFrame, pairs: bool) -> DataFrame:
-    """The states of the next level: of the words or pairs of `states`, those that `asked` has numbered."""
+    """The states of the next level (part, n, data): of the words or pairs of `states`, those that `asked` has numbered."""
 
     def level(before, answers):
+        import numpy as np
         import pyarrow as pa
 
         out = []
-        for part, data in zip(before.column("part").to_pylist(), before.column("state"), strict=True):
-            if len(answers):
-                state, _ = unpacked(data.as_py())
-                state = paired(state)[3] if pairs else state
-                local, ids = (answers.column(c).combine_chunks().flatten().to_numpy() for c in ("local", "id"))
-                out.append((part, packed(*answered(state, local, ids))))
-        return pa.Table.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.binary())], ["part", "state"])
+        if len(before) and len(answers):
+            state, _ = state_of(before.column("data")[0].as_py())
+            state = paired(state)[3] if pairs else state
+            got = [unpacked(a.as_py()) for a in answers.column("data")]
+            state, ids = answered(state, np.concatenate([np.cumsum(g[0]) for g in got]), np.concatenate([g[1] for g in got]))
+            out.append((before.column("part")[0].as_py(), len(state), state_row(state, ids)))
+        return pa.Table.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["part", "n", "data"])
 
-    # A part's answers travel in lists, which are shorter than rows.
-    answers = asked.groupBy(F.shiftright("at", LOCAL).alias("to")).agg(F.collect_list(F.col("at").bitwiseAND((1 << LOCAL) - 1).cast("int")).alias("local"), F.collect_list("id").alias("id"))
-    return states.select("part", "state").groupBy("part").cogroup(answers.groupBy("to")).applyInArrow(level, "part long, state binary")
+    back = asked.filter("to IS NOT NULL").select("to", "data")
+    return states.select("part", "data").groupBy("part").cogroup(back.groupBy("to")).applyInArrow(level, "part long, n long, data binary")
 
 
 def grown(names: DataFrame, parents: DataFrame) -> DataFrame:
@@ -252,23 +349,23 @@ def scored(phrases: DataFrame, longer: DataFrame | None) -> DataFrame:
     return out.select("lang", "phrase", a.alias("a"), "_cut.l", "_cut.r", "_cut.score")
 
 
-def collocations(docs: DataFrame, text_col: str = "text", group_col: str = "lang", least: int = 30, most: int = 2000, part_bytes: int = PART, segment_bytes: int = SEGMENT) -> DataFrame:
+def collocations(docs: DataFrame, text_col: str = "text", group_col: str = "lang", least: int = 30, most: int = 2000, part_bytes: int = PART, segment_bytes: int = SEGMENT, bucket_bytes: int = BUCKET_TEXT, bucket: int = BUCKET) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of the `most` best phrases of each group.  The rows are a written table."""
     spark = docs.sparkSession
     with scratch(spark) as written:
-        words = written(word_questions(docs, text_col, group_col, part_bytes, segment_bytes), "phrases-words")
-        totals = words.filter("state IS NULL").groupBy("lang").agg(F.sum("n").alias("n"))
-        asked = written(frequent(words.filter("state IS NULL").drop("part", "state"), ["lang", "word"], least), "phrases-words-asked")
+        before = written(word_questions(docs, text_col, group_col, part_bytes, segment_bytes, bucket_bytes), "phrases-words")
+        questions = before.filter("bucket IS NOT NULL")
+        totals = written(questions.groupBy("lang").agg(F.sum("n").alias("n")), "phrases-totals")
+        asked = written(frequent_words(questions, least), "phrases-words-asked")
         word, none = F.col("word").cast("string"), F.array().cast("array<long>")
-        known = [asked.filter("at = id").select("id", "lang", "f", word.alias("phrase"), word.alias("last_word"), none.alias("heads"), none.alias("tails"))]
-        totals, known[0] = written(totals, "phrases-totals"), written(known[0], "phrases-1-known")
-        before = words
+        names = asked.filter("id IS NOT NULL").select("id", "lang", "f", word.alias("phrase"), word.alias("last_word"), none.alias("heads"), none.alias("tails"))
+        known = [written(names, "phrases-1-known")]
+        states = before.filter("bucket IS NULL")
         for k in range(2, LONGEST + 1):
-            states = written(answers_to(before.filter("state IS NOT NULL"), asked, k > 2), f"phrases-{k}")
+            states = written(answers_to(states, asked, k > 2), f"phrases-{k}")
             written.drop(before, asked)
-            asked = written(frequent(pair_questions(states), ["left", "right"], least), f"phrases-{k}-asked")
-            known.append(written(grown(asked.filter("at = id"), known[-1]), f"phrases-{k}-known"))
-            before = states
+            before, asked = states, written(frequent_pairs(pair_questions(states, bucket), least), f"phrases-{k}-asked")
+            known.append(written(grown(asked.filter("id IS NOT NULL").select("id", "left", "right", "f"), known[-1]), f"phrases-{k}-known"))
         found = [scored(p, known[k + 1] if k + 1 < len(known) else None) for k, p in enumerate(known) if k]
         rows = found[0]
         for more in found[1:]:

@@ -113,9 +113,9 @@ def phrases(rows, langs, least, most):
     return [(lang, r + 1, p.decode(), -a, left, right, n[lang], -s) for lang, own in out.items() for r, (s, a, p, left, right) in enumerate(sorted(own)[:most])]
 
 
-@pytest.mark.parametrize(("part", "segment"), [(1 << 22, 1 << 18), (3000, 60), (500, 7)])
-def test_collocations(docs, rows, langs, part, segment):
-    got = collocations.collocations(docs, least=4, most=40, part_bytes=part, segment_bytes=segment).collect()
+@pytest.mark.parametrize(("part", "segment", "bucket"), [(1 << 22, 1 << 18, 1 << 20), (3000, 60, 300), (500, 7, 50)])
+def test_collocations(docs, rows, langs, part, segment, bucket):
+    got = collocations.collocations(docs, least=4, most=40, part_bytes=part, segment_bytes=segment, bucket_bytes=50 * bucket, bucket=bucket).collect()
     assert sorted(map(tuple, got)) == sorted(phrases(rows, langs, 4, 40)) and len({r.lang for r in got}) >= 3
 
 
