@@ -20,7 +20,7 @@ from ..functions.classify import cargo_receiver, diff_key
 from ..functions.money import MONEY, amount_text
 from ..functions.text import contract_variants, name_core, norm_text
 from ..sources.shared import written
-from .joins import containment_join, tolerance_join, unique_hits, variant_join
+from .joins import containment_join, mentions, tolerance_join, variant_join
 
 DIFF = ["business_no", "rule", "type", "severity", "direction", "role", "expected", "actual", "delta", "document_ids"]
 TOL = config.TOLERANCE
@@ -62,62 +62,103 @@ def anchors(lines: DataFrame) -> DataFrame:
     return lines.select("business_no", F.inline(fresh))
 
 
-def by_amount(docs: DataFrame, lines: DataFrame, on: list[str] | None = None) -> DataFrame:
-    """JON-11: (document_id, business_no, direction) by the first anchor within the tolerance."""
-    hits = tolerance_join(docs.select("document_id", "amount", *(on or [])), anchors(lines), "amount", "anchor", TOL, on)
+def by_amount(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """JON-11: (document_id, business_no, direction) by the first anchor of the document's own line within the tolerance."""
+    hits = tolerance_join(docs.select("document_id", "amount", "business_no"), anchors(lines), "amount", "anchor", TOL, ["business_no"])
     return hits.groupBy("document_id", "business_no").agg(F.min_by("direction", "rank").alias("direction"))
 
 
-def by_party(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """JON-12: (document_id, business_no, direction) by names: seller is the supplier (up), company the customer (down), company
-    the supplier (up), seller the customer (down), the first of them."""
+def like(a: Column, b: Column) -> Column:
+    """Whether of two names, neither empty, one holds the other."""
+    return (a != "") & (b != "") & (F.contains(a, b) | F.contains(b, a))
+
+
+def way(own: str, supplier: Column, customer: Column) -> Column:
+    """(rank, direction) by names: seller is the supplier (up), company the customer (down), company the supplier (up), seller the
+    customer (down), the first of them; null if none is."""
+    ranks = {"seller": (0, 3), "company": (2, 1)}[own]
+    one = lambda hit, rank, to: F.when(hit, F.struct(F.lit(rank).alias("rank"), F.lit(to).alias("direction")))
+    return F.array_min(F.array(one(supplier, ranks[0], "up"), one(customer, ranks[1], "down")))
+
+
+#: What is found of a document: the smallest and the largest line that fits, and the direction, which counts if they are the same.
+#: So a document, and a name or an amount that many of them have, is one row, however many lines fit.
+def reach(rows: DataFrame, key: str, direction: Column) -> DataFrame:
+    return rows.groupBy(key).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min(direction).alias("way"))
+
+
+def amount_reach(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """JON-11: by the anchors of lines within the tolerance; equal amounts are looked up once."""
+    hits = tolerance_join(docs.select("amount").distinct(), anchors(lines), "amount", "anchor", TOL)
+    own = hits.select("amount", F.col("business_no").alias("lo"), F.col("business_no").alias("hi"), "rank", "direction")
+    return docs.select("document_id", "amount").join(reach(own, "amount", F.struct("rank", "direction")), "amount").drop("amount")
+
+
+def party_reach(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """JON-12: by names; equal names are compared once."""
     parties = lines.select("business_no", F.inline(F.array(*[F.struct(F.lit(side).alias("side"), name_core(F.col(side)).alias("party")) for side in ("supplier", "customer")])))
-    names = docs.select("document_id", F.inline(F.array(*[F.struct(F.lit(c).alias("own"), name_core(F.col(c)).alias("name")) for c in ("seller", "company")])))
-    names, parties = names.filter("name <> ''"), parties.filter("party <> ''")
-    a, b = names.select("name").distinct(), parties.select("party").distinct()
+    of = lambda side: F.bool_or(F.col("side") == side).alias(side)
+    parties = parties.filter("party <> ''").groupBy("party").agg(F.min("business_no").alias("lo"), F.max("business_no").alias("hi"), of("supplier"), of("customer"))
+    names = docs.select("document_id", F.inline(F.array(*[F.struct(F.lit(c).alias("own"), name_core(F.col(c)).alias("name")) for c in ("seller", "company")]))).filter("name <> ''")
+    a, b = names.select("name").distinct(), parties.select("party")
     pairs = containment_join(a, b, "name", "party").unionByName(containment_join(b, a, "party", "name").select("name", "party")).distinct()
-    rank = F.when((F.col("own") == "seller") & (F.col("side") == "supplier"), 0).when((F.col("own") == "company") & (F.col("side") == "customer"), 1).when(F.col("side") == "supplier", 2).otherwise(3)
-    hits = names.join(pairs, "name").join(parties, "party").withColumn("rank", rank)
-    direction = F.when(F.col("side") == "supplier", "up").otherwise("down")
-    return hits.groupBy("document_id", "business_no").agg(F.min_by(direction, "rank").alias("direction"))
+    per = pairs.join(parties, "party").groupBy("name").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.bool_or("supplier").alias("supplier"), F.bool_or("customer").alias("customer"))
+    hits = names.join(per, "name")
+    found = F.when(F.col("own") == "seller", way("seller", F.col("supplier"), F.col("customer"))).otherwise(way("company", F.col("supplier"), F.col("customer")))
+    return reach(hits, "document_id", found)
 
 
-def by_cargo(docs: DataFrame, lines: DataFrame, own: list[str] = config.OWN_ENTITIES) -> DataFrame:
-    """JON-13: cargo documents whose text holds a line's vessel; the receiver gives the direction."""
+def cargo_reach(docs: DataFrame, lines: DataFrame, own: list[str] = config.OWN_ENTITIES) -> DataFrame:
+    """JON-13: cargo documents whose text holds a line's vessel; the receiver gives the direction.  Equal texts are compared once, and lines
+    of the same vessel and parties are one."""
     cargo = docs.filter("role = 'cargo_right'").withColumn("_text", norm_text(F.col("text"))).filter("_text <> ''")
     ships = lines.withColumn("_ship", norm_text(F.col("vessel"))).filter("_ship <> ''")
-    hits = cargo.join(containment_join(cargo, ships, "_text", "_ship"), "_text").join(ships.select("business_no", "_ship", "customer", "supplier"), "_ship")
+    ships = ships.groupBy("_ship", "customer", "supplier").agg(F.min("business_no").alias("lo"), F.max("business_no").alias("hi"))
+    hits = containment_join(cargo, ships, "_text", "_ship").join(ships, "_ship")
     to = name_core(cargo_receiver(F.col("_text")))
-    like = lambda c: (to != "") & (name_core(F.col(c)) != "") & (F.contains(to, name_core(F.col(c))) | F.contains(name_core(F.col(c)), to))
     ours = reduce(lambda a, b: a | b, [F.contains(to, F.lit(w)) for w in own])
     named = reduce(lambda a, b: a | b, [F.contains(F.col("_text"), F.lit(w)) for w in own])
-    direction = F.when(ours, "up").when(like("customer"), "down").when(like("supplier"), "up").when(named, "up")
-    return hits.select("document_id", "business_no", direction.alias("direction")).filter("direction IS NOT NULL").distinct()
+    direction = F.when(ours, "up").when(like(to, name_core(F.col("customer"))), "down").when(like(to, name_core(F.col("supplier"))), "up").when(named, "up")
+    hits = hits.withColumn("direction", direction).filter("direction IS NOT NULL")
+    return cargo.select("document_id", "_text").join(reach(hits, "_text", F.struct(F.lit(0).alias("rank"), "direction")), "_text").drop("_text")
 
 
 def bind(lines: DataFrame, docs: DataFrame, up_numbers: list[str], down_numbers: list[str]) -> tuple[DataFrame, DataFrame]:
     """JON-10, JON-15: (bound, pool).  Bound: the documents' columns with business_no, direction, basis and multi (bound to several
     lines by number).  By contract number first; what has none of a line's binds by amount, then party, or by vessel and receiver, if
-    exactly one line fits.  Pool: what is left."""
-    sides = [variant_join(docs, lines, ["contract_no"], numbers, "document_id", "business_no").withColumn("side", F.lit(side)) for side, numbers in (("up", up_numbers), ("down", down_numbers))]
-    numbered = sides[0].unionByName(sides[1]).groupBy("document_id", "business_no").agg(F.max("side").alias("side"))  # up goes before down
-    numbered = numbered.withColumn("multi", F.count("*").over(Window.partitionBy("document_id")) > 1)
+    exactly one line fits.  Pool: what is left.  Whether one line fits is told by the smallest and the largest that do, so no pairs of
+    documents and lines are made for names and amounts that many share."""
+    wide = range(max(len(up_numbers), len(down_numbers)))
+    side = lambda to, own: lines.select(F.concat_ws("/", F.lit(to), "business_no").alias("_line"), *[(F.col(own[k]) if k < len(own) else F.lit("")).alias(f"_n{k}") for k in wide])
+    pairs = variant_join(docs, side("up", up_numbers).unionByName(side("down", down_numbers)), ["contract_no"], [f"_n{k}" for k in wide], "document_id", "_line")
+    line = F.split("_line", "/", 2)
+    numbered = pairs.groupBy("document_id", line[1].alias("business_no")).agg(F.max(line[0]).alias("side"))  # up goes before down
+    numbered = written(numbered.withColumn("multi", F.count("*").over(Window.partitionBy("document_id")) > 1), "numbered")
     known = docs.join(numbered, "document_id").withColumn("direction", F.coalesce("side", "direction")).drop("side").withColumn("basis", F.lit("number"))
     rest = docs.join(numbered.select("document_id").distinct(), "document_id", "left_anti")
     plain = rest.filter("role NOT IN ('other', 'cargo_right')")
-    amount = by_amount(plain.filter("amount IS NOT NULL"), lines).withColumn("basis", F.lit("amount"))
-    parts = [amount]
+    parts = {"amount": amount_reach(plain.filter("amount IS NOT NULL"), lines)}
     if {"supplier", "customer"} <= set(lines.columns) and {"seller", "company"} <= set(docs.columns):
-        party = by_party(plain, lines).join(amount.select("document_id", "business_no"), ["document_id", "business_no"], "left_anti")
-        parts.append(party.withColumn("basis", F.lit("party")))
+        parts["party"] = party_reach(plain, lines)
         if "vessel" in lines.columns and "text" in docs.columns:
-            parts.append(by_cargo(rest, lines).withColumn("basis", F.lit("cargo")))
-    single = unique_hits(reduce(DataFrame.unionByName, parts), "document_id").withColumn("multi", F.lit(False))
+            parts["cargo"] = cargo_reach(rest, lines)
+    every = reduce(DataFrame.unionByName, [p.select("document_id", "lo", "hi", F.struct(F.lit(k).alias("k"), F.lit(n).alias("basis"), F.col("way.direction").alias("direction")).alias("way")) for k, (n, p) in enumerate(parts.items())])
+    single = reach(every, "document_id", F.col("way")).filter("lo = hi")
+    single = single.select("document_id", F.col("lo").alias("business_no"), "way.direction", "way.basis", F.lit(False).alias("multi"))
     guessed = rest.drop("direction").join(single, "document_id")
     bound = written(known.unionByName(guessed), "bound")  # the rules read it many times
     return bound, docs.join(bound.select("document_id"), "document_id", "left_anti")
 
 
+def statements(lines: DataFrame, docs: DataFrame, numbers: list[str]) -> DataFrame:
+    """JON-14: (document_id, business_no, basis) of documents of no other role whose text mentions a number of the line, in full or in a
+    list; a statement may belong to many lines."""
+    own = lines.select("business_no", F.explode(F.array_distinct(F.flatten(F.array(*[contract_variants(F.col(c)) for c in numbers])))).alias("_no")).filter("_no <> ''")
+    texts = docs.filter("role = 'other' AND coalesce(text, '') <> ''").select("document_id", "text")
+    hits = texts.join(mentions(texts, own, "text", "_no"), "text").join(own, "_no")
+    return hits.select("document_id", "business_no", F.lit("statement").alias("basis")).distinct()
+
+
 def subset_sums(docs: DataFrame, lines: DataFrame, most: int = 8) -> DataFrame:
     """FN-56: documents of a line and role that no side has taken, two to eight with amounts: the largest set whose sum is within
     the tolerance of an anchor, of equals the first by mask.  Returns document_id, business_no, direction.  Masks are bounded (255)."""
@@ -136,9 +177,13 @@ def assign(lines: DataFrame, docs: DataFrame) -> DataFrame:
     """Step 1 of the rules, for documents of a line whose side isn't known: by an anchor of their line, then by its parties, then
     two to eight of a role by their sum.  Adds nothing but direction (and basis, if there is one)."""
     waiting = docs.filter("direction = 'unknown' AND role <> 'other'")
-    single = by_amount(waiting.filter("amount IS NOT NULL"), lines, ["business_no"]).withColumn("_basis", F.lit("amount"))
+    single = by_amount(waiting.filter("amount IS NOT NULL"), lines).withColumn("_basis", F.lit("amount"))
     if {"supplier", "customer"} <= set(lines.columns) and {"seller", "company"} <= set(docs.columns):
-        party = by_party(waiting, lines).join(waiting.select("document_id", "business_no"), ["document_id", "business_no"], "left_semi")
+        # The line is known, so its names are compared with the document's as they are.
+        own = waiting.select("document_id", "business_no", "seller", "company").join(lines.select("business_no", "supplier", "customer"), "business_no")
+        fits = lambda c: way(c, like(name_core(F.col(c)), name_core(F.col("supplier"))), like(name_core(F.col(c)), name_core(F.col("customer"))))
+        party = own.withColumn("_way", F.array_min(F.array(fits("seller"), fits("company")))).filter("_way IS NOT NULL")
+        party = party.groupBy("document_id", "business_no").agg(F.min("_way")["direction"].alias("direction"))
         party = party.join(single.select("document_id", "business_no"), ["document_id", "business_no"], "left_anti")
         single = single.unionByName(party.withColumn("_basis", F.lit("party")))
     single = written(single, "assigned")
