@@ -112,15 +112,43 @@ def leader_clusters(prints: DataFrame, key: str, layout: str, fingerprint: str,
         return written(out, "leaders")
 
 
-def same_image(a: DataFrame, key: str, limit: int = config.DHASH_LIMIT, tolerance: str = config.TOLERANCE) -> DataFrame:
-    """JON-27: pairs (a < b) of pictures of one size whose hashes differ in a bit or less and whose amounts don't contradict.
-    columns: key, phash, img_w, img_h, amount.  Halves of the hash are the join's bands."""
-    cuts = [64 * k // (limit + 1) for k in range(limit + 2)]
+def same_image(a: DataFrame, key: str, limit: int = config.DHASH_LIMIT, tolerance: str = config.TOLERANCE, by: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """JON-27: pictures of one size whose hashes differ in a bit or less and whose amounts don't contradict, as (members, pairs).
+    members: id and class_id, the smallest id with the same hash, size and amount; all of a class are the same picture to each other.
+    pairs (a < b): classes that are.  So equal pictures are a row each, and not pairs.  With `by` only pictures that have these columns
+    in common are compared.  columns: key, phash, img_w, img_h, amount."""
+    by = by or []
     bits = as_bits(F.col("phash"))
-    bands = F.array(*[F.struct(F.lit(k).alias("band"), F.shiftrightunsigned(bits, x).bitwiseAND(F.lit((1 << (y - x)) - 1)).alias("part")) for k, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False))])
-    rows = a.filter(bits.isNotNull()).select(F.col(key).alias("id"), bits.alias("bits"), "img_w", "img_h", "amount", F.inline(bands))
-    x, y = rows.alias("x"), rows.alias("y")
-    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("img_w", "img_h", "band", "part")]
-    pairs = x.join(y, same).filter((F.col("x.id") < F.col("y.id")) & (F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits"))) <= limit))
+    rows = a.filter(bits.isNotNull() & F.col("img_w").isNotNull() & F.col("img_h").isNotNull()).select(F.col(key).alias("id"), *by, bits.alias("bits"), "img_w", "img_h", "amount")
+    own = [*by, "bits", "img_w", "img_h", "amount"]
+    classes = rows.groupBy(*own).agg(F.min("id").alias("class_id"))
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"c.{c}")) for c in own]
+    members = rows.alias("r").join(classes.alias("c"), same).select("r.id", "class_id", *[f"r.{c}" for c in by])
+    cuts = [64 * k // (limit + 1) for k in range(limit + 2)]
+    bands = F.array(*[F.struct(F.lit(k).alias("band"), F.shiftrightunsigned(F.col("bits"), x).bitwiseAND(F.lit((1 << (y - x)) - 1)).alias("part")) for k, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False))])
+    keyed = classes.select("class_id", *own, F.inline(bands))
+    x, y = keyed.alias("x"), keyed.alias("y")
+    meet = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in (*by, "img_w", "img_h", "band", "part")]
     clash = F.abs(F.col("x.amount") - F.col("y.amount")) >= F.lit(tolerance).cast("decimal(18,2)")
-    return pairs.filter(~F.coalesce(clash, F.lit(False))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    pairs = x.join(y, meet).filter((F.col("x.class_id") < F.col("y.class_id")) & (F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits"))) <= limit) & ~F.coalesce(clash, F.lit(False)))
+    return members, pairs.select(F.col("x.class_id").alias("a"), F.col("y.class_id").alias("b"), *[F.col(f"x.{c}").alias(c) for c in by]).distinct()
+
+
+def image_leaders(docs: DataFrame, key: str, by: list[str]) -> DataFrame:
+    """id, kept_id and `by` of pictures, by ascending id within `by`: each is kept, or is a copy of the first kept one that is the same
+    picture.  A class is decided once.  A class without an undecided smaller neighbour is kept, and its neighbours are copies; a round
+    decides at least the first class of each chain, so rounds grow with chains of pictures a bit apart, not with copies."""
+    with scratch(docs.sparkSession) as keep:
+        members, pairs = same_image(docs, key, by=by)
+        members, edges = keep(members, "image-members"), keep(pairs.select("a", "b"), "image-pairs")
+        open_, kept = keep(members.select(F.col("class_id").alias("node")).distinct(), "image-open"), None
+        while not open_.isEmpty():
+            waits = edges.join(open_.select(F.col("node").alias("a")), "a", "left_semi").select(F.col("b").alias("node")).distinct()
+            new = keep(open_.join(waits, "node", "left_anti"), "image-kept")
+            copies = edges.join(new.select(F.col("node").alias("a")), "a", "left_semi").select(F.col("b").alias("node")).distinct()
+            open_, kept = keep(open_.join(new, "node", "left_anti").join(copies, "node", "left_anti"), "image-open"), new if kept is None else kept.union(new)
+        if kept is None:
+            return members.select("id", F.col("class_id").alias("kept_id"), *by)
+        copies = edges.join(kept.select(F.col("node").alias("a")), "a", "left_semi").join(kept.select(F.col("node").alias("b")), "b", "left_anti")
+        first = kept.select("node", F.col("node").alias("kept_id")).union(copies.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("kept_id")))
+        return written(members.join(first, F.col("class_id") == F.col("node")).select("id", "kept_id", *by), "image-leaders")

@@ -20,6 +20,7 @@ from ..functions.classify import cargo_receiver, diff_key
 from ..functions.money import MONEY, amount_text
 from ..functions.text import contract_variants, name_core, norm_text
 from ..sources.shared import written
+from .cluster import image_leaders
 from .joins import containment_join, mentions, tolerance_join, variant_join
 
 DIFF = ["business_no", "rule", "type", "severity", "direction", "role", "expected", "actual", "delta", "document_ids"]
@@ -198,12 +199,27 @@ def assign(lines: DataFrame, docs: DataFrame) -> DataFrame:
 # Cells
 
 
+CELL = ["business_no", "direction", "role"]
+
+
 def unique_in_cell(docs: DataFrame) -> DataFrame:
-    """WIN-04: kept_id, the first document of the same number, amount and day in a cell; documents without all three are their own."""
+    """WIN-04, JON-27: kept_id, the document of which one is a copy within its cell: the first kept one that is the same picture, if the
+    documents have fingerprints, else the first of the same number, amount and day; a document without all three is its own."""
+    if "phash" in docs.columns:
+        found = image_leaders(docs, "document_id", CELL).filter("id <> kept_id")
+        found = found.select(F.col("id").alias("document_id"), F.col("kept_id").alias("_image"), *CELL)
+        rows = written(docs.join(found, ["document_id", *CELL], "left").select(*docs.columns, "_image"), "cell-images")
+        copies = rows.filter("_image IS NOT NULL").withColumn("kept_id", F.col("_image"))
+        return copies.drop("_image").unionByName(same_key(rows.filter("_image IS NULL").drop("_image")))
+    return same_key(docs)
+
+
+def same_key(docs: DataFrame) -> DataFrame:
+    """kept_id by number, amount and day."""
     keyed = (F.coalesce("contract_no", F.lit("")) != "") & F.col("amount").isNotNull() & F.col("doc_date").isNotNull()
-    w = Window.partitionBy("business_no", "direction", "role", "contract_no", "amount", "doc_date").orderBy("document_id")
+    w = Window.partitionBy(*CELL, "contract_no", "amount", "doc_date").orderBy("document_id")
     # rows that lack a part can't repeat, so they are dealt out by their id instead of meeting in one null key
-    odd = Window.partitionBy("business_no", "direction", "role", F.col("document_id"))
+    odd = Window.partitionBy(*CELL, F.col("document_id"))
     first = docs.filter(keyed).withColumn("kept_id", F.first("document_id").over(w))
     return first.unionByName(docs.filter(~keyed).withColumn("kept_id", F.first("document_id").over(odd.orderBy("document_id"))))
 
@@ -387,7 +403,7 @@ def unclassified(docs: DataFrame) -> DataFrame:
 def differences(lines: DataFrame, docs: DataFrame, numbers: list[str]) -> DataFrame:
     """All rules; lines without documents have no differences (status no_data).  What the rules read of the documents is
     written once."""
-    read = ["document_id", "business_no", "direction", "role", "nature", "amount", "doc_date", "invoice_no", "contract_no", "multi"]
+    read = ["document_id", "business_no", "direction", "role", "nature", "amount", "doc_date", "invoice_no", "contract_no", "multi", "phash", "img_w", "img_h"]
     docs = written(docs.select(*[c for c in read if c in docs.columns]), "line-documents")
     parts = [
         repeated(docs), listed(wide(lines, docs), [*completeness_items(), *upstream_items(), *downstream_items(), *interest_items()]),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.classify import diff_key
 from ..operators import joins, ledger, lifecycle, recon, reports
@@ -366,3 +367,27 @@ def containment_join(spark, d):
     words = names.union(spark.createDataFrame([("the",), ("de",), ("x",), ("rights",), ("a b",)], "word string"))
     docs = t.table(spark, d, "documents").select("doc_id", "text")
     return docs.join(joins.containment_join(docs, words, "text", "word"), "text").select("doc_id", "word")
+
+
+@query("image_duplicates", f"""{with_(LINES)}, p AS (SELECT document_id, business_no, direction, role, floor(amount / 20000) AS amount, CAST(regexp_extract(document_id, '(\\d+)$', 1) AS INT) % 3 AS h FROM lines WHERE direction IN ('up', 'down') AND amount IS NOT NULL),
+ k AS (SELECT *, first_value(document_id) OVER (PARTITION BY business_no, direction, role, h, amount ORDER BY document_id) AS kept FROM p) SELECT document_id, kept AS kept_id FROM k WHERE kept <> document_id""")
+def image_duplicates(spark, d):
+    """WIN-04, JON-27: copies within a cell by three pictures; different amounts, in steps here, contradict."""
+    docs = t.line_documents(spark, d).filter("direction IN ('up', 'down') AND amount IS NOT NULL").withColumn("amount", (F.floor(F.col("amount") / 20000) * 20000).cast("decimal(18,2)"))
+    number = F.element_at(F.split("document_id", "-"), -1).cast("int") % 3
+    prints = docs.withColumns({"phash": F.element_at(F.array(F.lit("0" * 16), F.lit("f" * 16), F.lit("0f" * 8)), number + 1), "img_w": F.lit(9), "img_h": F.lit(8), "contract_no": F.lit("")})
+    return recon.unique_in_cell(prints).filter("kept_id <> document_id").select("document_id", "kept_id")
+
+
+@query("statement_mentions", """SELECT 'c' || o_custkey AS document_id, CAST(o_orderkey AS VARCHAR) AS business_no, 'statement' AS basis FROM orders WHERE o_orderkey % 3 > 0""")
+def statement_mentions(spark, d):
+    """JON-14: a statement for each customer that lists the tails of its orders' numbers; a third of them it doesn't name."""
+    k = F.col("o_orderkey").cast("string")
+    tail = F.lpad(k, 12, "0")
+    orders = t.table(spark, d, "orders").select(k.alias("business_no"), F.concat(F.lit("HSYCXS-2026-"), tail).alias("down_contract_no"), F.lit("").alias("up_contract_no"), tail.alias("tail"), "o_custkey", (F.col("o_orderkey") % 3 > 0).alias("named"))
+    # Lists of at most four tails, so that each begins within forty characters.
+    lists = orders.filter("named").withColumn("_k", F.floor((F.row_number().over(Window.partitionBy("o_custkey").orderBy("business_no")) - 1) / 4))
+    lists = lists.groupBy("o_custkey", "_k").agg(F.concat(F.lit("业务 HSYCXS\n-2026 -"), F.array_join(F.sort_array(F.collect_list("tail")), " /"), F.lit("，共 20.26 元。")).alias("text"))
+    docs = lists.groupBy("o_custkey").agg(F.array_join(F.sort_array(F.collect_list("text")), "\n").alias("text"))
+    docs = docs.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("document_id"), F.lit("other").alias("role"), "text")
+    return recon.statements(orders, docs, ["up_contract_no", "down_contract_no"])

@@ -299,15 +299,29 @@ def leader_clusters(spark, d):
     return cluster.leader_clusters(prints, "conv_id", "layout", "simhash")
 
 
-@query("same_image", """WITH p AS (SELECT p_partkey AS id, p_size AS w, CAST('0x' || substr(md5(p_brand), 1, 15) || substr('01234567', 1 + p_partkey % 8, 1) AS UBIGINT) AS h, CASE WHEN p_partkey % 3 > 0 THEN CAST(floor(p_retailprice / 500) AS DECIMAL(18,2)) END AS amount FROM part)
- SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON a.id < b.id AND a.w = b.w WHERE bit_count(xor(a.h, b.h)) <= 1 AND NOT coalesce(abs(a.amount - b.amount) >= 0.01, false)""")
-def same_image(spark, d):
+IMAGES = """p AS (SELECT p_partkey AS id, p_size AS w, CAST('0x' || substr(md5(p_brand), 1, 15) || substr('01234567', 1 + p_partkey % 8, 1) AS UBIGINT) AS h, CASE WHEN p_partkey % 3 > 0 THEN CAST(floor(p_retailprice / 500) AS DECIMAL(18,2)) END AS amount FROM part),
+ m AS (SELECT id, min(id) OVER (PARTITION BY h, w, amount) AS class_id FROM p)"""
+
+
+def images(spark, d):
     digit = F.substring(F.lit("01234567"), (F.col("p_partkey") % 8 + 1).cast("int"), F.lit(1))
     amount = F.when(F.col("p_partkey") % 3 > 0, F.floor(F.col("p_retailprice") / 500).cast("decimal(18,2)"))
     rows = t.table(spark, d, "part").select("p_partkey", F.concat(F.substring(F.md5(F.col("p_brand").cast("binary")), 1, 15), digit).alias("phash"), F.col("p_size").alias("img_w"), F.col("p_size").alias("img_h"), amount.alias("amount"))
     return cluster.same_image(rows, "p_partkey")
 
 
+@query("same_image", f"""WITH {IMAGES}
+ SELECT DISTINCT x.class_id AS a, y.class_id AS b FROM p a JOIN p b ON a.id < b.id AND a.w = b.w JOIN m x ON x.id = a.id JOIN m y ON y.id = b.id WHERE bit_count(xor(a.h, b.h)) <= 1 AND NOT coalesce(abs(a.amount - b.amount) >= 0.01, false) AND x.class_id < y.class_id""")
+def same_image(spark, d):
+    """Links between classes of equal pictures."""
+    return images(spark, d)[1]
+
+
+@query("same_image_classes", f"WITH {IMAGES} SELECT id, class_id FROM m")
+def same_image_classes(spark, d):
+    return images(spark, d)[0]
+
+
 @query("cascading_groups", f"""{with_(DOCS)}, r AS (SELECT id, CASE WHEN id % 10 = 0 THEN 'C' || (id % 7) ELSE '' END AS no, CASE WHEN id % 3 = 0 THEN document_type WHEN id % 3 = 1 THEN 'solo' || id ELSE '' END AS type, CASE WHEN id % 4 = 0 THEN source || ' company' ELSE '' END AS firm, substr(file_hash, 1, 16) AS body FROM docs),
  a AS (SELECT *, CASE WHEN no <> '' THEN 'contract:' || no END AS g FROM r), b AS (SELECT * REPLACE (coalesce(g, CASE WHEN type <> '' AND count(*) FILTER (g IS NULL) OVER (PARTITION BY type) >= 2 THEN 'type:' || type END) AS g) FROM a),
  c AS (SELECT * REPLACE (coalesce(g, CASE WHEN firm <> '' THEN 'company:' || firm END) AS g) FROM b), e AS (SELECT * REPLACE (coalesce(g, CASE WHEN count(*) FILTER (g IS NULL) OVER (PARTITION BY type, body) >= 2 THEN 'tpl:' || type || ':' || substr(body, 1, 6) END) AS g) FROM c)
