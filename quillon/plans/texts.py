@@ -8,9 +8,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import classify, extract, hashing, money, template, text
-from ..operators import cluster, dossier, eav, rules
-from ..sources import seeds
+from ..operators import cluster, dossier, eav, provider, rules
+from ..sources import files, seeds
 from ..sources import tables as t
+from ..sources.shared import written
 from .catalogue import DOCS, FIELDS, query, with_
 
 #: Literals: id, text.
@@ -411,3 +412,17 @@ def company_fix(spark, d):
     stem = F.concat("n_name", F.lit("钢铁贸易有限公"))
     rows = t.table(spark, d, "nation")
     return dossier.company_fix(rows.select(F.concat(stem, F.lit("可")).alias("v")), rows.select(F.concat(stem, F.lit("司")).alias("v")), "v", "v")
+
+
+@query("provider_answers", """WITH o AS (SELECT o_orderkey AS id, o_orderstatus AS kind, o_orderkey % 7 AS k FROM orders)
+ SELECT id, CASE WHEN k IN (0, 1, 2) THEN kind END AS document_type, CASE WHEN k IN (0, 1, 2) THEN 0.9 END AS confidence,
+ CASE k WHEN 3 THEN 'ConnectionError: call 3' WHEN 4 THEN 'ValueError: the answer holds no object' WHEN 5 THEN 'ValueError: not a confidence: 1.5' WHEN 6 THEN 'RuntimeError: broken' END AS error,
+ CAST(CASE k WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 6 THEN 1 ELSE 3 END AS INT) AS calls FROM o""")
+def provider_answers(spark, d):
+    """SRC-21, UDF-07, FN-81, FN-82: each order's text through a provider that answers, fails once or more, or answers nonsense."""
+    k = F.col("id") % 7
+    rule = F.when(k == 0, "").when(k == 1, "fail: 1").when(k == 2, "fail: 2").when(k == 3, "fail: 9").when(k == 4, "bad").when(k == 5, "wild").otherwise("odd")
+    rows = t.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("kind"))
+    text = F.concat(F.lit("order "), F.col("id").cast("string"), F.lit(" type: "), F.col("kind"), F.lit(" "), rule)
+    got = written(provider.asked(rows, "id", text, provider.Fake), "answers").withColumn("a", files.answer(F.col("answer")))
+    return got.select("id", "a.document_type", "a.confidence", "error", "calls")
