@@ -87,7 +87,9 @@ AMOUNT_FIELDS = ["amount", "total_amount", "tax_amount", "price"]
 DATE_FIELDS = ["date", "invoice_date", "ship_date", "bill_date"]
 
 # Letters that a scan mistakes for digits, and lengths of invoice numbers
-DIGIT_LIKE = {"Oo": "0", "Ili": "1", "Ss": "5", "Bb": "8", "Gg": "6", "Zz": "2", "Tt": "7"}
+DIGIT_LIKE = {
+    "O": "0", "o": "0", "I": "1", "l": "1", "i": "1", "S": "5", "s": "5", "B": "8", "b": "8", "G": "6", "g": "6", "Z": "2", "z": "2", "T": "7", "t": "7",
+}
 INVOICE_LENGTHS = [8, 10, 12, 20]
 
 # Ledger columns and their headers, in order of preference

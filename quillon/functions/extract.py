@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from .. import config
 from .text import clean_ocr, clean_scan
 
-N = r"[\x{4e00}-\x{9fa5}A-Za-z0-9（）()]"
 #: The patterns by which fields are found.
+N = r"[\x{4e00}-\x{9fa5}A-Za-z0-9（）()]"
 FIRM = r"(?:有限公司|有限责任公司|股份有限公司|公司|集团|厂)"
 COMPANY_CONTEXT = rf"(?:甲方|乙方|采购方|销售方|供应商|供货方|买方|卖方|付款人|收款人|开票方|购方)[:：]?\s*({N}{{2,40}}?{FIRM})"
 COMPANY_GENERIC = rf"({N}{{2,30}}(?:有限公司|有限责任公司|股份有限公司|集团有限公司|集团|公司|工厂|商行|事务所|合作社|医院|学校))"
@@ -42,8 +42,13 @@ TOTAL = r"(?:价税合计|含税合计|合计金额|含税金额|总金额)[\s\S
 CURRENCY = r"(?:人民币|RMB|¥|￥)\s*([\d,]+(?:\.\d{1,2})?)\s*(?:元)?"
 AMOUNT_LABEL = r"(?:金额|价款|货款|总价|交易金额)[:：]?\s*([\d,]+(?:\.\d{1,2})?)\s*(?:元|人民币)?"
 YUAN = r"([\d,]+(?:\.\d{1,2})?)\s*元"
-SUMMARY_VALUE = r"[:：]?\s*([\x{4e00}-\x{9fa5}A-Za-z0-9，,。.\-（）() ]{2,30}?)(?=\s*(?:\n|$))"
-SUMMARY_LABELS = ["摘要", "款项性质", "(?:用途|汇款用途)", "附言", "交易描述"]
+SUMMARIES = [
+    r"摘要[:：]?\s*([\x{4e00}-\x{9fa5}A-Za-z0-9，,。.\-（）() ]{2,30}?)(?=\s*(?:\n|$))",
+    r"款项性质[:：]?\s*([\x{4e00}-\x{9fa5}A-Za-z0-9，,。.\-（）() ]{2,30}?)(?=\s*(?:\n|$))",
+    r"(?:用途|汇款用途)[:：]?\s*([\x{4e00}-\x{9fa5}A-Za-z0-9，,。.\-（）() ]{2,30}?)(?=\s*(?:\n|$))",
+    r"附言[:：]?\s*([\x{4e00}-\x{9fa5}A-Za-z0-9，,。.\-（）() ]{2,30}?)(?=\s*(?:\n|$))",
+    r"交易描述[:：]?\s*([\x{4e00}-\x{9fa5}A-Za-z0-9，,。.\-（）() ]{2,30}?)(?=\s*(?:\n|$))",
+]
 VESSEL = r"(?:船名|船舶名称|船号)[:：]?\s*([\x{4e00}-\x{9fa5}A-Za-z0-9 （）()\-]{2,60}?)(?=[，,;；。]|\s*(?:\r?\n|$))"
 VESSEL_QUOTED = r"[“\"]([\x{4e00}-\x{9fa5}A-Za-z0-9\-/（）()]{2,40}?)[”\"]\s*(?:轮|号|船|货轮)"
 MATERIAL = (
@@ -105,7 +110,7 @@ def invoice_quantity(c: Column) -> Column:
 
 def summary(c: Column) -> Column:
     """FX-09: by label, not by place."""
-    values = [F.regexp_replace(F.trim(found(c, label + SUMMARY_VALUE)), "[，,。.]+$", "") for label in SUMMARY_LABELS]
+    values = [F.regexp_replace(F.trim(found(c, pattern)), "[，,。.]+$", "") for pattern in SUMMARIES]
     return F.coalesce(*[F.when((v != "") & ~v.isin("明细标注", "备注"), v) for v in values])
 
 

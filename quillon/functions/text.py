@@ -243,15 +243,17 @@ def clean_ocr(c: Column) -> Column:
 
 
 LIKE = "".join(config.DIGIT_LIKE)
+#: The letters of each digit.
+LETTERS = {"".join(k for k, v in config.DIGIT_LIKE.items() if v == digit): digit for digit in config.DIGIT_LIKE.values()}
 
 
 def repair_digits(c: Column) -> Column:
     """FN-36: letters that stand for digits, between digits or after a currency sign.  White space after the sign
     goes.  The sign stays once, as documented (the original's code doubles it)."""
-    for letters, digit in config.DIGIT_LIKE.items():
+    for letters, digit in LETTERS.items():
         c = F.regexp_replace(c, rf"(?<=\d[{LIKE}]{{0,40}})[{letters}](?=[{LIKE}]{{0,40}}\d)", digit)
     c = F.regexp_replace(c, rf"(?<=[¥￥])[ \t]+(?=[{LIKE}\d])", "")
-    for letters, digit in config.DIGIT_LIKE.items():
+    for letters, digit in LETTERS.items():
         c = F.regexp_replace(c, rf"(?<=[¥￥][{LIKE}\d]{{0,40}})[{letters}]", digit)
     return c
 
@@ -269,7 +271,7 @@ def unify_dates(c: Column) -> Column:
 def repair_invoice_no(c: Column) -> Column:
     """FN-38: letters that stand for digits in an invoice number or code."""
     label = r"(?:发票号码|发票号|发票代码|代码)[:：]?[ \t]{0,8}"
-    for letters, digit in config.DIGIT_LIKE.items():
+    for letters, digit in LETTERS.items():
         c = F.regexp_replace(c, rf"(?<={label}[0-9A-Za-z\-_/]{{0,30}})[{letters}]", digit)
     return c
 

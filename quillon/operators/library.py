@@ -38,13 +38,19 @@ def suggested_names(docs: DataFrame, templates: dict[str, str], category: Column
     return docs.withColumn("suggested_name", name)
 
 
+#: Categories that a list may have.
+MOST_CATEGORIES = 5000
+
+
 def candidate_types(best: DataFrame, categories: DataFrame, key: str) -> DataFrame:
     """PRJ-04: for each document the enabled categories in their order, the rules' best first if it isn't among them; best: key,
     category; categories: name, sort_order, enabled."""
-    names = categories.filter("enabled").agg(F.transform(F.array_sort(F.collect_list(F.struct("sort_order", "name"))), lambda x: x["name"]).alias("names"))
-    rows = best.join(F.broadcast(names))  # one row
-    missing = F.col("category").isNotNull() & ~F.array_contains("names", F.col("category"))
-    return rows.select(key, F.when(missing, F.array_prepend("names", F.col("category"))).otherwise(F.col("names")).alias("types"))
+    few = categories.filter("enabled").orderBy("sort_order", "name").select("name").limit(MOST_CATEGORIES + 1).collect()
+    if len(few) > MOST_CATEGORIES:
+        raise ValueError(f"more than {MOST_CATEGORIES} categories")
+    names = F.array(*[F.lit(r[0]) for r in few]).cast("array<string>")
+    missing = F.col("category").isNotNull() & ~F.array_contains(names, F.col("category"))
+    return best.select(key, F.when(missing, F.array_prepend(names, F.col("category"))).otherwise(names).alias("types"))
 
 
 def mean_confidence(fields: DataFrame, entity: str = "document_id") -> DataFrame:

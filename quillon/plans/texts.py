@@ -389,10 +389,17 @@ def seed_rules(spark, d):
     return s.select("o_orderkey", "category", F.col("n_keywords").cast("long").alias("n"), F.array_join("matched_keywords", "|").alias("keywords"))
 
 
-@query("seed_categories", "SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{p}/{c}')" if c else f"(NULL, '{p}')" for p, cs in seeds.CATEGORY_TREE.items() for c in ["", *cs]) + ") v(parent, path)")
+SEED_PATHS = [f"{p}/{c}" if c else p for p, cs in seeds.CATEGORY_TREE.items() for c in ["", *cs]]
+
+
+@query("seed_categories", "WITH v AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, {repr(p.split('/')[0]) if '/' in p else 'NULL'}, '{p}')" for k, p in enumerate(SEED_PATHS, 1)) + f""") v(id, parent, path))
+ SELECT parent, path, count(o_orderkey) AS n FROM v LEFT JOIN orders ON 1 + o_orderkey % {len(SEED_PATHS)} = id GROUP BY 1, 2""")
 def seed_categories(spark, d):
+    """SRC-20: the category tree with the number of orders that are filed under each category."""
     rows = seeds.categories(spark)
-    return rows.join(rows.select(F.col("id").alias("parent_id"), F.col("path").alias("parent")), "parent_id", "left").select("parent", "path")
+    filed = t.table(spark, d, "orders").groupBy((F.col("o_orderkey") % len(SEED_PATHS) + 1).alias("id")).agg(F.count("*").alias("n"))
+    named = rows.join(rows.select(F.col("id").alias("parent_id"), F.col("path").alias("parent")), "parent_id", "left")
+    return named.join(filed, "id", "left").select("parent", "path", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("fuzzy_guard", """SELECT s_suppkey AS id, CASE s_suppkey % 4 WHEN 2 THEN 'ambiguous' WHEN 3 THEN 'invalid' ELSE 'linked' END AS outcome, CASE WHEN s_suppkey % 4 < 3 THEN 'HSYCXS-2026-' || lpad(CAST(s_suppkey AS VARCHAR), 6, '0') END AS known_no,
@@ -426,3 +433,14 @@ def provider_answers(spark, d):
     text = F.concat(F.lit("order "), F.col("id").cast("string"), F.lit(" type: "), F.col("kind"), F.lit(" "), rule)
     got = written(provider.asked(rows, "id", text, provider.Fake), "answers").withColumn("a", files.answer(F.col("answer")))
     return got.select("id", "a.document_type", "a.confidence", "error", "calls")
+
+
+@query("order_fields", """WITH o AS (SELECT o_orderkey AS id, lpad(CAST(o_orderkey AS VARCHAR), 8, '0') AS n8, lpad(CAST(o_orderkey % 10000 AS VARCHAR), 4, '0') AS n4 FROM orders)
+ SELECT id, 'order_no' AS field, 'PO-' || n8 AS value, 'order_context' AS rule, '' AS conflicts FROM o UNION ALL SELECT id, 'contract_suffix', n4, 'contract_suffix_yc', '' FROM o
+ UNION ALL SELECT id, 'amount', '3' || n4 || '.50', 'amount_total', '2' || n4 || '|1' || n4 FROM o""")
+def order_fields(spark, d):
+    """FX-05, FX-06, FX-08: order numbers and suffixes of contract numbers, and an amount with others that contradict it."""
+    four = F.lpad((order_key() % 10000).cast("string"), 4, "0")
+    v = text_of("订单编号：PO-", F.lpad(order_key().cast("string"), 8, "0"), "\nYC-", four, "\n合计金额 3", four, ".50\n人民币2", four, "\n另付 1", four, " 元\n")
+    found = extract.extract(keyed(spark, d, v), "id", "v", clean=False)
+    return found.filter(F.col("field").isin("order_no", "contract_suffix", "amount")).select("id", "field", "value", "rule", F.array_join("conflicts", "|").alias("conflicts"))
