@@ -9,12 +9,14 @@ Documents come in batches by ascending id.  LineRuns holds the keys of earlier b
 another, which need neither a shuffle nor a sort for it; what is left is the batch's new run at level 0.  Once a level
 has `fanout` runs, they are merged bucket by bucket into one run of the next level, so n batches leave at most
 fanout * log(n) runs.  A line stays if its key and id are in the batch's new run; the other lines are dropped, found
-by an anti-join on key and id, which no frequent line can make uneven.  The hashed lines of a batch are written once.
+by an anti-join on key and id, which no frequent line can make uneven.  Texts are read once for their lines, whose hashes
+are written with each batch in a folder of its own; a task writes a file for each batch that it holds ids of.
 
 Runs are external tables in the shared folder, in the session's current database under names of their own; they and the
-lines are deleted in the end.
+lines are deleted in the end, also if a step fails.
 
-Null text counts as empty: one empty line.  A null id counts as larger than all others.  Rows of the same
+Null text counts as empty: one empty line.  A null id counts as the largest id that there can be
+(9223372036854775807; rows that have that id and rows that have none are one document).  Rows of the same
 id are one document: each keeps the lines that the id may keep.  Columns besides id and text pass through, whatever
 their names.  Ids are integers; others are cast, and fail if they can't be.  An empty table gives an empty result.
 """
@@ -28,7 +30,6 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import written_to
 from .common import ascii_lower, new_path, remove
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -51,14 +52,18 @@ class LineRuns:
         self.made = 0
 
     def lines(self, docs: DataFrame) -> DataFrame:
-        """_ld_id, _ld_row, _ld_pos and both halves of the key's hash, of each line that is long enough."""
+        """_ld_batch, _ld_id, _ld_row, _ld_pos and both halves of the key's hash, of each line that is long enough.  All batches are
+        written at once, each in a folder of its own, so texts are read once however many batches there are."""
         text = F.coalesce(F.col("_ld_text"), F.lit(""))
-        split = docs.select("_ld_id", "_ld_row", F.posexplode(F.split(ascii_lower(text), "\n", -1)).alias("_ld_pos", "_ld_line"))
-        keyed = split.select("_ld_id", "_ld_row", "_ld_pos", F.btrim("_ld_line", F.lit(SPACE)).alias("_ld_key"))
+        split = docs.select("_ld_batch", "_ld_id", "_ld_row", F.posexplode(F.split(ascii_lower(text), "\n", -1)).alias("_ld_pos", "_ld_line"))
+        keyed = split.select("_ld_batch", "_ld_id", "_ld_row", "_ld_pos", F.btrim("_ld_line", F.lit(SPACE)).alias("_ld_key"))
         keyed = keyed.filter(F.char_length("_ld_key") >= self.min_chars)
-        return keyed.select(
-            "_ld_id", "_ld_row", "_ld_pos", F.xxhash64("_ld_key").alias("_ld_h1"), F.xxhash64(F.lit("line"), "_ld_key").alias("_ld_h2")
+        hashed = keyed.select(
+            "_ld_id", "_ld_row", "_ld_pos", F.xxhash64("_ld_key").alias("_ld_h1"), F.xxhash64(F.lit("line"), "_ld_key").alias("_ld_h2"), "_ld_batch"
         )
+        path = f"{self.root}/lines"
+        hashed.write.partitionBy("_ld_batch").parquet(path)
+        return self.spark.read.schema(hashed.schema).parquet(path)
 
     def write(self, keys: DataFrame) -> str:
         """A run of keys that are dealt by hash already, so that each bucket is one file."""
@@ -72,10 +77,8 @@ class LineRuns:
         self.spark.sql(f"DROP TABLE IF EXISTS {run}")
         remove(self.spark, f"{self.root}/{run}")
 
-    def add(self, docs: DataFrame) -> str:
-        """Takes a batch (_ld_id, _ld_row, _ld_text) whose ids are larger than all before; the path of its dropped lines."""
-        path = f"{self.root}/lines-{self.made + 1:06d}"
-        lines = written_to(self.lines(docs), path)
+    def add(self, lines: DataFrame) -> str:
+        """Takes the lines of a batch whose ids are larger than all before; the path of its dropped lines."""
         fresh = lines.groupBy("_ld_h1", "_ld_h2").agg(F.min("_ld_id").alias("_ld_first"))
         for run in (run for level in self.levels for run in level):
             fresh = fresh.join(self.spark.table(run).drop("_ld_first").hint("merge"), ["_ld_h1", "_ld_h2"], "left_anti")
@@ -84,7 +87,6 @@ class LineRuns:
         dropped = lines.join(own.hint("merge"), ["_ld_h1", "_ld_h2", "_ld_id"], "left_anti")
         out = f"{self.root}/dropped-{self.made:06d}"
         dropped.select("_ld_id", "_ld_row", "_ld_pos").write.parquet(out)
-        remove(self.spark, path)
         self.keep(run, 0)
         return out
 
@@ -105,6 +107,7 @@ class LineRuns:
     def close(self) -> None:
         for run in (run for level in self.levels for run in level):
             self.drop(run)
+        remove(self.spark, f"{self.root}/lines")
 
 
 @contextmanager
@@ -131,21 +134,21 @@ def line_dedup(
         F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_ld_row"),
         F.col(text_col).alias("_ld_text"),
     )
-    if batches is None:
-        batches = max(4, math.ceil((slim.agg(F.sum(F.octet_length("_ld_text"))).first()[0] or 0) / BATCH))
-    shares = [k / batches for k in range(1, batches)]
-    cuts = sorted(set(slim.agg(F.percentile_approx("_ld_id", shares, 10 * batches + 1000)).first()[0] or [])) if shares else []
-    bounds = [None, *cuts, None]
+    wanted = batches or 4
+    ranges = lambda n: F.percentile_approx("_ld_id", [k / n for k in range(1, n)], 10 * n + 1000) if n > 1 else F.array().cast("array<long>")
+    size, cuts = slim.agg(F.sum(F.octet_length("_ld_text")), ranges(wanted)).first()
+    if batches is None and (size or 0) > wanted * BATCH:
+        cuts = slim.agg(ranges(math.ceil(size / BATCH))).first()[0]
+    cuts = sorted(set(cuts or []))
+    number = F.aggregate(F.array(*[F.lit(c) for c in cuts]).cast("array<long>"), F.lit(0), lambda n, c: n + F.when(F.col("_ld_id") >= c, 1).otherwise(0))
     runs, dropped = LineRuns(spark, min_chars, fanout), []
     with sorted_buckets(spark):
-        for low, high in zip(bounds, bounds[1:], strict=False):
-            batch = slim
-            if low is not None:
-                batch = batch.filter(F.col("_ld_id") >= low)
-            if high is not None:
-                batch = batch.filter(F.col("_ld_id") < high)
-            dropped.append(runs.add(batch))
-        runs.close()
+        try:
+            lines = runs.lines(slim.withColumn("_ld_batch", number))
+            for k in range(len(cuts) + 1):
+                dropped.append(runs.add(lines.filter(F.col("_ld_batch") == k).drop("_ld_batch")))
+        finally:
+            runs.close()
     lost = spark.read.schema("_ld_id long, _ld_row long, _ld_pos int").parquet(*dropped)
     lost = lost.groupBy("_ld_id", "_ld_row").agg(F.collect_set("_ld_pos").alias("_ld_lost"))
     others = [c for c in docs.columns if not counts or c not in ("n_lines", "n_dropped")]
