@@ -27,13 +27,19 @@ from pyspark.sql import functions as F
 from .decontaminate import words_of
 
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
+#: What follows `SPDX-License-Identifier` for a label; words in braces must stand as they are.
+SPDX = {
+    "agpl": "{agpl}", "apache-2.0": "{apache} 2 0", "bsd": "{bsd}", "cc-by": "{cc} {by}", "cc-by-nc": "{cc} {by} {nc}", "cc-by-nc-nd": "{cc} {by} {nc} {nd}",
+    "cc-by-nc-sa": "{cc} {by} {nc} {sa}", "cc-by-nd": "{cc} {by} {nd}", "cc-by-sa": "{cc} {by} {sa}", "cc0": "{cc0}", "epl": "{epl}", "gpl": "{gpl}",
+    "isc": "{isc}", "lgpl": "{lgpl}", "mit": "{mit}", "mpl": "{mpl}", "unlicense": "{unlicense}", "zlib": "{zlib}",
+}
 #: Notices by label, as words; several for one label are alternatives, words in braces must stand as they are.
 NOTICES = [
     ("afl", "academic free license"),
     ("agpl", "gnu affero general public license"),
     ("apache-2.0", "licensed under the apache license version 2 0"),
     ("apache-2.0", "apache license version 2 0"),
-    ("artistic", "the artistic license"),
+    ("artistic", "the {artistic} license"),
     ("boost", "boost software license version 1 0"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
     ("bsd", "licensed under the {bsd} license"),
@@ -41,10 +47,20 @@ NOTICES = [
     ("cc-by", "creative commons attribution"),
     ("cc-by-nc", "creative commons attribution noncommercial"),
     ("cc-by-nc", "creative commons attribution non commercial"),
+    ("cc-by-nc", "{cc} {by} {nc}"),
+    ("cc-by-nc-nd", "creative commons attribution noncommercial noderivatives"),
+    ("cc-by-nc-nd", "creative commons attribution non commercial no derivatives"),
+    ("cc-by-nc-nd", "{cc} {by} {nc} {nd}"),
+    ("cc-by-nc-sa", "creative commons attribution noncommercial sharealike"),
+    ("cc-by-nc-sa", "creative commons attribution non commercial share alike"),
+    ("cc-by-nc-sa", "attribution noncommercial sharealike"),
+    ("cc-by-nc-sa", "{cc} {by} {nc} {sa}"),
     ("cc-by-nd", "creative commons attribution noderivatives"),
     ("cc-by-nd", "creative commons attribution no derivatives"),
+    ("cc-by-nd", "{cc} {by} {nd}"),
     ("cc-by-sa", "creative commons attribution sharealike"),
     ("cc-by-sa", "creative commons attribution share alike"),
+    ("cc-by-sa", "{cc} {by} {sa}"),
     ("cc0", "{no} rights reserved"),
     ("cc0", "creative commons {zero}"),
     ("epl", "eclipse public license"),
@@ -64,6 +80,7 @@ NOTICES = [
     ("reserved", "all rights reserved"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
     ("zlib", "this software is provided as is without any express or implied warranty"),
+    *((label, f"spdx license identifier {name}") for label, name in SPDX.items()),
 ]
 #: Characters of a notice for each edit that it may bear, and what an edit costs where notices overlap.
 SHARE, PENALTY = 9, 6

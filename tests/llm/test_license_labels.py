@@ -30,6 +30,23 @@ LABELLED = [
     ("This software is provided 'as-is', without any express or implied warranty", "zlib"),
     ("Dedicated to the public domain", "public-domain"),
     ("the house by the river", ""),
+    ("the autistic license", ""),
+    ("the artistic licence", "artistic"),
+    ("CC BY-SA 4.0", "cc-by,cc-by-sa"),
+    ("CC BY-NC-SA 4.0", "cc-by,cc-by-nc-sa"),
+    ("CC-BY-NC 3.0, CC BY ND", "cc-by,cc-by-nc,cc-by-nd"),
+    ("cc by 4.0", "cc-by"),
+    ("SPDX-License-Identifier: MIT", "mit"),
+    ("SPDX-License-Identifer: LGPL-2.1-only", "lgpl"),
+    ("SPDX-License-Identifier: GPL-2.0-or-later", "gpl"),
+    ("SPDX-License-Identifier: CC-BY-SA-4.0", "cc-by,cc-by-sa"),
+    ("SPDX-License-Identifier: Apache-2.0", "apache-2.0"),
+    ("SPDX-License-Identifier: none", ""),
+    ("Creative Commons Attribution-NonCommercial-ShareAlike", "cc-by-nc-sa"),
+    ("Creative Commons Attribution Non Commercial Share Alike", "cc-by-nc-sa"),
+    ("Creative Commons Attribution-NonCommercial-NoDerivatives 4.0", "cc-by-nc-nd"),
+    ("attribution non commercial sharealike", "cc-by-nc-sa"),
+    ("Creative Commons Attribution-NonCommercial 4.0", "cc-by-nc"),
     ("", ""),
 ]
 
