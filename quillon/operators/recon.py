@@ -49,7 +49,7 @@ def diff(rows: DataFrame, rule: str, kind: str, severity: Column | str, directio
 # Anchors and binding
 
 
-def anchors(lines: DataFrame) -> DataFrame:
+def anchor_list(lines: DataFrame) -> Column:
     """FN-55: the amounts by which a document can be known, in order, without those within the tolerance of an earlier one."""
     has = lambda c: F.col(c) if c in lines.columns else F.lit(None).cast(MONEY)
     every = [
@@ -59,8 +59,12 @@ def anchors(lines: DataFrame) -> DataFrame:
     ]
     rows = F.array(*[F.struct(F.lit(k).alias("rank"), F.lit(d).alias("direction"), a.cast(MONEY).alias("anchor")) for k, (d, a) in enumerate(every)])
     good = F.filter(rows, lambda r: r["anchor"] > 0)
-    fresh = F.filter(good, lambda r: ~F.exists(good, lambda o: (o["rank"] < r["rank"]) & (F.abs(o["anchor"] - r["anchor"]) <= money(TOL))))
-    return lines.select("business_no", F.inline(fresh))
+    return F.filter(good, lambda r: ~F.exists(good, lambda o: (o["rank"] < r["rank"]) & (F.abs(o["anchor"] - r["anchor"]) <= money(TOL))))
+
+
+def anchors(lines: DataFrame) -> DataFrame:
+    """A row for each anchor of each line."""
+    return lines.select("business_no", F.inline(anchor_list(lines)))
 
 
 def by_amount(docs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -162,16 +166,19 @@ def statements(lines: DataFrame, docs: DataFrame, numbers: list[str]) -> DataFra
 
 def subset_sums(docs: DataFrame, lines: DataFrame, most: int = 8) -> DataFrame:
     """FN-56: documents of a line and role that no side has taken, two to eight with amounts: the largest set whose sum is within
-    the tolerance of an anchor, of equals the first by mask.  Returns document_id, business_no, direction.  Masks are bounded (255)."""
-    open_ = docs.filter("direction = 'unknown' AND role <> 'other' AND amount IS NOT NULL")
-    groups = open_.groupBy("business_no", "role").agg(F.array_sort(F.collect_list(F.struct("document_id", "amount"))).alias("own")).filter(F.size("own").between(2, most))
-    masks = F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), F.size("own")) - 1)
-    picked = lambda m: F.filter(F.col("own"), lambda d, i: F.call_function("shiftright", m, i).bitwiseAND(1) == 1)
-    total = lambda m: F.aggregate(picked(m), F.lit(0).cast("decimal(28,2)"), lambda s, d: (s + d["amount"]).cast("decimal(28,2)"))
-    sums = groups.select("business_no", "role", F.explode(F.transform(masks, lambda m: F.struct(m.alias("mask"), total(m).cast(MONEY).alias("amount"), picked(m).alias("set")))).alias("s")).select("business_no", "role", "s.*")
-    hits = tolerance_join(sums, anchors(lines), "amount", "anchor", TOL, ["business_no"])
-    best = hits.groupBy("business_no", "role").agg(F.min_by(F.struct("set", "direction"), F.struct(-F.size("set"), F.col("mask"), F.col("rank"))).alias("b"))
-    return best.select("business_no", F.explode("b.set").alias("d"), F.col("b.direction").alias("direction")).select(F.col("d.document_id").alias("document_id"), "business_no", "direction")
+    the tolerance of an anchor, of equals the first by mask.  Returns document_id, business_no, direction.  Masks are bounded (255),
+    and their sums, made by doubling, stay within their group's row: documents and anchors are all that is shuffled."""
+    open_ = docs.filter("direction = 'unknown' AND role <> 'other' AND amount IS NOT NULL").select("document_id", "business_no", "role", "amount")
+    groups = open_.repartition("business_no").groupBy("business_no", "role").agg(F.array_sort(F.collect_list(F.struct("document_id", "amount"))).alias("own")).filter(F.size("own").between(2, most))
+    known = lines.select("business_no", anchor_list(lines).alias("_a")).filter(F.size("_a") > 0).groupBy("business_no").agg(F.flatten(F.collect_list("_a")).alias("_a"))
+    wide_ = "decimal(28,2)"
+    sums = F.aggregate("own", F.array(F.lit(0).cast(wide_)), lambda s, d: F.concat(s, F.transform(s, lambda x: (x + d["amount"]).cast(wide_))))
+    near = lambda s: F.transform(F.filter("_a", lambda a: F.abs(s - a["anchor"]) <= money(TOL)), lambda a: F.struct(a["rank"].alias("rank"), a["direction"].alias("direction")))
+    fits = F.transform("_sums", lambda s, m: F.struct((-F.bit_count(m)).alias("size"), m.alias("mask"), F.array_min(near(s)).alias("to")))
+    best = F.array_min(F.filter(fits, lambda f: (f["mask"] > 0) & f["to"].isNotNull()))
+    hits = groups.join(known, "business_no").withColumn("_sums", sums).select("business_no", "own", F.explode(F.filter(F.array(best), lambda b: b.isNotNull())).alias("b"))
+    picked = F.filter("own", lambda d, i: F.call_function("shiftright", F.col("b.mask"), i).bitwiseAND(1) == 1)
+    return hits.select("business_no", F.explode(picked).alias("d"), F.col("b.to.direction").alias("direction")).select(F.col("d.document_id").alias("document_id"), "business_no", "direction")
 
 
 def assign(lines: DataFrame, docs: DataFrame) -> DataFrame:

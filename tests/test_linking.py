@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.operators import cluster, joins, recon
 
@@ -89,3 +90,25 @@ def test_pictures_of_a_cell_against_the_loop(spark, seed):
         if not same:
             kept.append(r)
     assert got == want
+
+
+def test_few_and_many_words_are_found_alike(spark):
+    """Words that are looked for one by one and by the filter give what a loop does; equal keys aren't merged."""
+    r = random.Random(1)
+    word = lambda a, b: "".join(r.choice("ab中é-😀") for _ in range(r.randint(a, b)))
+    words = [word(1, 10) for _ in range(60)] + ["ab" * 20, "a" * 70, ""]
+    texts = [word(0, 80) for _ in range(60)] + [word(200, 900) for _ in range(10)] + ["x" * 250 + "ab" * 20 + "y", "z" * 255 + words[5], None, "", "q" * 100 + "a" * 71]
+    want = sorted({(x, y) for x in texts for y in words if x is not None and y and y in x})
+    t, w = spark.createDataFrame(list(enumerate(texts)), "k int, t string"), spark.createDataFrame([(x,) for x in words], "w string")
+    for few in (0, 200):
+        assert sorted(map(tuple, joins.containment_join(t, w, "t", "w", few=few).collect())) == want
+        keyed = joins.containment_join(t, w, "t", "w", few=few, key="k").collect()
+        assert sorted((texts[k], y) for k, y in keyed) == sorted((x, y) for x in texts for y in set(words) if x is not None and y and y in x)
+
+
+def test_subset_sums_make_no_row_for_each_mask(spark):
+    lines = spark.createDataFrame([("1", "10.00")], "business_no string, pay_amount string").withColumn("pay_amount", F.col("pay_amount").cast("decimal(18,2)"))
+    docs = spark.createDataFrame([(x, "1", "unknown", "invoice", a) for x, a in (("a", 4), ("b", 6), ("c", 3), ("d", 7), ("e", 0))], "document_id string, business_no string, direction string, role string, amount int")
+    sums = recon.subset_sums(docs.withColumn("amount", F.col("amount").cast("decimal(18,2)")), lines)
+    assert sorted(r.document_id for r in sums.collect()) == ["a", "b", "e"]
+    assert sums._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") <= 2
