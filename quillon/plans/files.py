@@ -13,6 +13,9 @@ from ..sources.shared import new_path
 from ..streaming import jobs
 from .catalogue import query
 
+#: Rows of a sheet of workbook_configured, and rows after which it begins a new file.
+SHEET, WORKBOOK = 50_000, 200_000
+
 
 @query("workbook_orders", """SELECT o_orderkey, o_custkey, o_orderstatus, CAST(o_totalprice AS DECIMAL(18,2)) AS o_totalprice, CAST(o_orderdate AS DATE) AS o_orderdate,
  o_orderkey % 2 = 0 AS even, CASE WHEN o_orderkey % 5 > 0 THEN o_orderpriority || ' <&> 中' END AS note FROM orders""")
@@ -62,11 +65,13 @@ def workbook_configured(spark, d):
     first = F.array(*[F.struct(F.lit("s").alias("t"), F.lit(n).alias("v")) for n in names])
     folder = new_path(spark, "configured")
     readers.register(spark)
-    part = out.withColumn("_part", F.spark_partition_id())
-    heads = part.select("_part").distinct().select(F.lit("list").alias("sheet"), F.array(F.lit("a title")).alias("header"), first.alias("cells"), "_part", F.lit(0).alias("_k"))
-    every = heads.unionByName(part.withColumn("_k", F.lit(1))).repartition("_part").sortWithinPartitions("_part", "_k")
-    every = every.select(F.concat("sheet", F.col("_part").cast("string")).alias("sheet"), "header", "cells")
-    every.to(T._parse_datatype_string(readers.SHEET_ROWS)).write.format("workbook").mode("append").option("rowsPerFile", 10**6).save(folder)
+    # Sheets of so many rows that each stays whole in its file: one that goes on in another file would have no header there.
+    at = F.monotonically_increasing_id()
+    place = F.col("_at").bitwiseAND((1 << 33) - 1)
+    block = out.withColumn("_at", at).withColumn("sheet", F.concat_ws("-", "sheet", F.shiftright("_at", 33), F.floor(place / SHEET)))
+    every = block.select("sheet", "header", "_at", F.posexplode(F.when(place % SHEET == 0, F.array(first, "cells")).otherwise(F.array("cells"))).alias("_k", "cells"))
+    every = every.repartition("sheet").sortWithinPartitions("sheet", "_at", "_k").select("sheet", "header", "cells")
+    every.to(T._parse_datatype_string(readers.SHEET_ROWS)).write.format("workbook").mode("append").option("wholeSheets", True).option("rowsPerFile", WORKBOOK).save(folder)
     found = workbook.configured_rows(sinks.cells_of(spark, folder))
     value = lambda f: F.col("fields")[f].alias(f)
     return found.select(value("contract_no"), value("date"), value("vessel"), value("unit_price"), value("unit_price_sale"), F.array_join("contracts", ",").alias("contracts"))

@@ -8,7 +8,8 @@ register(spark) makes them known.  The driver lists files and plans partitions;
                Options: sheet (exact, else the first that holds the name or is held by it; default: the first), headerRow
                (a number from 1, or auto: the first of ten rows with two mapped columns), merged (first or fill), partitionBytes,
                inferRows, onError (fail, or skip damaged files).
-`workbook` as a sink takes rows of (sheet, header, cells), see sinks.workbook_rows; rowsPerFile bounds a file.
+`workbook` as a sink takes rows of (sheet, header, cells), see sinks.workbook_rows; rowsPerFile bounds a file; with
+               wholeSheets a file ends only where a sheet does.
 `word`         path, text, lines, tables, sections, error of each word file.
 `folder`       A stream of the files of a folder, each version (path, size, time) once; see FolderStream.
 `archive`      A sink of (directory, filename, content): one file for each row, all published or none.
@@ -294,6 +295,7 @@ class WorkbookWriter(Staged):
     def __init__(self, options, overwrite: bool):
         super().__init__(options)
         self.overwrite, self.most = overwrite, int(options.get("rowsPerFile", 200_000))
+        self.whole = str(options.get("wholeSheets", "false")).lower() == "true"
 
     def write(self, rows):
         own, out = self.own(), []
@@ -305,7 +307,7 @@ class WorkbookWriter(Staged):
             file.close()
 
         for row in rows:
-            if writer is None or n >= self.most:
+            if writer is None or (n >= self.most and not (self.whole and row.sheet == sheet)):
                 if writer is not None:
                     closed()
                 name = f"part-{own.rpartition('/')[2].partition('-')[0].zfill(5)}-{len(out):04d}-{self.job}.xlsx"

@@ -250,3 +250,15 @@ def test_a_failed_move_is_taken_back(tmp_path, monkeypatch):
         writer.commit([readers.Written([(f"{writer.aside}/t/{k}", f"{base}/{k}") for k in range(3)]), None])
     writer.abort([])
     assert store.files(base) == []
+
+
+def test_sheets_stay_whole_when_a_task_has_more_rows_than_a_file(spark, sf, monkeypatch):
+    """Each file begins with its header, however many rows one task writes."""
+    import parity
+
+    from quillon import plans
+    from quillon.plans import files
+
+    monkeypatch.setattr(files, "SHEET", 100)
+    monkeypatch.setattr(files, "WORKBOOK", 150)
+    parity.check(spark, parity.connection(sf), sf, plans.QUERIES["workbook_configured"], plans.SQL["workbook_configured"])
