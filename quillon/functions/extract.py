@@ -178,8 +178,11 @@ NAME_RULES = [
 CANDIDATE = "array<struct<confidence:double,priority:double,rule:string,source:string,value:string>>"
 
 
-def candidates(text: Column, rules: list[Rule], field: str, source: str = "RULE") -> Column:
-    """The candidates of one field, best first, one for each value."""
+HIT = "array<struct<p:double,c:double,rule:string,value:string>>"
+
+
+def hits(text: Column, rules: list[Rule], field: str) -> Column:
+    """What the rules of one field find."""
     is_invoice = text.rlike(INVOICE)
     own = []
     for rule in rules:
@@ -188,8 +191,13 @@ def candidates(text: Column, rules: list[Rule], field: str, source: str = "RULE"
             value = F.when(is_invoice, value) if rule.invoice else value
             own.append(F.struct(F.lit(-float(rule.priority)).alias("p"), F.lit(-rule.confidence).alias("c"), F.lit(rule.name).alias("rule"), value.alias("value")))
     if not own:
-        return F.array().cast(CANDIDATE)
-    hits = F.filter(F.array(*own), lambda h: h["value"].isNotNull())
+        return F.array().cast(HIT)
+    return F.filter(F.array(*own), lambda h: h["value"].isNotNull()).cast(HIT)
+
+
+def candidates(hits: Column, source: str = "RULE") -> Column:
+    """The candidates of one field, best first, one for each value.  `hits` is read for each hit, so it must be a column that is there
+    already: as an expression all rules would be matched again for each hit."""
     # of one value the candidate of highest confidence, then highest priority, stays
     best = F.filter(hits, lambda h: ~F.exists(hits, lambda o: (o["value"] == h["value"]) & ((o["c"] < h["c"]) | ((o["c"] == h["c"]) & (o["p"] < h["p"])))))
     entry = lambda h: F.struct((-h["c"]).alias("confidence"), (-h["p"]).alias("priority"), h["rule"].alias("rule"), F.lit(source).alias("source"), h["value"].alias("value"))
@@ -204,12 +212,13 @@ def extract(docs: DataFrame, key: str, text: str, filename: str | None = None, f
     every = [
         F.struct(
             F.lit(field).alias("field"), F.lit(k).alias("position"),
-            candidates(F.col("_text"), TEXT_RULES, field).alias("own"),
-            candidates(F.trim(F.coalesce(F.col("_name"), F.lit(""))), NAME_RULES, field, "FILENAME").alias("spare"),
+            hits(F.col("_text"), TEXT_RULES, field).alias("own"),
+            hits(F.trim(F.coalesce(F.col("_name"), F.lit(""))), NAME_RULES, field).alias("spare"),
         )
         for k, field in enumerate(fields)
     ]
-    long = rows.select(key, F.inline(F.array(*every)))
+    long = rows.select(key, F.inline(F.array(*every))).filter("size(own) > 0 OR size(spare) > 0")
+    long = long.withColumns({"own": candidates(F.col("own")), "spare": candidates(F.col("spare"), "FILENAME")})
     chosen = F.when(F.size("own") > 0, F.get("own", F.lit(0))).otherwise(F.get("spare", F.lit(0)))
     out = long.withColumn("_best", chosen).filter(F.col("_best").isNotNull())
     rest = F.transform(F.slice("own", F.lit(2), F.greatest(F.size("own") - 1, F.lit(0))), lambda c: c["value"])

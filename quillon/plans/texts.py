@@ -236,7 +236,8 @@ def trade_fields(spark, d):
     contract = F.replace(fill(CONTRACT, "2026-0027", text_of("2026-", four)), F.lit("8,500,000.00"), amount)
     rows = keyed(spark, d, contract, fill(INVOICE, "26332000000123456789", text_of("26332000000", nine)), fill(RECEIPT, "1,500,000.00", amount), F.lit(""), table="customer", key="c_custkey")
     name = F.when(F.col("id") % 4 == 3, text_of("SJWLCG（DD）-2026-", F.lpad((F.col("id") % 10000).cast("string"), 4, "0"), "_海兴168船_铁矿粉.pdf")).otherwise("a.pdf")
-    return extract.extract(rows.withColumn("name", name), "id", "v", "name").select("id", "field", "value", "confidence", "rule")
+    rows = rows.withColumn("name", name).repartition(4 * spark.sparkContext.defaultParallelism, "id")  # the table is small, but the rules take long
+    return extract.extract(rows, "id", "v", "name").select("id", "field", "value", "confidence", "rule")
 
 
 @query("field_conflicts", f"""{with_(FIELDS)}, c AS (SELECT document_id, field_name, field_value, row_number() OVER (PARTITION BY document_id ORDER BY field_value DESC, id) AS r FROM fields)

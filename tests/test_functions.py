@@ -128,3 +128,15 @@ def test_norm_properties(spark, values):
     for r in twice.collect():
         assert r.a == r.b and r.d == r.e
         assert r.c == ([] if not r.b else r.c) and all(r.c) and (not r.b or r.c[0] == r.b)
+
+
+def test_rules_are_matched_once_for_each_text(spark):
+    """The candidates of a field are merged from what the rules found, without matching them again for each."""
+    from quillon.functions import extract
+
+    docs = spark.createDataFrame([(1, "签订日期：2026-06-08")], "id int, v string")
+    found = extract.extract(docs, "id", "v", fields=["date"])
+    assert [(r.value, r.rule) for r in found.collect()] == [("2026-06-08", "date_context")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    merging = [line for line in plan.splitlines() if "exists(" in line]
+    assert merging and not any("regexp_extract" in line for line in merging)
