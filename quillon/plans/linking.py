@@ -362,11 +362,11 @@ def payment_sums(spark, d):
 @query("containment_join", """WITH w AS (SELECT DISTINCT r_name AS word FROM region UNION SELECT n_name FROM nation UNION SELECT unnest(['the', 'de', 'x', 'rights', 'a b']))
  SELECT doc_id, word FROM documents, w WHERE contains(coalesce(text, ''), word)""")
 def containment_join(spark, d):
-    """Whole texts of all documents against names and short words, equal texts compared once."""
+    """Whole texts of all documents against names and short words."""
     names = t.table(spark, d, "region").select(F.col("r_name").alias("word")).union(t.table(spark, d, "nation").select("n_name"))
     words = names.union(spark.createDataFrame([("the",), ("de",), ("x",), ("rights",), ("a b",)], "word string"))
     docs = t.table(spark, d, "documents").select("doc_id", "text")
-    return docs.join(joins.containment_join(docs, words, "text", "word"), "text").select("doc_id", "word")
+    return joins.containment_join(docs, words, "text", "word", key="doc_id")
 
 
 @query("image_duplicates", f"""{with_(LINES)}, p AS (SELECT document_id, business_no, direction, role, floor(amount / 20000) AS amount, CAST(regexp_extract(document_id, '(\\d+)$', 1) AS INT) % 3 AS h FROM lines WHERE direction IN ('up', 'down') AND amount IS NOT NULL),
