@@ -6,6 +6,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .. import config
 from ..functions.hashing import as_bits
@@ -121,9 +122,18 @@ def same_image(a: DataFrame, key: str, limit: int = config.DHASH_LIMIT, toleranc
     bits = as_bits(F.col("phash"))
     rows = a.filter(bits.isNotNull() & F.col("img_w").isNotNull() & F.col("img_h").isNotNull()).select(F.col(key).alias("id"), *by, bits.alias("bits"), "img_w", "img_h", "amount")
     own = [*by, "bits", "img_w", "img_h", "amount"]
-    classes = rows.groupBy(*own).agg(F.min("id").alias("class_id"))
-    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"c.{c}")) for c in own]
-    members = rows.alias("r").join(classes.alias("c"), same).select("r.id", "class_id", *[f"r.{c}" for c in by])
+    if by:
+        # Groups are small: each row goes to its group once, a class is the row that names it, and the only one of a group meets no other.
+        group = Window.partitionBy(*by)
+        rows = rows.repartition(*by).withColumn("class_id", F.min("id").over(Window.partitionBy(*own)))
+        rows = rows.withColumn("_alone", F.min("class_id").over(group) == F.max("class_id").over(group))
+        members = written(rows, "image-members")
+        classes = members.filter("id = class_id AND NOT _alone").drop("id", "_alone")
+        members = members.select("id", "class_id", *by)
+    else:
+        classes = rows.groupBy(*own).agg(F.min("id").alias("class_id"))
+        same = [F.col(f"r.{c}").eqNullSafe(F.col(f"c.{c}")) for c in own]
+        members = rows.alias("r").join(classes.alias("c"), same).select("r.id", "class_id")
     cuts = [64 * k // (limit + 1) for k in range(limit + 2)]
     bands = F.array(*[F.struct(F.lit(k).alias("band"), F.shiftrightunsigned(F.col("bits"), x).bitwiseAND(F.lit((1 << (y - x)) - 1)).alias("part")) for k, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False))])
     keyed = classes.select("class_id", *own, F.inline(bands))
@@ -136,12 +146,13 @@ def same_image(a: DataFrame, key: str, limit: int = config.DHASH_LIMIT, toleranc
 
 def image_leaders(docs: DataFrame, key: str, by: list[str]) -> DataFrame:
     """id, kept_id and `by` of pictures, by ascending id within `by`: each is kept, or is a copy of the first kept one that is the same
-    picture.  A class is decided once.  A class without an undecided smaller neighbour is kept, and its neighbours are copies; a round
-    decides at least the first class of each chain, so rounds grow with chains of pictures a bit apart, not with copies."""
+    picture.  A class is decided once: at once if no other is near to it, else in rounds.  One without an undecided smaller neighbour is
+    kept, and its neighbours are copies; a round decides at least the first class of each chain, so rounds grow with chains of pictures
+    a bit apart, not with copies."""
     with scratch(docs.sparkSession) as keep:
         members, pairs = same_image(docs, key, by=by)
-        members, edges = keep(members, "image-members"), keep(pairs.select("a", "b"), "image-pairs")
-        open_, kept = keep(members.select(F.col("class_id").alias("node")).distinct(), "image-open"), None
+        edges = keep(pairs.select("a", "b"), "image-pairs")
+        open_, kept = keep(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "image-open"), None
         while not open_.isEmpty():
             waits = edges.join(open_.select(F.col("node").alias("a")), "a", "left_semi").select(F.col("b").alias("node")).distinct()
             new = keep(open_.join(waits, "node", "left_anti"), "image-kept")
@@ -151,4 +162,5 @@ def image_leaders(docs: DataFrame, key: str, by: list[str]) -> DataFrame:
             return members.select("id", F.col("class_id").alias("kept_id"), *by)
         copies = edges.join(kept.select(F.col("node").alias("a")), "a", "left_semi").join(kept.select(F.col("node").alias("b")), "b", "left_anti")
         first = kept.select("node", F.col("node").alias("kept_id")).union(copies.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("kept_id")))
-        return written(members.join(first, F.col("class_id") == F.col("node")).select("id", "kept_id", *by), "image-leaders")
+        first = written(first, "image-leaders")
+    return members.join(first, F.col("class_id") == F.col("node"), "left").select("id", F.coalesce("kept_id", "class_id").alias("kept_id"), *by)

@@ -226,9 +226,9 @@ def unique_in_cell(docs: DataFrame) -> DataFrame:
     if "phash" in docs.columns:
         found = image_leaders(docs, "document_id", CELL).filter("id <> kept_id")
         found = found.select(F.col("id").alias("document_id"), F.col("kept_id").alias("_image"), *CELL)
-        rows = written(docs.join(found, ["document_id", *CELL], "left").select(*docs.columns, "_image"), "cell-images")
-        copies = rows.filter("_image IS NOT NULL").withColumn("kept_id", F.col("_image"))
-        return copies.drop("_image").unionByName(same_key(rows.filter("_image IS NULL").drop("_image")))
+        own = ["document_id", *CELL]
+        copies = docs.join(found, own).select(*docs.columns, F.col("_image").alias("kept_id"))
+        return copies.unionByName(same_key(docs.join(found, own, "left_anti")))
     return same_key(docs)
 
 

@@ -81,3 +81,18 @@ def test_bins_of_amounts_are_longs(spark):
     assert "decimal(30,0)" not in plan(out)
     assert sorted((r.k, r.j) for r in out.collect()) == [(1, 1), (2, 2)]
     assert sorted((r.k, r.j) for r in joins.tolerance_join(a, b, "x", "y", "0.0001").collect()) == []
+
+
+def test_pictures_without_neighbours_take_no_rounds(spark, monkeypatch):
+    """Copies alone: members and links are all that is written, and rows of a group go to it once."""
+    from quillon.operators import cluster
+    from quillon.sources import shared
+
+    made, write = [], shared.written_to
+    monkeypatch.setattr(shared, "written_to", lambda df, path, **o: (made.append(path), write(df, path, **o))[1])
+    docs = docs_of(spark).withColumns({"phash": F.lit("0" * 16), "img_w": F.lit(9), "img_h": F.lit(8), "amount": F.lit(None).cast("decimal(18,2)")})
+    got = {r.id: r.kept_id for r in cluster.image_leaders(docs.filter("direction IS NOT NULL"), "document_id", recon.CELL).collect()}
+    assert got == {"a": "a", "b": "a", "c": "a", "d": "a", "e": "e", "f": "f"}
+    assert len(made) <= 3
+    out = recon.unique_in_cell(docs.filter("direction IS NOT NULL"))
+    assert sorted((r.document_id, r.kept_id) for r in out.collect()) == [("a", "a"), ("b", "a"), ("c", "a"), ("d", "a"), ("e", "e"), ("f", "f")]
