@@ -96,3 +96,10 @@ def test_pictures_without_neighbours_take_no_rounds(spark, monkeypatch):
     assert len(made) <= 3
     out = recon.unique_in_cell(docs.filter("direction IS NOT NULL"))
     assert sorted((r.document_id, r.kept_id) for r in out.collect()) == [("a", "a"), ("b", "a"), ("c", "a"), ("d", "a"), ("e", "e"), ("f", "f")]
+
+
+def test_only_pairs_are_counted_without_a_window(spark):
+    pairs = spark.createDataFrame([(1, "x", 1), (2, "y", None), (2, "y", None), (3, None, None), (None, "z", 4)], "a int, b string, c int")
+    out = joins.unique_hits(pairs, "a")
+    assert "Window" not in plan(out)
+    assert {tuple(r) for r in out.collect()} == {(1, "x", 1), (3, None, None), (None, "z", 4)}
