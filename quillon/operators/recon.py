@@ -57,9 +57,13 @@ def anchor_list(lines: DataFrame) -> Column:
         ("down", has("down_contract_amount")), ("down", has("down_settlement")), ("down", has("receipt_amount")), ("down", has("interest_received")),
         ("down", has("receipt_amount") + has("interest_received")), ("down", has("down_settlement") + has("interest_received")),
     ]
-    rows = F.array(*[F.struct(F.lit(k).alias("rank"), F.lit(d).alias("direction"), a.cast(MONEY).alias("anchor")) for k, (d, a) in enumerate(every)])
-    good = F.filter(rows, lambda r: r["anchor"] > 0)
-    return F.filter(good, lambda r: ~F.exists(good, lambda o: (o["rank"] < r["rank"]) & (F.abs(o["anchor"] - r["anchor"]) <= money(TOL))))
+    # Spelt out for each amount, as nested lambdas aren't compiled.
+    known = [(k, d, a.cast(MONEY)) for k, (d, a) in enumerate(every)]
+    good = lambda a: F.coalesce(a > 0, F.lit(False))
+    near = lambda a, b: good(b) & F.coalesce(F.abs(b - a) <= money(TOL), F.lit(False))
+    first = lambda k, a: reduce(lambda x, y: x & ~near(a, y), [b for j, _, b in known if j < k], good(a))
+    rows = F.array(*[F.when(first(k, a), F.struct(F.lit(k).alias("rank"), F.lit(d).alias("direction"), a.alias("anchor"))) for k, d, a in known])
+    return F.filter(rows, lambda r: r.isNotNull())
 
 
 def anchors(lines: DataFrame) -> DataFrame:
@@ -391,7 +395,8 @@ def r5_membership(lines: DataFrame, docs: DataFrame, numbers: list[str]) -> Data
     known = lines.select("business_no", every.alias("_own"), anchor_list(lines).alias("_a")).groupBy("business_no").agg(F.collect_list("_own").alias("_owns"), F.flatten(F.collect_list("_a")).alias("_a"))
     own = docs.filter("direction <> 'unknown' AND coalesce(contract_no, '') <> ''").select("business_no", "document_id", "direction", "role", "contract_no", "amount").join(known, "business_no")
     own = own.withColumn("_variants", contract_variants(F.col("contract_no")))
-    rows = own.withColumn("_alien", F.explode(F.filter("_owns", lambda o: ~F.arrays_overlap("_variants", o))))
+    # explode() would have the filter evaluated once more, to tell whether anything is left
+    rows = own.withColumn("_alien", F.explode_outer(F.filter("_owns", lambda o: ~F.arrays_overlap("_variants", o)))).filter("_alien IS NOT NULL")
     near = F.exists("_a", lambda a: F.abs(F.col("amount") - a["anchor"]) <= money(TOL))
     return diff(rows, "R5", "chain_break", F.when(near, "INFO").otherwise("WARNING"), F.col("direction"), F.col("role"), actual=F.col("contract_no"), ids=F.array("document_id"))
 
