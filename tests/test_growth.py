@@ -34,3 +34,23 @@ def test_names_that_nothing_reads_are_not_joined(spark):
     assert "Join" not in plan_of(docs.drop("seller")) and "Join" in plan_of(docs)
     assert "Join" not in plan_of(lines.drop("customer", "segment")) and "Join" in plan_of(lines)
     assert plan_of(recon.r5_membership(lines, docs, ["up_contract_no"])).count("Join") == 1
+
+
+def test_files_of_shuffles_and_of_steps_go(spark):
+    """Of binding two tables stay: the one it returns and nothing else, and no shuffle's files."""
+    from pathlib import Path
+
+    from quillon.sources.shared import CLEANUP, shared_dir
+
+    top = Path(shared_dir(spark).removeprefix("file://"))
+    local = Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0].toString())
+    files = lambda: {p.name for p in local.rglob("shuffle_*.data")}
+    lines = spark.createDataFrame([("1", "CG-1", "XS-1", "Works-1 Ltd", "Client-1 Ltd", "MV1X", 10)], "business_no string, up_contract_no string, down_contract_no string, supplier string, customer string, vessel string, up_settlement int")
+    docs = spark.createDataFrame([("a", "CG-1", "unknown", "invoice", 5, "", "", ""), ("b", "", "unknown", "invoice", 10, "", "", ""), ("c", "", "unknown", "invoice", None, "Works-1 Ltd", "", "")], "document_id string, contract_no string, direction string, role string, amount int, seller string, company string, text string")
+    before, old = files(), {p.name for p in top.glob("*")} if top.exists() else set()
+    bound, pool = recon.bind(lines, docs, ["up_contract_no"], ["down_contract_no"])
+    assert {r.document_id: r.basis for r in bound.collect()} == {"a": "number", "b": "amount", "c": "party"}
+    assert [p.name.split("-")[0] for p in top.glob("*") if p.name not in old] == ["bound"]
+    assert spark.conf.get(CLEANUP) == "false"
+    recon.written(docs.repartition(3, "document_id").groupBy("document_id").count(), "counted")
+    assert not [f for f in files() - before if f]
