@@ -10,6 +10,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Tasks for each core that read a folder of small files.
+TASKS = 4
+
+
+def together(files: DataFrame) -> DataFrame:
+    """Files are read one after the other by some tasks for each core: Spark counts each as 4 MB, so it would deal small ones out a few to
+    a task."""
+    return files.coalesce(TASKS * files.sparkSession.sparkContext.defaultParallelism)
+
+
 #: Kinds of files by extension.
 KINDS = {
     "pdf": "pdf", "png": "image", "jpg": "image", "jpeg": "image", "bmp": "image", "tif": "image", "tiff": "image", "webp": "image",

@@ -20,7 +20,9 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from collections import Counter
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import date, datetime, timezone
 from decimal import ROUND_HALF_UP, Decimal, InvalidOperation
@@ -36,6 +38,8 @@ from .files import KINDS
 from .office import DamagedFile, SheetWriter, Workbook, word_lines
 from .workbook import sheet_named
 
+#: Moves that a commit has under way at once.
+MOVERS = 16
 CELLS = "path string, sheet string, place int, row int, cells array<string>"
 SHEET_ROWS = "sheet string, header array<string>, cells array<struct<t:string,v:string>>"
 WORDS = "path string, text string, lines array<string>, tables array<array<array<string>>>, sections int, error string"
@@ -270,18 +274,16 @@ class Staged(DataSourceWriter):
         """Moves all, or, if a target is there already or a move fails, none."""
         targets = [t for _, t in files]
         if len(set(targets)) < len(targets):
-            raise FileExistsError(f"a name occurs twice: {next(t for t in sorted(targets) if targets.count(t) > 1)}")
-        if there := next((t for t in targets if store.exists(t)), None):
-            raise FileExistsError(there)
-        done = []
-        try:
-            for source, target in files:
-                store.move(source, target)
-                done.append((source, target))
-        except Exception:
-            for source, target in reversed(done):
-                store.move(target, source)
-            raise
+            raise FileExistsError(f"a name occurs twice: {min(t for t, n in Counter(targets).items() if n > 1)}")
+        with ThreadPoolExecutor(MOVERS) as many:  # a move waits for the store, so many wait together
+            if there := next((t for t, is_ in zip(targets, many.map(store.exists, targets), strict=True) if is_), None):
+                raise FileExistsError(there)
+            moves = [(source, target, many.submit(store.move, source, target)) for source, target in files]
+        if failed := next((e for *_, m in moves if (e := m.exception())), None):
+            for source, target, m in reversed(moves):
+                if not m.exception():
+                    store.move(target, source)
+            raise failed
 
     def commit(self, messages) -> None:
         self.publish(sorted(f for m in messages if m is not None for f in m.files))
@@ -469,7 +471,7 @@ class ArchiveSource(DataSource):
 
 class ArchiveWriter(Staged):
     """SNK-01, SNK-12: names must be new; sinks.archived makes them so.  A name that is taken meanwhile fails the job, and then
-    nothing is published.  The driver moves the files one by one, so this is for files that people read; tables are for the rest."""
+    nothing is published.  The driver moves the files, some at once, so this is for files that people read; tables are for the rest."""
 
     def write(self, rows):
         own, out = self.own(), []

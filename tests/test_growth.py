@@ -54,3 +54,18 @@ def test_files_of_shuffles_and_of_steps_go(spark):
     assert spark.conf.get(CLEANUP) == "false"
     recon.written(docs.repartition(3, "document_id").groupBy("document_id").count(), "counted")
     assert not [f for f in files() - before if f]
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    from quillon.sources import files, pictures
+
+    for k in range(200):
+        (tmp_path / f"{k}.png").write_bytes(pictures.png(1, 1, 1, bytes([k])))
+    most = files.TASKS * spark.sparkContext.defaultParallelism
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")  # one file to a task
+    try:
+        rows = pictures.scan(spark, f"file://{tmp_path}")
+        assert rows.rdd.getNumPartitions() <= most < 200 and rows.count() == 200
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
