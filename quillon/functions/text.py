@@ -250,15 +250,27 @@ LIKE = "".join(config.DIGIT_LIKE)
 LETTERS = {"".join(k for k, v in config.DIGIT_LIKE.items() if v == digit): digit for digit in config.DIGIT_LIKE.values()}
 
 
+def as_digits(c: Column, before: str, after: str = "") -> Column:
+    """The letters that stand for digits between two patterns, as digits.  One pass marks them all, and marked letters are plain text to
+    replace.  What stands before is looked at once a letter is found: such a look tries each length, and would do so at every place."""
+    c = F.regexp_replace(c, f"[{LIKE}]{after}(?<={before}.)", f"{A}{B}$0")
+    for letter, digit in config.DIGIT_LIKE.items():
+        c = F.replace(c, F.lit(A + B + letter), F.lit(digit))
+    return c
+
+
 def repair_digits(c: Column) -> Column:
     """FN-36: letters that stand for digits, between digits or after a currency sign.  White space after the sign
     goes.  The sign stays once, as documented (the original's code doubles it)."""
+    after = rf"(?=[{LIKE}]{{0,40}}\d)"
+    one = as_digits(c, rf"\d[{LIKE}]{{0,40}}", after)
+    # In longer runs a letter may be near to a digit only once another has become one.
+    each = c
     for letters, digit in LETTERS.items():
-        c = F.regexp_replace(c, rf"(?<=\d[{LIKE}]{{0,40}})[{letters}](?=[{LIKE}]{{0,40}}\d)", digit)
+        each = F.regexp_replace(each, rf"[{letters}]{after}(?<=\d[{LIKE}]{{0,40}}.)", digit)
+    c = F.when(c.rlike(f"[{LIKE}]{{42}}"), each).otherwise(one)
     c = F.regexp_replace(c, rf"(?<=[¥￥])[ \t]+(?=[{LIKE}\d])", "")
-    for letters, digit in LETTERS.items():
-        c = F.regexp_replace(c, rf"(?<=[¥￥][{LIKE}\d]{{0,40}})[{letters}]", digit)
-    return c
+    return as_digits(c, rf"[¥￥][{LIKE}\d]{{0,40}}")
 
 
 def unify_dates(c: Column) -> Column:
@@ -274,9 +286,7 @@ def unify_dates(c: Column) -> Column:
 def repair_invoice_no(c: Column) -> Column:
     """FN-38: letters that stand for digits in an invoice number or code."""
     label = r"(?:发票号码|发票号|发票代码|代码)[:：]?[ \t]{0,8}"
-    for letters, digit in LETTERS.items():
-        c = F.regexp_replace(c, rf"(?<={label}[0-9A-Za-z\-_/]{{0,30}})[{letters}]", digit)
-    return c
+    return as_digits(c, rf"{label}[0-9A-Za-z\-_/]{{0,30}}")
 
 
 def invoice_length_ok(c: Column) -> Column:

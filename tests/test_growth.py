@@ -69,3 +69,29 @@ def test_small_files_share_tasks(spark, tmp_path):
         assert rows.rdd.getNumPartitions() <= most < 200 and rows.count() == 200
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_letters_become_digits_in_one_pass(spark):
+    """As many patterns as it takes, none of which begins by looking back over many lengths, and what a pass for each letter gives."""
+    def slow(c):
+        like = text.LIKE
+        for letters, digit in text.LETTERS.items():
+            c = F.regexp_replace(c, rf"(?<=\d[{like}]{{0,40}})[{letters}](?=[{like}]{{0,40}}\d)", digit)
+        c = F.regexp_replace(c, rf"(?<=[¥￥])[ \t]+(?=[{like}\d])", "")
+        for letters, digit in text.LETTERS.items():
+            c = F.regexp_replace(c, rf"(?<=[¥￥][{like}\d]{{0,40}})[{letters}]", digit)
+        return c
+
+    def slow_invoice(c):
+        for letters, digit in text.LETTERS.items():
+            c = F.regexp_replace(c, rf"(?<=(?:发票号码|发票号|发票代码|代码)[:：]?[ \t]{{0,8}}[0-9A-Za-z\-_/]{{0,30}})[{letters}]", digit)
+        return c
+
+    runs = ["".join("OIlsSBbGgZzTt"[(k * 7 + n) % 13] for k in range(n)) for n in (1, 2, 3, 39, 40, 41, 42, 43, 60, 80, 81, 82, 83, 90)]
+    values = [None, "", "1O0,5S0", "O1", "¥ 1O0,5S0.00 元", "￥\tOOx5S", "¥x1S", "losses in 2O26 total", "1\nO2", "1😀O2 ¥😀S", "\x01O 1O2 \x01", "发票号：2O\t代码 ABOS-_/Is", "发票代码" + "O" * 35, "代码:" + " " * 9 + "O", *[a + r + b for r in runs for a in ("", "1", "¥", "代码: ") for b in ("", "2", "x2")]]
+    rows = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "id int, v string")
+    v = F.coalesce("v", F.lit(""))
+    got = rows.select(text.repair_digits(v).alias("a"), slow(v).alias("b"), text.repair_invoice_no(v).alias("c"), slow_invoice(v).alias("d")).collect()
+    assert all(r.a == r.b and r.c == r.d for r in got)
+    assert {"100,550", "¥100,550.00 元", "losses in 2026 total"} <= {r.a for r in got}
+    assert plan_of(rows.select(text.repair_invoice_no(v).alias("x"))).count("regexp_replace(") == 1
