@@ -177,8 +177,8 @@ def normal_lines(c: Column) -> Column:
 
 
 def normal_spaces(c: Column) -> Column:
-    """FN-30."""
-    return F.regexp_replace(F.translate(c, "　", " "), r"[ \t]+", " ")
+    """FN-30: white space of a line is one space; single spaces, which most are, are not rewritten."""
+    return F.regexp_replace(F.replace(c, F.lit("　"), F.lit(" ")), r"[ \t]{2,}|\t", " ")
 
 
 def fold_repeats(c: Column) -> Column:
@@ -210,8 +210,14 @@ def normal_amounts(c: Column) -> Column:
 
 
 def clean_text(c: Column) -> Column:
-    """FN-33: the whole cleaning; null is ''."""
-    return F.regexp_replace(normal_amounts(normal_dates(fold_repeats(normal_spaces(normal_lines(F.coalesce(c, F.lit(""))))))), r"(?U)^\s+|\s+$", "")
+    """FN-33: the whole cleaning; null is ''.  Dates and amounts are looked for only in texts that hold what every one of their
+    patterns needs (or a mark), which lines, spaces and repeats can't bring in."""
+    c = F.coalesce(c, F.lit(""))
+    folded = fold_repeats(normal_spaces(normal_lines(c)))
+    some = c.rlike(r"\d{4}[-/.]\d")
+    for sign in ("年", "元", "¥", "￥", "人民币", "RMB", A, B):
+        some = some | F.contains(c, F.lit(sign))
+    return F.trim(F.when(some, normal_amounts(normal_dates(folded))).otherwise(folded), F.lit(SPACES))
 
 
 def clean_tables(tables: Column) -> Column:

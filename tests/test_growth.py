@@ -95,3 +95,20 @@ def test_letters_become_digits_in_one_pass(spark):
     assert all(r.a == r.b and r.c == r.d for r in got)
     assert {"100,550", "¥100,550.00 元", "losses in 2026 total"} <= {r.a for r in got}
     assert plan_of(rows.select(text.repair_invoice_no(v).alias("x"))).count("regexp_replace(") == 1
+
+
+def test_texts_without_dates_and_amounts_skip_them(spark):
+    """The same texts as by every step, and the steps of dates and amounts behind a condition."""
+
+    def whole(c):
+        lines = F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"\r\n?", "\n"), r"\n{3,}", "\n\n")
+        spaces = F.regexp_replace(F.translate(lines, "　", " "), r"[ \t]+", " ")
+        return F.regexp_replace(text.normal_amounts(text.normal_dates(text.fold_repeats(spaces))), r"(?U)^\s+|\s+$", "")
+
+    values = [None, "", " \u3000\xa0\n", "a  b\tc \t d　e　　f", "x\r\n\r\n\r\n\ry !!!!!\u2028", "2026-6-8", "on 2026/6/8.", "2026 . 6", "2026年6月8日", "２０２６年６月８日", "2026年6月", "1,000 元", "RMB 1,0", "人民币\t2,000.5", "¥3,0", "￥ 4,0元",
+              "a\x01b", "a\x02b", "20000000-1-1", "5555555.5.5 b", "plain words, 12-3 and 1.5", "\t\ta\t\t", "😀😀😀😀😀 \t"]
+    rows = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "id int, v string")
+    got = rows.select("v", text.clean_text(F.col("v")).alias("a"), whole(F.col("v")).alias("b")).collect()
+    assert [(r.v, r.a) for r in got] == [(r.v, r.b) for r in got]
+    plan = plan_of(rows.select(text.clean_text(F.col("v")).alias("x")))
+    assert "CASE WHEN" in plan
