@@ -52,6 +52,8 @@ def first_link(files: DataFrame, entity: str = "document_id") -> DataFrame:
 
 #: Characters up to which numbers are compared by what is left of them, and different lengths of which each has a bound of its own.
 SHORT, LENGTHS = 40, 200
+#: Numbers whose texts a task makes; each has some hundreds.
+SPREAD = 2000
 
 
 def without(text: Column, most: int) -> Column:
@@ -64,6 +66,11 @@ def without(text: Column, most: int) -> Column:
     return out
 
 
+def spread(numbers: DataFrame) -> DataFrame:
+    """Numbers over as many tasks as they need: a small file of them would be one task's, with all their texts."""
+    return numbers.repartition(numbers.count() // SPREAD + 1)
+
+
 def top_two(asked: DataFrame, known: DataFrame, key: str, least: float, gap: float, near: int = 2, block: int = 2000) -> DataFrame:
     """WIN-09: key, known_no, score and next of the two most similar known numbers of each asked one (`_norm` and `_known`), exactly as if all
     were compared, as far as the outcome asks for it: a score of `least` or more, and whether the next is closer than `gap`.
@@ -78,8 +85,8 @@ def top_two(asked: DataFrame, known: DataFrame, key: str, least: float, gap: flo
     out, open_ = None, asked.select(key, "_norm")
     sizes = sorted(r[0] for r in known.select(F.char_length("_known")).distinct().limit(LENGTHS + 1).collect())
     for k in range(1, near + 1):
-        left = open_.filter(F.char_length("_norm") <= SHORT).withColumn("_text", F.explode(without(F.col("_norm"), k)))
-        right = known.filter(F.char_length("_known") <= SHORT + k).withColumn("_text", F.explode(without(F.col("_known"), k)))
+        left = spread(open_.filter(F.char_length("_norm") <= SHORT)).withColumn("_text", F.explode(without(F.col("_norm"), k)))
+        right = spread(known.filter(F.char_length("_known") <= SHORT + k)).withColumn("_text", F.explode(without(F.col("_known"), k)))
         pairs = left.join(right, "_text").select(key, "_norm", "known_no", "_known").distinct()
         found = best(pairs.withColumn("score", ratio("_norm", "_known")))
         found = open_.select(key, F.char_length("_norm").alias("_size")).join(found.drop("_norm", "_known"), key, "left")

@@ -112,3 +112,17 @@ def test_texts_without_dates_and_amounts_skip_them(spark):
     assert [(r.v, r.a) for r in got] == [(r.v, r.b) for r in got]
     plan = plan_of(rows.select(text.clean_text(F.col("v")).alias("x")))
     assert "CASE WHEN" in plan
+
+
+def test_texts_of_numbers_are_made_in_many_tasks(spark, monkeypatch):
+    """Numbers come in one small file; their texts, some hundreds each, are not made by its task alone."""
+    from quillon.operators import dossier
+
+    made, whole = [], dossier.spread
+    monkeypatch.setattr(dossier, "SPREAD", 10)
+    monkeypatch.setattr(dossier, "spread", lambda df: (made.append(whole(df)), made[-1])[1])
+    known = spark.createDataFrame([(f"HSYCXS-2026-{k:04d}",) for k in range(45)], "no string").coalesce(1)
+    asked = spark.createDataFrame([(1, "H5YCXS-2026-0007"), (2, "HSYCXS-2026-0007"), (3, "none")], "id int, no string")
+    got = {r.id: (r.outcome, r.known_no) for r in dossier.fuzzy_guard(asked, known, "no", "id").collect()}
+    assert got == {1: ("ambiguous", "HSYCXS-2026-0007"), 2: ("linked", "HSYCXS-2026-0007"), 3: ("invalid", None)}
+    assert max(df.rdd.getNumPartitions() for df in made) == 5
