@@ -21,6 +21,8 @@ from ..functions.hashing import count_in
 from ..functions.text import norm_type
 
 MOST = 5000
+#: Sample documents whose grams a task counts; each has some hundreds.
+SAMPLES = 2000
 
 
 def driver_rows(rules: DataFrame | list[dict]) -> list[dict]:
@@ -162,7 +164,10 @@ def learned(old: Column, new: Column) -> Column:
 
 
 def learned_sample(docs: DataFrame, key: str, text: str, words: list[str] = config.LABEL_WORDS, letters: str = r"[\x{4e00}-\x{9fff}]", stop: str = config.STOP_CHARS, most: int = 200) -> DataFrame:
-    """UDF-10: what a sample document teaches: its label words and its frequent grams with their numbers, as maps for sample_scores()."""
+    """UDF-10: what a sample document teaches: its label words and its frequent grams with their numbers, as maps for sample_scores().
+    Texts go to tasks of SAMPLES documents, where their grams are counted and ranked, so that these aren't shuffled and a task holds those of
+    as many documents whatever the input."""
+    docs = docs.select(key, text).repartition(docs.count() // SAMPLES + 1, key)
     of = lambda name, k: F.map_from_entries(F.array_sort(F.collect_list(F.struct(k, F.col("n").cast("int"))))).alias(name)
     labels = label_counts(docs, key, text, words).groupBy(key).agg(of("labels", "word"))
     grams = bigrams(docs, [key], text, letters, stop, 2, most).groupBy(key).agg(of("grams", "gram"))

@@ -126,3 +126,20 @@ def test_texts_of_numbers_are_made_in_many_tasks(spark, monkeypatch):
     got = {r.id: (r.outcome, r.known_no) for r in dossier.fuzzy_guard(asked, known, "no", "id").collect()}
     assert got == {1: ("ambiguous", "HSYCXS-2026-0007"), 2: ("linked", "HSYCXS-2026-0007"), 3: ("invalid", None)}
     assert max(df.rdd.getNumPartitions() for df in made) == 5
+
+
+def test_grams_of_samples_are_not_shuffled(spark, monkeypatch):
+    from quillon.operators import rules
+
+    monkeypatch.setattr(rules, "SAMPLES", 2)
+    docs = spark.createDataFrame([(1, "the the"), (2, None), (3, "abab"), (None, "the the"), (5, ""), (6, "de the de")], "id int, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = rules.learned_sample(docs, "id", "text", ["the", "de"], "[a-z]", "", 50)
+        assert got.rdd.getNumPartitions() == 4
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
+        rows = {r.id: (r.labels, r.grams) for r in got.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert rows == {1: ({"the": 2}, {"he": 2, "th": 2}), 2: ({}, {}), 3: ({}, {"ab": 2}), None: ({}, {}), 5: ({}, {}), 6: ({"de": 2, "the": 1}, {"de": 2})}
