@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from ..operators import sinks
 from ..sources import readers, store, workbook
 from ..sources import tables as t
-from ..sources.files import together
+from ..sources.files import contents, listing
 from ..sources.shared import new_path
 from ..streaming import jobs
 from .catalogue import query
@@ -121,7 +121,7 @@ def archived_files(spark, d):
     rows = t.table(spark, d, "customer").withColumnRenamed("c_custkey", "id")
     folder = new_path(spark, "archive")
     sinks.archived(rows, folder, F.concat_ws("/", "c_mktsegment", "c_nationkey"), F.lit("letter.txt"), F.col("id").cast("string"))
-    found = together(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder))
+    found = contents(listing(spark, folder))
     parts = F.split("path", "/")
     return found.select(F.col("content").cast("string").cast("long").alias("c_custkey"), F.concat_ws("/", F.element_at(parts, -3), F.element_at(parts, -2)).alias("directory"), F.element_at(parts, -1).alias("filename"))
 

@@ -47,10 +47,10 @@ def page(key: pd.Series) -> pd.Series:
     return key.map(one)
 
 
-def archive(spark, rows, content):
+def archive(spark, rows, content, what):
     folder = new_path(spark, "pictures")
     sinks.archived(rows.select(F.col("vec_id").alias("id"), content.alias("content")), folder, F.concat(F.lit("p"), (F.col("id") % 7).cast("string")), F.concat(F.col("id").cast("string"), F.lit(".png")), F.col("content"))
-    return source.scan(spark, folder).withColumn("vec_id", F.regexp_extract("path", r"(\d+)\.png$", 1).cast("long"))
+    return source.scanned(spark, folder, lambda found: what(found.withColumn("vec_id", F.regexp_extract("path", r"(\d+)\.png$", 1).cast("long"))))
 
 
 @query("picture_hashes", """WITH p AS (SELECT vec_id, list_transform(embedding, lambda e: least(255, greatest(0, floor(CAST(e AS DOUBLE) * 200) + 128))) AS v FROM embeddings),
@@ -58,13 +58,13 @@ def archive(spark, rows, content):
  SELECT vec_id, 9 AS width, 8 AS height, 'L' AS mode, array_to_string(list_transform(range(0, 16), lambda k: substr('0123456789abcdef', 1 + 8 * bits[4 * k + 1] + 4 * bits[4 * k + 2] + 2 * bits[4 * k + 3] + bits[4 * k + 4], 1)), '') AS phash FROM b""")
 def picture_hashes(spark, d):
     """SRC-04, FN-72: pictures written as PNG files, read by Spark's image source."""
-    rows = archive(spark, t.table(spark, d, "embeddings"), tiles("embedding"))
-    return rows.select("vec_id", "width", "height", "mode", pictures.dhash("picture").alias("phash"))
+    hashed = lambda rows: rows.select("vec_id", "width", "height", "mode", pictures.dhash("picture").alias("phash"))
+    return archive(spark, t.table(spark, d, "embeddings"), tiles("embedding"), hashed)
 
 
 @query("seal_status", "SELECT vec_id, CASE vec_id % 4 WHEN 0 THEN 'sealed' WHEN 1 THEN 'unsealed' ELSE 'suspect' END AS status, CASE WHEN vec_id % 4 = 0 THEN 1 ELSE 0 END AS n, CASE WHEN vec_id % 4 = 0 THEN 60 + vec_id % 40 END AS cy, CASE WHEN vec_id % 4 = 0 THEN 50 + vec_id % 20 END AS cx FROM embeddings")
 def seal_status(spark, d):
     """FN-74, FN-77: pages with and without seals; a seal's middle is where it was drawn."""
-    rows = archive(spark, t.table(spark, d, "embeddings"), page("vec_id")).select("vec_id", pictures.seal("picture").alias("s"))
+    rows = archive(spark, t.table(spark, d, "embeddings"), page("vec_id"), lambda found: found.select("vec_id", pictures.seal("picture").alias("s")))
     middle = lambda c: F.floor(F.get("s.seals", F.lit(0))[c]).cast("long").alias(c)
     return rows.select("vec_id", "s.status", "s.n", middle("cy"), middle("cx"))

@@ -4,20 +4,71 @@ a library that isn't here (PDF, office formats, pictures, recognition of text)."
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import store
+from .shared import written
+
 #: Tasks for each core that read a folder of small files.
 TASKS = 4
 
 
+def tasks(spark: SparkSession) -> int:
+    return TASKS * spark.sparkContext.defaultParallelism
+
+
 def together(files: DataFrame) -> DataFrame:
     """Files are read one after the other by some tasks for each core: Spark counts each as 4 MB, so it would deal small ones out a few to
     a task."""
-    return files.coalesce(TASKS * files.sparkSession.sparkContext.defaultParallelism)
+    return files.coalesce(tasks(files.sparkSession))
+
+
+def listing(spark: SparkSession, folder: str) -> DataFrame:
+    """path and size of all files below a folder, as a table.  Folders are listed by tasks, one level after the other, so a task holds what
+    stands in one folder, and the driver no file."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for uri in rows.column("path").to_pylist():
+                found = store.children(uri)
+                for k in range(0, len(found), 10_000):
+                    paths, sizes = zip(*found[k : k + 10_000], strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], ["path", "size"])
+
+    levels, folders = [], spark.createDataFrame([(folder,)], "path string")
+    while not levels or not folders.isEmpty():
+        levels.append(written(folders.repartition(tasks(spark), "path").mapInArrow(look, "path string, size long"), "listing"))
+        folders = levels[-1].filter("size IS NULL").select("path")
+    return reduce(DataFrame.union, levels).filter("size IS NOT NULL")
+
+
+def contents(files: DataFrame, most: int = 16 << 20) -> DataFrame:
+    """The files (path, size) with their content, dealt out to some tasks for each core; about 16 MB of it go together."""
+
+    def batch(own: list[tuple]) -> pa.RecordBatch:
+        paths, sizes, found = zip(*own, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(sizes, pa.int64()), pa.array(found, pa.binary())], ["path", "size", "content"])
+
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            own, held = [], 0
+            for path, size in zip(*(rows.column(c).to_pylist() for c in ("path", "size")), strict=True):
+                with store.read(path) as f:
+                    own.append((path, size, f.read()))
+                held += len(own[-1][2])
+                if held >= most:
+                    yield batch(own)
+                    own, held = [], 0
+            if own:
+                yield batch(own)
+
+    return files.select("path", "size").repartition(tasks(files.sparkSession), "path").mapInArrow(load, "path string, size long, content binary")
 
 
 #: Kinds of files by extension.

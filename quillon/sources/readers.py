@@ -17,10 +17,12 @@ register(spark) makes them known.  The driver lists files and plans partitions;
 
 from __future__ import annotations
 
+import hashlib
+import io
 import json
 import re
 import uuid
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -28,6 +30,7 @@ from datetime import date, datetime, timezone
 from decimal import ROUND_HALF_UP, Decimal, InvalidOperation
 from itertools import islice
 
+import numpy as np
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -38,8 +41,8 @@ from .files import KINDS
 from .office import DamagedFile, SheetWriter, Workbook, word_lines
 from .workbook import sheet_named
 
-#: Moves that a commit has under way at once.
-MOVERS = 16
+#: Moves that a commit has under way at once, those of a local store, where more hinder each other, and files that one thread takes together.
+MOVERS, LOCAL_MOVERS, TAKEN = 16, 4, 1000
 CELLS = "path string, sheet string, place int, row int, cells array<string>"
 SHEET_ROWS = "sheet string, header array<string>, cells array<struct<t:string,v:string>>"
 WORDS = "path string, text string, lines array<string>, tables array<array<array<string>>>, sections int, error string"
@@ -250,6 +253,24 @@ class WorkbookReader(DataSourceReader):
 class Written(WriterCommitMessage):
     files: list[tuple[str, str]]  # (where it is, where it belongs)
 
+    def pairs(self) -> Iterator[tuple[str, str]]:
+        return iter(self.files)
+
+
+@dataclass
+class Noted(WriterCommitMessage):
+    """As Written, but in a file beside the task's files, so that the driver needn't hold them: a line for each, which is a JSON list."""
+
+    note: str
+
+    def pairs(self) -> Iterator[tuple[str, str]]:
+        with store.read(self.note) as f, io.TextIOWrapper(io.BufferedReader(f), "utf-8") as lines:
+            yield from map(json.loads, lines)
+
+
+def named(target: str) -> int:
+    return int.from_bytes(hashlib.blake2b(target.encode(), digest_size=8).digest(), "little")
+
 
 class Staged(DataSourceWriter):
     """Tasks write into a folder of the job's own, which readers don't see; commit moves what successful tasks have written, abort
@@ -270,23 +291,64 @@ class Staged(DataSourceWriter):
         store.make(own, above=False)
         return own
 
-    def publish(self, files: list[tuple[str, str]]) -> None:
-        """Moves all, or, if a target is there already or a move fails, none."""
-        targets = [t for _, t in files]
-        if len(set(targets)) < len(targets):
-            raise FileExistsError(f"a name occurs twice: {min(t for t, n in Counter(targets).items() if n > 1)}")
-        with ThreadPoolExecutor(MOVERS) as many:  # a move waits for the store, so many wait together
-            if there := next((t for t, is_ in zip(targets, many.map(store.exists, targets), strict=True) if is_), None):
-                raise FileExistsError(there)
-            moves = [(source, target, many.submit(store.move, source, target)) for source, target in files]
-        if failed := next((e for *_, m in moves if (e := m.exception())), None):
-            for source, target, m in reversed(moves):
-                if not m.exception():
-                    store.move(target, source)
-            raise failed
+    def publish(self, messages: list[Written | Noted]) -> None:
+        """Moves all, or, if a target is there already or a move fails, none.  The files are passed some at once, so of each the driver
+        holds eight bytes, by which it finds names that occur twice."""
+        names = array("Q")
+
+        def checked(some) -> int:
+            if found := store.there([t for _, t in some]):
+                raise FileExistsError(found[0])
+            return len(some)
+
+        def moved(some) -> tuple[int, Exception | None]:
+            for n, (source, target) in enumerate(some):
+                try:
+                    store.move(source, target)
+                except Exception as e:  # noqa: BLE001
+                    return n, e
+            return len(some), None
+
+        def back(some) -> None:
+            for source, target in reversed(some):
+                store.move(target, source)
+
+        here = store.opened(self.path)[0].type_name == "local"
+        with ThreadPoolExecutor(LOCAL_MOVERS if here else MOVERS) as many:  # a move waits for the store, so many wait together
+            for some in self.taken(messages):
+                names.extend(named(t) for _, t in some[0])
+                list(many.map(checked, some[1]))
+            self.unique(messages, names)
+            done: list[int] = []  # files that have been moved of each part
+            for _, parts in self.taken(messages):
+                results = list(many.map(moved, parts))
+                done += [n for n, _ in results]
+                if failed := next((e for _, e in results if e), None):
+                    parts = (part for _, own in self.taken(messages) for part in own)
+                    for n, part in zip(done, parts, strict=False):
+                        back(part[:n])
+                    raise failed
+
+    @staticmethod
+    def taken(messages: list[Written | Noted]) -> Iterator[tuple[list, list[list]]]:
+        """The files some at once, and the same in a part for each thread."""
+        every = (tuple(p) for m in messages for p in m.pairs())
+        while some := list(islice(every, MOVERS * TAKEN)):
+            yield some, [some[k : k + TAKEN] for k in range(0, len(some), TAKEN)]
+
+    @staticmethod
+    def unique(messages: list[Written | Noted], names: array) -> None:
+        own = np.sort(np.frombuffer(names, np.uint64))
+        twice = set(own[1:][own[1:] == own[:-1]].tolist())
+        if twice:  # few, unless names do occur twice
+            seen: set[str] = set()
+            for target in (t for m in messages for _, t in m.pairs() if named(t) in twice):
+                if target in seen:
+                    raise FileExistsError(f"a name occurs twice: {target}")
+                seen.add(target)
 
     def commit(self, messages) -> None:
-        self.publish(sorted(f for m in messages if m is not None for f in m.files))
+        self.publish([m for m in messages if m is not None])
         store.delete(self.aside)
 
     def abort(self, messages) -> None:
@@ -471,19 +533,19 @@ class ArchiveSource(DataSource):
 
 class ArchiveWriter(Staged):
     """SNK-01, SNK-12: names must be new; sinks.archived makes them so.  A name that is taken meanwhile fails the job, and then
-    nothing is published.  The driver moves the files, some at once, so this is for files that people read; tables are for the rest."""
+    nothing is published.  The driver moves the files, some at once, as tasks have noted them; this is for files that people read, tables are for the rest."""
 
     def write(self, rows):
-        own, out = self.own(), []
-        for row in rows:
-            place = f"{row.directory.strip('/')}/{row.filename}" if row.directory else row.filename
-            if not row.filename or any(p in ("", ".", "..") for p in place.split("/")):
-                raise ValueError(f"not a place in the archive: {place!r}")
-            aside = f"{own}/{len(out)}"
-            with store.write(aside, folders=False) as f:
-                f.write(row.content or b"")
-            out.append((aside, f"{self.path}/{place}"))
-        return Written(out)
+        own = self.own()
+        with store.write(f"{own}/files", folders=False) as note:
+            for n, row in enumerate(rows):
+                place = f"{row.directory.strip('/')}/{row.filename}" if row.directory else row.filename
+                if not row.filename or any(p in ("", ".", "..") for p in place.split("/")):
+                    raise ValueError(f"not a place in the archive: {place!r}")
+                with store.write(f"{own}/{n}", folders=False) as f:
+                    f.write(row.content or b"")
+                note.write(json.dumps([f"{own}/{n}", f"{self.path}/{place}"]).encode() + b"\n")
+        return Noted(f"{own}/files")
 
 
 def register(spark: SparkSession) -> None:

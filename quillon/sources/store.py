@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import time
+from functools import cache
 from typing import IO, NamedTuple
 
 
@@ -14,10 +15,23 @@ class Found(NamedTuple):
     modified: int  # seconds
 
 
+#: Local files whose URI is their path.
+PLAIN = re.compile(r"file:///[^%?#]*[^%?#/]")
+
+
+@cache
+def local():
+    from pyarrow import fs
+
+    return fs.LocalFileSystem()
+
+
 def opened(uri: str):
     """(file system, path in it)"""
     from pyarrow import fs
 
+    if PLAIN.fullmatch(uri):  # nothing to decode; millions of files are opened one by one
+        return local(), uri[7:]
     uri = re.sub(r"^file:/(?!/)", "file:///", uri)
     return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
 
@@ -35,6 +49,16 @@ def files(uri: str, recursive: bool = True) -> list[Found]:
     return [Found(scheme + f.path, f.base_name, f.size, f.mtime_ns // 10**9) for f in sorted(found, key=lambda f: f.path) if f.type == fs.FileType.File]
 
 
+def children(uri: str) -> list[tuple[str, int | None]]:
+    """What stands in a folder, by its URI: a file with its size, a folder without; a folder that isn't there has nothing."""
+    from pyarrow import fs
+
+    base = uri.rstrip("/")
+    store, path = opened(base)
+    found = store.get_file_info(fs.FileSelector(path, allow_not_found=True))
+    return [(f"{base}/{f.base_name}", f.size if f.type == fs.FileType.File else None) for f in found if f.type != fs.FileType.NotFound]
+
+
 def read(uri: str) -> IO[bytes]:
     store, path = opened(uri)
     return store.open_input_file(path)
@@ -67,11 +91,23 @@ def exists(uri: str) -> bool:
     return store.get_file_info(path).type != fs.FileType.NotFound
 
 
+def there(uris: list[str]) -> list[str]:
+    """Those that exist, of one store."""
+    from pyarrow import fs
+
+    store, paths = opened(uris[0])[0], [opened(u)[1] for u in uris]
+    return [u for u, f in zip(uris, store.get_file_info(paths), strict=True) if f.type != fs.FileType.NotFound]
+
+
 def move(source: str, target: str) -> None:
-    """Within one store; folders above the target are made.  Object stores copy and delete."""
+    """Within one store; folders above the target are made if they are missing.  Object stores copy and delete."""
     store, path = opened(target)
-    store.create_dir(path.rpartition("/")[0], recursive=True)
-    store.move(opened(source)[1], path)
+    own = opened(source)[1]
+    try:
+        store.move(own, path)
+    except OSError:
+        store.create_dir(path.rpartition("/")[0], recursive=True)
+        store.move(own, path)
 
 
 def delete(uri: str, tries: int = 5) -> None:

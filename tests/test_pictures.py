@@ -155,3 +155,22 @@ def test_pictures_as_rows(spark, tmp_path):
     assert bytes(got["grey.png"].grey.data) == bytes(min(255, max(0, int(mean + 1.5 * (v - mean)))) for v in range(72))
     bad = got["c.png"]
     assert (bad.width, bad.mode, bad.hash, bad.seal.status, bad.grey.data) == (None, None, None, "skip", None)
+
+
+def test_pictures_are_listed_some_at_once(spark, tmp_path, monkeypatch):
+    """Spark's source gets at most about `most` files at a time, and the same rows come of them."""
+    base = f"file://{tmp_path}/pictures"
+    for k in range(30):
+        store.put(f"{base}/p{k % 3}/a[{k}].png", source.png(9, 8, 1, bytes([k] * 72)))
+    store.put(f"{base}/p0/_hidden/x.png", b"no picture")
+    store.put(f"{base}/p0/.x.png", b"no picture")
+    store.put(f"{base}/p0/broken.jpg", b"no picture")
+    given, whole = [], source.upright
+    monkeypatch.setattr(source, "upright", lambda images, files: (given.append(len(images.inputFiles())), whole(images, files))[1])
+    what = lambda rows: rows.select(F.element_at(F.split("path", "/"), -1).alias("name"), "width", "mode", "turned", pictures.dhash("picture").alias("hash"))
+    got = source.scanned(spark, base, what, most=8)
+    assert len(given) == 4 and sum(given) == 31 and max(given) < 20
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, what(source.scan(spark, base)).collect()), key=str)
+    assert source.scanned(spark, f"{base}/p0/_hidden", what).count() == 1
+    store.make(f"{base}/empty")
+    assert source.scanned(spark, f"{base}/empty", what).count() == 0

@@ -2,13 +2,15 @@
 
 import datetime
 import io
+import json
+import pickle
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillon.operators import sinks
-from quillon.sources import office, readers, store
+from quillon.sources import files, office, readers, store
 
 MAIN = office.MAIN[1:-1]
 
@@ -262,3 +264,41 @@ def test_sheets_stay_whole_when_a_task_has_more_rows_than_a_file(spark, sf, monk
     monkeypatch.setattr(files, "SHEET", 100)
     monkeypatch.setattr(files, "WORKBOOK", 150)
     parity.check(spark, parity.connection(sf), sf, plans.QUERIES["workbook_configured"], plans.SQL["workbook_configured"])
+
+
+def test_an_archive_is_not_held_by_the_driver(spark, tmp_path, monkeypatch):
+    """Tasks note the files that commit moves, and list those that are there: neither comes to the driver as a whole."""
+    monkeypatch.setattr(store, "files", lambda *a, **k: pytest.fail("all files are listed at once"))
+    base = f"file://{tmp_path}/archive"
+    docs = spark.range(50, numPartitions=3).selectExpr("id", "concat('d', id % 4) AS dir", "concat('é ', id) AS text")
+    for _ in range(2):
+        sinks.archived(docs, base, F.col("dir"), F.lit("a.txt"), F.col("text"))
+    found = files.contents(files.listing(spark, base))
+    got = [(r.path[len(base) + 1 :].partition("/")[0], bytes(r.content).decode()) for r in found.collect()]
+    assert sorted(got) == sorted([(f"d{k % 4}", f"é {k}") for k in range(50)] * 2)
+    assert {r.filename for r in sinks.existing(spark, base).filter("directory = 'd1'").collect()} == {"a.txt", *[f"a_{k:03d}.txt" for k in range(1, 26)]}
+    writer = readers.ArchiveWriter({"path": base})
+    put(writer.aside, "0/files", b"".join(json.dumps([f"{writer.aside}/0/{k}", f"{base}/x/{k % 2}"]).encode() + b"\n" for k in range(3)))
+    message = readers.Noted(f"{writer.aside}/0/files")
+    assert len(pickle.dumps(message)) < 300
+    for k in range(3):
+        put(writer.aside, f"0/{k}", b"x")
+    with pytest.raises(FileExistsError, match="occurs twice.*x/0"):
+        writer.commit([message])
+    assert not store.exists(f"{base}/x")
+
+
+def test_many_moves_are_taken_back(tmp_path, monkeypatch):
+    """The last of several parts fails: those of all go back."""
+    monkeypatch.setattr(readers, "TAKEN", 2)
+    monkeypatch.setattr(readers, "MOVERS", 2)
+    base = f"file://{tmp_path}/archive"
+    writer = readers.ArchiveWriter({"path": base})
+    for k in range(11):
+        put(writer.aside, f"t/{k}", b"x")
+    pairs = [(f"{writer.aside}/t/{k}", f"{base}/d/{k}") for k in range(11)]
+    with pytest.raises(FileNotFoundError):
+        writer.commit([readers.Written(pairs), readers.Written([(f"{writer.aside}/t/none", f"{base}/d/none")])])
+    assert {f.uri for f in store.files(base)} == {s for s, _ in pairs}
+    writer.commit([readers.Written(pairs)])
+    assert {f.uri for f in store.files(base)} == {t for _, t in pairs}
