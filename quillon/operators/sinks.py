@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources import readers
+from ..sources import readers, store
 from ..sources.files import listing
 from ..sources.readers import SHEET_ROWS
 from .lifecycle import unique_names
@@ -89,5 +89,7 @@ def archived(docs: DataFrame, folder: str, directory: Column, name: Column, cont
 def existing(spark: SparkSession, folder: str) -> DataFrame:
     """directory and filename of an archive's files."""
     base = folder.rstrip("/")
+    if not store.exists(base):
+        return spark.createDataFrame([], "directory string, filename string")
     place = F.substring("path", len(base) + 2, 1 << 30)
     return listing(spark, base).select(F.regexp_extract(place, r"^(?s)(.*)/[^/]*$", 1).alias("directory"), F.element_at(F.split(place, "/"), -1).alias("filename"))
