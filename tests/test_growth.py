@@ -143,3 +143,29 @@ def test_grams_of_samples_are_not_shuffled(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert rows == {1: ({"the": 2}, {"he": 2, "th": 2}), 2: ({}, {}), 3: ({}, {"ab": 2}), None: ({}, {}), 5: ({}, {}), 6: ({"de": 2, "the": 1}, {"de": 2})}
+
+
+def test_lines_are_not_read_for_documents_that_nothing_waits_for(spark):
+    lines = spark.createDataFrame([("1", 10)], "business_no string, up_settlement int").withColumn("business_no", F.raise_error(F.lit("lines are read")).cast("string"))
+    docs = spark.createDataFrame([("a", "1", "up", "invoice", 5), ("b", "1", "unknown", "other", 5), ("c", "1", None, "invoice", 5)], "document_id string, business_no string, direction string, role string, amount int")
+    assert sorted(map(tuple, recon.assign(lines, docs).collect())) == sorted(map(tuple, docs.collect()))
+
+
+def test_only_what_is_read_of_differences_is_made(spark):
+    lines, docs = t.ledger(spark, SF), t.line_documents(spark, SF)
+    numbers = ["up_contract_no", "down_contract_no"]
+    few, whole = recon.differences(lines, docs, numbers, read=["severity", "role"]), recon.differences(lines, docs, numbers)
+    assert few.columns == ["business_no", "severity", "role"]
+    assert "goods only" not in plan_of(few) and "collect_list(CASE" not in plan_of(few) and "goods only" in plan_of(whole)
+    rows = lambda df: sorted(map(tuple, df.select(*few.columns).collect()))
+    assert rows(few) == rows(whole)
+    assert recon.differences(lines, docs, numbers, read=["key"]).select("key").exceptAll(whole.select("key")).isEmpty()
+
+
+def test_names_of_cargo_are_made_once(spark):
+    lines = spark.createDataFrame([("1", "MV1", "Client-1", "Works-1"), ("2", "MV2", "Client-2", "Works-2")], "business_no string, vessel string, customer string, supplier string")
+    docs = spark.createDataFrame([("a", "cargo_right", "船名 MV1，货物转移给Client-1有限公司。"), ("b", "cargo_right", "船名 MV2，货物转移给云创有限公司。"), ("c", "cargo_right", "船名 MV2，货物转移给X有限公司。"), ("d", "invoice", "MV1")], "document_id string, role string, text string")
+    found = recon.cargo_reach(docs, lines)
+    assert {r.document_id: (r.lo, r.hi, r.way.direction) for r in found.collect()} == {"a": ("1", "1", "down"), "b": ("2", "2", "up")}
+    asked = [line for line in plan_of(found).splitlines() if "CASE WHEN" in line]
+    assert asked and not any("regexp" in line or "translate" in line for line in asked)
