@@ -484,11 +484,10 @@ def differences(lines: DataFrame, docs: DataFrame, numbers: list[str], put=None,
     if "multi" in docs.columns:
         parts.append(several_lines(docs))
     key = diff_key(F.col("type"), F.col("direction"), F.col("role"), F.col("expected"), F.col("actual"), F.col("document_ids"))
-    if read is None or "key" in read:
-        parts = [p.withColumn("key", key) for p in parts]
     if read is not None:
-        parts = [p.select("business_no", *read) for p in parts]
-    return reduce(DataFrame.unionByName, [put(p) for p in parts] if put else parts)
+        parts = [(p.withColumn("key", key) if "key" in read else p).select("business_no", *read) for p in parts]
+    out = reduce(DataFrame.unionByName, [put(p) for p in parts] if put else parts)
+    return out.withColumn("key", key) if read is None else out  # made when it is read, as it takes more room than the rest
 
 
 # Status and closure

@@ -169,3 +169,16 @@ def test_names_of_cargo_are_made_once(spark):
     assert {r.document_id: (r.lo, r.hi, r.way.direction) for r in found.collect()} == {"a": ("1", "1", "down"), "b": ("2", "2", "up")}
     asked = [line for line in plan_of(found).splitlines() if "CASE WHEN" in line]
     assert asked and not any("regexp" in line or "translate" in line for line in asked)
+
+
+def test_differences_are_written_rule_by_rule(spark, monkeypatch):
+    """A rule's shuffles end before the next one's begin; keys, which other columns give, are not written."""
+    from quillon.plans import linking
+
+    made, write = [], linking.written
+    monkeypatch.setattr(linking, "written", lambda df, name: (made.append(df.columns), write(df, name))[1])
+    out = linking.recon_diffs(spark, SF)
+    assert len(made) >= 6 and all(columns == recon.DIFF for columns in made)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    whole = linking.flat(linking.found(spark, SF)[2])
+    assert out.columns == whole.columns and out.exceptAll(whole).isEmpty() and whole.exceptAll(out).isEmpty()
